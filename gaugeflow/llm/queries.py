@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, pii, quality, secrets, wavelet
+from . import ann, jaccard, linededup, mixing, packing, pii, quality, secrets, toxicity, wavelet
 from .store import scratch_dir
 from .tokens import vocabulary_path
 
@@ -36,16 +36,31 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(_table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -59,7 +74,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op5_mixing, op7_packing, op9_wavelet, op10_linededup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_jaccard, op5_mixing, op6_ann, op7_packing, op8_toxicity, op9_wavelet, op10_linededup)}
 
 ORACLES = {
     "op5_mixing": r"""
