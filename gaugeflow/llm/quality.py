@@ -85,7 +85,7 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words", "word_chars BETWEEN 3 * n_words AND 11 * n_words AND n_words > 0"),
     Rule("upper", "10 * n_upper > 4 * word_chars", "10 * n_upper <= word_chars AND n_words > 0"),
     Rule("shouts", "5 * n_shouts > n_words", "20 * n_shouts <= n_words AND n_words > 0"),
-    Rule("letters", "2 * n_other > word_chars", "5 * n_other <= word_chars AND n_words > 0"),
+    Rule("letters", "9 * n_other > word_chars", "16 * n_other <= word_chars AND n_words > 0"),
 )
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 MEASURES = {"n_words": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l", "word_chars": "c", "n_symbols": "c", "n_upper": "c", "n_shouts": "c", "n_other": "c"}
@@ -123,7 +123,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     """EM over vote patterns and their counts (at most 3 to the number of rules, whatever the corpus).
 
     Two classes, rules independent given the class, an abstention says nothing. It starts from "bad if any rule says so". Counts are
-    smoothed, and a rule's vote is never taken to mean its contrary, so a document that no rule calls bad can't fall into the bad class.
+    smoothed, a rule is held to be wrong about good documents at least 3 times in 100, so no single vote decides, and a vote is never taken
+    to mean its contrary, so a document that no rule calls bad can't fall into the bad class.
     With no documents the starting values stay.
     """
     k = len(patterns[0][0]) if patterns else 0
@@ -139,7 +140,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
                     nb, ng = nb + p * c, ng + (1 - p) * c
                     if v[j] < 0:
                         nbv, ngv = nbv + p * c, ngv + (1 - p) * c
-            good_rate = (ngv + 0.1) / (ng + 10)
+            good_rate = max(0.03, (ngv + 0.1) / (ng + 10))
             q[j], g[j] = min(0.99, max((nbv + 1) / (nb + 4), 1.5 * good_rate)), min(0.3, good_rate)
         new = []
         for v, _ in patterns:
