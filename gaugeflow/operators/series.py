@@ -98,12 +98,11 @@ def second_difference(rows: DataFrame, case: str, position: str, value: str) ->
     return rows.withColumn("_d", F.abs(d)).groupBy(case).agg(F.max("_d").alias("max_second_difference"))
 
 
-def uniform_subsample(rows: DataFrame, position: str, n: int, keep: int) -> DataFrame:
-    """Of positions 0..n-1 about ``keep`` evenly spread ones, halves to even; all if there are no more than that."""
-    if n <= keep:
-        return rows
-    wanted = rows.sparkSession.range(keep).select(F.rint(F.col("id") * ((n - 1) / (keep - 1))).cast("long").alias("_p")).distinct()
-    return rows.join(wanted, F.col(position) == F.col("_p"), "left_semi")
+def uniform_subsample(rows: DataFrame, case: str, order: str, keep: int) -> DataFrame:
+    """Of each case's rows in order about ``keep`` evenly spread ones, halves to even; all of a case that has no more than that."""
+    placed = rows.withColumns({"_p": F.row_number().over(W.partitionBy(case).orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(case))})
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda i: F.rint(i * ((F.col("_n") - 1) / (keep - 1))).cast("int"))
+    return placed.where((F.col("_n") <= keep) | F.array_contains(wanted, F.col("_p"))).drop("_p", "_n")
 
 
 def interpolate_at(knots: DataFrame, case: str, x: str, y: str, level: float) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workers import share_package
+
 
 def moment_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Sums that a similarity between point pairs (sx, sy, sz) and (tx, ty, tz) needs: counts, means' sums, products, squares."""
@@ -41,6 +43,7 @@ def umeyama_fit(pairs: DataFrame, by: list[str], with_scale: bool = True) -> Dat
             fits = [similarity_from_sums(r, with_scale) for _, r in batch.iterrows()]
             yield batch[by].assign(scale=[f[0] for f in fits], r=[f[1].ravel().tolist() for f in fits], t=[f[2].tolist() for f in fits], n=batch["n"])
 
+    share_package(pairs.sparkSession)
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
     return moment_sums(pairs, by).mapInPandas(solve, f"{keys}, {FIT}")
 
@@ -71,6 +74,7 @@ def residual():
 
 def per_group(rows: DataFrame, by: list[str], kernel: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
     """A NumPy kernel over each group, for groups that a capture bounds (rays of a landmark, hits of a view)."""
+    share_package(rows.sparkSession)
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
     return rows.groupBy(*by).applyInPandas(lambda key, g: pd.DataFrame([dict(zip(by, key)) | kernel(g)]), f"{keys}, {schema}")
 
@@ -133,6 +137,7 @@ def local_planes(neighbors: DataFrame) -> DataFrame:
             w, v = np.linalg.eigh(cov)
             yield pd.DataFrame({"point_id": b["point_id"], "normal": v[:, :, 0].tolist(), "rms": np.sqrt(np.maximum(w[:, 0], 0)), "n": b["n"]})
 
+    share_package(neighbors.sparkSession)
     return sums.mapInPandas(solve, "point_id long, normal array<double>, rms double, n long")
 
 

@@ -1,4 +1,5 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. The given tables stand in for captures: ``roles`` says which columns play which part."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
