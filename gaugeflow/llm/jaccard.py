@@ -157,9 +157,9 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 12, recall: float = 0.999, block_texts: int = 1024, block_characters: int = 4_000_000) -> DataFrame:
-    """For each distinct (doc_id, text) of ``docs``: doc_id, text_key, class_id, n_links, rows.
+    """For each distinct (doc_id, text) of ``docs``: doc_id, text_key, class_id, class_key, n_links, rows.
 
-    class_id is the smallest doc_id of the texts joined by links, directly or through others; n_links counts the other rows of
+    class_id is the smallest doc_id of the texts joined by links, directly or through others, and class_key tells classes apart even without ids; n_links counts the other rows of
     ``docs`` whose text links to this one, equal texts included; rows is how often the pair comes. Two texts link if the Jaccard similarity
     of their sets of n-word shingles is ``threshold`` or more; a text of fewer words than n is one shingle, and texts without a word link
     only to equal ones. Null text counts as empty. Null ids are grouped like others and give a null class only where no id is known.
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     bound_batches(spark)
     k = matched_depth(threshold, trees, depth, recall)
     text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("text_key"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
     # A row of an id and a text key; which document stands for a text is left open until the classes are known.
     members = written(keyed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "members")
     texts = members.groupBy("text_key").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first_id"))
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
                     keys.append(key)
                     sizes.append(len(body))
                     found.append(prefixes(sh, trees, k))
-            yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.string()), "characters": pa.array(sizes, pa.int64()), "nodes": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.binary()), "characters": pa.array(sizes, pa.int64()), "nodes": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
 
-    signed = keyed.select("text_key", "text").mapInArrow(nodes, "text_key string, characters long, nodes array<long>")
+    signed = keyed.select("text_key", "text").mapInArrow(nodes, "text_key binary, characters long, nodes array<long>")
     # Copies have equal nodes: the first seen in each task stands for them before anything is shuffled.
     signed = written(signed.groupBy("text_key").agg(F.any_value("characters").alias("characters"), F.any_value("nodes").alias("nodes")), "nodes")
     leaves = signed.select("text_key", F.explode("nodes").alias("node"))
@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("characters") / block_characters)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "component").select(F.col("node").alias("text_key"), "component", "blocks", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)").alias("block"))
     placed = written(placed.join(texts, "text_key"), "placed")
-    # Each text once: of its copies the one with the smallest id brings the words.
-    bodies = keyed.join(placed.select("text_key", F.col("first_id").alias("f")).withColumnRenamed("text_key", "p_key"), (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
+    # Each text once: of its copies the one with the smallest id brings the words. Both sides grow with the corpus, so neither is broadcast.
+    bodies = keyed.hint("merge").join(placed.select("text_key", F.col("first_id").alias("f")).withColumnRenamed("text_key", "p_key"), (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
     pairs = "explode(transform(sequence(0, blocks - 1), x -> struct(least(block, x) AS i, greatest(block, x) AS j))) AS task"
     work = placed.join(bodies, "text_key").select("text_key", "text", "copies", "component", "block", F.expr(pairs)).select("text_key", "text", "copies", "component", "block", "task.i", "task.j")
 
@@ -230,14 +230,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
             yield pa.RecordBatch.from_pydict(out)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    linked = work.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, T.StructType([T.StructField("text_key", T.StringType()), T.StructField("links", T.LongType()), T.StructField("head", T.StringType())]))
+    linked = work.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, T.StructType([T.StructField("text_key", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("head", T.BinaryType())]))
     linked = written(linked, "links")
     classes = connected_components(linked.select(F.col("text_key").alias("a"), F.col("head").alias("b")))
     counts = linked.groupBy("text_key").agg(F.sum("links").alias("links"))
     ids = classes.withColumnRenamed("node", "text_key").join(texts, "text_key").groupBy("component").agg(F.min("first_id").alias("class_id"))
-    found = classes.join(ids, "component").join(counts, F.col("node") == F.col("text_key")).select(F.col("node").alias("k"), "class_id", "links")
-    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select(F.col("text_key").alias("k"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(every, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "n_links", "rows")
+    found = classes.join(ids, "component").join(counts, F.col("node") == F.col("text_key")).select(F.col("node").alias("k"), "component", "class_id", "links")
+    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select(F.col("text_key").alias("k"), F.coalesce("component", "text_key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return members.join(every, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "class_key", "n_links", "rows")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -246,7 +246,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Where a class has no id at all (all null), the smallest text by its key stays.
     """
     found = near_duplicates(docs, **how)
-    first = found.groupBy("class_id", "doc_id").agg(F.min("text_key").alias("keep_key")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id"), "keep_key")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("key"))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("m")
+    first = found.groupBy("class_key").agg(order).select(F.col("m.doc_id").alias("keep_id"), F.col("m.text_key").alias("keep_key"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("key"))
     kept = rows.join(first, (F.col("key") == F.col("keep_key")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
     return kept.dropDuplicates(["id", "key"]).select("row.*")
