@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import bound_batches, written
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def nearest(vectors: DataFrame, *, k: int = 5, query_every: int = 50, tables: in
     id. Of rows with equal ids, equal vectors are one; other ones compete, and the best stands. An empty table gives no rows.
 
     Every vector is in one bucket of each table, its nearest signed axis after the table's pseudo-rotation. A query looks into the
-    ``probes`` nearest buckets of each table. A bucket's vectors and the queries that look into it meet in tasks, where each query is
+    ``probes`` nearest buckets of each table, and one that finds fewer than k there into all buckets of one table. A bucket's vectors and the queries that look into it meet in tasks, where each query is
     compared exactly with all the bucket's vectors and k of them are returned, so rows grow with queries, not with pairs. Buckets are cut
     by hash into parts of about ``cells`` vectors, each met by the same queries: a third of all vectors in one bucket is many tasks.
     """
@@ -62,7 +62,7 @@ def nearest(vectors: DataFrame, *, k: int = 5, query_every: int = 50, tables: in
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     good = good.where("NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)").withColumn("size", F.size("v"))
 
-    def hashed(query: bool):
+    def hashed(tables_used: int, probes_used: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, data = batch.column("vec_id").to_numpy(), batch.column("v")
@@ -72,21 +72,19 @@ def nearest(vectors: DataFrame, *, k: int = 5, query_every: int = 50, tables: in
                     x = np.stack([np.asarray(data[int(i)].values) for i in rows])
                     unit = x / np.abs(x).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    for t in range(tables):
-                        axes = nearest_axes(rotated(unit, t, tables), probes if query else 1)
+                    for t in range(tables_used):
+                        axes = nearest_axes(rotated(unit, t, tables), probes_used)
                         many = axes.shape[1]
                         yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(rows) * many, d), pa.int32()), "bucket": pa.array(t * 2**20 + axes.ravel(), pa.int64()), "vec_id": pa.array(np.repeat(ids[rows], many), pa.int64()), "v": data.take(pa.array(np.repeat(rows, many)))})
 
         return run
 
     schema = "size int, bucket long, vec_id long, v array<double>"
-    table = good.mapInArrow(hashed(False), schema)
-    asked = good.where(F.col("vec_id") % query_every == 0).mapInArrow(hashed(True), schema)
+    table = good.mapInArrow(hashed(tables, 1), schema)
+    queries = good.where(F.col("vec_id") % query_every == 0)
     # Parts of a bucket: counted on ids alone.
     parts = table.groupBy("size", "bucket").agg(F.ceil(F.count(F.lit(1)) / cells).cast("int").alias("parts"))
     inside = table.join(parts, ["size", "bucket"]).withColumn("part", F.expr("CAST(pmod(xxhash64(vec_id), parts) AS INT)")).drop("parts")
-    looking = asked.join(parts, ["size", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
     def rerank(_key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -110,8 +108,17 @@ def nearest(vectors: DataFrame, *, k: int = 5, query_every: int = 50, tables: in
         found["score"] = exact_cosine(a, b)
         return found[["query_id", "vec_id", "score"]]
 
-    met = looking.groupBy("size", "bucket", "part").cogroup(inside.groupBy("size", "bucket", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def found(asked: DataFrame, tables_used: int, probes_used: int) -> DataFrame:
+        looking = asked.mapInArrow(hashed(tables_used, probes_used), schema).join(parts, ["size", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = looking.groupBy("size", "bucket", "part").cogroup(inside.groupBy("size", "bucket", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    best = written(found(queries, tables, probes), "nearest")
+    enough = best.groupBy("query_id").agg(F.count("vec_id").alias("n")).where(F.col("n") >= k)
+    lacking = queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti")
+    if not lacking.isEmpty():  # all axes of one table: every vector
+        axes = lacking.agg(F.max("size")).first()[0]
+        best = best.join(lacking.select("vec_id").distinct().withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(found(lacking, 1, 2 << (axes - 1).bit_length()))
     return best.selectExpr("query_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank", "vec_id", "score").where(F.col("rank") <= k)
 
 
