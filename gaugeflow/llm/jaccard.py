@@ -36,7 +36,7 @@ _MULTIPLIERS = tuple(int(x) | 1 for x in np.random.default_rng(20240607).integer
 class WordHashes(dict):
     """Word -> 64-bit hash, kept for up to ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -49,15 +49,10 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
-def shingles(text: str, n: int) -> np.ndarray:
+def shingles(text: str, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of n words; of all its words if it has fewer; empty for a text without words."""
     words = _WORD.findall(text)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if len(h) > n:
         run = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
@@ -115,7 +110,7 @@ def count_links(sets: list[np.ndarray], split: int, threshold: float) -> np.ndar
     owner, column = owner[order], column[order]
     top, rest = (slice(None), slice(None)) if not split else (slice(0, split), slice(split, None))
     both = np.zeros((len(sets) if not split else split, len(sets) - split), np.float32)
-    step = max(64, 8_000_000 // len(sets))
+    step = max(64, 2_000_000 // len(sets))
     for at in range(0, width, step):
         a, b = np.searchsorted(column, [at, at + step])
         m = np.zeros((len(sets), min(step, width - at)), np.float32)
@@ -175,10 +170,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     texts = members.groupBy("text_key").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first_id"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()  # a task's own, so that idle workers hold none
         for batch in batches:
             keys, found, sizes = [], [], []
             for key, body in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
-                if len(sh := shingles(body, n)):
+                if len(sh := shingles(body, n, hashes)):
                     keys.append(key)
                     sizes.append(len(body))
                     found.append(prefixes(sh, trees, k))
@@ -202,6 +198,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     work = placed.join(bodies, "text_key").select("text_key", "text", "copies", "component", "block", F.expr(pairs)).select("text_key", "text", "copies", "component", "block", "task.i", "task.j")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         out: dict[str, list] = {c: [] for c in ("text_key", "links", "head")}
         for (_, i, j), rows in _groups(batches, ("component", "i", "j")):
             if i == j:
@@ -211,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
                 split = sum(r["block"] == i for r in rows)
                 if split in (0, len(rows)):
                     continue
-            sets = [shingles(r["text"], n) for r in rows]
+            sets = [shingles(r["text"], n, hashes) for r in rows]
             links = count_links(sets, split, threshold)
             copies = np.array([r["copies"] for r in rows], np.int64)
             if split:

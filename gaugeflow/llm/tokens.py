@@ -29,7 +29,7 @@ class IdCache:
     the same either way.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

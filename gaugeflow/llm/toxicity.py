@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_featu
 
 
 class _Memo(dict):
-    """Word -> its features that have a weight, for up to a million words."""
+    """Word -> its features that have a weight, for up to 300,000 words."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
@@ -147,7 +147,7 @@ class _Memo(dict):
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         found = tuple(f for f in features_of(word) if f in self.weights)
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         if len(word) <= 64:
             self[word] = found
