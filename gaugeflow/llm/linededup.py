@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .words import BLANKS, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +28,7 @@ def dropped_lines(docs: DataFrame, min_length: int, min_docs: int) -> DataFrame:
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = lines.where(F.length("line") >= min_length).select("doc_id", "text_hash", "at", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.length("key") >= min_length).select("doc_id", "text_hash", "at", F.unhex(F.md5("key")).alias("key"))
+    lines = written(lines, "lines")  # hashes only; read twice
     # A document without an id is one document, smaller than any other.
     holders = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("holder"))
     shared = holders.where(F.col("n_docs") >= min_docs).select("key", "holder")
