@@ -7,6 +7,7 @@ pieces' ids are kept in a bounded cache, so each distinct word is encoded once b
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -30,6 +31,7 @@ class IdCache:
     """
 
     def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core; more threads only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,7 +92,7 @@ class IdCache:
         names = flat.dictionary.to_pylist()
         rows = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
         which = flat.indices.to_numpy()
-        odd = np.fromiter(map(MARKS, texts), object, len(texts)).astype(bool)
+        odd = np.fromiter((any(m in t for m in BEFORE) for t in texts), bool, len(texts))
         plain_piece = pc.match_substring_regex(flat.dictionary, PLAIN).to_numpy(zero_copy_only=False)
         bad = np.zeros(len(names), bool)
         for i in np.flatnonzero(~plain_piece):
@@ -112,7 +114,6 @@ class IdCache:
 
 #: What a piece's first character says stood before it, if it isn't a space.
 BEFORE = {"\x01": "\n", "\x02": "", "\x03": "", "\x04": ""}
-MARKS = re.compile("[\x01-\x04]").search
 #: Pieces that need no closer look: an optional mark, then letters, digits and common marks of ASCII and of Latin-1.
 PLAIN = r"^[\x01-\x03]?[!-~\x{a1}-\x{ac}\x{ae}-\x{ff}]+$"
 #: A piece between single spaces: an optional mark, then text whose first and last characters are no white space.
