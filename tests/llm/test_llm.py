@@ -219,13 +219,25 @@ def test_hadamard_is_a_rotation():
 def test_pieces_give_the_tokenizers_ids(name):
     c = tokens.id_cache(tokens.vocabulary_path(name))
     g = np.random.default_rng(9)
-    alphabet = list(" \n\t\r abC'1.é́ 　,Σ‍\x01\x02\x03")
+    alphabet = list(" \n\t\r ®¶abC'1.é́ 　,Σ‍\x01\x02\x03")
     texts = ["".join(g.choice(alphabet, g.integers(0, 40))) for _ in range(1500)] + [r[1] or "" for r in ROWS]
     ids, cuts = c.encode_column(texts)
     for i, t in enumerate(texts):
         assert ids[cuts[i] : cuts[i + 1]].tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_stay_right_when_the_cache_is_full(name):
+    c = tokens.IdCache(tokens.vocabulary_path(name), most=50)
+    g = np.random.default_rng(3)
+    words = ["".join(g.choice(list("abcDé.,'"), g.integers(1, 7))) for _ in range(400)]
+    texts = [" ".join(g.choice(words, 60)) for _ in range(40)]
+    for i in range(0, 40, 4):
+        ids, cuts = c.encode_column(texts[i : i + 4])
+        for k, t in enumerate(texts[i : i + 4]):
+            assert ids[cuts[k] : cuts[k + 1]].tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(spark, docs):
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     got = packing.pack_documents(docs, path, max_segments=4).toPandas()
