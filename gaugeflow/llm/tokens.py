@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,14 @@ CUT = re.compile(rf"(?:[ \n]?{_S}|{_NS}){_S}*(?:(?![ \n]{_S}){_NS}+{_S}*)*")
 class IdCache:
     """A tokenizer with the ids of at most ``most`` pieces of at most ``longest`` characters kept.
 
+    When that many are kept, those met in one batch only are forgotten; if that leaves more than half, the half met in most batches stays.
+
     ``encode_column`` cuts a whole batch at its single spaces and newlines, and before a comma or full stop that ends a word, in Arrow;
     encodes each distinct piece once and gathers the ids. Texts with other runs of white space there are cut by ``CUT``; the ids are
     the same either way.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core; more threads only wait for each other
         from tokenizers import Tokenizer
 
@@ -39,13 +41,20 @@ class IdCache:
         self.most, self.longest = most, longest
         alone = ((c, self.tokenizer.encode(f"a {c} a", add_special_tokens=False).ids) for c in SEPARATORS)
         self.between = next(((c, ids[1]) for c, ids in alone if len(ids) == 3), None)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.kept: dict[str, int] = {}  # piece -> its row in start and size
-        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.kept: dict[str, int] = {}  # piece -> its row in start, size and met
+        self.start, self.size, self.met, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
         self.rows, self.used = 0, 0
 
+    def _forget(self) -> None:
+        """Keep what was met in two batches or more, at most half of ``most``; each meeting counts half from now on."""
+        pieces, rows = list(self.kept), np.fromiter(self.kept.values(), np.int64, len(self.kept))
+        stay = np.flatnonzero(self.met[rows] > 1)
+        stay = stay[np.argsort(-self.met[rows[stay]], kind="stable")[: self.most // 2]]
+        rows = rows[stay]
+        self.pool, self.size, self.met = self._gather(rows), self.size[rows], self.met[rows] // 2
+        self.start, self.rows, self.used = np.cumsum(self.size) - self.size, len(rows), len(self.pool)
+        self.kept = {pieces[i]: k for k, i in enumerate(stay.tolist())}
+
     def _add(self, pieces: list[str]) -> None:
         joined = [p for p in pieces if (p[0] > "\x04" or p[0] == "\x01") and self.between[0] not in p] if self.between else []
         if joined and self._add_joined(joined):
@@ -70,29 +79,35 @@ class IdCache:
     def _keep(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
         rows, used = self.rows + len(pieces), self.used + len(flat)
         if rows > len(self.start):
-            self.start, self.size = (np.concatenate([x[: self.rows], np.zeros(rows, np.int64)]) for x in (self.start, self.size))
+            self.start, self.size, self.met = (np.concatenate([x[: self.rows], np.zeros(rows, x.dtype)]) for x in (self.start, self.size, self.met))
         if used > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(used, "<u4")])
         self.size[self.rows : rows], self.start[self.rows : rows], self.pool[self.used : used] = size, self.used + np.cumsum(size) - size, flat
+        self.met[self.rows : rows] = 0
         self.kept.update(zip(pieces, range(self.rows, rows)))
         self.rows, self.used = rows, used
 
     def _look_up(self, pieces: list[str]) -> np.ndarray:
-        get = self.kept.get
-        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        found = self._kept_rows(pieces)
         new = np.flatnonzero(found < 0)
         if len(new):
             missing = list(dict.fromkeys([pieces[i] for i in new]))
             if self.rows + len(missing) > self.most:
-                self._clear()
-                new, missing = np.arange(len(pieces)), list(dict.fromkeys(pieces))
+                self._forget()
+                found = self._kept_rows(pieces)
+                new = np.flatnonzero(found < 0)
+                missing = list(dict.fromkeys([pieces[i] for i in new]))
             self._add(missing)
             found[new] = [self.kept[pieces[i]] for i in new]
             for p in missing:
                 if len(p) > self.longest:
                     del self.kept[p]
+        self.met[found] += 1
         return found
 
+    def _kept_rows(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.kept.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def _gather(self, rows: np.ndarray) -> np.ndarray:
         size = self.size[rows]
         ends = np.cumsum(size)
@@ -109,7 +124,7 @@ class IdCache:
         plain = pc.replace_substring_regex(plain, r"([0-9A-Za-z])([.,]) ", "\\1 \x03\\2 ")
         pieces = pc.split_pattern(plain, " ")
         flat = pieces.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
+        names = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         rows = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
         which = flat.indices.to_numpy()
         odd = np.fromiter((any(m in t for m in BEFORE) for t in texts), bool, len(texts))
