@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import reduction_label
-from ..operators import compare, gates, geometry, mesh, neighbors, robust, solve, state
+from ..operators import compare, gates, geometry, mesh, neighbors, registration, robust, solve, state
 from ..operators import series as S
 from ..operators.components import connected_components
 from .roles import SQL, cloud, faces, series, table, vertices
@@ -472,3 +472,11 @@ def local_plane(spark, d):
     p = cloud(spark, d)
     near = neighbors.radius_pairs(p, 0.15).join(p.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias("n" + c) for c in "xyz"]), "neighbor_id")
     return solve.local_planes(near)
+
+
+@query()
+def surface_registration(spark, d):
+    """Takes the cloud, slightly turned and shifted, back to itself."""
+    p, a = cloud(spark, d), 0.02
+    turned = p.withColumns({"x": math.cos(a) * F.col("x") - math.sin(a) * F.col("y") + 0.01, "y": math.sin(a) * F.col("x") + math.cos(a) * F.col("y"), "z": F.col("z") - 0.005})
+    return registration.closest_points(turned, p, voxel=0.001, reach=0.1, rounds=10)

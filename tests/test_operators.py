@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from gaugeflow.functions import vectors as V
 from gaugeflow.functions.text import duration_label, reduction_label
-from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, robust, series, solve, state
+from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, registration, robust, series, solve, state
 from gaugeflow.operators.components import connected_components
 from gaugeflow.sources import captures
 from pyspark.sql import functions as F
@@ -158,3 +158,15 @@ def test_readers_and_labels(spark, tmp_path):
     assert captures.render_html([{"id": "<a>", "status": "PASS"}], "t").count("&lt;a&gt;") == 1
     got = spark.createDataFrame([(2.0, 89.0), (0.125, 5400.0)], "a double, b double").select(reduction_label(F.col("a")).alias("a"), duration_label(F.col("b")).alias("b")).collect()
     assert [tuple(r) for r in got] == [("2.0", "89.0 s"), ("0.125", "1.5 h")]
+
+
+def test_closest_points_recover_a_rigid_motion(spark):
+    g, a = np.random.default_rng(5), 0.02
+    p = g.uniform(0, 10, (40, 3))
+    r, t = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]]), np.array([0.1, -0.05, 0.02])
+    source, target = (spark.createDataFrame(pd.DataFrame(x, columns=list("xyz"))) for x in (p, p @ r.T + t))
+    got = registration.closest_points(source, target, voxel=0.001, reach=2.0, rounds=12)
+    row = got.first()
+    assert np.allclose(np.array(row.r).reshape(3, 3), r, atol=1e-6) and np.allclose(row.t, t, atol=1e-6) and row.n == 40
+    none = registration.closest_points(source, target.limit(0), voxel=0.001, reach=2.0).first()
+    assert (none.n, none.rmse, none.t) == (0, None, [0, 0, 0])
