@@ -238,6 +238,13 @@ def test_ids_stay_right_when_the_cache_is_full(name):
             assert ids[cuts[k] : cuts[k + 1]].tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_full_cache_keeps_what_comes_often():
+    c = tokens.IdCache(tokens.vocabulary_path("byte_bpe_50k.json"), most=60)
+    for i in range(40):
+        c.encode_column(["often here " + " ".join(f"w{'abcdefghij'[k]}{'xyz'[i % 3] * (i + 1)}" for k in range(10))])
+    assert "here" in c.kept and len(c.kept) <= 60 and c.rows <= 60
+
+
 def test_packing(spark, docs):
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     got = packing.pack_documents(docs, path, max_segments=4).toPandas()
