@@ -22,17 +22,20 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem: triangles over 500 vertices; a mesh a return flag."""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS mesh", "l_orderkey % 500 AS v0", "l_partkey % 500 AS v1", "l_suppkey % 500 AS v2").distinct().selectExpr("mesh", "v0 * 250000 + v1 * 500 + v2 AS fid", "v0", "v1", "v2")
+    """lineitem: triangles over all vertices, each key modulo the number of embeddings; a mesh a return flag. A face's id is its corners, as a number would overflow."""
+    size = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("size")).where("size > 0")
+    keys = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(size))  # one row
+    corners = keys.selectExpr("l_returnflag AS mesh", "l_orderkey % size AS v0", "l_partkey % size AS v1", "l_suppkey % size AS v2").distinct()
+    return corners.selectExpr("mesh", "struct(v0, v1, v2) AS fid", "v0", "v1", "v2")
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 embeddings, once for each mesh."""
-    v = cloud(spark, sf_dir).where("point_id < 500").selectExpr("point_id AS vid", "x", "y", "z")
+    """All embeddings, once for each mesh."""
+    v = cloud(spark, sf_dir).selectExpr("point_id AS vid", "x", "y", "z")
     return v.withColumn("mesh", F.explode(F.array(*[F.lit(m) for m in "ANR"])))
 
 
-#: The same views for DuckDB.
+#: The same views for DuckDB. Those of the mesh have 500 vertices written in, so they agree where embeddings has 500 rows (sf0.001, sf0.01) and not elsewhere.
 SQL = {
     "series": "series AS (SELECT event_id, epoch_us(ts) AS us, value, user_id, event_type FROM events)",
     "cloud": "cloud AS (SELECT vec_id AS point_id, label AS case_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(("x", "y", "z", "qx", "qy", "qz", "qw"))) + ", vec_id * CAST(0.025 AS DOUBLE) AS ts FROM embeddings)",

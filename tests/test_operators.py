@@ -9,6 +9,7 @@ from gaugeflow.functions import vectors as V
 from gaugeflow.functions.text import duration_label, reduction_label
 from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, registration, robust, series, solve, state
 from gaugeflow.operators.components import connected_components
+from gaugeflow.plans import roles
 from gaugeflow.sources import captures
 from pyspark.sql import functions as F
 
@@ -170,3 +171,16 @@ def test_closest_points_recover_a_rigid_motion(spark):
     assert np.allclose(np.array(row.r).reshape(3, 3), r, atol=1e-6) and np.allclose(row.t, t, atol=1e-6) and row.n == 40
     none = registration.closest_points(source, target.limit(0), voxel=0.001, reach=2.0).first()
     assert (none.n, none.rmse, none.t) == (0, None, [0, 0, 0])
+
+
+def test_mesh_roles_reach_every_vertex(spark, tmp_path):
+    g = np.random.default_rng(3)
+    keys = g.integers(0, 5000, (400, 3))
+    spark.createDataFrame([(i, [float(i)] * 64, i % 3) for i in range(700)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([("ANR"[i % 3], *map(int, k)) for i, k in enumerate(keys)], "l_returnflag string, l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {("ANR"[i % 3], *(int(x) % 700 for x in k)) for i, k in enumerate(keys)}
+    f, v = roles.faces(spark, str(tmp_path)), roles.vertices(spark, str(tmp_path))
+    assert {tuple(r) for r in f.select("mesh", "v0", "v1", "v2").collect()} == want and f.select("mesh", "fid").distinct().count() == len(want)
+    assert {(r.mesh, r.vid) for r in v.collect()} == {(m, i) for m in "ANR" for i in range(700)}
+    used = {(m, x) for m, *c in want for x in c}
+    assert {(r.mesh, r.vid) for r in mesh.vertex_normals(f, v).collect()} == used and max(x for _, x in used) >= 500
