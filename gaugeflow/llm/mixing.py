@@ -67,12 +67,14 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, slots: int = 1 << 18) -> DataFrame:
-    """How many words the mix takes of each row of ``docs`` (doc_id, text, source): key, copy, doc_id, source, size, source_size, target, taken.
+    """How many words the mix takes of each row of ``docs`` (doc_id, text, source): key, copy, doc_id, source, size, source_size, target, taken, begin, slots.
 
     A source's documents, in shuffled order and again from the front up to ``cap`` times, are a stream of words; its target is cut into
     as many blocks of equal words as it has slots in the schedule, and the n-th slot takes the n-th block. A document's words are taken
     as often as blocks cover them, so none is taken more than ``cap`` times and each source's words make up its target, cut to whole
-    words. The number of slots is fixed: blocks grow with the corpus, the schedule doesn't.
+    words. The number of slots is fixed: blocks grow with the corpus, the schedule doesn't. ``begin`` is the words of the source before
+    the row, and ``slots`` has the first slot that takes words of it in each pass over the source (null where none does); both are null
+    for rows of which nothing is taken.
 
     Null texts have size 0; a null source is a source of its own; rows equal in doc_id, text and source are told apart by ``copy``
     (from 0). Reruns agree. An empty table gives an empty one.
@@ -82,32 +84,37 @@ def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     sizes = written(grouped.selectExpr("key", "doc_id", "source", "size", "explode(sequence(CAST(0 AS BIGINT), times - 1)) AS copy"), "mix")
     goals = written(targets(sizes.select("source", "size"), weights, cap), "goals")
     slot = written(schedule(goals, slots), "slots")
-    plan = slot.selectExpr("source AS p_source", "nth", "(nth * words) DIV of AS block_begin", "((nth + 1) * words) DIV of AS block_end")
+    plan = slot.selectExpr("source AS p_source", "slot", "nth", "(nth * words) DIV of AS block_begin", "((nth + 1) * words) DIV of AS block_end")
     counts = slot.groupBy("source").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("source", "c_source")
     about = goals.selectExpr("source AS g_source", "source_size", "target", "CAST(target AS BIGINT) AS words").join(counts, F.col("g_source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
 
     stream = shuffled(sizes.selectExpr("concat(key, '#', copy) AS row", "source", "size").where("size > 0"))
     stream = stream.join(about.where("words > 0"), F.col("source").eqNullSafe(F.col("g_source")))
-    passes = stream.selectExpr("*", f"explode(sequence(0, {cap - 1})) AS pass").selectExpr("row", "source", "of", "words", "begin + pass * source_size AS a", "least(begin + pass * source_size + size, words) AS b").where("a < b")
+    passes = stream.selectExpr("*", f"explode(sequence(0, {cap - 1})) AS pass").selectExpr("row", "source", "of", "words", "begin", "pass", "begin + pass * source_size AS a", "least(begin + pass * source_size + size, words) AS b").where("a < b")
     # Block n holds position x of the stream for n = ceil((x + 1) * of / words) - 1.
-    blocks = passes.selectExpr("row", "source", "a", "b", "explode(sequence(((a + 1) * of + words - 1) DIV words - 1, (b * of + words - 1) DIV words - 1)) AS n")
+    blocks = passes.selectExpr("row", "source", "begin", "pass", "a", "b", "explode(sequence(((a + 1) * of + words - 1) DIV words - 1, (b * of + words - 1) DIV words - 1)) AS n")
     joined = blocks.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("n") == F.col("nth")))
-    taken = joined.groupBy("row", "source").agg(F.sum(F.expr("least(b, block_end) - greatest(a, block_begin)")).alias("taken")).withColumnRenamed("source", "t_source")
+    firsts = F.array(*[F.min(F.when(F.col("pass") == k, F.col("slot"))) for k in range(cap)])
+    taken = joined.groupBy("row", "source").agg(F.sum(F.expr("least(b, block_end) - greatest(a, block_begin)")).alias("taken"), F.min("begin").alias("begin"), firsts.alias("slots")).withColumnRenamed("source", "t_source")
     out = sizes.join(taken, (F.concat("key", F.lit("#"), "copy") == F.col("row")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     out = out.join(about, F.col("source").eqNullSafe(F.col("g_source")))
-    return out.selectExpr("key", "copy", "doc_id", "source", "size", "source_size", "target", "coalesce(taken, 0) AS taken")
+    return out.selectExpr("key", "copy", "doc_id", "source", "size", "source_size", "target", "coalesce(taken, 0) AS taken", "begin", "slots")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each row as often as all its words are taken, and once more with its first words for the rest.
 
-    What is cut off is at a source's last block only. Rows of which no word is taken go. Rows equal in doc_id, text and source are
-    numbered to meet their ``copy``.
+    Rows are in the order of the schedule: by the first slot that takes words of them in a pass over their source, then by their place in
+    the source's stream. Written, the files in order of their names hold that order. What is cut off is at a source's last block only.
+    Rows of which no word is taken go. Rows equal in doc_id, text and source are numbered to meet their ``copy``.
     """
-    taken = taken_words(docs, **how).where("taken > 0").selectExpr("key AS t_key", "copy AS t_copy", "source AS t_source", "taken DIV size AS whole", "taken % size AS rest")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_key(docs).alias("key"))
-    rows = rows.selectExpr("row", "key", "row_number() OVER (PARTITION BY key, row.source ORDER BY key) - 1 AS copy")
-    both = rows.join(taken, (F.col("key") == F.col("t_key")) & (F.col("copy") == F.col("t_copy")) & F.col("row.source").eqNullSafe(F.col("t_source")))
-    each = both.selectExpr("row", "rest", "whole", "explode(sequence(CAST(1 AS BIGINT), whole + CAST(rest > 0 AS BIGINT))) AS n")
+    plan = taken_words(docs, **how).where("taken > 0").selectExpr("key", "source", "CAST(copy AS BIGINT) AS copy", "struct(taken DIV size AS whole, taken % size AS rest, begin, source_size, slots) AS plan")
+    rows = docs.select(row_key(docs).alias("key"), docs["source"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    # Texts and plans meet by windows rather than by a join, whose three keys would deal the texts out once more.
+    both = rows.unionByName(plan, allowMissingColumns=True).repartition("key")
+    both = both.selectExpr("*", "coalesce(copy, row_number() OVER (PARTITION BY key, source, row IS NULL ORDER BY key) - 1) AS nth")
+    both = both.selectExpr("row", "max(plan) OVER (PARTITION BY key, source, nth) AS plan").where("row IS NOT NULL AND plan IS NOT NULL")
+    each = both.selectExpr("row", "plan.*", "explode(sequence(CAST(1 AS BIGINT), plan.whole + CAST(plan.rest > 0 AS BIGINT))) AS n")
+    each = each.selectExpr("row", "whole", "rest", "n", "slots[CAST(n - 1 AS INT)] AS slot", "begin + (n - 1) * source_size AS at").orderBy("slot", "at")
     cut = F.when(F.col("n") <= F.col("whole"), F.col("row.text")).otherwise(F.array_join(F.slice(words_of(F.col("row.text")), F.lit(1), F.col("rest").cast("int")), " "))
     return each.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -190,6 +190,28 @@ def test_mix_meets_targets(spark, docs):
     assert {r.taken for r in mixing.taken_words(docs.where("doc_id IN (1, 2, 10)"), slots=64).collect()} == {0}
 
 
+def test_mix_follows_the_schedule(spark, tmp_path):
+    g = np.random.default_rng(8)
+    rows = [(i, "w " * int(g.integers(1, 60)), ("a", "b", None)[int(g.integers(0, 3))]) for i in range(900)] + [(7, "w w w", "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = [(slot, r.begin + k * r.source_size, r.doc_id, r.source, r.size) for r in mixing.taken_words(df, slots=256).where("taken > 0").collect() for k, slot in enumerate(r.slots) if slot is not None]
+    want = sorted(pieces, key=lambda p: p[:2])
+    assert max(p[0] for p in want) == 255
+    mixing.mix(df, slots=256).write.parquet(f"{tmp_path}/mixed")
+    files = sorted(str(f) for f in (tmp_path / "mixed").glob("part-*.parquet"))
+    got = [(r.doc_id, r.source, len(r.text.split())) for f in files for r in spark.read.parquet(f).collect()]
+    assert [x[:2] for x in got] == [p[2:4] for p in want] and sum(x[2] != p[4] for x, p in zip(got, want)) <= 3
+    # Any stretch holds the sources close to their shares, as far as documents that span slots let it.
+    total, share = sum(n for *_, n in got), Counter()
+    for _, s, n in got:
+        share[s] += n
+    seen, done = Counter(), 0
+    for _, s, n in got:
+        seen[s] += n
+        done += n
+        assert all(abs(seen[x] - done * share[x] / total) < 5 * total / 256 + 60 for x in share)
+
+
 def test_nearest(spark):
     g = np.random.default_rng(6)
     x = g.normal(size=(1500, 64)).astype(np.float32)
