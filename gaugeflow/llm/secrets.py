@@ -17,9 +17,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["'
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run of fewer holds no longer one
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")  # a UUID is one part
 
-#: Strings that look random and are known to be none: digests by their lengths in hex, UUIDs, long numbers, and paths of words.
-KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(?:sha1|sha256|sha384|sha512|md5)[-=][A-Za-z0-9+/=]+|(?:[A-Za-z]{0,24}[0-9]{0,4}[/_=-]++)*+[A-Za-z]{0,24}[0-9]{0,4})")
+#: Strings that look random and are known to be none: digests by their lengths in hex, UUIDs and numbers.
+KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(?:sha1|sha256|sha384|sha512|md5)[-=][A-Za-z0-9+/=]+)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -32,19 +33,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
-def is_random(string: str, encoding, most: float) -> bool:
-    """Few characters a token, with letters and digits mixed, and no known digest or identifier."""
-    kinds = sum(any(f(c) for c in string) for f in (str.islower, str.isupper, str.isdigit))
-    if kinds < 2 or sum(c.isdigit() for c in string) < 2 or sum(c.isalpha() for c in string) < 4 or KNOWN.fullmatch(string):
-        return False
-    return len(string) / len(encoding.encode_ordinary(string)) <= most
+def random_spans(string: str, encoding, most: float) -> list[tuple[int, int]]:
+    """The string if it takes few characters a token, else those stretches of its parts between / = _ - that do and have 20 characters or more.
+
+    Where the parts alone take more characters a token, it is words that separators cut short. Known digests and numbers are no secrets.
+    """
+    if KNOWN.fullmatch(string):
+        return []
+    parts = [(m.start(), m.end(), 0 if KNOWN.fullmatch(m[0]) else len(encoding.encode_ordinary(m[0]))) for m in _PART.finditer(string)]
+
+    def few(a: int, b: int, within: list[tuple[int, int, int]]) -> bool:
+        if b - a < 20:
+            return False
+        telling = [(y - x, n) for x, y, n in within if n]  # without digests and numbers
+        return bool(telling) and sum(x for x, _ in telling) <= most * sum(n for _, n in telling) and b - a <= most * len(encoding.encode_ordinary(string[a:b]))
+
+    if few(0, len(string), parts):
+        return [(0, len(string))]
+    found, run, gap = [], [], []
+    for part in [*parts, (0, 5, 0)]:
+        if part[1] - part[0] <= most * part[2]:
+            run += [*gap, part]
+            gap = []
+        elif run and part[1] - part[0] < 5:
+            gap.append(part)  # too short to tell
+        else:
+            if run and few(run[0][0], run[-1][1], run):
+                found.append((run[0][0], run[-1][1]))
+            run, gap = [], []
+    return found
 
 
 def find_secrets(docs: DataFrame, vocabulary: str, *, most_characters_a_token: float = 2.0) -> DataFrame:
     """doc_id, base (spans of the fixed formats), spans (all spans; kind:start:end, code points, end exclusive), n_random.
 
-    A run of 20 or more characters of base64's alphabets is a secret of kind ``random`` if it takes at least one token of the tiktoken
-    vocabulary for each ``most_characters_a_token`` characters, unless it is a known digest or identifier or overlaps a base span. One
+    A run of 20 or more characters of base64's alphabets, or else a stretch of its parts between / = _ -, is a secret of kind ``random`` if
+    it takes at least one token of the tiktoken vocabulary for each ``most_characters_a_token`` characters, unless it is a known digest
+    or identifier, is made of words that take more, or overlaps a base span. One
     row for each row of ``docs``; null or empty texts have none; nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
@@ -57,7 +82,9 @@ def find_secrets(docs: DataFrame, vocabulary: str, *, most_characters_a_token: f
             rows = []
             for doc, text in zip(batch["doc_id"].array, batch["text"].fillna("")):
                 base = base_spans(text)
-                added = [(m.start(), m.end(), "random") for m in _CANDIDATE.finditer(text) if not any(m.start() < b and a < m.end() for a, b, _ in base) and is_random(m[0], encoding, most_characters_a_token)]
+                runs = ((m.start(), m[0]) for m in _CANDIDATE.finditer(text))
+                found = ((at + x, at + y) for at, run in runs for x, y in random_spans(run, encoding, most_characters_a_token))
+                added = [(x, y, "random") for x, y in found if not any(x < b and a < y for a, b, _ in base)]
                 rows.append((doc, joined(base, KINDS), joined(base + added, KINDS), len(added)))
             yield pd.DataFrame(rows, columns=["doc_id", "base", "spans", "n_random"]).astype({"doc_id": "Int64"})
 

@@ -91,6 +91,22 @@ def test_random_strings(spark):
     assert got == {0: "random:4:24", 1: "", 2: "", 3: "", 4: "", 5: "", 6: "", 7: ""}
 
 
+def test_random_strings_by_their_ratio_alone(spark):
+    g = np.random.default_rng(6)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(g.choice(list(base62[:n]), 24)) for n in (62, 52, 26) for _ in range(100)] + ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    t = [f"a {k} b" for k in keys] + [f"a client_authentication_key={k} b" for k in keys[:100]]
+    plain = ["src/main/java/com/a/b/c/App", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "Donaudampfschifffahrtsgesellschaft", "2024-01-02-10-20-30-log", "path/of/D41D8CD98F00B204E9800998ECF8427E", "user/123e4567-e89b-12d3-a456-426614174000/profile"]
+    df = spark.createDataFrame(list(enumerate(t + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df, tokens.vocabulary_path("byte_bpe_50k.tiktoken")).collect()}
+    assert all(got[i] == f"random:2:{2 + len(k)}" for i, k in enumerate(keys))
+    for i in range(len(keys), len(t)):
+        (span,) = got[i].split(",")
+        _, a, b = span.split(":")
+        assert int(a) <= 28 and int(b) == 52, t[i]
+    assert {got[i] for i in range(len(t), len(t) + len(plain))} == {""}
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
