@@ -22,17 +22,17 @@ def _thinned(points: DataFrame, voxel: float, name: str) -> DataFrame:
 
 
 def closest_points(source: DataFrame, target: DataFrame, *, voxel: float, reach: float, rounds: int = 100, tolerance: float = 1e-7) -> DataFrame:
-    """The rotation r (row by row) and shift t that take ``source`` to ``target``; one row with n, rmse and rounds too.
+    """The rotation r (row by row) and shift t that take ``source`` to ``target``; one row with n, rmse, rounds and converged too.
 
     Both clouds (x, y, z) are thinned to the means of their voxels. In each round every source point within ``reach`` of a target point
     is paired with the nearest, and the best rigid motion of the pairs is added; the pairs are written, and one row of sums comes to the
-    driver. It ends when the root mean square distance changes by no more than ``tolerance``. n and rmse are of the last pairs, before the
+    driver. It ends when the root mean square distance changes by no more than ``tolerance`` (``converged``) or after ``rounds``. n and rmse are of the last pairs, before the
     last motion. With fewer than three pairs no motion is added and rmse is null where there is none.
     """
     spark = source.sparkSession
     source, target = _thinned(source, voxel, "s"), _thinned(target, voxel, "t")
     goal = target.selectExpr("point_id AS neighbor_id", "x AS tx", "y AS ty", "z AS tz")
-    r, t, rmse, n, done = np.eye(3), np.zeros(3), None, 0, 0
+    r, t, rmse, n, done, converged = np.eye(3), np.zeros(3), None, 0, 0, False
     while done < rounds:
         done += 1
         now = moved(source, r, t)
@@ -44,6 +44,7 @@ def closest_points(source: DataFrame, target: DataFrame, *, voxel: float, reach:
             break
         _, more_r, more_t = similarity_from_sums(moment_sums(pairs.withColumn("all", F.lit(1)), ["all"]).toPandas().iloc[0], with_scale=False)
         r, t = more_r @ r, more_r @ t + more_t
-        if before is not None and abs(before - rmse) <= tolerance:
+        converged = before is not None and abs(before - rmse) <= tolerance
+        if converged:
             break
-    return spark.createDataFrame([(r.ravel().tolist(), t.tolist(), n, rmse, done)], "r array<double>, t array<double>, n long, rmse double, rounds int")
+    return spark.createDataFrame([(r.ravel().tolist(), t.tolist(), n, rmse, done, converged)], "r array<double>, t array<double>, n long, rmse double, rounds int, converged boolean")

@@ -48,8 +48,8 @@ def umeyama_fit(pairs: DataFrame, by: list[str], with_scale: bool = True) -> Dat
     return moment_sums(pairs, by).mapInPandas(solve, f"{keys}, {FIT}")
 
 
-def ransac_fit(pairs: DataFrame, by: list[str], row_id: str, *, hypotheses: int = 100, sample: int = 8, threshold: float = 0.025, seed: int = 1) -> DataFrame:
-    """The similarity of the hypothesis with most inliers (then the lowest median residual), fitted again to its inliers.
+def ransac_fit(pairs: DataFrame, by: list[str], row_id: str, *, hypotheses: int = 1000, sample: int = 8, threshold: float = 0.025, seed: int = 1) -> DataFrame:
+    """The similarity of the hypothesis with most inliers (then the lowest median residual), fitted again to its inliers; ``accepted`` if these are 20 and half of the group at least.
 
     Each hypothesis draws about ``sample`` pairs of a group, those with the smallest hashes; all are fitted from one aggregate, and scored on
     all pairs in a second. So neither a group nor the pairs of a group need fit a task.
@@ -63,7 +63,8 @@ def ransac_fit(pairs: DataFrame, by: list[str], row_id: str, *, hypotheses: int
     score = scored.groupBy(*by, "trial").agg(F.count_if(F.col("residual") <= threshold).alias("inliers"), F.percentile("residual", F.lit(0.5)).alias("median"))
     best = score.groupBy(*by).agg(F.max(F.struct("inliers", (-F.col("median")).alias("m"), (-F.col("trial")).alias("t"))).alias("b")).select(*by, (-F.col("b.t")).alias("trial"), F.col("b.inliers").alias("inliers"))
     kept = scored.join(best, [*by, "trial"]).where(F.col("residual") <= threshold)
-    return umeyama_fit(kept, by).join(best.drop("trial"), by)
+    enough = F.greatest(F.lit(20.0), F.bround(F.col("_n") * 0.5, 0))
+    return umeyama_fit(kept, by).join(best.drop("trial"), by).join(sizes, by).withColumn("accepted", F.col("inliers") >= enough).drop("_n")
 
 
 def residual():

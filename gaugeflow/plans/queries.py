@@ -452,7 +452,7 @@ def ransac_fit(spark, d):
     """The same with every tenth target moved away."""
     p = cloud(spark, d).withColumn("off", F.when(F.col("point_id") % 10 == 0, 0.5).otherwise(0.0))
     pairs = p.select("case_id", "point_id", *[F.col(c).alias("s" + c) for c in "xyz"], (2 * -F.col("y") + 3 + F.col("off")).alias("tx"), (2 * F.col("x") - 2).alias("ty"), (2 * F.col("z") + 7).alias("tz"))
-    return solve.ransac_fit(pairs, ["case_id"], "point_id", hypotheses=40)
+    return solve.ransac_fit(pairs, ["case_id"], "point_id")
 
 
 @query()
@@ -479,4 +479,4 @@ def surface_registration(spark, d):
     """Takes the cloud, slightly turned and shifted, back to itself."""
     p, a = cloud(spark, d), 0.02
     turned = p.withColumns({"x": math.cos(a) * F.col("x") - math.sin(a) * F.col("y") + 0.01, "y": math.sin(a) * F.col("x") + math.cos(a) * F.col("y"), "z": F.col("z") - 0.005})
-    return registration.closest_points(turned, p, voxel=0.001, reach=0.1, rounds=10)
+    return registration.closest_points(turned, p, voxel=0.001, reach=0.1)

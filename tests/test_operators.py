@@ -184,3 +184,21 @@ def test_mesh_roles_reach_every_vertex(spark, tmp_path):
     assert {(r.mesh, r.vid) for r in v.collect()} == {(m, i) for m in "ANR" for i in range(700)}
     used = {(m, x) for m, *c in want for x in c}
     assert {(r.mesh, r.vid) for r in mesh.vertex_normals(f, v).collect()} == used and max(x for _, x in used) >= 500
+
+
+def test_ransac_at_half_outliers_and_acceptance(spark):
+    g = np.random.default_rng(2)
+    s = g.normal(size=(160, 3))
+    t = 0.5 * s + (1, 2, 3)
+    t[::2] += g.normal(size=(80, 3)) * 5
+    few = [("few", i, *map(float, (*p, *(2 * p)))) for i, p in enumerate(s[:15])]
+    rows = [("half", i, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(s, t))] + few
+    fits = {r.c: r for r in solve.ransac_fit(spark.createDataFrame(rows, "c string, i long, sx double, sy double, sz double, tx double, ty double, tz double"), ["c"], "i").collect()}
+    assert fits["half"].inliers == 80 and abs(fits["half"].scale - 0.5) < 1e-9 and fits["half"].accepted
+    assert fits["few"].inliers == 15 and not fits["few"].accepted
+
+
+def test_closest_points_tell_whether_they_converged(spark):
+    p = np.random.default_rng(5).uniform(0, 10, (40, 3))
+    source, target = (spark.createDataFrame(pd.DataFrame(x, columns=list("xyz"))) for x in (p, p + (0.1, -0.05, 0.02)))
+    assert [registration.closest_points(source, target, voxel=0.001, reach=2.0, rounds=k).first().converged for k in (1, 12)] == [False, True]
