@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import forget, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: of the smaller neighbours the smallest takes the others and the node.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").selectExpr("explode(array(struct(hi AS hi, m AS lo), struct(lo AS hi, m AS lo))) AS e").select("e.*").where("hi <> lo").distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
+        forget(last)
         now = edges.agg(F.count("hi"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_left: set[str] = set()  # tables that were written and not deleted yet
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary one, and a cluster an error, as its machines share none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-gaugeflow-"))
 
 
@@ -23,4 +28,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _left.add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once all that was made of them is written itself."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            _delete(table.sparkSession, path)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the scratch tables that are left of steps before this one, unless ``docs`` itself still reads one of them.
+
+    For chains whose steps get their predecessor's result written and read again: then nothing needs the predecessor's scratch tables.
+    """
+    read = " ".join(docs.inputFiles())
+    if not any(path.rpartition("/")[2] in read for path in _left):
+        for path in list(_left):
+            _delete(docs.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _left.discard(path)
