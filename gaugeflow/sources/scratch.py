@@ -42,13 +42,13 @@ def forget(*tables: DataFrame) -> None:
 
 
 def release(docs: DataFrame) -> None:
-    """Delete the scratch tables that are left of steps before this one, unless ``docs`` itself still reads one of them.
+    """Delete all scratch tables that are left and that ``docs`` doesn't read.
 
-    For chains whose steps get their predecessor's result written and read again: then nothing needs the predecessor's scratch tables.
+    For chains whose steps get their predecessor's result written and read again: at the start of a step nothing but its input is needed.
     """
     read = " ".join(docs.inputFiles())
-    if not any(path.rpartition("/")[2] in read for path in _left):
-        for path in list(_left):
+    for path in list(_left):
+        if path.rpartition("/")[2] not in read:
             _delete(docs.sparkSession, path)
 
 
