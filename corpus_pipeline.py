@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: rules, shared lines, near duplicates, source mix, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes as Parquet and reads again as the next one's docs. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. As its input is written, a stage deletes the scratch tables of those before it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeflow.llm import jaccard, linededup, mixing, packing, quality
-from gaugeflow.llm.store import written
+from gaugeflow.llm.store import release, written
 from gaugeflow.llm.tokens import vocabulary_path
 
 
@@ -20,21 +20,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in the last of them only. n_chars follows the text."""
+    release(docs)
     return _with_n_chars(linededup.dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    release(docs)
     return jaccard.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, cut where a source's target ends. n_chars follows the text."""
+    release(docs)
     return _with_n_chars(mixing.mix(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
+    release(docs)
     return packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.json"))
 
 

@@ -3,14 +3,18 @@
 Stages, each a Spark job over texts that differ:
 
 1. Equal texts are one text; its copies are counted, not compared.
-2. Each text gets ``trees`` signatures of ``depth`` MinHash values: its leaf in each of ``trees`` prefix tries.
-3. A pair of similarity s agrees on the first k values in one of t tries with probability 1 - (1 - s^k)^t. The matched prefix is shortened
-   from the leaves until this reaches the target recall at the threshold; texts that share a node of a trie at that depth are candidates.
-   Nodes are nested, so what longer prefixes match is among it. Nodes of one text drop out, and the others are joined to groups.
-4. Within a group, every pair is verified on its exact shingle sets. Groups are cut into blocks; a task takes a pair of blocks, counts
-   links with a matrix product, and returns a row a text, never a pair. So a group of many near copies is many tasks, and no row grows
-   with the square of its size.
-5. Links join texts to classes.
+2. Each text gets a sketch of ``trees`` labels of ``depth`` bytes, a byte a MinHash value: its leaves in ``trees`` prefix tries.
+3. The leaves are sorted (by ranges, so that a hot prefix is many tasks), and each learns from its neighbours in that order the longest
+   prefix that it shares with any other text. Leaves that share less than the floor drop out: most texts go no further.
+4. Within a node of the floor, pairs of texts are compared by their sketches. A pair counts in the first tree where it meets, with the longest
+   prefix it shares in any tree. A spanning forest of the likely pairs and counts of them by that length are what is returned.
+5. The matched prefix is shortened from the leaves, level by level, until the likely pairs that share it are the target share of all. A
+   pair of similarity s shares k values in one of t trees with probability 1 - (1 - s^k)^t; the floor is the longest prefix for which
+   that reaches the target at the threshold itself, so no corpus needs shorter ones.
+6. Texts joined by likely pairs stand together. Texts are read once more, and every pair that shares a prefix of the matched length is verified
+   on its exact shingle sets. Large groups are cut into blocks; a task takes a pair of blocks, counts links with a matrix product,
+   and returns a row a text, never a pair.
+7. Links join texts to classes.
 """
 
 from __future__ import annotations
@@ -22,12 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
-from .store import bound_batches, written
+from .store import bound_batches, forget, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULTIPLIERS = tuple(int(x) | 1 for x in np.random.default_rng(20240607).integers(1, 2**63, 64))
@@ -75,21 +78,98 @@ def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> in
 @lru_cache(maxsize=4)
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     rnd = np.random.default_rng(977)
-    return rnd.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1), rnd.integers(0, 2**63, count, dtype=np.uint64)
+    return rnd.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rnd.integers(0, 2**32, count, dtype=np.uint32)
 
 
-def prefixes(sh: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A 64-bit name of the trie node at ``depth`` in each tree, from trees * depth MinHash values."""
+def sketch(sh: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """trees x depth bytes, one of each MinHash value. Bytes of unlike texts agree once in 256 times, which adds candidates and loses none."""
     a, b = _permutations(trees * depth)
-    least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sh), 512):  # bounded memory for any length of text
-        part = sh[at : at + 512]
-        np.minimum(least, (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=least)
-    node = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(depth):
-        node = (node ^ (least.reshape(trees, depth)[:, k] >> np.uint64(20))) * np.uint64(_MULTIPLIERS[k])
-        node ^= node >> np.uint64(31)
-    return node.view(np.int64)
+    x = (sh ^ (sh >> np.uint64(32))).astype(np.uint32)
+    least = np.full(trees * depth, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):  # bounded memory for any length of text
+        np.minimum(least, ((x[None, at : at + 512] ^ b[:, None]) * a[:, None]).min(axis=1), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def matched_prefixes(batches: Iterator[pa.RecordBatch], depth: int, floor: int) -> Iterator[pa.RecordBatch]:
+    """From leaves in order of (tree, label, text_key): those that share ``floor`` bytes or more with a neighbour, with how many they share at most, and the first and last ones, marked as edges."""
+    held, held_before, first = None, 0, True
+
+    def batch_of(rows: pa.RecordBatch, matched: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        keep = pa.array((matched >= floor) | edge)
+        out = rows.append_column("matched", pa.array(matched.astype(np.int32))).append_column("edge", pa.array(edge))
+        return out.filter(keep)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        tree = rows.column("tree").to_numpy()
+        label = np.frombuffer(b"".join(rows.column("label").to_pylist()), np.uint8).reshape(-1, depth)
+        same = np.logical_and.accumulate(label[1:] == label[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+        before = np.concatenate([[held_before], same])
+        matched, edge = np.maximum(before[:-1], same), np.zeros(len(same), bool)
+        if len(same):
+            edge[0], first = first, False
+            yield batch_of(rows.slice(0, len(same)), matched, edge)
+        held, held_before = rows.slice(len(same)), int(before[-1])
+    if held is not None:
+        yield batch_of(held, np.array([held_before]), np.array([True]))
+
+
+def shared_prefixes(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """others x trees: how many leading bytes of each tree's label a text (trees x depth) shares with the others."""
+    return np.logical_and.accumulate(others == one, axis=2).sum(axis=2)
+
+
+def likely_pairs(sketches: np.ndarray, split: int, tree: int, floor: int, least: float, threshold: float) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Of the texts in a node of ``tree``: a spanning forest (i, j, level) of the pairs whose sketches agree in a share ``least`` or more, longest shared prefixes first, and how many pairs agree in ``threshold`` or more by level.
+
+    Pairs that share ``floor`` bytes in an earlier tree are left to that one. All pairs if split is 0, else those of the first
+    ``split`` texts with the others. The level of a pair is the longest prefix it shares in any tree.
+    """
+    m, trees, depth = sketches.shape
+    nodes = np.zeros((m, trees, -(-floor // 8) * 8), np.uint8)
+    nodes[:, :, :floor] = sketches[:, :, :floor]
+    nodes = nodes.view(np.uint64)
+    counts, found = np.zeros(depth + 1, np.int64), []
+    for i in range(split or m - 1):
+        same = (nodes[split or i + 1 :] == nodes[i]).all(axis=2)
+        new = np.flatnonzero(same[:, tree] & ~same[:, :tree].any(axis=1)) + (split or i + 1)
+        if not len(new):
+            continue
+        others = sketches[new]
+        agree, level = (others == sketches[i]).mean(axis=(1, 2)), shared_prefixes(sketches[i], others).max(axis=1)
+        counts += np.bincount(level[agree >= threshold], minlength=depth + 1)
+        likely = agree >= least
+        if likely.any():
+            found.append(np.stack([np.full(likely.sum(), i), new[likely], level[likely]], axis=1))
+    if not found:
+        return [], counts
+    pairs, root, out = np.concatenate(found), list(range(m)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j, level in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+        x, y = top(i), top(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j, level))
+    return out, counts
+
+
+def matched_level(counts: dict[int, int], floor: int, depth: int, recall: float) -> int:
+    """The longest prefix that the share ``recall`` of the counted pairs have in common, and no less than ``floor``; without pairs the floor."""
+    total, seen = sum(counts.values()), 0
+    for k in range(depth, floor, -1):
+        seen += counts.get(k, 0)
+        if total and seen >= recall * total:
+            return k
+    return floor
 
 
 def count_links(sets: list[np.ndarray], split: int, threshold: float) -> np.ndarray:
@@ -151,7 +231,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
         yield now, rows
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 12, recall: float = 0.999, block_texts: int = 1024, block_characters: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 10, recall: float = 0.999, block_texts: int = 1024, block_characters: int = 4_000_000) -> DataFrame:
     """For each distinct (doc_id, text) of ``docs``: doc_id, text_key, class_id, class_key, n_links, rows.
 
     class_id is the smallest doc_id of the texts joined by links, directly or through others, and class_key tells classes apart even without ids; n_links counts the other rows of
@@ -162,54 +242,108 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    k = matched_depth(threshold, trees, depth, recall)
+    floor = matched_depth(threshold, trees, depth, recall)
+    values = trees * depth
+    least = threshold - 6 * (threshold * (1 - threshold) / values) ** 0.5  # a pair at the threshold agrees less once in a billion times
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
-    # A row of an id and a text key; which document stands for a text is left open until the classes are known.
-    members = written(keyed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "members")
-    texts = members.groupBy("text_key").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first_id"))
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()  # a task's own, so that idle workers hold none
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = WordHashes(), {}  # a task's own, so that idle workers hold none
         for batch in batches:
-            keys, found, sizes = [], [], []
-            for key, body in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
-                if len(sh := shingles(body, n, hashes)):
-                    keys.append(key)
-                    sizes.append(len(body))
-                    found.append(prefixes(sh, trees, k))
-            yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.binary()), "characters": pa.array(sizes, pa.int64()), "nodes": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
-
-    signed = keyed.select("text_key", "text").mapInArrow(nodes, "text_key binary, characters long, nodes array<long>")
-    # Copies have equal nodes: the first seen in each task stands for them before anything is shuffled.
-    signed = written(signed.groupBy("text_key").agg(F.any_value("characters").alias("characters"), F.any_value("nodes").alias("nodes")), "nodes")
-    leaves = signed.select("text_key", F.explode("nodes").alias("node"))
-    heads = leaves.groupBy("node").agg(F.min("text_key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "head")
-    stars = leaves.join(heads, "node").select(F.col("text_key").alias("a"), F.col("head").alias("b")).distinct()
-    groups = connected_components(stars)
-
-    sized = groups.join(signed.select(F.col("text_key").alias("node"), "characters"), "node")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("characters") / block_characters)).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "component").select(F.col("node").alias("text_key"), "component", "blocks", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)").alias("block"))
-    placed = written(placed.join(texts, "text_key"), "placed")
-    # Each text once: of its copies the one with the smallest id brings the words. Both sides grow with the corpus, so neither is broadcast.
-    bodies = keyed.hint("merge").join(placed.select("text_key", F.col("first_id").alias("f")).withColumnRenamed("text_key", "p_key"), (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
-    pairs = "explode(transform(sequence(0, blocks - 1), x -> struct(least(block, x) AS i, greatest(block, x) AS j))) AS task"
-    work = placed.join(bodies, "text_key").select("text_key", "text", "copies", "component", "block", F.expr(pairs)).select("text_key", "text", "copies", "component", "block", "task.i", "task.j")
+            keys, bodies, out = batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), []
+            for key, body in zip(keys, bodies):
+                if key not in known:
+                    if len(known) >= 20_000:
+                        known.clear()
+                    known[key] = sketch(sh, trees, depth).tobytes() if len(sh := shingles(body, n, hashes)) else None
+                out.append(known[key])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "characters": pa.array([len(x) for x in bodies], pa.int64()), "sketch": pa.array(out, pa.binary())})
+
+    # A row a document; which of them stands for a text is left open until the classes are known.
+    signed = written(keyed.select("doc_id", "text_key", "text").mapInArrow(sketched, "doc_id long, text_key binary, characters long, sketch binary"), "signed")
+    members = signed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    texts = signed.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+    # Copies have equal sketches: the first seen in each task stands for them before anything is shuffled.
+    sketches = written(signed.where("sketch IS NOT NULL").groupBy("text_key").agg(F.any_value("characters").alias("characters"), F.any_value("sketch").alias("sketch")), "sketches")
+
+    each = f"explode(transform(sequence(0, {trees - 1}), t -> struct(t AS tree, substring(sketch, t * {depth} + 1, {depth}) AS label))) AS leaf"
+    order = ["tree", "label", "text_key"]
+    leaves = sketches.selectExpr("text_key", each).select("leaf.tree", "leaf.label", "text_key").repartitionByRange(*order).sortWithinPartitions(*order)
+    trie = written(leaves.mapInArrow(lambda batches: matched_prefixes(batches, depth, floor), "tree int, label binary, text_key binary, matched int, edge boolean"), "trie")
+    # The first and last leaf of each partition, two rows a partition, meet their neighbours across the cut.
+    w = Window.orderBy(*order)
+    common = f"CASE WHEN tree = other.tree THEN size(filter(sequence(1, {depth}), i -> substring(label, 1, i) = substring(other.label, 1, i))) ELSE 0 END"
+    edges = trie.where("edge").withColumn("near", F.array(*[f(F.struct("tree", "label")).over(w) for f in (F.lag, F.lead)]))
+    edges = edges.selectExpr(*order, f"greatest(matched, array_max(transform(near, other -> coalesce({common}, 0)))) AS matched")
+    met = trie.where("NOT edge").select(*order, "matched").unionByName(edges).where(F.col("matched") >= floor)
+    met = written(met.selectExpr("tree", f"substring(label, 1, {floor}) AS node", "text_key"), "met")
+
+    def in_blocks(rows: DataFrame, by: list[str], n_blocks: str) -> DataFrame:
+        """Rows of groups ``by`` once for each pair of blocks that their block is in: i <= j."""
+        cut = rows.withColumn("blocks", F.expr(n_blocks)).withColumn("block", F.expr("CAST(pmod(xxhash64(text_key), blocks) AS INT)"))
+        pairs = cut.withColumn("task", F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(block, x) AS i, greatest(block, x) AS j)))"))
+        keys = [*by, "i", "j"]
+        return pairs.select("*", "task.i", "task.j").drop("task").repartition(*keys).sortWithinPartitions(*keys)
+
+    def split_of(rows: list[dict], i: int, j: int) -> int:
+        """Sorts the rows of a task, block i first, and says where block j starts: 0 within one block, -1 where one of two is empty."""
+        if i == j:
+            return 0
+        rows.sort(key=lambda r: r["block"] != i)
+        split = sum(r["block"] == i for r in rows)
+        return split if 0 < split < len(rows) else -1
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, out = np.zeros(depth + 1, np.int64), []
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            names = (("a", pa.binary()), ("b", pa.binary()), ("level", pa.int32()), ("pairs", pa.int64()))
+            return pa.RecordBatch.from_pydict({name: pa.array(column, kind) for (name, kind), column in zip(names, zip(*rows))})
+
+        for (tree, _, i, j), rows in _groups(batches, ("tree", "node", "i", "j")):
+            split = split_of(rows, i, j)
+            if split >= 0 and len(rows) > 1:
+                stacked = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), trees, depth)
+                forest, counts = likely_pairs(stacked, split, tree, floor, least, threshold)
+                total += counts
+                out += [(rows[x]["text_key"], rows[y]["text_key"], level, 0) for x, y, level in forest]
+            if len(out) > 5000:
+                yield table(out)
+                out = []
+        out += [(None, None, level, int(count)) for level, count in enumerate(total) if count]
+        if out:
+            yield table(out)
+
+    sizes = met.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    nodes = met.join(sizes, ["tree", "node"]).join(sketches.select("text_key", "sketch"), "text_key")
+    forest = written(in_blocks(nodes, ["tree", "node"], f"CAST(ceil(texts / {block_texts}) AS INT)").select("tree", "node", "i", "j", "block", "text_key", "sketch").mapInArrow(paired, "a binary, b binary, level int, pairs long"), "forest")
+    counts = {r["level"]: r["pairs"] for r in forest.where("a IS NULL").groupBy("level").agg(F.sum("pairs").alias("pairs")).collect()}  # a row a level
+    k = matched_level(counts, floor, depth, recall)
+    groups = connected_components(forest.where((F.col("level") >= k) & F.col("a").isNotNull()).select("a", "b"))
+
+    sized = groups.join(sketches.select(F.col("text_key").alias("node"), "characters", "sketch"), "node")
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("characters") / block_characters)).cast("int").alias("n_blocks"))
+    placed = sized.join(blocks, "component").withColumnRenamed("node", "text_key").join(texts, "text_key").select("text_key", "component", "n_blocks", "sketch", "copies", "first_id")
+    placed = written(placed, "placed")
+    forget(sketches, trie, met, forest, groups)
+    # Each text once: of its copies the one with the smallest id brings the words. Spark broadcasts the ids if the written table is small.
+    chosen = placed.select(F.col("text_key").alias("p_key"), F.col("first_id").alias("f"))
+    bodies = keyed.join(chosen, (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
+    work = in_blocks(placed.join(bodies, "text_key"), ["component"], "n_blocks").select("component", "i", "j", "block", "blocks", "text_key", "text", "sketch", "copies")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        out: dict[str, list] = {c: [] for c in ("text_key", "links", "head")}
+        out: dict[str, list] = {c: [] for c in ("text_key", "links", "head", "whole")}
         for (_, i, j), rows in _groups(batches, ("component", "i", "j")):
-            if i == j:
-                split = 0
-            else:
-                rows.sort(key=lambda r: r["block"] != i)
-                split = sum(r["block"] == i for r in rows)
-                if split in (0, len(rows)):
-                    continue
-            sets = [shingles(r["text"], n, hashes) for r in rows]
-            links = count_links(sets, split, threshold)
+            split = split_of(rows, i, j)
+            if split < 0 or len(rows) < 2:
+                continue
+            links = count_links([shingles(r["text"], n, hashes) for r in rows], split, threshold)
+            stacked = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), trees, depth)
+            for x in range(len(links)):  # only pairs that share a node
+                at = np.flatnonzero(links[x])
+                links[x, at] = (stacked[at + split][:, :, :k] == stacked[x, :, :k]).all(axis=2).any(axis=1)
             copies = np.array([r["copies"] for r in rows], np.int64)
             if split:
                 full = np.zeros((len(rows), len(rows)), bool)
@@ -218,7 +352,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
             root = _roots(links)
             for r, s, h in zip(rows, links @ copies, root):
                 if s:
-                    for c, v in zip(out, (r["text_key"], int(s), rows[h]["text_key"])):
+                    for c, v in zip(out, (r["text_key"], int(s), rows[h]["text_key"], r["blocks"] == 1)):
                         out[c].append(v)
             if len(out["links"]) > 5000:
                 yield pa.RecordBatch.from_pydict(out)
@@ -226,25 +360,39 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
         if out["links"]:
             yield pa.RecordBatch.from_pydict(out)
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    linked = work.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, T.StructType([T.StructField("text_key", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("head", T.BinaryType())]))
-    linked = written(linked, "links")
-    classes = connected_components(linked.select(F.col("text_key").alias("a"), F.col("head").alias("b")))
-    counts = linked.groupBy("text_key").agg(F.sum("links").alias("links"))
-    ids = classes.withColumnRenamed("node", "text_key").join(texts, "text_key").groupBy("component").agg(F.min("first_id").alias("class_id"))
-    found = classes.join(ids, "component").join(counts, F.col("node") == F.col("text_key")).select(F.col("node").alias("k"), "component", "class_id", "links")
-    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select(F.col("text_key").alias("k"), F.coalesce("component", "text_key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = written(work.mapInArrow(verify, "text_key binary, links long, head binary, whole boolean"), "links")
+    # A group of one block has its classes; those of several blocks are joined across them.
+    classes = linked.where("whole").select(F.col("text_key").alias("node"), F.col("head").alias("component"))
+    apart = linked.where("NOT whole").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    if not apart.isEmpty():
+        classes = classes.unionByName(connected_components(apart))
+    found = linked.groupBy("text_key").agg(F.sum("links").alias("links"))
+    joined = classes.join(placed.select(F.col("text_key").alias("node"), "first_id"), "node")
+    ids = joined.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    found = written(classes.join(ids, "component").join(found, F.col("node") == F.col("text_key")).select(F.col("node").alias("k"), F.col("component").alias("class_key"), "class_id", "links"), "classes")
+    forget(placed, linked)
+    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select(F.col("text_key").alias("k"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.join(every, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "class_key", "n_links", "rows")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does: the one with the smallest id, once. Columns stay as they are.
 
-    Where a class has no id at all (all null), the smallest text by its key stays.
+    Where a class has no id at all (all null), the smallest text by its key stays. Only the rows that go, and those that come more than
+    once, are looked for: where they are few, Spark broadcasts them, and no text is moved.
     """
     found = near_duplicates(docs, **how)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("m")
-    first = found.groupBy("class_key").agg(order).select(F.col("m.doc_id").alias("keep_id"), F.col("m.text_key").alias("keep_key"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("key"))
-    kept = rows.join(first, (F.col("key") == F.col("keep_key")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates(["id", "key"]).select("row.*")
+    first = found.groupBy("class_key").agg(order).select(F.col("class_key").alias("c"), F.col("m.doc_id").alias("keep_id"), F.col("m.text_key").alias("keep_key"))
+    kept = (F.col("text_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    seen = written(found.join(first, F.col("class_key") == F.col("c")).where(~kept | (F.col("rows") > 1)).select(_mark(F.col("doc_id"), F.col("text_key")).alias("mark"), kept.alias("again")), "seen")
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _mark(docs["doc_id"].cast("long"), key).alias("mark"))
+    out = rows.join(seen, "mark", "left_anti").select("row.*")
+    repeated = seen.where("again").select("mark")
+    return out if repeated.isEmpty() else out.unionByName(rows.join(repeated, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*"))
+
+
+def _mark(doc_id: Column, text_key: Column) -> Column:
+    """One value for an id, null included, and a text."""
+    return F.concat(text_key, F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"))

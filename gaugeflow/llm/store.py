@@ -1,37 +1,6 @@
-"""Scratch tables in the cluster's shared folder, and bounds on Arrow batches."""
+"""Scratch tables in the cluster's shared folder and bounds on Arrow batches, as the library has them."""
 
-from __future__ import annotations
+from ..sources.scratch import forget, release, scratch_dir, written
+from ..sources.workers import bound_batches
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-gaugeflow-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Before an operator sends functions to Python workers: they find this package where the driver did, and get at most so many rows (and bytes, where Spark knows the setting) at once, so that long texts don't pile up."""
-    environment = spark.sparkContext.environment
-    if _ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, environment.get("PYTHONPATH")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+__all__ = ["bound_batches", "forget", "release", "scratch_dir", "written"]

@@ -179,6 +179,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([x["part"]] * n, pa.int64()), "shard": pa.array([x["shard"]] * n, pa.int64()), "doc_id": pa.array(x["doc_ids"], pa.int64()), "inside": pa.array(starts), "n_tokens": pa.array(x["lengths"], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     rows = shards.select("part", "shard", "doc_ids", "lengths", "matrix").mapInArrow(documents, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("first_id") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from gaugeflow.llm import ann, boosting, jaccard, linededup, mixing, packing, pii, quality, queries, secrets, tokens, toxicity, wavelet
 from pyspark.sql import functions as F
@@ -165,6 +166,63 @@ def test_jaccard_against_all_pairs(spark, docs):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tries_find_what_all_pairs_find():
+    g = np.random.default_rng(21)
+    base = g.integers(0, 2**62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[g.random(300) > cut], g.integers(0, 2**62, int(300 * cut)).astype(np.uint64)])) for cut in g.uniform(0, 0.3, 60)]
+    stacked = np.stack([jaccard.sketch(x, 24, 10).reshape(24, 10) for x in sets])
+    meets = lambda i, j, k: (stacked[i, :, :k] == stacked[j, :, :k]).all(axis=1).any()
+    s = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+    pairs = [(i, j) for i in range(60) for j in range(i) if s[i, j] >= 0.8]
+    assert len(pairs) > 100 and sum(meets(i, j, 6) for i, j in pairs) / len(pairs) > 0.99
+    for split in (0, 25):
+        counts = np.zeros(11, int)
+        for tree in range(24):
+            names = np.unique(stacked[:, tree, :6], axis=0, return_inverse=True)[1].ravel()
+            for name in set(names):
+                own = np.flatnonzero(names == name)
+                cut = int((own < split).sum())
+                if len(own) > 1 and (not split or 0 < cut < len(own)):
+                    forest, n = jaccard.likely_pairs(stacked[own], cut, tree, 6, 0.66, 0.8)
+                    counts += n
+                    assert all(level >= 6 and meets(own[a], own[b], level) for a, b, level in forest)
+        agree = lambda i, j: (stacked[i] == stacked[j]).mean() >= 0.8
+        assert counts.sum() == sum(agree(i, j) and meets(i, j, 6) for i in range(60) for j in range(i) if not split or j < split <= i)
+
+
+def test_sorted_leaves_learn_their_longest_shared_prefix():
+    g = np.random.default_rng(22)
+    rows = sorted((int(g.integers(0, 3)), bytes(g.integers(0, 2, 6).astype(np.uint8)), bytes([i])) for i in range(90))
+    common = lambda a, b: next((k for k in range(6) if a[1][k] != b[1][k]), 6) if a[0] == b[0] else 0
+    for size in (1, 7, 90):
+        batches = [pa.RecordBatch.from_pydict({"tree": pa.array([r[0] for r in part], pa.int32()), "label": pa.array([r[1] for r in part], pa.binary()), "text_key": pa.array([r[2] for r in part], pa.binary())}) for part in (rows[i : i + size] for i in range(0, 90, size))]
+        got = {r["text_key"]: (r["matched"], r["edge"]) for b in jaccard.matched_prefixes(iter(batches), 6, 5) for r in b.to_pylist()}
+        want = {r[2]: (max(common(r, x) for k in (i - 1, i + 1) if 0 <= k < 90 for x in [rows[k]]), i in (0, 89)) for i, r in enumerate(rows)}
+        assert got == {k: v for k, v in want.items() if v[0] >= 5 or v[1]}
+
+
+def test_prefixes_shorten_until_enough_pairs_share_them():
+    assert jaccard.matched_level({10: 999, 7: 1}, 6, 10, 0.999) == 10 and jaccard.matched_level({10: 998, 7: 2}, 6, 10, 0.999) == 7
+    assert jaccard.matched_level({}, 6, 10, 0.999) == 6 and jaccard.matched_level({9: 5, 6: 5}, 6, 10, 0.999) == 6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_jaccard_recall_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    sets = {t: shingle_set(t) for t in {t for _, t in rows}}
+    where = defaultdict(list)
+    for t, own in sets.items():
+        for x in own:
+            where[x].append(t)
+    times, links = Counter(t for _, t in rows), Counter()
+    for t, own in sets.items():
+        both = Counter(u for x in own for u in where[x] if u != t)
+        links[t] = times[t] - 1 + sum(times[u] for u, k in both.items() if k >= 0.8 * (len(own) + len(sets[u]) - k))
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(docs).collect()}
+    assert all(got[i] <= links[t] for i, t in rows) and sum(got.values()) >= 0.99 * sum(links[t] for _, t in rows)
+
+
 def test_depth_is_the_longest_that_reaches_recall():
     k = jaccard.matched_depth(0.8, 24, 12, 0.999)
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
