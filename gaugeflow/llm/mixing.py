@@ -5,60 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 from .words import words_of
 
-BINS = 1024  # parts of a source's shuffled order that are summed apart
+SALTS = 64  # parts of a source's rows that meet its goal apart
+BIN_ROWS = 4096  # rows of a source's shuffled order that are summed apart, about
+CHUNK = 1 << 16  # slots that are counted apart
+GOLDEN = "0.6180339887498949D"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def placed(sources: DataFrame) -> DataFrame:
+    """``sources`` (a row a source), written, with ``place``: its rank from 0 by code point, null last; and ``part``, a stretch of that order.
+
+    Ranges of sources are sorted apart, and the ranges' sizes cumulated, so any number of sources will do.
+    """
+    order = F.col("source").asc_nulls_last()
+    marked = written(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("mark", F.monotonically_increasing_id()), "sources")
+    marked = marked.selectExpr("*", "shiftright(mark, 33) AS part", "mark & ((1L << 33) - 1) AS inside").drop("mark")
+    parts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).selectExpr("part", f"coalesce(sum(n) OVER (ORDER BY part {_BEFORE}), 0) AS first")  # a row a task
+    return marked.join(parts, "part").selectExpr("*", "first + inside AS place").drop("first", "inside")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """source, source_size, target from rows (source, size): a row a source.
+    """A row a source, from rows (source, size): place, source, docs, source_size, target, words (the target cut to whole words), above (the words of the places before).
 
     Sources by code point, null last, take ``weights`` in turn, over and over. Targets share all sizes by weight, none above ``cap``
-    times its source's size: sources are filled up in the order of cap by weight, so the level that the others share is found in one pass.
+    times its source's size: what full sources leave raises the level that the others share, round by round until none is above;
+    a round is one aggregate, of which one row comes to the driver.
     """
-    order = "ORDER BY source IS NULL, source"
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weight = f"element_at(array({', '.join(map(str, weights))}), CAST(1 + (row_number() OVER ({order}) - 1) % {len(weights)} AS INT))"
-    weighted = by_source.selectExpr("source", "source_size", f"CAST({weight} AS BIGINT) AS weight", f"{cap} * source_size AS most")
-    fill = "ORDER BY most / weight, source IS NULL, source"
-    filled = weighted.selectExpr("*", f"coalesce(sum(most) OVER ({fill} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before", f"sum(weight) OVER ({fill} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open", "sum(source_size) OVER () AS total")
-    # The level while the sources before this one are full; the final level is the first that doesn't fill its source.
-    level = filled.selectExpr("*", "(total - before) / open AS level").selectExpr("*", "max(CASE WHEN level <= most / weight THEN level END) OVER () AS final")
-    return level.selectExpr("source", "source_size", "weight", "CASE WHEN weight * final < most THEN weight * final ELSE CAST(most AS DOUBLE) END AS target")
-
-
-def schedule(goals: DataFrame, slots: int) -> DataFrame:
-    """The order in which blocks of the sources follow each other: slot, source, nth (the slot's rank within its source), of (its source's slots), words.
-
-    Slot i has the golden-ratio point frac((i + 1) / phi); it falls into one source's part of the cumulated targets, so any stretch
-    of slots holds the sources close to their shares. Every source that has a target gets a slot at least. ``words`` is the source's
-    whole target in words.
+    by_source = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    weight = f"element_at(array({', '.join(map(str, weights))}), CAST(1 + place % {len(weights)} AS INT))"
+    rows = written(placed(by_source).selectExpr("place", "part", "source", "docs", "source_size", f"CAST({weight} AS BIGINT) AS weight", f"{cap} * source_size AS most"), "weighted")
+    level, before = 0.0, None
+    while level != before:
+        before = level
+        full = F.col("most") / F.col("weight") < level
+        left, open_weight = rows.agg(F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        level = left / open_weight if open_weight else level
+    target = F.when(F.col("weight") * F.lit(level) < F.col("most"), F.col("weight") * F.lit(level)).otherwise(F.col("most").cast("double"))
+    rows = rows.withColumn("target", target).withColumn("words", F.col("target").cast("long"))
+    parts = rows.groupBy("part").agg(F.sum("words").alias("n")).selectExpr("part AS p", f"coalesce(sum(n) OVER (ORDER BY part {_BEFORE}), 0) AS start")
+    inside = rows.selectExpr("*", f"coalesce(sum(words) OVER (PARTITION BY part ORDER BY place {_BEFORE}), 0) AS own")
+    return inside.join(parts, F.col("part") == F.col("p")).selectExpr("place", "source", "docs", "source_size", "target", "words", "start + own AS above")
+
+
+def block_size(total: int, most: int, slots: int) -> int:
+    """Words of a block, the same for all sources: ``most``, or fewer where ``total`` words would make fewer than ``slots`` blocks."""
+    return max(1, min(most, total // slots))
+
+
+def schedule(goals: DataFrame, block: int) -> DataFrame:
+    """The order in which blocks of ``block`` words of the sources follow each other: place, slot, nth (the slot's rank within its source, from 0).
+
+    There is a slot for each block of all targets. Slot i has the golden-ratio point frac((i + 1) / phi), which falls into one source's
+    part of the cumulated targets; so any stretch of slots holds the sources close to their shares, and a source gets as many slots as
+    points fall to it. A source with a target but without a point gets one slot after all others.
+
+    Points and parts meet by equal stretches of the unit interval, so neither one source nor the number of sources makes a hot key; ranks
+    are counted in chunks of slots and cumulated.
     """
     spark = goals.sparkSession
-    goals = goals.where("CAST(target AS BIGINT) > 0")
-    order = "ORDER BY source IS NULL, source"
-    parts = goals.selectExpr("source", "CAST(target AS BIGINT) AS words", f"sum(target) OVER ({order}) / sum(target) OVER () AS upto").selectExpr("*", f"coalesce(lag(upto) OVER ({order}), 0) AS above")
-    ladder = parts.selectExpr("struct(above, source, words) AS p").groupBy().agg(F.sort_array(F.collect_list("p")).alias("ladder"))  # a source an entry
-    points = spark.range(slots).selectExpr("id AS slot", "(id + 1) * 0.6180339887498949D - floor((id + 1) * 0.6180339887498949D) AS point")
-    steps = ", ".join(str(1 << k) for k in range(24, -1, -1))
-    climb = f"aggregate(filter(array({steps}), x -> x < size(ladder)), 0, (a, x) -> CASE WHEN a + x < size(ladder) AND get(ladder, a + x).above <= point THEN a + x ELSE a END)"
-    placed = points.select("slot", "point", ladder.scalar().alias("ladder")).where("size(ladder) > 0").selectExpr("slot", f"get(ladder, {climb}) AS p").selectExpr("slot", "p.source AS source", "p.words AS words")
-    every = parts.selectExpr(f"{slots} + row_number() OVER ({order}) AS slot", "source", "words")
-    missing = every.join(placed.select(F.col("source").alias("s")).distinct(), F.col("source").eqNullSafe(F.col("s")), "left_anti")
-    return placed.unionByName(missing).selectExpr("slot", "source", "words", "row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth", "count(*) OVER (PARTITION BY source) AS of")
-
-
-def shuffled(docs: DataFrame) -> DataFrame:
-    """Rows (row, source, size) with ``begin``: the words of its source before it, in an order by hash.
-
-    A source's order is cut into bins by hash, which are summed apart and then cumulated, so that a source with a third of all rows is
-    many groups.
-    """
-    keyed = docs.withColumn("mark", F.md5("row")).withColumn("bin", F.conv(F.substring("mark", 1, 4), 16, 10).cast("int") % BINS)
-    bins = keyed.groupBy("source", "bin").agg(F.sum("size").alias("n")).selectExpr("source AS s", "bin AS b", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin_start")
-    inside = keyed.selectExpr("*", "coalesce(sum(size) OVER (PARTITION BY source, bin ORDER BY mark, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin_begin")
-    return inside.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).selectExpr("row", "source", "size", "bin_start + bin_begin AS begin")
+    total, sources = goals.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
+    slots, stretches = -(-total // block), max(1024, 4 * sources)
+    at = f"(id + 1) * {GOLDEN} - floor((id + 1) * {GOLDEN})"
+    points = spark.range(slots).selectExpr("id AS slot", f"{at} AS point").selectExpr("slot", f"CAST(point * {stretches} AS BIGINT) AS stretch", f"point * {total} AS position")
+    ends = [f"CAST({x} / {max(total, 1)} * {stretches} AS BIGINT)" for x in ("above", "(above + words)")]
+    parts = goals.where("words > 0").selectExpr("place", "above", "above + words AS upto", f"explode(sequence({ends[0]} - 1, {ends[1]} + 1)) AS stretch")
+    drawn = written(points.join(parts, "stretch").where("position >= above AND position < upto").selectExpr("place", "slot", f"slot DIV {CHUNK} AS chunk"), "drawn")
+    chunks = drawn.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n")).selectExpr("place AS p", "chunk AS c", f"coalesce(sum(n) OVER (PARTITION BY place ORDER BY chunk {_BEFORE}), 0) AS earlier")
+    ranked = drawn.selectExpr("*", "row_number() OVER (PARTITION BY place, chunk ORDER BY slot) - 1 AS inside")
+    ranked = ranked.join(chunks, (F.col("place") == F.col("p")) & (F.col("chunk") == F.col("c"))).selectExpr("place", "slot", "earlier + inside AS nth")
+    without = goals.where("words > 0").join(drawn.select("place").distinct(), "place", "left_anti").selectExpr("place", f"{slots} + place AS slot", "0L AS nth")
+    return ranked.unionByName(without)
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -66,15 +85,31 @@ def row_key(docs: DataFrame) -> Column:
     return F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(docs["text"], F.lit(""))))
 
 
-def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, slots: int = 1 << 18) -> DataFrame:
-    """How many words the mix takes of each row of ``docs`` (doc_id, text, source): key, copy, doc_id, source, size, source_size, target, taken, begin, slots.
+def streams(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """Rows (key, copy, source, size) with their source's goal and ``begin``: the words of its source before the row, in an order by hash.
 
-    A source's documents, in shuffled order and again from the front up to ``cap`` times, are a stream of words; its target is cut into
-    as many blocks of equal words as it has slots in the schedule, and the n-th slot takes the n-th block. A document's words are taken
-    as often as blocks cover them, so none is taken more than ``cap`` times and each source's words make up its target, cut to whole
-    words. The number of slots is fixed: blocks grow with the corpus, the schedule doesn't. ``begin`` is the words of the source before
-    the row, and ``slots`` has the first slot that takes words of it in each pass over the source (null where none does); both are null
-    for rows of which nothing is taken.
+    A source's rows meet its goal in ``SALTS`` parts. Its order is cut into bins by hash, which are summed apart and then cumulated. So a
+    source with a third of all rows is many groups.
+    """
+    keyed = sizes.withColumns({"row": F.concat("key", F.lit("#"), "copy"), "mark": F.md5(F.concat("key", F.lit("#"), "copy"))}).withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)))
+    many = goals.withColumnRenamed("source", "g_source").selectExpr("*", f"explode(sequence(0L, {SALTS - 1}L)) AS g_salt")
+    met = keyed.join(many, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("salt") == F.col("g_salt"))).drop("g_source", "g_salt", "salt")
+    met = met.withColumn("bin", F.expr(f"CAST(conv(substring(mark, 1, 8), 16, 10) AS BIGINT) * (1 + docs DIV {BIN_ROWS}) DIV {1 << 32}"))
+    bins = met.groupBy("place", "bin").agg(F.sum("size").alias("n")).selectExpr("place AS p", "bin AS b", f"coalesce(sum(n) OVER (PARTITION BY place ORDER BY bin {_BEFORE}), 0) AS earlier")
+    inside = met.selectExpr("*", f"coalesce(sum(size) OVER (PARTITION BY place, bin ORDER BY mark, row {_BEFORE}), 0) AS own")
+    return inside.join(bins, (F.col("place") == F.col("p")) & (F.col("bin") == F.col("b"))).selectExpr("*", "earlier + own AS begin").drop("p", "b", "bin", "mark", "row", "earlier", "own")
+
+
+def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1024, least_slots: int = 1 << 18) -> DataFrame:
+    """How many words the mix takes of each row of ``docs`` (doc_id, text, source): key, copy, doc_id, source, size, source_size, target, taken, begin, slots, n_slots.
+
+    A source's documents, in shuffled order and again from the front up to ``cap`` times, are a stream of words, cut into blocks of
+    equal words for all sources; the n-th slot that the schedule gives a source takes its n-th block. So a source gets as many words as
+    the schedule has slots for it times the block, the last one cut where the target ends: a few blocks less than its target at most. A
+    document's words are taken as often as blocks cover them, so none is taken more than ``cap`` times. Blocks have ``block_words``
+    words, or fewer where the corpus would make fewer than ``least_slots`` of them. ``begin`` is the words of the source before the
+    row; ``slots`` has the first slot that takes words of it in each pass over the source (null where none does), and n_slots says how
+    many slots do.
 
     Null texts have size 0; a null source is a source of its own; rows equal in doc_id, text and source are told apart by ``copy``
     (from 0). Reruns agree. An empty table gives an empty one.
@@ -83,22 +118,20 @@ def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     grouped = sized.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
     sizes = written(grouped.selectExpr("key", "doc_id", "source", "size", "explode(sequence(CAST(0 AS BIGINT), times - 1)) AS copy"), "mix")
     goals = written(targets(sizes.select("source", "size"), weights, cap), "goals")
-    slot = written(schedule(goals, slots), "slots")
-    plan = slot.selectExpr("source AS p_source", "slot", "nth", "(nth * words) DIV of AS block_begin", "((nth + 1) * words) DIV of AS block_end")
-    counts = slot.groupBy("source").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("source", "c_source")
-    about = goals.selectExpr("source AS g_source", "source_size", "target", "CAST(target AS BIGINT) AS words").join(counts, F.col("g_source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-
-    stream = shuffled(sizes.selectExpr("concat(key, '#', copy) AS row", "source", "size").where("size > 0"))
-    stream = stream.join(about.where("words > 0"), F.col("source").eqNullSafe(F.col("g_source")))
-    passes = stream.selectExpr("*", f"explode(sequence(0, {cap - 1})) AS pass").selectExpr("row", "source", "of", "words", "begin", "pass", "begin + pass * source_size AS a", "least(begin + pass * source_size + size, words) AS b").where("a < b")
-    # Block n holds position x of the stream for n = ceil((x + 1) * of / words) - 1.
-    blocks = passes.selectExpr("row", "source", "begin", "pass", "a", "b", "explode(sequence(((a + 1) * of + words - 1) DIV words - 1, (b * of + words - 1) DIV words - 1)) AS n")
-    joined = blocks.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("n") == F.col("nth")))
+    block = block_size(goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], block_words, least_slots)
+    slots = written(schedule(goals, block), "slots")
+    counts = slots.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    limits = written(goals.join(counts, "place", "left").selectExpr("place", "source", "docs", "source_size", "target", f"least(coalesce(n, 0) * {block}, words) AS goal"), "limits")
+
+    passes = f"filter(transform(sequence(0L, {cap - 1}L), p -> struct(p AS pass, begin + p * source_size AS a, least(begin + p * source_size + size, goal) AS b)), x -> x.a < x.b)"
+    each = streams(sizes, limits).selectExpr("*", f"explode_outer({passes}) AS x").selectExpr("*", "x.pass", "x.b - x.a AS words", f"x.a DIV {block} AS nth", f"(x.b - 1) DIV {block} - x.a DIV {block} + 1 AS in_slots").drop("x")
+    met = each.join(slots.withColumnsRenamed({"place": "s_place", "nth": "s_nth"}), (F.col("place") == F.col("s_place")) & (F.col("nth") == F.col("s_nth")), "left")
     firsts = F.array(*[F.min(F.when(F.col("pass") == k, F.col("slot"))) for k in range(cap)])
-    taken = joined.groupBy("row", "source").agg(F.sum(F.expr("least(b, block_end) - greatest(a, block_begin)")).alias("taken"), F.min("begin").alias("begin"), firsts.alias("slots")).withColumnRenamed("source", "t_source")
-    out = sizes.join(taken, (F.concat("key", F.lit("#"), "copy") == F.col("row")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    out = out.join(about, F.col("source").eqNullSafe(F.col("g_source")))
-    return out.selectExpr("key", "copy", "doc_id", "source", "size", "source_size", "target", "coalesce(taken, 0) AS taken", "begin", "slots")
+    own = [F.any_value(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
+    out = met.groupBy("key", "copy", "place").agg(*own, F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.any_value("begin").alias("begin"), firsts.alias("slots"), F.coalesce(F.sum("in_slots"), F.lit(0)).alias("n_slots"))
+    out = written(out.drop("place"), "taken")
+    forget(sizes, goals, slots, limits)
+    return out
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
