@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .store import bound_batches
 from .tokens import id_cache
@@ -51,21 +52,23 @@ def pack_vectors(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return bins
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = 1024, end_id: int = 0, max_segments: int = 256, max_loss: int | None = None, pool: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = 1024, end_id: int = 0, max_segments: int = 6, max_loss: int = 1016, prompt_ids: int = 16, prompt: str | None = None, pool: int = 4096) -> DataFrame:
     """Tokenize every document (null text: empty), append ``end_id`` and place it in sequences under three simultaneous limits.
 
-    A document is cut into whole sequences of ``length`` ids and a rest; up to ``pool`` rests of a task's rows are packed together
-    under limits on tokens, on segments (pieces in a sequence) and on loss-bearing tokens (all but the end id; ``max_loss`` is
-    ``length`` if None; a lower one also bounds the cut). The work needs no shuffle: a task packs the rows it reads, so no group or key
-    can be hot, and its sequences are numbered after its partition, as long as the input's splits stay the same.
+    A document's first ids are its prompt and bear no loss: as many as its column ``prompt`` says (instruction data; null: none), or
+    ``prompt_ids`` where no column is named; all other ids bear loss, the end id too. A document is cut into pieces that fill a sequence,
+    by ``length`` ids or ``max_loss`` loss-bearing ones, and a rest; up to ``pool`` rests of a task's rows are packed together
+    under limits on tokens, on segments (pieces in a sequence) and on loss-bearing tokens. The work needs no shuffle: a task packs the
+    rows it reads, so no group or key can be hot, and its sequences are numbered after its partition, as long as the input's splits stay
+    the same.
 
     One row a piece: doc_id (null where the document's is), start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens,
     segments (pieces in its sequence). Repeated rows are packed as often as they come. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    max_loss = max_loss or length
-    whole = min(length, max_loss)
     limits = np.array([length, max_segments, max_loss])
+    if limits.min() < 1:
+        raise ValueError("limits must be positive")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = id_cache(tokenizer_path)
@@ -86,14 +89,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = 1024,
         for batch in batches:
             out = []
             ids, cuts = cache.encode_column(batch["text"].fillna("").tolist())
-            for doc, a, b in zip(batch["doc_id"].array, cuts, cuts[1:]):
+            for doc, free, a, b in zip(batch["doc_id"].array, batch["prompt"].tolist(), cuts, cuts[1:]):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                 n, start = len(own), 0
                 while n - start > 0:
-                    size = min(whole, n - start)
-                    row = (doc, start, size, zlib.crc32(own[start : start + size].tobytes()), n, size - (start + size == n))
+                    left = max(0, free - start)  # ids ahead that bear no loss
+                    size = min(length, left + max_loss, n - start)
+                    loss = max(0, size - left)
+                    row = (doc, start, size, zlib.crc32(own[start : start + size].tobytes()), n, loss)
                     start += size
-                    if size == length:
+                    if size == length or loss == max_loss:
                         out.append((*row[:5], base + used, 0, row[5], 1))
                         used += 1
                     else:
@@ -108,4 +113,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = 1024,
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInPandas(pieces, PIECES)
+    free = F.lit(prompt_ids) if prompt is None else F.coalesce(docs[f"`{prompt}`"], F.lit(0))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], free.cast("long").alias("prompt")).mapInPandas(pieces, PIECES)
