@@ -37,7 +37,9 @@ class IdCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opening = os.path.commonprefix(added)  # what all special tokens begin with
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
         self.most, self.longest = most, longest
         alone = ((c, self.tokenizer.encode(f"a {c} a", add_special_tokens=False).ids) for c in SEPARATORS)
         self.between = next(((c, ids[1]) for c, ids in alone if len(ids) == 3), None)
@@ -113,8 +115,13 @@ class IdCache:
         ends = np.cumsum(size)
         return self.pool[np.repeat(self.start[rows] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
+    def _has_special(self, text: str) -> bool:
+        return self.opening in text and self.special(text) is not None
+
     def encode(self, text: str) -> np.ndarray:
-        """A text's ids."""
+        """A text's ids. A special token's own string gets that token's id, as in the library; such a text is encoded whole."""
+        if self._has_special(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self._gather(self._look_up(["\x04" + p for p in CUT.findall(text)]))
 
     def encode_column(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,7 @@ class IdCache:
         names = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         rows = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
         which = flat.indices.to_numpy()
-        odd = np.fromiter((any(m in t for m in BEFORE) for t in texts), bool, len(texts))
+        odd = np.fromiter((any(m in t for m in BEFORE) or self._has_special(t) for t in texts), bool, len(texts))
         plain_piece = pc.match_substring_regex(flat.dictionary, PLAIN).to_numpy(zero_copy_only=False)
         bad = np.zeros(len(names), bool)
         for i in np.flatnonzero(~plain_piece):
