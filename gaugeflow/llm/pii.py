@@ -10,7 +10,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, lowest_threshold
 from .store import bound_batches
@@ -25,17 +27,26 @@ _CARD_HINT = re.compile(r"[0-9](?:[ -]?[0-9]){11}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Generators of the method, wide on purpose: most of what they find is no personal data.
-GENERATORS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|＠) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{3,6}){2,4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|0{1,2}[0-9]{1,4}|[0-9]{3})[ .\-/](?:[0-9]{2,4}[ .\-/]){0,3}[0-9]{3,8}(?![0-9])"),
+GENERATORS = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|<at>|＠) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]+)+"), re.compile(r"[(\[{<]at[)\]}>]|＠").search),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT|bei|arobase|arroba) [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+| (?:dot|DOT|punkt|point|punto) [A-Za-z0-9-]+)+"), re.compile(r" (?:at|AT|bei|arobase|arroba) [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]| (?:dot|DOT|punkt|point|punto) )").search),
+    ("ip", re.compile(r"(?<![\w:.])(?=:{0,2}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:])"), re.compile(r":[0-9A-Fa-f]{0,4}:").search),
+    ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{3,6}){2,4}(?![0-9])"), re.compile(r"[0-9]{4}[._/][0-9]{3}").search),
+    ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|0{1,2}[0-9]{1,4}|[0-9]{3})[ .\-/](?:[0-9]{2,4}[ .\-/]){0,3}[0-9]{3,8}(?![0-9])"), re.compile(r"[0-9]\)?[ .\-/][0-9]{2}").search),
+)
+
+#: Words before or after a span that speak for a kind, and words that speak for other numbers, in English, German, French and Spanish.
+CONTEXT = {
+    "email": ("mail", "e-mail", "contact", "write", "reply", "kontakt", "schreib", "courriel", "écri", "correo", "escrib"),
+    "ip": ("ip", "host", "server", "address", "addr", "adresse", "serveur", "servidor", "direcci", "node", "gateway"),
+    "card": ("card", "visa", "credit", "debit", "payment", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "pago"),
+    "phone": ("phone", "tel", "tél", "call", "mobile", "cell", "fax", "contact", "ring", "anruf", "handy", "appel", "llam", "móvil"),
 }
-HINTS = {"email": re.compile(r"[(\[{]at[)\]}]|＠").search, "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:").search, "card": re.compile(r"[0-9]{4}[._/][0-9]{3}").search, "phone": re.compile(r"[0-9]\)?[ .\-/][0-9]{2}").search}
+AGAINST = ("order", "invoice", "version", "isbn", "serial", "date", "ref", "page", "chapter", "score", "ratio", "build", "part", "lot", "time", "room", "bestell", "rechnung", "seite", "kapitel", "uhr", "command", "factur", "chapitre", "heure", "pedido", "página", "capítulo", "hora")
 
-#: Words before or after a span that speak for a kind, and words that speak for other numbers.
-CONTEXT = {"email": ("mail", "contact", "write", "reply"), "ip": ("ip", "host", "server", "address", "addr"), "card": ("card", "visa", "credit", "debit", "payment"), "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact", "ring")}
-AGAINST = ("order", "invoice", "version", "isbn", "serial", "date", "ref", "page", "chapter", "score", "ratio", "build", "part", "lot", "time", "room")
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+_AT_WORD, _DOT_WORD = re.compile(r" (?:at|AT|bei|arobase|arroba) "), re.compile(r" (?:dot|DOT|punkt|point|punto) ")
 
 
 def luhn(digits: str) -> bool:
@@ -79,50 +90,58 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """What the wide generators find; spans of different kinds may overlap."""
-    return [(m.start(), m.end(), kind) for kind, pattern in GENERATORS.items() if HINTS[kind](text) for m in pattern.finditer(text)]
+    return [(m.start(), m.end(), kind) for kind, pattern, hint in GENERATORS if hint(text) for m in pattern.finditer(text)]
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format of the span and its context within 40 characters."""
     span, before, after = text[start:end], text[max(0, start - 40) : start].lower(), text[end : end + 40].lower()
     digits, groups = _digits(span), re.findall("[0-9]+", span)
-    near = re.findall("[a-z]+", before)[-4:] + re.findall("[a-z]+", after)[:3]
+    near = _LETTERS.findall(before)[-4:] + _LETTERS.findall(after)[:3]
     edge = text[max(0, start - 1) : start] + text[end : end + 1]
     return [
         KINDS.index(kind), len(span), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), span.count("."), span.count("-"), span.count(" "), span.count("("), span.count(":"), span.count("/"),
         sum(c.isalpha() for c in span), sum(c.isupper() for c in span), len(set(span)), float(len(digits) >= 12 and luhn(digits)), float(span[:1] == "0"), float(bool(re.search("[0-9A-Za-z$€£%#]", edge))),
-        sum(any(w.startswith(x) for x in CONTEXT[kind]) for w in near), sum(any(w.startswith(x) for x in AGAINST) for w in near), float(before.rstrip().endswith(":")), len(set(span.lower()) & set("abcdef")),
+        sum(any(w.startswith(x) for x in CONTEXT[kind]) for w in near), sum(any(w.startswith(x) for x in AGAINST) for w in near), float(before.rstrip().endswith(":")), len(set(span.lower()) & set("abcdef")), float("::" in span), float(bool(_AT_WORD.search(span))), float(bool(_DOT_WORD.search(span))), len(re.findall("[A-Za-z]+$", span)) and len(re.findall("[A-Za-z]+$", span)[0]),
     ]
 
 
-def example_spans(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int, str, int]]:
-    """Labelled candidates for the default model: (text, start, end, kind, label), made by a seeded generator of formats and contexts.
-
-    Half are personal data in formats that the fixed patterns miss, most of them after a word that tells; half are other numbers and
-    codes of like shape. They stand for the labelled spans that a user would pass to ``fit``.
-    """
-    rnd, out = random.Random(seed), []
+def written_otherwise(kind: str, good: bool, rnd: random.Random) -> str:
+    """A span of a kind in a format that the fixed patterns miss, or something of like shape that is no personal data."""
     d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    x = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(2, 8)))
-
-    def card() -> str:
+    if kind == "email":
+        name, top = rnd.choice((word(), f"{word()}.{word()}", word() + d(2))), rnd.choice(("com", "org", "net", "de", "fr", "es", "edu"))
+        if rnd.random() < 0.4:
+            at, dot = rnd.choice((("at", "dot"), ("AT", "DOT"), ("at", "dot"), ("bei", "punkt"), ("arobase", "point"), ("arroba", "punto")))
+            return f"{name} {at} {word()}{rnd.choice((f' {dot} ', '.'))}{top}" if good else f"{word()} {at} {word()}.{rnd.choice((word().capitalize(), d(2)))}"
+        at, dot = rnd.choice(("(at)", "[at]", "{at}", "<at>", "＠")), rnd.choice((".", " (dot) ", "[dot]", "{dot}"))
+        return f"{name}{rnd.choice(('', ' '))}{at}{rnd.choice(('', ' '))}{word()}{dot}{top if good else d(2)}"
+    if kind == "ip":
+        if not good:
+            return rnd.choice((f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}:{d(2)}", ":".join(x(2) for _ in range(6)), f"{word()[:2]}::{word()[:3]}" if rnd.random() < 0.5 else f"{d(2)}:{d(2)}:{d(2)}", "::"+rnd.choice("abcdef")))
+        groups = [x(rnd.randint(1, 4)) for _ in range(rnd.randint(1, 6))]
+        cut = rnd.randint(0, len(groups))
+        return rnd.choice((":".join(x(rnd.randint(3, 4)) for _ in range(8)), f"fe80::{x(rnd.randint(1, 4))}", "::1", f"2001:{x(4)}::{x(4)}", f"2001:db8:{x(4)}::", f"{':'.join(groups[:cut])}::{':'.join(groups[cut:])}" if len(groups) > 1 else f"fd{x(2)}::{x(4)}"))
+    if kind == "card":
         body = d(15)
-        return next(body + c for c in "0123456789" if luhn(body + c))
+        c, sep = next(body + c for c in "0123456789" if luhn(body + c) == good), rnd.choice("._/")
+        return sep.join((c[:4], c[4:8], c[8:12], c[12:]))
+    sep = rnd.choice(" .-/")
+    if good:
+        return rnd.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(2)}{sep}{d(7)}", f"0{d(3)} {d(3)} {d(4)}"))
+    return rnd.choice((f"{d(3)}{sep}{d(3)}", f"{d(3)} {d(3)} {d(3)}", f"{d(3)}-{d(8)}", f"0{d(1)}/{d(2)}/{d(4)}", f"0{d(2)}-{d(2)}-{d(5)}"))
+
 
+def example_spans(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int, str, int]]:
+    """Labelled candidates (text, start, end, kind, label), made by a seeded generator of formats and contexts: half personal data, most of them after a word that tells; half other numbers and codes of like shape."""
+    rnd, out = random.Random(seed), []
+    word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(2, 8)))
     while len(out) < n:
         kind, label = rnd.choice(KINDS), rnd.random() < 0.5
-        sep = rnd.choice(" .-/")
-        if kind == "email":
-            at, dot = rnd.choice(("(at)", "[at]", "{at}")), rnd.choice((".", " (dot) ", "[dot]"))
-            span = f"{word()}{rnd.choice(('', ' '))}{at}{rnd.choice(('', ' '))}{word()}{dot}{rnd.choice(('com', 'org', 'net', 'de')) if label else d(2)}"
-        elif kind == "ip":
-            span = ":".join("".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(3, 4))) for _ in range(8)) if label else ":".join(d(2) for _ in range(rnd.randint(3, 4)))
-        elif kind == "card":
-            c, sep = card() if label else d(16), rnd.choice("._/")
-            span = sep.join((c[:4], c[4:8], c[8:12], c[12:]))
-        else:
-            span = rnd.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(2)}{sep}{d(7)}")) if label else rnd.choice((f"{d(3)}{sep}{d(3)}", f"{d(3)} {d(3)} {d(3)}", f"{d(3)}-{d(8)}", f"0{d(1)}/{d(2)}/{d(4)}", f"0{d(2)}-{d(2)}-{d(5)}"))
-        told = rnd.random() < (0.9 if label else 0.03)
+        span = written_otherwise(kind, label, rnd)
+        told = rnd.random() < (0.85 if label else 0.03)
         hint = rnd.choice(CONTEXT[kind]) if told else rnd.choice(AGAINST) if not label and rnd.random() < 0.7 else word()
         left = f"{word()} {word()} {hint}{rnd.choice((' ', ': ', ' is '))}"
         text = f"{left}{span} {word()} {word()}."
@@ -130,6 +149,39 @@ def example_spans(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int, str
     return out
 
 
+def real_examples(text: str, rnd: random.Random) -> list[tuple[str, int, int, str, int]]:
+    """Labelled candidates in the contexts of a text: each base span, and each match of the cards' and phones' patterns that fails its check, written otherwise where it stands; and what the generators find, which counts as no personal data."""
+    base = base_spans(text)
+    out, spans = [], {(a, b) for a, b, _ in base}
+    failed = [(m.start(), m.end(), kind) for kind, pattern in (("card", _CARD), ("phone", _PHONE)) for m in pattern.finditer(text) if len(_digits(m[0])) >= 9 and (m.start(), m.end()) not in spans]
+    for a, b, kind, label in [(*s, 1) for s in base] + [(*s, 0) for s in failed]:
+        left, right = text[max(0, a - 60) : a], text[b : b + 60]
+        span = written_otherwise(kind, bool(label), rnd)
+        out.append((left + span + right, len(left), len(left) + len(span), kind, label))
+    for a, b, kind in candidates(text):
+        if not any(a < y and x < b for x, y in spans):
+            start = max(0, a - 60)
+            out.append((text[start : b + 60], a - start, b - start, kind, 0))
+    return out
+
+
+def document_examples(docs: DataFrame, max_docs: int = 4000, max_examples: int = 6000, seed: int = 7) -> list[tuple[str, int, int, str, int]]:
+    """``real_examples`` of about ``max_docs`` documents, drawn by hash, and at most ``max_examples`` of them, those with the smallest hashes: all that comes to the driver."""
+    bound_batches(docs.sparkSession)
+    n = docs.count()
+    text = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    drawn = text.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, max_docs / max(n, 1)) * (1 << 30)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(h, k, *e) for t, h in zip(batch["text"], batch["h"]) for k, e in enumerate(real_examples(t, random.Random(int(h) ^ seed)))]
+            yield pd.DataFrame(rows, columns=["h", "k", "text", "start", "stop", "kind", "label"])
+
+    rows = drawn.mapInPandas(read, "h long, k int, text string, start int, stop int, kind string, label int").distinct()
+    kept = rows.orderBy(F.xxhash64("h", "k"), "h", "k").limit(max_examples).collect()
+    return [(r.text, r.start, r.stop, r.kind, r.label) for r in kept]
+
+
 @dataclass
 class PiiModel:
     """Trees and, for each kind, the calibrated score from which a candidate is taken."""
@@ -161,11 +213,35 @@ class PiiModel:
         return base, added
 
 
+    def held_out(self, examples: list[tuple[str, int, int, str, int]]) -> dict[str, tuple[float, float, int]]:
+        """Recall, precision and number of positives for each kind over examples that the model wasn't fitted on."""
+        p = self.trees.predict(np.array([features(*e[:4]) for e in examples], float))
+        taken = np.array([x >= self.thresholds[e[3]] for x, e in zip(p, examples)])
+        y, kind, out = np.array([e[4] for e in examples], bool), np.array([e[3] for e in examples]), {}
+        for k in KINDS:
+            own = kind == k
+            hits = int((taken & y & own).sum())
+            out[k] = (hits / max(1, int((y & own).sum())), hits / max(1, int((taken & own).sum())), int((y & own).sum()))
+        return out
+
+
 @lru_cache(maxsize=1)
 def default_model() -> PiiModel:
+    """A model of made-up examples alone, for texts of which no sample is at hand."""
     return PiiModel.fit(example_spans())
 
 
+def fit_on(docs: DataFrame, **how) -> PiiModel:
+    """A model of made-up examples and, as many again at most, of examples in the contexts of ``docs``."""
+    return PiiModel.fit(mixed_examples(document_examples(docs, **how)))
+
+
+def mixed_examples(real: list[tuple[str, int, int, str, int]], seed: int = 11) -> list[tuple[str, int, int, str, int]]:
+    examples = example_spans() + real
+    random.Random(seed).shuffle(examples)
+    return examples
+
+
 def joined(spans: list[tuple[int, int, str]], kinds: tuple[str, ...]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, kinds.index(k), b, k) for a, b, k in spans))
@@ -207,8 +283,9 @@ def redact(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
             at = max(at, b)
         return "".join(out) + text[at:]
 
-    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(text=[hide(t) for t in batch["text"]])
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array([hide(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
-    return docs.mapInPandas(replace, docs.schema)
+    return docs.mapInArrow(replace, docs.schema)
