@@ -47,8 +47,8 @@ def dedup_lines(docs: DataFrame, *, min_length: int = 20, min_docs: int = 3) ->
 
     Lines whose key has ``min_length`` code points or more and is found in ``min_docs`` documents (distinct doc_ids) or more stay only
     in the largest doc_id that holds them, there as often as they come. A null text is one empty line and stays null unless it loses
-    it, which it can't. Rows with equal doc_id and text are treated alike; a null doc_id is an id of its own. Extra columns stay, even
-    under the names used here. An empty table gives an empty one.
+    it, which it can't. Rows with equal doc_id and text are treated alike; a null doc_id is an id of its own. Extra columns stay;
+    columns that are called n_lines or n_dropped give way to these. An empty table gives an empty one.
     """
     drops = dropped_lines(docs.select("doc_id", "text"), min_length, min_docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "drops")
     left = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))

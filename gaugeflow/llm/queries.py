@@ -21,13 +21,14 @@ def _of_kind(spans: str, kind: str) -> F.Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit_on(docs))
     counts = [_of_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(_table(spark, sf_dir, "documents")).drop("quality")
+    return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(_table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", F.coalesce(F.col("slots")[0], F.lit(-1)).alias("first_slot"), "n_slots")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +89,21 @@ f AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source IS NULL,
              sum(source_size) OVER () AS total FROM w),
 l AS (SELECT *, CAST(total - before AS DOUBLE) / CAST(opened AS DOUBLE) AS lev FROM f),
 g AS (SELECT *, max(CASE WHEN lev <= CAST(most AS DOUBLE) / weight THEN lev END) OVER () AS final FROM l),
-t AS (SELECT source, source_size, CASE WHEN weight * final < most THEN weight * final ELSE CAST(most AS DOUBLE) END AS target FROM g),
-o AS (SELECT d.*, md5(row) AS mark, ('0x' || substr(md5(row), 1, 4))::INTEGER % 1024 AS bin FROM d),
-b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bin, mark, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o)
-SELECT doc_id, size, source_size, target,
-       CAST(size * least(3, floor(target)::BIGINT // greatest(source_size, 1)) + CASE WHEN source_size > 0 THEN greatest(0, least(size, floor(target)::BIGINT % source_size - start)) ELSE 0 END AS BIGINT) AS taken
-FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+t AS (SELECT source, source_size, CASE WHEN weight * final < most THEN weight * final ELSE CAST(most AS DOUBLE) END AS target, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM g),
+c AS (SELECT *, CAST(floor(target) AS BIGINT) AS words, CAST(sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY place) AS BIGINT) AS upto, CAST(sum(CAST(floor(target) AS BIGINT)) OVER () AS BIGINT) AS total, greatest(1, least(1024, CAST(sum(source_size) OVER () AS BIGINT) // 262144)) AS block FROM t),
+r AS (SELECT unnest(range((max(total) + max(block) - 1) // max(block))) AS slot FROM c),
+q AS (SELECT slot, (slot + 1) * CAST('0.6180339887498949' AS DOUBLE) - floor((slot + 1) * CAST('0.6180339887498949' AS DOUBLE)) AS point FROM r),
+m AS (SELECT place, slot FROM q JOIN c ON point * total >= upto - words AND point * total < upto),
+e AS (SELECT place, slot FROM m UNION ALL SELECT place, (total + block - 1) // block + place FROM c WHERE words > 0 AND place NOT IN (SELECT place FROM m)),
+h AS (SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS nth FROM e),
+k AS (SELECT c.*, least(coalesce(n, 0) * block, words) AS goal FROM c LEFT JOIN (SELECT place, count(*) AS n FROM h GROUP BY 1) USING (place)),
+b AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(row), row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+x AS (SELECT b.doc_id, b.size, b.start, k.*, unnest([0, 1, 2]) AS pass FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source),
+y AS (SELECT *, start + pass * source_size AS a, least(start + pass * source_size + size, goal) AS z FROM x),
+v AS (SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, z - a)) AS BIGINT) AS taken, min(start) AS start, any_value(place) AS place, any_value(block) AS block,
+             CAST(sum(CASE WHEN a < z THEN (z - 1) // block - a // block + 1 ELSE 0 END) AS BIGINT) AS n_slots FROM y GROUP BY doc_id, size, source_size, target)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot ELSE -1 END AS first_slot, n_slots
+FROM v LEFT JOIN h ON v.place = h.place AND v.start // v.block = h.nth
 """,
     "op10_linededup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

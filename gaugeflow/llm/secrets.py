@@ -64,6 +64,25 @@ def random_spans(string: str, encoding, most: float) -> list[tuple[int, int]]:
     return found
 
 
+def apart(spans: list[tuple[int, int]], others: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Of spans in order of their starts those that overlap none of the others: a merge of two sorted lists."""
+    if not spans or not others:
+        return spans
+    joined: list[list[int]] = []  # the others, overlapping ones as one
+    for a, b, _ in sorted(others):
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    out, k = [], 0
+    for x, y in spans:
+        while k < len(joined) and joined[k][1] <= x:
+            k += 1
+        if k == len(joined) or joined[k][0] >= y:
+            out.append((x, y))
+    return out
+
+
 def find_secrets(docs: DataFrame, vocabulary: str, *, most_characters_a_token: float = 2.0) -> DataFrame:
     """doc_id, base (spans of the fixed formats), spans (all spans; kind:start:end, code points, end exclusive), n_random.
 
@@ -83,8 +102,8 @@ def find_secrets(docs: DataFrame, vocabulary: str, *, most_characters_a_token: f
             for doc, text in zip(batch["doc_id"].array, batch["text"].fillna("")):
                 base = base_spans(text)
                 runs = ((m.start(), m[0]) for m in _CANDIDATE.finditer(text))
-                found = ((at + x, at + y) for at, run in runs for x, y in random_spans(run, encoding, most_characters_a_token))
-                added = [(x, y, "random") for x, y in found if not any(x < b and a < y for a, b, _ in base)]
+                found = [(at + x, at + y) for at, run in runs for x, y in random_spans(run, encoding, most_characters_a_token)]
+                added = [(x, y, "random") for x, y in apart(found, base)]
                 rows.append((doc, joined(base, KINDS), joined(base + added, KINDS), len(added)))
             yield pd.DataFrame(rows, columns=["doc_id", "base", "spans", "n_random"]).astype({"doc_id": "Int64"})
 

@@ -75,6 +75,81 @@ def test_pii_adds_only_beside_base(spark, docs):
     assert pii.find_pii(docs, m).count() == len(ROWS) and pii.find_pii(docs.limit(0), m).count() == 0
 
 
+def test_pii_generators_find_what_they_are_for():
+    wanted = {"email": ["joe at site dot com", "joe.doe (at) site.com", "ana arroba sitio punto es", "max bei haus punkt de", "j_d [at] a-b [dot] org", "x＠y.net"], "ip": ["fe80::1", "::1", "2001::7334", "2001:db8:85a3::", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"], "card": ["4111.1111.1111.1111", "4111/1111/1111/1111"], "phone": ["(555) 010-9999", "555-010-9999", "0049 30 123456", "030/1234567"]}
+    for kind, spans in wanted.items():
+        for span in spans:
+            text = f"so {span}, and"
+            assert (3, 3 + len(span), kind) in pii.candidates(text), span
+    assert pii.candidates("arrived at home. Then at 10 they left; it is ::") == []
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_pii_model_of_documents_on_held_out_examples(spark):
+    real = pii.document_examples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert 200 < len(real) <= 6000 and {e[3] for e in real if e[4]} == set(pii.KINDS)
+    half = {e[0] for i, e in enumerate(real) if i % 2}
+    model = pii.PiiModel.fit(pii.mixed_examples([e for e in real if e[0] not in half]))
+    told = model.held_out([e for e in real if e[0] in half])
+    made = model.held_out(pii.example_spans(1500, seed=99))
+    print("real", told, "made up", made)
+    for got in (told, made):
+        for kind, (recall, precision, n) in got.items():
+            assert n > 20 and precision >= 0.93 and recall >= (0.5 if kind == "phone" else 0.8), (kind, got)
+
+
+def test_redaction_keeps_other_columns(spark):
+    rows = [(2**62 + 1, "a@b.co", None, [1, None]), (None, None, 2**53 + 1, None)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n long, list array<long>"), pii.default_model()).collect()
+    assert [tuple(r) for r in got] == [(2**62 + 1, "<email>", None, [1, None]), (None, None, 2**53 + 1, None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_query_digests_of_spans(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+    import hashlib
+
+    for name, patterns, kinds in (("op1_pii", PII, pii.KINDS), ("op3_secrets", SECRETS, secrets.KINDS[:3])):
+        got = queries.QUERIES[name](spark, DIR).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            base = brute_base(texts[r.doc_id], patterns)
+            assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and all(r[f"n_{k}"] == sum(x.startswith(f"{k}:") for x in base.split(",")) for k in kinds)
+            assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_query_columns(spark):
+    """The other queries' own columns, against plain Python."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    from tokenizers import Tokenizer
+
+    for r in queries.QUERIES["op2_quality"](spark, DIR).collect():
+        n, chars, symbols, lines, repeats = brute_quality(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats) and 0 <= r.quality <= 1
+    t = Tokenizer.from_file(tokens.vocabulary_path("word_bpe_49k.json"))
+    at = 0
+    for r in sorted(queries.QUERIES["op9_wavelet"](spark, DIR).collect(), key=lambda r: r.doc_id):
+        ids = np.array([*t.encode(docs[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    for r in queries.QUERIES["op8_toxicity"](spark, DIR).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    assert len({r.doc_id for r in queries.QUERIES["op4_jaccard"](spark, DIR).collect()}) == len(docs)
+    pieces = queries.QUERIES["op7_packing"](spark, DIR).toPandas()
+    assert set(pieces.doc_id) == set(docs) and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+    found = queries.QUERIES["op6_ann"](spark, DIR).toPandas()
+    assert (found.groupby("query_id").size() == 5).all()
+
+
+def test_spans_apart():
+    g = np.random.default_rng(19)
+    for _ in range(300):
+        spans = sorted((int(a), int(a + n)) for a, n in zip(g.integers(0, 60, 6), g.integers(1, 9, 6)))
+        others = [(int(a), int(a + n), "k") for a, n in zip(g.integers(0, 60, 5), g.integers(1, 9, 5))]
+        assert secrets.apart(spans, others) == [(x, y) for x, y in spans if not any(x < b and a < y for a, b, _ in others)]
+
+
 def test_boosting_learns_and_is_calibrated():
     g = np.random.default_rng(1)
     x = g.normal(size=(1500, 4))
@@ -242,36 +317,70 @@ def brute_targets(sizes, cap=3):
         full |= new
 
 
-def test_mix_meets_targets(spark, docs):
+def brute_slots(sizes, block):
+    """Of each source the slots that golden-ratio points give it, by a plain loop."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    words = {s: int(t) for s, t in brute_targets(sizes).items()}
+    total, out, upto, at = sum(words.values()), {s: [] for s in names}, [], 0
+    for s in names:
+        at += words[s]
+        upto.append(at)
+    for i in range(-(-total // block)):
+        x = (i + 1) * 0.6180339887498949
+        out[names[next(k for k, u in enumerate(upto) if (x - math.floor(x)) * total < u)]].append(i)
+    return {s: out[s] or ([-(-total // block) + k] if words[s] else []) for k, s in enumerate(names)}, words
+
+
+def test_mix_meets_targets_by_its_schedule(spark, docs):
     g = np.random.default_rng(4)
     rows = [(i, "w " * int(g.integers(0, 200)), f"s{int(g.integers(0, 7)) ** 2 // 5}" if i % 9 else None) for i in range(400)]
-    rows += [(0, rows[0][1], rows[0][2])] * 3 + [(900, "w " * 40, "tiny")]
+    rows += [(0, rows[0][1], rows[0][2])] * 3 + [(900, "w " * 40, "tiny"), (901, "", "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.taken_words(df, slots=4096).collect()
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len(t.split())
-    want = brute_targets(sizes)
-    taken = defaultdict(int)
-    for r in got:
-        assert 0 <= r.taken <= 3 * r.size and r.target == pytest.approx(want[r.source])
-        taken[r.source] += r.taken
-    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in want)
-    mixed = mixing.mix(df, slots=4096).collect()
+    want, seen = brute_targets(sizes), []
+    for block in (1, 50, 700):
+        got = mixing.taken_words(df, block_words=block, least_slots=1).collect()
+        slots, words = brute_slots(sizes, block)
+        taken = defaultdict(int)
+        for r in got:
+            assert 0 <= r.taken <= 3 * r.size and r.target == pytest.approx(want[r.source])
+            taken[r.source] += r.taken
+            a = [r.begin + k * r.source_size for k in range(3)]
+            assert list(r.slots) == [slots[r.source][x // block] if x < min(len(slots[r.source]) * block, words[r.source]) and r.size else None for x in a]
+        # As many words as the schedule has slots for, not simply the target: without a schedule this fails for large blocks.
+        assert len(got) == len(rows) and all(taken[s] == min(len(slots[s]) * block, words[s]) for s in want)
+        assert all(want[s] - 3 * block - 1 <= taken[s] <= want[s] for s in want)
+        seen.append(dict(taken))
+    assert seen[0] != seen[1] != seen[2]
+    mixed = mixing.mix(df, block_words=700, least_slots=1).collect()
     assert sum(len(r.text.split()) for r in mixed) == sum(taken.values())
-    assert mixing.taken_words(docs, slots=64).count() == len(ROWS) and mixing.mix(docs, slots=64).columns == docs.columns
-    assert mixing.taken_words(docs.limit(0), slots=64).count() == 0
-    assert {r.taken for r in mixing.taken_words(docs.where("doc_id IN (1, 2, 10)"), slots=64).collect()} == {0}
+    assert mixing.taken_words(docs).count() == len(ROWS) and mixing.mix(docs).columns == docs.columns
+    assert mixing.taken_words(docs.limit(0)).count() == 0
+    assert {r.taken for r in mixing.taken_words(docs.where("doc_id IN (1, 2, 10)")).collect()} == {0}
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 700}") for i in range(3000)]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    slots, words = brute_slots(sizes, 4)
+    taken = Counter()
+    for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4, least_slots=1).collect():
+        taken[r.source] += r.taken
+    assert all(taken[s] == min(len(slots[s]) * 4, words[s]) for s in sizes)
 
 
 def test_mix_follows_the_schedule(spark, tmp_path):
     g = np.random.default_rng(8)
     rows = [(i, "w " * int(g.integers(1, 60)), ("a", "b", None)[int(g.integers(0, 3))]) for i in range(900)] + [(7, "w w w", "a")] * 3
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    pieces = [(slot, r.begin + k * r.source_size, r.doc_id, r.source, r.size) for r in mixing.taken_words(df, slots=256).where("taken > 0").collect() for k, slot in enumerate(r.slots) if slot is not None]
+    df, how = spark.createDataFrame(rows, "doc_id long, text string, source string"), {"block_words": 105, "least_slots": 1}
+    pieces = [(slot, r.begin + k * r.source_size, r.doc_id, r.source, r.size) for r in mixing.taken_words(df, **how).where("taken > 0").collect() for k, slot in enumerate(r.slots) if slot is not None]
     want = sorted(pieces, key=lambda p: p[:2])
-    assert max(p[0] for p in want) == 255
-    mixing.mix(df, slots=256).write.parquet(f"{tmp_path}/mixed")
+    assert max(p[0] for p in want) > 240
+    mixing.mix(df, **how).write.parquet(f"{tmp_path}/mixed")
     files = sorted(str(f) for f in (tmp_path / "mixed").glob("part-*.parquet"))
     got = [(r.doc_id, r.source, len(r.text.split())) for f in files for r in spark.read.parquet(f).collect()]
     assert [x[:2] for x in got] == [p[2:4] for p in want] and sum(x[2] != p[4] for x, p in zip(got, want)) <= 3
@@ -292,7 +401,7 @@ def test_nearest(spark):
     x[900:] = x[899]  # a third and more is one vector
     bad = [(None, [1.0] * 64), (2000, None), (2001, [0.0] * 64), (2050, [float("nan")] * 64), (2100, [float("inf")] + [0.0] * 63), (2150, [None] * 64), (2200, [])]
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + bad, "vec_id long, embedding array<float>")
-    got = ann.nearest(df, cells=256).toPandas()
+    got = ann.nearest(df, part_rows=3000, part_cells=64).toPandas()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
     for q in range(0, 1500, 50):
@@ -306,20 +415,72 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id < 3"), k=5).count() == 2 and ann.nearest(df.limit(0)).count() == 0
 
 
+def reached(unit, queries, tables=40):
+    """rows x queries: whether the probes of a query meet a row."""
+    hashes, count = ann.settings(len(unit), unit.shape[1], tables)
+    met = np.zeros((len(queries), len(unit)), bool)
+    for t in range(tables):
+        here, near = ann.cells(unit, t, tables, hashes), ann.probes(unit[queries], t, tables, hashes, count)
+        for row, cells in zip(met, near):
+            row |= np.isin(here, cells)
+    return met
+
+
+def recall_and_share(unit, queries):
+    met, s = reached(unit, queries), unit[queries] @ unit.T
+    s[np.arange(len(queries)), queries] = -9
+    top = np.argsort(-s, axis=1)[:, :5]
+    return np.mean([m[own].mean() for m, own in zip(met, top)]), met.mean()
+
+
+@pytest.mark.parametrize("kind,rows,share", [("given", 2000, 0.2), ("clustered", 4000, 0.2), ("random", 20_000, 0.12)])
+def test_probes_reach_few_rows_and_the_nearest_ones(kind, rows, share):
+    g = np.random.default_rng(14)
+    x = g.normal(size=(rows, 64))
+    if kind == "clustered":
+        x = g.normal(size=(rows // 20, 64))[g.integers(0, rows // 20, rows)] + 0.4 * x
+    if kind == "given":
+        if not os.path.isdir("/root/testdata/sf0.1"):
+            pytest.skip("no test tables")
+        x = np.stack(duckdb.sql("SELECT embedding FROM read_parquet('/root/testdata/sf0.1/embeddings.parquet') ORDER BY vec_id").df()["embedding"].to_numpy()).astype(float)
+    recall, met = recall_and_share(ann.unit_rows(x), np.arange(0, rows, max(20, rows // 100)))
+    assert recall >= 0.9 and met <= share, (recall, met)
+
+
+def test_nearest_with_repeated_ids_and_dimensions(spark):
+    g = np.random.default_rng(15)
+    rows = [(i, g.normal(size=8).tolist()) for i in range(60)] + [(100 + i, g.normal(size=3).tolist()) for i in range(4)] + [(7, g.normal(size=8).tolist()), (7, [1.0] * 8), (7, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(df, query_every=10).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        best = defaultdict(lambda: -9.0)
+        for a in (v for i, v in rows if i == q):
+            for i, b in rows:
+                if i != q and len(a) == len(b):
+                    best[i] = max(best[i], cosine(a, b))
+        assert got[q] == [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]]
+
+
 def test_hadamard_is_a_rotation():
-    x = np.random.default_rng(8).normal(size=(5, 64))
-    assert np.allclose(np.linalg.norm(ann.rotated(x, 1, 4), axis=1), np.linalg.norm(x, axis=1))
+    x = np.random.default_rng(8).normal(size=(5, 64)).astype(np.float32)
+    assert np.allclose(np.linalg.norm(ann.rotated(x, 1, 4), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_tokenizers_ids(name):
-    c = tokens.id_cache(tokens.vocabulary_path(name))
+    from tokenizers import Tokenizer
+
+    c, fresh = tokens.id_cache(tokens.vocabulary_path(name)), Tokenizer.from_file(tokens.vocabulary_path(name))
     g = np.random.default_rng(9)
     alphabet = list(" \n\t\r ®¶abC'1.é́ 　,Σ‍\x01\x02\x03")
     texts = ["".join(g.choice(alphabet, g.integers(0, 40))) for _ in range(1500)] + [r[1] or "" for r in ROWS]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>", "A <|STARTOFTEXT|>  b", "<|endoftext|><|startoftext|> c", "<| endoftext |> <|", "a <|endoftext|> " * 3]
     ids, cuts = c.encode_column(texts)
     for i, t in enumerate(texts):
-        assert ids[cuts[i] : cuts[i + 1]].tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids == c.encode(t).tolist(), t
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -356,6 +517,28 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_every_default_limit_decides_some_placement(spark):
+    docs, path = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokens.vocabulary_path("byte_bpe_50k.json")
+    key = ["doc_id", "start"]
+    usual = packing.pack_documents(docs, path).toPandas().sort_values(key)
+    by = usual.groupby("sequence_id")
+    assert by.length.sum().max() <= 1024 and by.size().max() <= 6 and by.loss_tokens.sum().max() <= 1016
+    assert 1 - usual.length.sum() / (1024 * usual.sequence_id.nunique()) < 0.03
+    for free in ({"length": 2048}, {"max_segments": 10_000}, {"max_loss": 1024}):
+        other = packing.pack_documents(docs, path, **free).toPandas().sort_values(key)
+        assert len(other) != len(usual) or other.sequence_id.tolist() != usual.sequence_id.tolist(), free
+
+
+def test_packing_takes_prompts_from_a_column(spark):
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    rows = [(1, "w " * 3000, 2500), (2, "w " * 3000, None), (3, "a b", 5000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, asked int"), path, prompt="asked").toPandas()
+    loss = got.groupby("doc_id").loss_tokens.sum()
+    total = got.groupby("doc_id").length.sum()
+    assert loss[1] == total[1] - 2500 and loss[2] == total[2] and loss[3] == 0 and (got.groupby("sequence_id").loss_tokens.sum() <= 1016).all()
+
+
 def test_vector_packing_keeps_every_limit():
     g = np.random.default_rng(10)
     size = np.stack([g.integers(1, 1024, 2000), np.ones(2000, int), g.integers(0, 600, 2000)], axis=1)
@@ -374,7 +557,43 @@ def test_toxicity_counterfactuals_even_out():
     free, _ = toxicity.fit_linear(rows, there, y, 3, l2=1e-3, swap_penalty=0.0)
     held, _ = toxicity.fit_linear(rows, there, y, 3, l2=1e-3, swap_penalty=5.0)
     assert abs(held[0] - held[1]) < 0.2 * abs(free[0] - free[1]) + 1e-6 and held[2] > 0
-    assert toxicity.swapped({"gay", "day"}) == {"straight", "day"}
+    assert toxicity.swapped({"gay", "day", "frauen"}, toxicity.swaps(toxicity.IDENTITY_TERMS)) == {"straight", "day", "männer"}
+
+
+def test_toxicity_fit_converges_and_the_penalty_is_inert_without_terms():
+    g = np.random.default_rng(16)
+    rows = [sorted(set(g.integers(0, 40, 8).tolist())) for _ in range(400)]
+    y = np.array([int(3 in r or g.random() < 0.1) for r in rows])
+    a, b = (toxicity.fit_linear(rows, rows, y, 40, l2=1e-4, swap_penalty=p) for p in (0.0, 50.0))
+    assert np.allclose(a[0], b[0], atol=1e-9) and a[1] == pytest.approx(b[1])
+    x = np.zeros((400, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    error = weight * (1 / (1 + np.exp(-(x @ a[0] + a[1]))) - y)
+    assert np.abs(x.T @ error + 2e-4 * a[0]).max() < 2e-6 and abs(error.sum()) < 2e-6
+    # Rows that name group 0 are toxic more often, and their counterfactuals name group 1.
+    there = [sorted({1 if j == 0 else 0 if j == 1 else j for j in r}) for r in rows]
+    y = np.array([int(3 in r or (0 in r and g.random() < 0.5)) for r in rows])
+    gaps = []
+    for p in (0.0, 1.0, 50.0):
+        w, _ = toxicity.fit_linear(rows, there, y, 40, l2=1e-4, swap_penalty=p)
+        gaps.append(np.mean([abs(w[r].sum() - w[s].sum()) for r, s in zip(rows, there)]))
+    assert gaps[0] > 2 * gaps[1] > 2 * gaps[2]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_held_out_errors_on_the_given_table(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.QUERIES["op8_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    assert len(got) > 700 and (got.predicted != got.toxic).sum() <= 11
+
+
+def test_one_label_teaches_one_text(spark):
+    rows = [(i, f"plain words number {i % 7}") for i in range(60)] + [(0, f"another vile text {i}") for i in range(500)] + [(60 + i, "vile vile") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id long, toxic int"))
+    assert model.score({"vile"}) > 0.5 > model.score({"plain", "words"})
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -405,13 +624,32 @@ def test_wavelet_matrix():
             assert m.access(int(i)) == v[i] and m.rank(int(v[i]), int(i)) == (v[:i] == v[i]).sum()
             assert m.occurrences(int(v[i]))[:50] == np.flatnonzero(v == v[i])[:50].tolist()
         assert m.select(1, n) == -1 and m.count(70_000) == 0
+    with pytest.raises(ValueError, match="17 bits"):
+        wavelet.WaveletMatrix.build(np.array([1, 70_000]), 16)
+    assert wavelet.WaveletMatrix.build(np.array([1, 70_000])).values().tolist() == [1, 70_000]
+
+
+def test_a_shard_is_read_in_parts():
+    v = np.random.default_rng(20).integers(0, 40_000, 400_000)
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(v, 16).to_bytes())
+    assert m.zeros == wavelet.WaveletMatrix.build(v, 16).zeros and not any(p.opened for p in m.planes)
+    assert m.access(123_456) == v[123_456] and max(len(p.opened) for p in m.planes) == 1 and len(m.planes[0].chunks) == 7
+    assert m.planes[0].read(0, 10).tolist() == np.packbits(v[:80] >> 15 & 1).tolist() and sorted(m.planes[0].opened) == [0, 1]
 
 
 def test_wavelet_round_trip(spark, docs, tmp_path):
     path = tokens.vocabulary_path("word_bpe_49k.json")
     wavelet.write_shards(docs, str(tmp_path / "s"), path, shard_ids=64)
     got = wavelet.read_documents(spark, str(tmp_path / "s")).toPandas().sort_values("start")
-    t = tokens.id_cache(path).tokenizer
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    ids = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids for r in ROWS if r[0] != 5}
+    token = ids[6][3]
+    all_ids = [i for r in ROWS for i in [*t.encode(r[1] or "", add_special_tokens=False).ids, 1]]
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, str(tmp_path / "s"), [token, 1, 40_000, 60_000]).collect()} == {x: all_ids.count(x) for x in (token, 1, 40_000, 60_000)}
+    places = Counter((r.doc_id, r["at"]) for r in wavelet.find_token(spark, str(tmp_path / "s"), token).collect())
+    assert places == Counter((r[0], k) for r in ROWS for k, x in enumerate([*t.encode(r[1] or "", add_special_tokens=False).ids, 1]) if x == token)
     want = {(r[0], zlib.crc32(np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in ROWS}
     assert len(got) == len(ROWS) and {(None if i is None or i != i else int(i), c) for i, c in zip(got.doc_id, got.ids_crc32)} == want
     assert got.start.tolist() == (got.n_tokens.cumsum() - got.n_tokens).tolist() and got.doc_id.dropna().is_monotonic_increasing
