@@ -13,6 +13,7 @@ def reduction_label(mm: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """Seconds below 90, minutes below 5400, hours from there on; a decimal each."""
+    """Whole seconds below 90, minutes below 5400 and hours from there on with a decimal: 89s, 1.5m, 2.0h. Halves go to the even digit."""
     s = seconds.cast("double")
-    return F.when(s < 90, F.format_string("%.1f s", s)).when(s < 5400, F.format_string("%.1f min", s / 60)).otherwise(F.format_string("%.1f h", s / 3600))
+    short = lambda x, digits, unit: F.format_string(f"%.{digits}f{unit}", F.bround(x, digits))
+    return F.when(s < 90, short(s, 0, "s")).when(s < 5400, short(s / 60, 1, "m")).otherwise(short(s / 3600, 1, "h"))

@@ -51,11 +51,16 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def unit(a: Vector) -> Vector:
+    """Of length 1; null where a vector has no length."""
+    return tuple(F.try_divide(x, norm(a)) for x in a)
+
+
 def view_direction(q: Vector) -> Vector:
-    """A camera's -Z axis in the world from its quaternion (x, y, z, w), of any length; lengths below 1e-12 count as that."""
+    """A camera's -Z axis in the world, of length 1, from its quaternion (x, y, z, w) of any length; squared lengths below 1e-12 count as 1."""
     x, y, z, w = q
-    s = F.lit(2.0) / F.greatest(dot(q, q), F.lit(1e-12))
-    return (-(s * (x * z + y * w)), -(s * (y * z - x * w)), -(F.lit(1.0) - s * (x * x + y * y)))
+    s = F.lit(2.0) / F.when(dot(q, q) < 1e-12, 1.0).otherwise(dot(q, q))
+    return unit((-(s * (x * z + y * w)), -(s * (y * z - x * w)), -(F.lit(1.0) - s * (x * x + y * y))))
 
 
 def smootherstep(x: Column) -> Column:

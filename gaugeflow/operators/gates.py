@@ -14,32 +14,6 @@ def thresholds(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, THRESHOLD_SCHEMA)
 
 
-def _capture() -> list[tuple]:
-    low = lambda s, c, p, f, u="": (s, c, "min", float(p), None, float(f), None, u)
-    high = lambda s, c, p, f, u="": (s, c, "max", None, float(p), None, float(f), u)
-    band = lambda s, c, a, b, x, y, u="": (s, c, "range", float(a), float(b), float(x), float(y), u)
-    # Acceptance limits of the engineering profile.
-    return [
-        low("capture", "capture.frame_count", 750, 540), band("capture", "capture.duration", 25, 45, 18, 60, "s"), low("capture", "capture.fps", 29, 24), low("capture", "capture.resolution", 1920, 1280, "px"),
-        low("capture", "capture.path", 1.2, 0.75, "m"), low("capture", "capture.span", 0.4, 0.25, "m"), low("capture", "capture.orientation_coverage", 140, 120, "deg"), high("capture", "capture.tracking_jumps", 0, 1),
-        high("capture", "capture.focal_drift", 1, 2, "%"), high("capture", "capture.linear_speed", 0.15, 0.30, "m/s"), high("capture", "capture.angular_speed", 30, 60, "deg/s"), low("capture", "video.sharpness_p10", 80, 40),
-        low("capture", "video.sharpness_median", 150, 80), high("capture", "video.dark_pixels", 1, 5, "%"), high("capture", "video.bright_pixels", 1, 5, "%"), high("capture", "video.luminance_stability", 40, 70),
-        low("capture", "capture.selected_frames", 100, 60), low("capture", "capture.depth_coverage", 0.95, 0.80),
-        low("mask", "mask.success_ratio", 0.95, 0.85),
-        low("sfm", "sfm.images", 80, 40), low("sfm", "sfm.ratio", 0.85, 0.60), low("sfm", "sfm.points", 10000, 2000),
-        low("mvs", "mvs.points", 100000, 10000), high("mvs", "mvs.nonfinite", 0, 0),
-        low("scale", "scale.inlier_ratio", 0.80, 0.60), high("scale", "scale.median", 10, 20, "mm"), high("scale", "scale.p95", 20, 30, "mm"),
-        high("mesh", "mesh.nonfinite", 0, 0), high("mesh", "mesh.degenerate", 0, 50), low("mesh", "mesh.largest", 0.999, 0.99), high("mesh", "mesh.components", 1, 50), band("mesh", "mesh.edge", 0.2, 1.0, 0.1, 1.5, "mm"),
-        low("landmarks", "landmark.ratio", 0.70, 0.50), high("landmarks", "landmark.residual", 1.5, 2.0, "mm"), high("landmarks", "landmark.snap", 1.0, 2.0, "mm"), low("landmarks", "landmark.hits", 20, 10), high("landmarks", "landmark.dispersion", 2.0, 4.0, "mm"),
-        high("asset", "asset.deviation", 1e-6, 1e-4, "m"), low("asset", "asset.texture", 4096, 2048, "px"), high("asset", "asset.black", 2, 8, "%"), high("asset", "asset.white", 1, 5, "%"),
-        high("pipeline", "pipeline.runtime", 3600, 5400, "s"),
-        high("repeatability", "repeatability.angle", 3, 5, "deg"), high("repeatability", "repeatability.goode", 0.03, 0.05), high("repeatability", "repeatability.length", 1, 2, "mm"), high("repeatability", "repeatability.surface_p95", 1, 2, "mm"),
-    ]
-
-
-CAPTURE_THRESHOLDS = _capture()
-
-
 def status(kind: Column, value: Column, pass_low: Column, pass_high: Column, warn_low: Column, warn_high: Column) -> Column:
     """Null warns. NaN, which Spark holds above every number, fails a bound and warns in a range."""
     nan = F.isnan(value)
@@ -69,8 +43,11 @@ def unpivot(metrics: DataFrame, keys: list[str], names: dict[str, str]) -> DataF
 
 
 def evaluate(metrics: DataFrame, limits: DataFrame) -> DataFrame:
-    """Checks: each metric row with its section, unit and status. The threshold table is a constant of the code, so it is broadcast."""
-    joined = metrics.join(F.broadcast(limits), "check_id")
+    """Checks: each metric row with its section, unit and status; an unknown check_id is an error. The threshold table is a constant of the code, so it is broadcast."""
+    known = limits.withColumnRenamed("check_id", "_known")
+    joined = metrics.join(F.broadcast(known), F.col("check_id") == F.col("_known"), "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown check: "), F.coalesce("check_id", F.lit("null")))).cast("string")
+    joined = joined.withColumn("section", F.when(F.col("_known").isNull(), unknown).otherwise(F.col("section"))).drop("_known")
     return joined.withColumn("status", status(*[F.col(c) for c in ("kind", "value", "pass_low", "pass_high", "warn_low", "warn_high")])).drop("kind", "pass_low", "pass_high", "warn_low", "warn_high")
 
 

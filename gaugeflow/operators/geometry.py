@@ -71,8 +71,8 @@ def rotated_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, width: Co
     return (pick(fx, fy, fy, fx), pick(fy, fx, fx, fy), pick(cx, height - 1 - cy, cy, width - 1 - cx), pick(cy, cx, width - 1 - cx, height - 1 - cy), pick(width, height, height, width), pick(height, width, width, height))
 
 
-#: The ten landmarks of a face capture, as rows name them.
-LANDMARKS = ("nasion", "rhinion", "pronasale", "subnasale", "alare_left", "alare_right", "glabella", "labrale_superius", "endocanthion_left", "endocanthion_right")
+#: The ten landmarks that the measurements need.
+LANDMARKS = ("glabella", "nasion", "pronasale", "subnasale", "columella", "labiale_superius", "left_alare", "right_alare", "left_endocanthion", "right_endocanthion")
 
 
 def pivot_landmarks(rows: DataFrame, by: str, names: tuple[str, ...] = LANDMARKS) -> DataFrame:
@@ -80,20 +80,52 @@ def pivot_landmarks(rows: DataFrame, by: str, names: tuple[str, ...] = LANDMARKS
     return rows.groupBy(by).agg(*[F.max(F.when(F.col("landmark") == n, F.struct("x", "y", "z"))).alias(n) for n in names])
 
 
+def _angle_at(a: V.Vector, vertex: V.Vector, b: V.Vector) -> Column:
+    u, v = V.minus(a, vertex), V.minus(b, vertex)
+    together = V.norm(u) * V.norm(v) < 1e-9
+    return F.when(together, F.raise_error(F.lit("an angle of landmarks that are one point")).cast("double")).otherwise(V.angle_degrees(u, v))
+
+
 def measurements(wide: DataFrame, by: str) -> DataFrame:
-    """Six measurements of pivoted landmarks: two lengths, a ratio, two angles and a deviation, in the landmarks' unit; null where a landmark is missing.
+    """Six measurements of pivoted landmarks in millimetres: two angles, a ratio, two lengths and a deviation, rounded as reports show them. A case that lacks a landmark is an error.
 
-    Length is nasion to pronasale, width alare to alare, and the Goode ratio the pronasale's distance from the nasion-alare line over
-    the length. The deviation is the pronasale's distance from the midline through nasion and subnasale across the face.
+    The Goode ratio is the distance of the pronasale from the middle between both alaria over the length from nasion to pronasale. The
+    deviation is how far the pronasale is, along the axis through both endocanthia, from their middle.
     """
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in sorted(LANDMARKS)]))
+    checked = wide.withColumn("nasion", F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing landmarks: "), F.array_join(missing, ", "))).cast("struct<x:double,y:double,z:double>")).otherwise(F.col("nasion")))
     at = lambda n: tuple(F.col(f"{n}.{c}") for c in "xyz")
-    nasion, tip, base, left, right = at("nasion"), at("pronasale"), at("subnasale"), at("alare_left"), at("alare_right")
-    crease = tuple((a + b) / 2 for a, b in zip(left, right))
-    length, line = V.distance(nasion, tip), V.minus(crease, nasion)
-    off = F.try_divide(V.norm(V.cross(V.minus(tip, nasion), line)), V.norm(line))
-    across = V.minus(right, left)
-    return wide.select(
-        by, length.alias("nose_length"), V.distance(left, right).alias("nose_width"), F.try_divide(off, length).alias("goode_ratio"),
-        V.angle_degrees(V.minus(at("glabella"), nasion), V.minus(tip, nasion)).alias("nasofrontal_angle"), V.angle_degrees(V.minus(tip, base), V.minus(at("labrale_superius"), base)).alias("nasolabial_angle"),
-        F.abs(F.try_divide(V.dot(V.minus(tip, base), across), V.norm(across))).alias("deviation"),
+    middle = lambda a, b: tuple((x + y) / 2 for x, y in zip(at(a), at(b)))
+    eyes = V.unit(V.minus(at("right_endocanthion"), at("left_endocanthion")))
+    length, tip = V.distance(at("pronasale"), at("nasion")), at("pronasale")
+    return checked.select(
+        by, F.bround(_angle_at(at("glabella"), at("nasion"), tip), 1).alias("nasofrontal_angle_deg"), F.bround(_angle_at(at("columella"), at("subnasale"), at("labiale_superius")), 1).alias("nasolabial_angle_deg"),
+        F.bround(V.distance(tip, middle("left_alare", "right_alare")) / length, 3).alias("goode_ratio"), F.bround(length, 2).alias("nose_length_mm"), F.bround(V.distance(at("left_alare"), at("right_alare")), 2).alias("nose_width_mm"),
+        F.bround(F.abs(V.dot(V.minus(tip, middle("left_endocanthion", "right_endocanthion")), eyes)), 2).alias("midline_deviation_mm"),
     )
+
+
+def anatomical_frame(wide: DataFrame, by: str) -> DataFrame:
+    """A case's axes and region from its pivoted landmarks in millimetres: vertical, anterior, lateral (structs), tip_longitudinal_mm, roi_end_mm, half_width_mm, alar_width_mm, usable.
+
+    Vertical runs from nasion to subnasale; anterior is what the way to the pronasale has across it; lateral is across both, from
+    the left alare to the right unless anterior would then point away from the tip. ``usable`` is false where the tip is nearer than 15 mm along the vertical, the alaria are nearer than
+    10 mm, or the region would end before 12 mm.
+    """
+    at = lambda n: tuple(F.col(f"{n}.{c}") for c in "xyz")
+    pack = lambda v: F.struct(*[x.alias(c) for x, c in zip(v, "xyz")])
+    vertical = V.unit(V.minus(at("subnasale"), at("nasion")))
+    rows = wide.select(by, *LANDMARKS, pack(vertical).alias("vertical"))
+    up = at("vertical")
+    to_tip = V.minus(at("pronasale"), at("nasion"))
+    along = V.dot(to_tip, up)
+    rows = rows.withColumns({"tip_longitudinal_mm": along, "across": pack(tuple(t - along * u for t, u in zip(to_tip, up)))})
+    rows = rows.withColumn("lateral", pack(V.unit(V.cross(up, V.unit(at("across"))))))
+    flip = F.when(V.dot(at("lateral"), V.minus(at("right_alare"), at("left_alare"))) < 0, -1.0).otherwise(1.0)
+    rows = rows.withColumn("lateral", pack(tuple(x * flip for x in at("lateral"))))
+    rows = rows.withColumn("anterior", pack(V.unit(V.cross(at("lateral"), up))))
+    back = F.when(V.dot(at("anterior"), at("across")) < 0, -1.0).otherwise(1.0)
+    rows = rows.withColumns({"anterior": pack(tuple(x * back for x in at("anterior"))), "lateral": pack(tuple(x * back for x in at("lateral")))})
+    rows = rows.withColumn("alar_width_mm", V.distance(at("right_alare"), at("left_alare"))).withColumn("roi_end_mm", F.least(0.82 * F.col("tip_longitudinal_mm"), F.col("tip_longitudinal_mm") - 6))
+    usable = (F.col("tip_longitudinal_mm") >= 15) & V.is_finite(F.col("alar_width_mm")) & (F.col("alar_width_mm") >= 10) & (F.col("roi_end_mm") >= 12)
+    return rows.select(by, "vertical", "anterior", "lateral", "tip_longitudinal_mm", "roi_end_mm", V.clip(0.28 * F.col("alar_width_mm"), 6, 12).alias("half_width_mm"), "alar_width_mm", F.coalesce(usable, F.lit(False)).alias("usable"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .components import connected_components
+from .quantiles import exact_percentiles
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def edge_lengths(faces: DataFrame, vertices: DataFrame, unique: bool) -> DataFra
     e = unique_edges(faces).select("mesh", "a", "b") if unique else directed_edges(faces).select("mesh", F.col("u").alias("a"), F.col("v").alias("b"))
     side = lambda n: vertices.select("mesh", F.col("vid").alias(n), *[F.col(c).alias(n + c) for c in "xyz"])
     d = e.join(side("a"), ["mesh", "a"]).join(side("b"), ["mesh", "b"]).withColumn("d", V.distance(V.columns("a"), V.columns("b")))
-    return d.groupBy("mesh").agg(F.percentile("d", F.lit(0.5)).alias("edge_median"), F.percentile("d", F.lit(0.95)).alias("edge_p95"))
+    return exact_percentiles(d, ["mesh"], {"edge_median": (F.col("d"), 0.5), "edge_p95": (F.col("d"), 0.95)})
 
 
 def _normal2():
@@ -52,11 +53,11 @@ def _normal2():
     return V.cross(V.minus(at(1), at(0)), V.minus(at(2), at(0)))
 
 
-def degenerate_faces(faces: DataFrame, vertices: DataFrame, relative: float = 1e-12) -> DataFrame:
-    """Faces with a repeated corner, or with twice their area within a tolerance relative to the mesh's largest extent squared."""
+def degenerate_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces with a repeated corner, or with twice their area within the tolerance: 100 times the rounding of a double at the mesh's largest extent squared (1 at least), and 1e-30 at least."""
     size = vertices.groupBy("mesh").agg(F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("extent"))
     f = with_points(faces, vertices).join(size, "mesh").withColumn("area2", V.norm(_normal2()))
-    flat = (F.col("v0") == F.col("v1")) | (F.col("v1") == F.col("v2")) | (F.col("v0") == F.col("v2")) | (F.col("area2") <= relative * F.col("extent") * F.col("extent"))
+    flat = (F.col("v0") == F.col("v1")) | (F.col("v1") == F.col("v2")) | (F.col("v0") == F.col("v2")) | (F.col("area2") <= F.greatest(2.0**-52 * F.greatest(F.col("extent") * F.col("extent"), F.lit(1.0)) * 100, F.lit(1e-30)))
     return f.groupBy("mesh").agg(F.count(F.lit(1)).alias("faces"), F.count_if(flat).alias("degenerate"))
 
 
@@ -96,3 +97,51 @@ def reindexed(faces: DataFrame) -> DataFrame:
     before = used.groupBy("mesh", "span").agg(F.count("vid").alias("n")).selectExpr("mesh", "span", "coalesce(sum(n) OVER (PARTITION BY mesh ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
     inside = used.selectExpr("mesh", "vid", "span", "row_number() OVER (PARTITION BY mesh, span ORDER BY vid) - 1 AS at")
     return inside.join(before, ["mesh", "span"]).selectExpr("mesh", "vid", "start + at AS new_vid")
+
+
+def keep_largest(faces: DataFrame) -> DataFrame:
+    """The faces of each mesh's largest component: that with most faces, or with the smallest vertex if several have as many."""
+    parts = face_components(faces)
+    sizes = parts.groupBy("mesh", "component").agg(F.count(F.lit(1)).alias("_n"))
+    best = sizes.groupBy("mesh").agg(F.max(F.struct("_n", (-F.col("component")).alias("c"))).alias("b")).select("mesh", (-F.col("b.c")).alias("component"))
+    return faces.join(parts.join(best, ["mesh", "component"], "left_semi").select("mesh", "fid"), ["mesh", "fid"], "left_semi")
+
+
+def face_components(faces: DataFrame) -> DataFrame:
+    """mesh, fid, component: the smallest vertex of the faces joined by shared edges. Vertex ids must be the same in all meshes or tell them apart."""
+    nodes = F.struct("mesh", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    edges = directed_edges(faces).where("u <> v").select("mesh", "fid", nodes.alias("edge"))
+    links = edges.select(F.concat_ws(":", F.lit("f"), "mesh", F.col("fid").cast("string")).alias("a"), F.concat_ws(":", F.lit("e"), "edge.mesh", F.col("edge.a").cast("string"), F.col("edge.b").cast("string")).alias("b"))
+    found = connected_components(links).withColumnRenamed("component", "_c")
+    named = faces.select("mesh", "fid", F.least("v0", "v1", "v2").alias("_v"), F.concat_ws(":", F.lit("f"), "mesh", F.col("fid").cast("string")).alias("node")).join(found, "node", "left")
+    first = named.groupBy("_c").agg(F.min("_v").alias("_first"))
+    return named.join(first, "_c", "left").select("mesh", "fid", F.when(F.col("_c").isNull(), F.col("_v")).otherwise(F.col("_first")).alias("component"))
+
+
+def seeded_component(edges: DataFrame, inside: DataFrame, seed: int) -> DataFrame:
+    """vid: the vertices joined to ``seed`` by edges (a, b) whose ends are both in ``inside`` (vid); an error if the seed isn't there or no edge is."""
+    kept = inside.select("vid").distinct()
+    active = edges.join(kept.withColumnRenamed("vid", "a"), "a", "left_semi").join(kept.withColumnRenamed("vid", "b"), "b", "left_semi").select("a", "b")
+    found = connected_components(active)
+    own = found.where(F.col("node") == seed).select("component").limit(1).collect()  # a row at most
+    if not own:
+        raise ValueError("the seed is on no edge of the region")
+    return found.where(F.col("component") == own[0][0]).select(F.col("node").alias("vid"))
+
+
+def mesh_audit(faces: DataFrame, vertices: DataFrame, scale: float = 1.0) -> DataFrame:
+    """A row a mesh: vertices, faces, nonfinite values, degenerate faces, boundary and non-manifold edges, watertight, winding_consistent, median and p95 length of its unique edges times ``scale``."""
+    bad = [F.count_if(~V.is_finite(F.col(c))) for c in "xyz"]
+    points = vertices.groupBy("mesh").agg(F.count(F.lit(1)).alias("vertices"), (bad[0] + bad[1] + bad[2]).alias("nonfinite"))
+    lengths = edge_lengths(faces, vertices, True).select("mesh", (F.col("edge_median") * scale).alias("edge_median"), (F.col("edge_p95") * scale).alias("edge_p95"))
+    return points.join(degenerate_faces(faces, vertices), "mesh").join(edge_summary(faces), "mesh").join(lengths, "mesh").select("mesh", "vertices", "faces", "nonfinite", "degenerate", "boundary", "nonmanifold", "watertight", "winding_consistent", "edge_median", "edge_p95")
+
+
+def sampled_texture(corners_uv: DataFrame, pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """From rows (mesh, fid, u, v), three a face, and pixels (row, column, gray): mesh, faces, dark_percent (gray <= 5), bright_percent (gray >= 250), median. Each face is sampled at the pixel nearest to the mean of its corners; v runs upwards."""
+    face = corners_uv.groupBy("mesh", "fid").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    at = lambda x, n: F.least(F.greatest(F.rint(x * (n - 1)).cast("long"), F.lit(0)), F.lit(n - 1)).cast("long")
+    placed = face.select("mesh", "fid", at(1 - F.col("v"), height).alias("row"), at(F.col("u"), width).alias("column"))
+    met = placed.join(pixels.select(F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "gray"), ["row", "column"])
+    shares = met.groupBy("mesh").agg(F.count(F.lit(1)).alias("faces"), F.bround(F.avg((F.col("gray") <= 5).cast("double")) * 100, 4).alias("dark_percent"), F.bround(F.avg((F.col("gray") >= 250).cast("double")) * 100, 4).alias("bright_percent"))
+    return shares.join(exact_percentiles(met, ["mesh"], {"median": (F.col("gray"), 0.5)}), "mesh")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,28 @@ def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = N
     return met.withColumn("distance", V.distance(V.columns(""), V.columns("n"))).where(F.col("distance") <= radius).select("point_id", "neighbor_id", "distance")
 
 
-def knn(points: DataFrame, k: int, start_radius: float, limit: int = 12) -> DataFrame:
+def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
     """The k nearest other points of each point: point_id, rank, neighbor_id, distance; ties go to the smaller id.
 
     Points that find fewer than k within the radius search again with twice the radius, so the result is exact; each round is written, and
-    only the unfinished go on. After ``limit`` rounds, or when no more than k points exist, what was found stands.
+    only the unfinished go on. It ends when none is left, or when the radius is that of the box around all points: then every other point
+    has been found, be it fewer than k.
     """
-    from ..sources.scratch import written
+    from ..sources.scratch import forget, written
 
+    box = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    widest = math.sqrt(sum((x or 0.0) ** 2 for x in box))
     done, open_points, radius = None, points, start_radius
-    for step in range(limit):
+    while True:
         pairs = written(radius_pairs(points, radius, open_points), "knn")
+        last = radius >= widest
         enough = pairs.groupBy("point_id").agg(F.count("neighbor_id").alias("n")).where(F.col("n") >= k)
-        last = step == limit - 1
         found = pairs if last else pairs.join(enough, "point_id", "left_semi")
         done = found if done is None else done.unionByName(found)
         if last:
             break
-        open_points = written(open_points.join(enough, "point_id", "left_anti"), "open")
+        before, open_points = open_points, written(open_points.join(enough, "point_id", "left_anti"), "open")
+        forget(before)
         if open_points.isEmpty():
             break
         radius *= 2
@@ -63,7 +69,7 @@ def voxel_means(points: DataFrame, by: list[str], size: float) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """n rows, the same for the same seed whatever the partitions: those with the smallest hashes."""
+    """n rows (a bounded number), the same for the same seed whatever the partitions: those with the smallest hashes. Each task keeps its n smallest; only those meet."""
     return rows.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed))).orderBy("_h", row_id).limit(n).drop("_h")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .quantiles import exact_percentiles
 
 
 def window_top1(rows: DataFrame, time: str, score: str, row_id: str, windows: int, minimum: float, by: list[str] | None = None) -> DataFrame:
@@ -39,19 +40,20 @@ def adjacent_motion(track: DataFrame, case: str, order: str, time: str, center:
 def motion_summary(moved: DataFrame, case: str, time: str, center: V.Vector, jump: float = 0.15) -> DataFrame:
     """A row a case: frames, duration, rate, p95 interval in ms, path length, span, jumps, p95 speeds; strictly_increasing says if every interval is positive."""
     spread = [F.max(c) - F.min(c) for c in center]
-    p95 = lambda c: F.percentile(c, F.lit(0.95))
-    return moved.groupBy(case).agg(
-        F.count(time).alias("n"), (F.max(time) - F.min(time)).alias("duration"), F.try_divide(F.count(time) - 1, F.max(time) - F.min(time)).alias("rate"), (p95("interval") * 1000).alias("interval_p95_ms"),
-        F.sum("step").alias("path_length"), F.sqrt(sum((s * s for s in spread), F.lit(0.0))).alias("span"), F.count_if(F.col("step") > jump).alias("jumps"),
-        p95("linear_speed").alias("linear_p95"), p95("angular_speed").alias("angular_p95"), F.coalesce(F.min("interval") > 0, F.lit(True)).alias("strictly_increasing"),
+    plain = moved.groupBy(case).agg(
+        F.count(time).alias("n"), (F.max(time) - F.min(time)).alias("duration"), F.try_divide(F.count(time) - 1, F.max(time) - F.min(time)).alias("rate"),
+        F.sum("step").alias("path_length"), F.sqrt(sum((s * s for s in spread), F.lit(0.0))).alias("span"), F.count_if(F.col("step") > jump).alias("jumps"), F.coalesce(F.min("interval") > 0, F.lit(True)).alias("strictly_increasing"),
     )
+    high = exact_percentiles(moved, [case], {"interval_p95_ms": (F.col("interval") * 1000, 0.95), "linear_p95": (F.col("linear_speed"), 0.95), "angular_p95": (F.col("angular_speed"), 0.95)})
+    return plain.join(high, case)
 
 
 def conditional_percentiles(rows: DataFrame, by: list[str], value: str, selected: Column) -> DataFrame:
     """p10 and p50 of the selected rows beside median and p05-p95 range of all rows, finite values only."""
     v = F.when(V.is_finite(F.col(value)), F.col(value))
-    p = lambda x, q: F.percentile(x, F.lit(q))
-    return rows.groupBy(*by).agg(p(F.when(selected, v), 0.1).alias("selected_p10"), p(F.when(selected, v), 0.5).alias("selected_p50"), p(v, 0.5).alias("all_p50"), (p(v, 0.95) - p(v, 0.05)).alias("all_range"))
+    some = F.when(selected, v)
+    found = exact_percentiles(rows, by, {"selected_p10": (some, 0.1), "selected_p50": (some, 0.5), "all_p50": (v, 0.5), "_high": (v, 0.95), "_low": (v, 0.05)})
+    return found.withColumn("all_range", F.col("_high") - F.col("_low")).drop("_high", "_low")
 
 
 def contiguity(rows: DataFrame, case: str, position: str) -> DataFrame:
@@ -86,7 +88,7 @@ def binned_profile(rows: DataFrame, by: list[str], along: Column, height: str, l
     """A quantile of ``height`` in each of ``bins`` bins along an axis; null where a bin has fewer than ``least`` points. Every case has all bins."""
     spark = rows.sparkSession
     placed = rows.withColumn("bin", F.floor((along - low) * (bins / (high - low))).cast("int")).where(F.col("bin").between(0, bins - 1))
-    got = placed.groupBy(*by, "bin").agg(F.percentile(height, F.lit(quantile)).alias("level"), F.count(height).alias("points"))
+    got = placed.groupBy(*by, "bin").agg(F.count(height).alias("points")).join(exact_percentiles(placed, [*by, "bin"], {"level": (F.col(height), quantile)}), [*by, "bin"])
     spine = rows.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return spine.join(got, [*by, "bin"], "left").withColumns({"level": F.when(F.col("points") >= least, F.col("level")), "points": F.coalesce("points", F.lit(0))})
 

@@ -1,15 +1,16 @@
-"""Small least-squares fits, one group at a time: sums are Spark aggregates, and only 3x3 problems are solved in NumPy."""
+"""Small least-squares fits of groups of any size: sums are Spark aggregates, and only 3x3 problems of a row a group are solved in NumPy."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+from ..sources.scratch import forget, written
 from ..sources.workers import share_package
+from .quantiles import exact_percentiles
 
 
 def moment_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -49,19 +50,26 @@ def umeyama_fit(pairs: DataFrame, by: list[str], with_scale: bool = True) -> Dat
 
 
 def ransac_fit(pairs: DataFrame, by: list[str], row_id: str, *, hypotheses: int = 1000, sample: int = 8, threshold: float = 0.025, seed: int = 1) -> DataFrame:
-    """The similarity of the hypothesis with most inliers (then the lowest median residual), fitted again to its inliers; ``accepted`` if these are 20 and half of the group at least.
+    """The similarity of the hypothesis with most inliers (then the lowest median residual among them), fitted again to its inliers; ``accepted`` if these are 20 and half of the group at least.
 
-    Each hypothesis draws about ``sample`` pairs of a group, those with the smallest hashes; all are fitted from one aggregate, and scored on
+    Each hypothesis draws ``sample`` pairs of a group, those with the smallest hashes; all are fitted from one aggregate, and scored on
     all pairs in a second. So neither a group nor the pairs of a group need fit a task.
     """
     spark = pairs.sparkSession
     trials = spark.range(hypotheses).withColumnRenamed("id", "trial")
     sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = pairs.join(sizes, by).crossJoin(F.broadcast(trials)).where(F.pmod(F.xxhash64(row_id, "trial", F.lit(seed)), F.lit(1 << 30)) < F.lit(sample * 1.0) / F.col("_n") * (1 << 30))  # trials: a fixed number
-    fits = umeyama_fit(drawn, [*by, "trial"]).where(F.col("n") >= 4).withColumnRenamed("n", "drawn")
+    mark = F.pmod(F.xxhash64(row_id, "trial", F.lit(seed)), F.lit(1 << 30))
+    tried = pairs.join(sizes, by).crossJoin(F.broadcast(trials)).withColumn("_h", mark)  # trials: a fixed number
+    likely = tried.where(F.col("_h") < F.lit(4.0 * sample) / F.col("_n") * (1 << 30))  # among which the smallest nearly always are
+    drawn = likely.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "trial").orderBy("_h", row_id))).where(F.col("_r") <= sample)
+    fits = written(umeyama_fit(drawn, [*by, "trial"]).where(F.col("n") >= 4).withColumnRenamed("n", "drawn"), "fits")
     scored = pairs.join(fits, by).withColumn("residual", residual())
-    score = scored.groupBy(*by, "trial").agg(F.count_if(F.col("residual") <= threshold).alias("inliers"), F.percentile("residual", F.lit(0.5)).alias("median"))
-    best = score.groupBy(*by).agg(F.max(F.struct("inliers", (-F.col("median")).alias("m"), (-F.col("trial")).alias("t"))).alias("b")).select(*by, (-F.col("b.t")).alias("trial"), F.col("b.inliers").alias("inliers"))
+    inside = F.when(F.col("residual") <= threshold, F.col("residual"))
+    score = written(scored.groupBy(*by, "trial").agg(F.count(inside).alias("inliers")), "score")
+    most = score.groupBy(*by).agg(F.max("inliers").alias("inliers"))
+    leading = score.join(most, [*by, "inliers"])  # hypotheses with most inliers; of these the one whose inliers fit best, then the first
+    medians = exact_percentiles(scored.join(leading.select(*by, "trial"), [*by, "trial"]), [*by, "trial"], {"median": (inside, 0.5)})
+    best = leading.join(medians, [*by, "trial"]).groupBy(*by).agg(F.min(F.struct(F.coalesce("median", F.lit(float("inf"))).alias("m"), "trial", "inliers")).alias("b")).select(*by, "b.trial", "b.inliers")
     kept = scored.join(best, [*by, "trial"]).where(F.col("residual") <= threshold)
     enough = F.greatest(F.lit(20.0), F.bround(F.col("_n") * 0.5, 0))
     return umeyama_fit(kept, by).join(best.drop("trial"), by).join(sizes, by).withColumn("accepted", F.col("inliers") >= enough).drop("_n")
@@ -73,50 +81,76 @@ def residual():
     return F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
 
 
-def per_group(rows: DataFrame, by: list[str], kernel: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    """A NumPy kernel over each group, for groups that a capture bounds (rays of a landmark, hits of a view)."""
-    share_package(rows.sparkSession)
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-    return rows.groupBy(*by).applyInPandas(lambda key, g: pd.DataFrame([dict(zip(by, key)) | kernel(g)]), f"{keys}, {schema}")
-
-
-def ray_point(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The point nearest to all rays (centers, unit directions)."""
-    m = np.eye(3) - d[:, :, None] * d[:, None, :]
-    return np.linalg.solve(m.sum(axis=0), (m @ c[:, :, None]).sum(axis=0).ravel())
-
-
-def robust_rays(g: pd.DataFrame, least: int = 6, rounds: int = 4) -> dict:
-    """Triangulate, dropping rays beyond median + 3 MAD, twice the median and 1e-6, whichever is most, until no ray changes side."""
-    c, d = g[["cx", "cy", "cz"]].to_numpy(float), g[["dx", "dy", "dz"]].to_numpy(float)
-    d = d / np.linalg.norm(d, axis=1, keepdims=True)
-    keep = np.ones(len(c), bool)
-    p = np.full(3, np.nan)
-    for _ in range(rounds if len(c) >= least else 0):
-        p = ray_point(c[keep], d[keep])
-        off = p - c
-        r = np.linalg.norm(off - (off * d).sum(axis=1, keepdims=True) * d, axis=1)
-        m = np.median(r[keep])
-        new = r <= max(m + 3 * np.median(np.abs(r[keep] - m)), 2 * m, 1e-6)
-        if new.sum() < least or (new == keep).all():
-            break
-        keep = new
-    return {"x": p[0], "y": p[1], "z": p[2], "used": int(keep.sum()), "n": len(c)}
+def ray_points(rays: DataFrame, by: list[str]) -> DataFrame:
+    """The point nearest to all rays (c*: center, d*: unit direction) of each group: px, py, pz; null if they are all alike.
+
+    Sums of I - dd' and of its product with c are an aggregate; the 3x3 problem is an expression of its six entries.
+    """
+    m = {(i, j): (F.lit(1.0) if i == j else F.lit(0.0)) - F.col(f"d{i}") * F.col(f"d{j}") for i in "xyz" for j in "xyz"}
+    right = {i: sum((m[i, j] * F.col(f"c{j}") for j in "xyz"), F.lit(0.0)) for i in "xyz"}
+    sums = rays.groupBy(*by).agg(*[F.sum(m[i, j]).alias(f"m{i}{j}") for i in "xyz" for j in "xyz" if i <= j], *[F.sum(right[i]).alias(f"b{i}") for i in "xyz"])
+    a = lambda i, j: F.col(f"m{min(i, j)}{max(i, j)}")
+    minor = lambda r, c: a(r[0], c[0]) * a(r[1], c[1]) - a(r[0], c[1]) * a(r[1], c[0])
+    rest = {"x": "yz", "y": "xz", "z": "xy"}
+    sign = lambda i, j: 1.0 if ("xyz".index(i) + "xyz".index(j)) % 2 == 0 else -1.0
+    det = sum((a("x", j) * minor("yz", rest[j]) * sign("x", j) for j in "xyz"), F.lit(0.0))
+    solved = [F.try_divide(sum((minor(rest[i], rest[j]) * sign(i, j) * F.col(f"b{j}") for j in "xyz"), F.lit(0.0)), det).alias(f"p{i}") for i in "xyz"]
+    return sums.select(*by, *solved)
+
+
+def _median_and_mad(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Median ``m`` of ``r`` over kept rows, and ``s``, the median distance from it."""
+    middle = exact_percentiles(rows, by, {"m": (F.when(F.col("keep"), F.col("r")), 0.5)})
+    return exact_percentiles(rows.join(middle, by), by, {"s": (F.when(F.col("keep"), F.abs(F.col("r") - F.col("m"))), 0.5)}).join(middle, by)
 
 
-def consensus_point(g: pd.DataFrame, low: float = 0.0025, high: float = 0.008, rounds: int = 5) -> dict:
-    """Mean of the points within median + 3 * 1.4826 MAD (held to low..high) of the coordinate-wise median of the kept ones."""
-    p = g[["x", "y", "z"]].to_numpy(float)
-    keep = np.ones(len(p), bool)
+def _trimmed(rows: DataFrame, by: list[str], rounds: int, least: int, distances, limit) -> DataFrame:
+    """``rows`` with ``keep``, after rounds in which each group's rows are measured against its kept ones and those beyond a limit leave, or come back. Groups with fewer than ``least`` kept rows stay as they are.
+
+    A round is a few aggregates over all groups at once, written to the shared folder; it ends early where nothing changed.
+    """
+    now = written(rows.withColumn("keep", F.lit(True)), "kept")
     for _ in range(rounds):
-        r = np.linalg.norm(p - np.median(p[keep], axis=0), axis=1)
-        m = np.median(r[keep])
-        new = r <= min(high, max(low, m + 3 * 1.4826 * np.median(np.abs(r[keep] - m))))
-        if not new.any() or (new == keep).all():
+        counts = now.groupBy(*by).agg(F.count_if("keep").alias("_k"))
+        measured = written(distances(now, by).join(counts, by), "measured")
+        bounds = _median_and_mad(measured, by)
+        new = measured.join(bounds, by, "left").withColumn("_new", F.when(F.col("_k") >= least, F.col("r") <= limit(F.col("m"), F.col("s"))).otherwise(F.col("keep")))
+        new = written(new.select(*rows.columns, F.coalesce("_new", F.lit(False)).alias("keep"), F.coalesce(F.col("_new") != F.col("keep"), F.lit(False)).alias("_changed")), "kept")
+        forget(now, measured)
+        now = new
+        if now.where("_changed").isEmpty():
             break
-        keep = new
-    x, y, z = p[keep].mean(axis=0)
-    return {"x": x, "y": y, "z": z, "used": int(keep.sum()), "n": len(p)}
+    return now.select(*rows.columns, "keep")
+
+
+def robust_rays(rays: DataFrame, by: list[str], least: int = 6, rounds: int = 4) -> DataFrame:
+    """Triangulates each group's rays (c*, d*), without those whose distance is beyond median + 3 MAD, twice the median and 1e-6, whichever is most: by, x, y, z, used, n.
+
+    The point is that of the rays kept last. It is null where fewer than ``least`` are.
+    """
+    length = V.norm(V.columns("d"))
+    unit = rays.select(*by, *[F.col(f"c{c}") for c in "xyz"], *[(F.col(f"d{c}") / length).alias(f"d{c}") for c in "xyz"])
+
+    def distances(now: DataFrame, by: list[str]) -> DataFrame:
+        points = ray_points(now.where("keep"), by)
+        return now.join(points, by, "left").withColumn("r", V.norm(V.cross(V.minus(V.columns("p"), V.columns("c")), V.columns("d"))))
+
+    kept = _trimmed(unit, by, rounds, least, distances, lambda m, s: F.greatest(m + 3 * s, 2 * m, F.lit(1e-6)))
+    counts = kept.groupBy(*by).agg(F.count_if("keep").alias("used"), F.count(F.lit(1)).alias("n"))
+    enough = F.col("used") >= least
+    return counts.join(ray_points(kept.where("keep"), by), by, "left").select(*by, *[F.when(enough, F.col(f"p{c}")).alias(c) for c in "xyz"], "used", "n")
+
+
+def consensus_point(points: DataFrame, by: list[str], low: float = 0.0025, high: float = 0.008, least: int = 6, rounds: int = 5) -> DataFrame:
+    """Mean of each group's points within median + 3 * 1.4826 MAD (held to low..high) of the coordinate-wise median of the kept ones: by, x, y, z, used, n; null where fewer than ``least`` are kept."""
+
+    def distances(now: DataFrame, by: list[str]) -> DataFrame:
+        center = exact_percentiles(now, by, {f"p{c}": (F.when(F.col("keep"), F.col(c)), 0.5) for c in "xyz"})
+        return now.join(center, by, "left").withColumn("r", V.distance(V.columns(""), V.columns("p")))
+
+    kept = _trimmed(points.select(*by, "x", "y", "z"), by, rounds, least, distances, lambda m, s: F.least(F.lit(high), F.greatest(F.lit(low), m + 3 * 1.4826 * s)))
+    enough = F.count_if("keep") >= least
+    return kept.groupBy(*by).agg(*[F.when(enough, F.avg(F.when(F.col("keep"), F.col(c)))).alias(c) for c in "xyz"], F.count_if("keep").alias("used"), F.count(F.lit(1)).alias("n"))
 
 
 def local_planes(neighbors: DataFrame) -> DataFrame:
@@ -140,32 +174,3 @@ def local_planes(neighbors: DataFrame) -> DataFrame:
 
     share_package(neighbors.sparkSession)
     return sums.mapInPandas(solve, "point_id long, normal array<double>, rms double, n long")
-
-
-def biharmonic_offsets(edges: np.ndarray, constraints: dict[int, float], fixed: set[int], n: int, weight: float = 100.0, rounds: int = 500) -> np.ndarray:
-    """Smooth offsets of n vertices that meet soft constraints and are zero on fixed ones: (L'L + W + 1e-9 I) u = W b by conjugate gradients without a matrix.
-
-    For one region of interest, whose size a capture bounds; at least three constraints and three fixed vertices are needed.
-    """
-    if len(constraints) < 3 or len(fixed) < 3:
-        raise ValueError("at least three constraints and three fixed vertices are needed")
-    a, b = edges[:, 0], edges[:, 1]
-    degree = np.bincount(np.concatenate([a, b]), minlength=n).astype(float)
-    lap = lambda u: degree * u - np.bincount(a, u[b], n) - np.bincount(b, u[a], n)
-    free = np.ones(n)
-    free[list(fixed)] = 0
-    w, goal = np.zeros(n), np.zeros(n)
-    for i, v in constraints.items():
-        w[i], goal[i] = weight, v
-    apply = lambda u: free * (lap(lap(free * u)) + w * u + 1e-9 * u)
-    u, r = np.zeros(n), free * w * goal
-    p, rr = r.copy(), r @ r
-    for _ in range(rounds):
-        if rr < 1e-18:
-            break
-        q = apply(p)
-        k = rr / (p @ q)
-        u, r = u + k * p, r - k * q
-        new = r @ r
-        p, rr = r + new / rr * p, new
-    return u

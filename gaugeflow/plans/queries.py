@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import reduction_label
-from ..operators import compare, gates, geometry, mesh, neighbors, registration, robust, solve, state
+from ..functions.text import duration_label, reduction_label
+from ..operators import compare, gates, geometry, mesh, neighbors, registration, reports, robust, scale, solve, state, surfaces
 from ..operators import series as S
 from ..operators.components import connected_components
-from .roles import SQL, cloud, faces, series, table, vertices
+from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,24 +152,28 @@ def dependency_conflicts(spark, d):
     return compare.conflicting_keys(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query(f"""WITH {SQL["cloud"]} SELECT a.case_id, round(degrees(acos(greatest(-1, least(1, min((a.x*b.x + a.y*b.y + a.z*b.z) / (sqrt(a.x*a.x + a.y*a.y + a.z*a.z) * sqrt(b.x*b.x + b.y*b.y + b.z*b.z))))))), 6) AS max_angle
-FROM cloud a JOIN cloud b ON a.case_id = b.case_id AND a.point_id < b.point_id GROUP BY 1""")
-def max_pairwise_angle(spark, d):
-    return rounded(geometry.max_pairwise_angle(cloud(spark, d), ["case_id"], "point_id", ("x", "y", "z")), "max_angle")
+_VIEW = "qx*qx + qy*qy + qz*qz + qw*qw"
+_VIEWS = f"v AS (SELECT point_id, case_id, -(s * (qx*qz + qy*qw)) AS a, -(s * (qy*qz - qx*qw)) AS b, -(1 - s * (qx*qx + qy*qy)) AS c FROM (SELECT *, CAST(2 AS DOUBLE) / CASE WHEN {_VIEW} < 1e-12 THEN 1 ELSE {_VIEW} END AS s FROM cloud)), views AS (SELECT point_id, case_id, a / sqrt(a*a + b*b + c*c) AS x, b / sqrt(a*a + b*b + c*c) AS y, c / sqrt(a*a + b*b + c*c) AS z FROM v)"
 
 
-_VIEW = "qx*qx + qy*qy + qz*qz + qw*qw"
+@query(f"""WITH {SQL["cloud"]}, {_VIEWS} SELECT a.case_id, round(degrees(acos(greatest(-1, least(1, min(a.x*b.x + a.y*b.y + a.z*b.z))))), 5) AS max_angle
+FROM views a JOIN views b ON a.case_id = b.case_id AND a.point_id < b.point_id GROUP BY 1""")
+def max_pairwise_angle(spark, d):
+    """How far apart a case's views look."""
+    v = V.view_direction(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")))
+    views = cloud(spark, d).select("case_id", "point_id", *[x.alias(n) for x, n in zip(v, "xyz")])
+    return rounded(geometry.max_pairwise_angle(views, ["case_id"], "point_id", ("x", "y", "z")), "max_angle", digits=5)
 
 
-@query(f"""WITH {SQL["cloud"]}, s AS (SELECT *, CAST(2 AS DOUBLE) / greatest({_VIEW}, 1e-12) AS s FROM cloud) SELECT point_id, round(-(s * (qx*qz + qy*qw)), 9) AS vx, round(-(s * (qy*qz - qx*qw)), 9) AS vy, round(-(1 - s * (qx*qx + qy*qy)), 9) AS vz FROM s""")
+@query(f"""WITH {SQL["cloud"]}, {_VIEWS} SELECT point_id, round(x, 9) AS vx, round(y, 9) AS vy, round(z, 9) AS vz FROM views""")
 def view_directions(spark, d):
     v = V.view_direction(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")))
     return rounded(cloud(spark, d).select("point_id", *[x.alias(n) for x, n in zip(v, ("vx", "vy", "vz"))]), "vx", "vy", "vz", digits=9)
 
 
 @query("""WITH r AS (SELECT l_suppkey, l_extendedprice / l_quantity AS ratio FROM lineitem), g AS (SELECT l_suppkey FROM r GROUP BY 1 HAVING count(ratio) >= 15), o AS (SELECT r.* FROM r JOIN g USING (l_suppkey)),
-m AS (SELECT quantile_cont(ratio, 0.5) AS m FROM o), s AS (SELECT quantile_cont(abs(ratio - m), 0.5) AS s FROM o, m), k AS (SELECT *, abs(ratio - m) <= greatest(3.5 * s, 0.01 * m) AS k FROM o, m, s)
-SELECT count(DISTINCT l_suppkey) AS groups, count(*) AS n, count(*) FILTER (WHERE k) AS kept, round(quantile_cont(ratio, 0.5) FILTER (WHERE k), 6) AS median, round(max(s) * 100 / max(m), 6) AS mad_percent FROM k""")
+m AS (SELECT quantile_cont(ratio, 0.5) AS m FROM o), s AS (SELECT quantile_cont(abs(ratio - m), 0.5) AS s FROM o, m), k AS (SELECT *, abs(ratio - m) <= greatest(3.5 * s, 0.01 * m) AS k FROM o, m, s), c AS (SELECT quantile_cont(ratio, 0.5) AS c FROM k WHERE k)
+SELECT count(DISTINCT l_suppkey) AS groups, count(*) AS n, count(*) FILTER (WHERE k) AS kept, round(max(c), 6) AS median, round(quantile_cont(abs(ratio - c), 0.5) FILTER (WHERE k) * 100 / max(c), 6) AS mad_percent, count(DISTINCT l_suppkey) >= 15 AS enough FROM k, c""")
 def mad_filtered_ratio(spark, d):
     r = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"))
     return rounded(robust.mad_filtered(r, "l_suppkey", "ratio"), "median", "mad_percent")
@@ -252,20 +256,43 @@ def intrinsics_rotation(spark, d):
 _LM = ", ".join(f"max(x) FILTER (WHERE k = {i}) AS x{i}, max(y) FILTER (WHERE k = {i}) AS y{i}, max(z) FILTER (WHERE k = {i}) AS z{i}" for i in range(10))
 _D = lambda a, b: f"sqrt(power(x{a}-x{b},2)+power(y{a}-y{b},2)+power(z{a}-z{b},2))"
 _ANG = lambda a, o, b: f"degrees(acos(greatest(-1, least(1, ((x{a}-x{o})*(x{b}-x{o})+(y{a}-y{o})*(y{b}-y{o})+(z{a}-z{o})*(z{b}-z{o}))/({_D(a, o)}*{_D(b, o)})))))"
+_LANDMARKS = f"""r AS (SELECT point_id // 10 AS case_no, point_id % 10 AS k, x * 1000 AS x, y * 1000 AS y, z * 1000 AS z FROM cloud), w AS (SELECT case_no, {_LM} FROM r GROUP BY 1 HAVING count(DISTINCT k) = 10)"""
 
 
-@query(f"""WITH {SQL["cloud"]}, r AS (SELECT point_id // 10 AS case_no, point_id % 10 AS k, x, y, z FROM cloud), w AS (SELECT case_no, {_LM} FROM r GROUP BY 1),
-c AS (SELECT *, (x4+x5)/2 - x0 AS lx, (y4+y5)/2 - y0 AS ly, (z4+z5)/2 - z0 AS lz, x2-x0 AS tx, y2-y0 AS ty, z2-z0 AS tz, x5-x4 AS ax, y5-y4 AS ay, z5-z4 AS az FROM w)
-SELECT case_no, round({_D(0, 2)}, 6) AS nose_length, round({_D(4, 5)}, 6) AS nose_width, round(sqrt(power(ty*lz-tz*ly,2)+power(tz*lx-tx*lz,2)+power(tx*ly-ty*lx,2)) / sqrt(lx*lx+ly*ly+lz*lz) / {_D(0, 2)}, 6) AS goode_ratio,
-round({_ANG(6, 0, 2)}, 6) AS nasofrontal_angle, round({_ANG(2, 3, 7)}, 6) AS nasolabial_angle, round(abs(((x2-x3)*ax+(y2-y3)*ay+(z2-z3)*az) / sqrt(ax*ax+ay*ay+az*az)), 6) AS deviation FROM c""")
-def angle_measures(spark, d):
+def _landmarks(spark, d) -> DataFrame:
+    """Ten points after each other are a case's landmarks; what is left over at the end is no case."""
     names = F.array(*[F.lit(n) for n in geometry.LANDMARKS])
-    rows = cloud(spark, d).select(F.expr("point_id DIV 10").alias("case_no"), names[(F.col("point_id") % 10).cast("int")].alias("landmark"), "x", "y", "z")
-    return rounded(geometry.measurements(geometry.pivot_landmarks(rows, "case_no"), "case_no"), "nose_length", "nose_width", "goode_ratio", "nasofrontal_angle", "nasolabial_angle", "deviation")
+    rows = cloud(spark, d).select(F.expr("point_id DIV 10").alias("case_no"), names[(F.col("point_id") % 10).cast("int")].alias("landmark"), *[(F.col(c) * 1000).alias(c) for c in "xyz"])
+    return geometry.pivot_landmarks(rows, "case_no").where(" AND ".join(f"{n} IS NOT NULL" for n in geometry.LANDMARKS))
+
+
+@query(f"""WITH {SQL["cloud"]}, {_LANDMARKS},
+c AS (SELECT *, (x6+x7)/2 AS x10, (y6+y7)/2 AS y10, (z6+z7)/2 AS z10, (x8+x9)/2 AS ex, (y8+y9)/2 AS ey, (z8+z9)/2 AS ez FROM w)
+SELECT case_no, round_even({_ANG(0, 1, 2)}, 1) AS nasofrontal_angle_deg, round_even({_ANG(4, 3, 5)}, 1) AS nasolabial_angle_deg, round_even({_D(2, 10)} / {_D(2, 1)}, 3) AS goode_ratio, round_even({_D(2, 1)}, 2) AS nose_length_mm, round_even({_D(6, 7)}, 2) AS nose_width_mm,
+round_even(abs(((x2-ex)*(x9-x8)+(y2-ey)*(y9-y8)+(z2-ez)*(z9-z8)) / {_D(8, 9)}), 2) AS midline_deviation_mm FROM c""")
+def angle_measures(spark, d):
+    return geometry.measurements(_landmarks(spark, d), "case_no")
 
 
-_EDGES = f"""{SQL["faces"]}, e AS (SELECT mesh, v0 AS u, v1 AS v FROM faces UNION ALL SELECT mesh, v1, v2 FROM faces UNION ALL SELECT mesh, v2, v0 FROM faces),
+_CROSS = lambda a, b: [f"({a}y*{b}z-{a}z*{b}y)", f"({a}z*{b}x-{a}x*{b}z)", f"({a}x*{b}y-{a}y*{b}x)"]
+_NORM = lambda v: f"sqrt({'+'.join(f'{x}*{x}' for x in v)})"
+
+
+@query(f"""WITH {SQL["cloud"]}, {_LANDMARKS}, p AS (SELECT case_no, {", ".join(f"({c}3-{c}1)/{_D(3, 1)} AS v{c}, {c}2-{c}1 AS t{c}, {c}7-{c}6 AS o{c}" for c in "xyz")}, {_D(7, 6)} AS alar_width_mm FROM w),
+q AS (SELECT *, tx*vx+ty*vy+tz*vz AS tip_longitudinal_mm FROM p), r2 AS (SELECT *, {", ".join(f"t{c}-tip_longitudinal_mm*v{c} AS h{c}" for c in "xyz")} FROM q),
+u AS (SELECT *, {", ".join(f"h{c}/{_NORM(['hx', 'hy', 'hz'])} AS g{c}" for c in "xyz")} FROM r2), k AS (SELECT *, {", ".join(f"{x} AS l{c}" for c, x in zip("xyz", _CROSS("v", "g")))} FROM u),
+f AS (SELECT *, CASE WHEN lx*ox+ly*oy+lz*oz < 0 THEN -1 ELSE 1 END / {_NORM(['lx', 'ly', 'lz'])} AS s FROM k), m AS (SELECT * REPLACE (lx*s AS lx, ly*s AS ly, lz*s AS lz) FROM f), n AS (SELECT *, {", ".join(f"{x} AS a{c}" for c, x in zip("xyz", _CROSS("l", "v")))} FROM m),
+z AS (SELECT *, CASE WHEN ax*hx+ay*hy+az*hz < 0 THEN -1 ELSE 1 END AS b, {_NORM(['ax', 'ay', 'az'])} AS an, least(0.82 * tip_longitudinal_mm, tip_longitudinal_mm - 6) AS roi_end_mm FROM n)
+SELECT case_no, {", ".join(f"round(v{c}, 6) AS v{c}, round(b*a{c}/an, 6) AS a{c}, round(b*l{c}, 6) AS l{c}" for c in "xyz")}, round(tip_longitudinal_mm, 6) AS tip_longitudinal_mm, round(roi_end_mm, 6) AS roi_end_mm, round(least(12, greatest(6, 0.28 * alar_width_mm)), 6) AS half_width_mm, tip_longitudinal_mm >= 15 AND alar_width_mm >= 10 AND roi_end_mm >= 12 AS usable FROM z""")
+def anatomical_frame(spark, d):
+    f = geometry.anatomical_frame(_landmarks(spark, d), "case_no")
+    axes = [F.round(F.col(f"{n}.{c}"), 6).alias(f"{n[0]}{c}") for n in ("vertical", "anterior", "lateral") for c in "xyz"]
+    return f.select("case_no", *axes, *[F.round(c, 6).alias(c) for c in ("tip_longitudinal_mm", "roi_end_mm", "half_width_mm")], "usable")
+
+
+_SIDES = """e AS (SELECT mesh, v0 AS u, v1 AS v FROM faces UNION ALL SELECT mesh, v1, v2 FROM faces UNION ALL SELECT mesh, v2, v0 FROM faces),
 q AS (SELECT mesh, least(u, v) AS a, greatest(u, v) AS b, count(*) AS uses, count(*) FILTER (WHERE u < v) AS along FROM e WHERE u <> v GROUP BY 1, 2, 3)"""
+_EDGES = f"{SQL['faces']}, {_SIDES}"
 
 
 @query(f"WITH {_EDGES} SELECT mesh, a, b, uses, along FROM q")
@@ -297,7 +324,7 @@ _TRI = f"""WITH {SQL["mesh"]}, t AS (SELECT f.*, b.x-a.x AS ux, b.y-a.y AS uy, b
 n AS (SELECT *, uy*wz-uz*wy AS nx, uz*wx-ux*wz AS ny, ux*wy-uy*wx AS nz FROM t)"""
 
 
-@query(f"{_TRI} SELECT mesh, count(*) AS faces, count(*) FILTER (WHERE v0 = v1 OR v1 = v2 OR v0 = v2 OR sqrt(nx*nx+ny*ny+nz*nz) <= 1e-12) AS degenerate FROM n GROUP BY mesh")
+@query(f"{_TRI}, x AS (SELECT mesh, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM vertices GROUP BY 1) SELECT n.mesh, count(*) AS faces, count(*) FILTER (WHERE v0 = v1 OR v1 = v2 OR v0 = v2 OR sqrt(nx*nx+ny*ny+nz*nz) <= greatest(2.220446049250313e-16 * greatest(extent * extent, 1) * 100, 1e-30)) AS degenerate FROM n JOIN x ON n.mesh = x.mesh GROUP BY 1")
 def degenerate_faces(spark, d):
     return mesh.degenerate_faces(faces(spark, d), vertices(spark, d))
 
@@ -412,7 +439,7 @@ def first_argmax(spark, d):
 
 
 @query("""WITH h AS (SELECT o_orderstatus, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_custkey AS VARCHAR) || ',' || o_orderpriority) AS h FROM orders),
-s AS (SELECT o_orderstatus, o_orderkey // 4096 AS s, sha256(string_agg(h, ',' ORDER BY o_orderkey, h)) AS h FROM h GROUP BY 1, 2) SELECT o_orderstatus, 'sha256:' || sha256(string_agg(h, ',' ORDER BY s)) AS identity FROM s GROUP BY 1""")
+s1 AS (SELECT o_orderstatus, o_orderkey // 4096 AS s, sha256(string_agg(h, ',' ORDER BY o_orderkey, h)) AS h FROM h GROUP BY 1, 2), s AS (SELECT o_orderstatus, s // 4096 AS s, sha256(string_agg(h, ',' ORDER BY s)) AS h FROM s1 GROUP BY 1, s // 4096) SELECT o_orderstatus, 'sha256:' || sha256(string_agg(h, ',' ORDER BY s)) AS identity FROM s GROUP BY 1""")
 def content_identity(spark, d):
     return state.content_identity(table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey", ["o_custkey", "o_orderpriority"])
 
@@ -457,14 +484,14 @@ def ransac_fit(spark, d):
 
 @query()
 def consensus_point(spark, d):
-    return solve.per_group(cloud(spark, d), ["case_id"], lambda g: solve.consensus_point(g, 0.1, 0.5), "x double, y double, z double, used long, n long")
+    return rounded(solve.consensus_point(cloud(spark, d), ["case_id"], 0.1, 0.5), "x", "y", "z", digits=9)
 
 
 @query()
 def triangulated_rays(spark, d):
     """Rays from each point through the origin, slightly off."""
     rays = cloud(spark, d).select("case_id", *[(F.col(c) * 5).alias("c" + c) for c in "xyz"], *[(-F.col(c) + F.col("qx") * 0.001).alias("d" + c) for c in "xyz"])
-    return solve.per_group(rays, ["case_id"], solve.robust_rays, "x double, y double, z double, used long, n long")
+    return solve.robust_rays(rays, ["case_id"])
 
 
 @query()
@@ -480,3 +507,209 @@ def surface_registration(spark, d):
     p, a = cloud(spark, d), 0.02
     turned = p.withColumns({"x": math.cos(a) * F.col("x") - math.sin(a) * F.col("y") + 0.01, "y": math.sin(a) * F.col("x") + math.cos(a) * F.col("y"), "z": F.col("z") - 0.005})
     return registration.closest_points(turned, p, voxel=0.001, reach=0.1)
+
+
+_KERNEL = """d AS (SELECT *, (bx-ax)*(x-ax)+(by_-ay)*(y-ay)+(bz-az)*(z-az) AS d1, (cx-ax)*(x-ax)+(cy-ay)*(y-ay)+(cz-az)*(z-az) AS d2, (bx-ax)*(x-bx)+(by_-ay)*(y-by_)+(bz-az)*(z-bz) AS d3, (cx-ax)*(x-bx)+(cy-ay)*(y-by_)+(cz-az)*(z-bz) AS d4,
+(bx-ax)*(x-cx)+(by_-ay)*(y-cy)+(bz-az)*(z-cz) AS d5, (cx-ax)*(x-cx)+(cy-ay)*(y-cy)+(cz-az)*(z-cz) AS d6 FROM met),
+e AS (SELECT *, d1*d4-d3*d2 AS vc, d5*d2-d1*d6 AS vb, d3*d6-d5*d4 AS va FROM d),
+g AS (SELECT *, CASE WHEN d1 <= 0 AND d2 <= 0 THEN 0 WHEN d3 >= 0 AND d4 <= d3 THEN 1 WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN d1/(d1-d3) WHEN d6 >= 0 AND d5 <= d6 THEN 0 WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN 0 WHEN va <= 0 AND d4-d3 >= 0 AND d5-d6 >= 0 THEN 1-(d4-d3)/((d4-d3)+(d5-d6)) ELSE vb/(va+vb+vc) END AS v,
+CASE WHEN d1 <= 0 AND d2 <= 0 THEN 0 WHEN d3 >= 0 AND d4 <= d3 THEN 0 WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN 0 WHEN d6 >= 0 AND d5 <= d6 THEN 1 WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN d2/(d2-d6) WHEN va <= 0 AND d4-d3 >= 0 AND d5-d6 >= 0 THEN (d4-d3)/((d4-d3)+(d5-d6)) ELSE vc/(va+vb+vc) END AS w FROM e),
+h AS (SELECT *, sqrt(power((1-v-w)*ax+v*bx+w*cx-x,2)+power((1-v-w)*ay+v*by_+w*cy-y,2)+power((1-v-w)*az+v*bz+w*cz-z,2)) AS distance FROM g)"""
+_SURFACE = f"""{SQL['sheet']}, {SQL['probes']}, {SQL['triangles']}, met AS (SELECT point_id, x, y, z, fid, ax, ay, az, bx, "by" AS by_, bz, cx, cy, cz FROM probes, triangles), {_KERNEL}"""
+
+
+@query(f"WITH {_SURFACE} SELECT point_id, round(min(distance), 9) AS distance FROM h GROUP BY 1")
+def closest_on_surface(spark, d):
+    """The triangle isn't returned: on an edge, two are equally near."""
+    got = surfaces.closest_on_surface(probes(spark, d), sheet_triangles(spark, d), 0.02)
+    return rounded(got.select("point_id", "distance"), "distance", digits=9)
+
+
+@query(f"""WITH {_SURFACE}, j AS (SELECT min(distance) AS distance FROM h GROUP BY point_id) SELECT count(*) AS samples, round(quantile_cont(distance, 0.5), 9) AS median, round(quantile_cont(distance, 0.95), 9) AS p95, round(quantile_cont(distance, 0.99), 9) AS p99 FROM (SELECT distance FROM j UNION ALL SELECT distance FROM j)""")
+def surface_distances(spark, d):
+    """Distances of the probes from the sheet, seen from both sides of a comparison of the sheet with itself."""
+    t, p = sheet_triangles(spark, d), probes(spark, d)
+    return rounded(surfaces.two_way_distances(p, t, p, t, 0.02), "median", "p95", "p99", digits=9)
+
+
+@query(f"""WITH {_KNN}, n AS (SELECT k.point_id, p.case_id, greatest(-1, least(1, (p.qx*o.qx+p.qy*o.qy+p.qz*o.qz) / (sqrt(p.qx*p.qx+p.qy*p.qy+p.qz*p.qz) * sqrt(o.qx*o.qx+o.qy*o.qy+o.qz*o.qz)))) AS dot FROM k JOIN cloud p USING (point_id) JOIN cloud o ON o.point_id = k.neighbor_id WHERE rank <= 6)
+SELECT case_id, count(*) AS pairs, round(avg((dot < 0)::INT), 9) AS below_0, round(avg((dot < -0.5)::INT), 9) AS below_half, round(avg((dot < -0.9)::INT), 9) AS below_most, {", ".join(f"round(quantile_cont(degrees(acos(dot)), {q}), 6) AS angle_p{round(100 * q)}, round(quantile_cont(degrees(acos(abs(dot))), {q}), 6) AS plane_p{round(100 * q)}" for q in (0.5, 0.9, 0.95, 0.99))} FROM n GROUP BY 1""")
+def normal_agreement(spark, d):
+    p = cloud(spark, d)
+    near = neighbors.knn(p, 6, 0.1).join(p.selectExpr("point_id", "case_id", "qx AS nx", "qy AS ny", "qz AS nz"), "point_id").join(p.selectExpr("point_id AS neighbor_id", "qx AS ox", "qy AS oy", "qz AS oz"), "neighbor_id")
+    got = surfaces.normal_agreement(near, ["case_id"])
+    return rounded(rounded(got, "below_0", "below_half", "below_most", digits=9), *[f"{n}_p{q}" for n in ("angle", "plane") for q in (50, 90, 95, 99)])
+
+
+def _top(c: reports.Check) -> float:
+    return 1.25 * max(x for x in c.limits if x is not None) if any(c.limits) else 1.0
+
+
+_KNOWN = [(i, c) for i, c in enumerate(reports.CHECKS) if c.kind != "gone"]
+_DOCUMENTS = [(i, d) for i, (_, _, d) in enumerate(reports.SECTIONS) if d]
+_FLAGS = ("fail", "warn", "tri", "always")
+
+
+def _case_metrics(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Made-up values of every check, from each user's events: about a tenth is missing."""
+    c = cases(spark, d)
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(k.check_id).alias("check_id"), F.lit(float(_top(k))).alias("top"), F.lit(k.kind in _FLAGS).alias("flag")) for i, k in _KNOWN]))
+    rows = c.withColumn("k", each).selectExpr("case_id", "k.check_id", "k.top", "k.flag", "(m * (k.i + 7) + n) % 1000 AS raw").where("raw % 10 <> 0")
+    metrics = rows.selectExpr("case_id", "check_id", "CASE WHEN flag THEN CAST(raw % 2 AS DOUBLE) ELSE raw / 999D * top END AS value")
+    documents = c.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(name).alias("document")) for i, name in _DOCUMENTS]))).where("(n + k.i) % 7 <> 0").selectExpr("case_id", "k.document")
+    return c, metrics, documents
+
+
+_NEEDS = {s: d for s, _, d in reports.SECTIONS}
+_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
+_CATALOGUE = ", ".join(f"({i}, {_TEXT(c.section)}, {_TEXT(c.check_id)}, {_TEXT(c.kind)}, {', '.join(f'CAST({x!r} AS DOUBLE)' if x is not None else 'CAST(NULL AS DOUBLE)' for x in c.limits)}, {c.when == 'present'}, {_TEXT(c.absent)}, {_TEXT(_NEEDS[c.section])}, CAST({_top(c)!r} AS DOUBLE))" for i, c in enumerate(reports.CHECKS))
+_CASE_CHECKS = f"""{SQL["cases"]}, c(position, section, check_id, kind, pl, ph, wl, wh, present, absent, document, top) AS (VALUES {_CATALOGUE}), t(i, document) AS (VALUES {", ".join(f"({i}, '{d}')" for i, d in _DOCUMENTS)}),
+r AS (SELECT cases.*, c.*, (m * (position + 7) + n) % 1000 AS raw, coalesce((n + t.i) % 7 <> 0, true) AS has FROM cases CROSS JOIN c LEFT JOIN t ON t.document = c.document),
+v AS (SELECT *, CASE WHEN kind = 'gone' OR raw % 10 = 0 THEN NULL WHEN kind IN ('fail', 'warn', 'tri', 'always') THEN CAST(raw % 2 AS DOUBLE) ELSE raw / CAST(999 AS DOUBLE) * top END AS value FROM r WHERE (kind = 'gone') <> has),
+checks AS (SELECT *, CASE WHEN kind = 'gone' THEN absent WHEN kind = 'always' THEN 'WARN' WHEN kind = 'fail' THEN CASE WHEN coalesce(value, 0) = 1 THEN 'PASS' ELSE 'FAIL' END WHEN kind = 'warn' THEN CASE WHEN coalesce(value, 0) = 1 THEN 'PASS' ELSE 'WARN' END
+WHEN value IS NULL THEN 'WARN' WHEN kind = 'tri' THEN CASE WHEN value = 1 THEN 'PASS' ELSE 'FAIL' END WHEN kind = 'min' THEN CASE WHEN value >= pl THEN 'PASS' WHEN value >= wl THEN 'WARN' ELSE 'FAIL' END WHEN kind = 'max' THEN CASE WHEN value <= ph THEN 'PASS' WHEN value <= wh THEN 'WARN' ELSE 'FAIL' END
+WHEN value BETWEEN pl AND ph THEN 'PASS' WHEN value < wl OR value > wh THEN 'FAIL' ELSE 'WARN' END AS status FROM v WHERE NOT present OR value IS NOT NULL)"""
+
+
+@query(f"WITH {_CASE_CHECKS} SELECT case_id, section, check_id, status, round(value, 9) AS value FROM checks")
+def case_checks(spark, d):
+    return rounded(reports.case_checks(*_case_metrics(spark, d)).select("case_id", "section", "check_id", "status", "value"), "value", digits=9)
+
+
+_LABELS = ", ".join(f"({i}, '{s}', '{name}')" for i, (s, name, _) in enumerate(reports.SECTIONS))
+
+
+@query(f"""WITH {_CASE_CHECKS}, l(place, section, label) AS (VALUES {_LABELS}), s AS (SELECT case_id, place, label, max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) AS r, count(*) AS checks FROM checks JOIN l USING (section) GROUP BY ALL)
+SELECT case_id, CASE max(r) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS overall_status, coalesce(string_agg(label, '; ' ORDER BY place) FILTER (WHERE r = 2), '') AS failed_sections, coalesce(string_agg(label, '; ' ORDER BY place) FILTER (WHERE r = 1), '') AS warning_sections, count(*) AS sections, CAST(sum(checks) AS BIGINT) AS checks, false AS clinical_use_authorized FROM s GROUP BY 1""")
+def case_report(spark, d):
+    r = reports.case_report(reports.case_checks(*_case_metrics(spark, d)))
+    checks = F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + F.size(s["checks"]))
+    return r.select("case_id", "overall_status", F.array_join("failed_sections", "; ").alias("failed_sections"), F.array_join("warning_sections", "; ").alias("warning_sections"), F.size("sections").cast("long").alias("sections"), checks.alias("checks"), "clinical_use_authorized")
+
+
+_MEASURES = list(reports.REPEATABILITY_LIMITS)
+_LIMITS = ", ".join(f"({i}, '{n}', CAST({p!r} AS DOUBLE), CAST({f!r} AS DOUBLE), '{u}')" for i, (n, (p, f, u)) in enumerate(reports.REPEATABILITY_LIMITS.items()))
+
+
+@query(f"""WITH {SQL["series"]}, l(i, measurement, p, f, unit) AS (VALUES {_LIMITS}), b AS (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS m FROM series GROUP BY 1, 2), u AS (SELECT user_id FROM b GROUP BY 1 HAVING count(*) >= 2),
+r AS (SELECT user_id AS subject_id, event_type AS case_id, l.*, 40 + (m % 29 + i * 3) % 29 * f / 17 AS value FROM b JOIN u USING (user_id) CROSS JOIN l),
+g AS (SELECT subject_id, measurement, unit, p, f, count(*) AS cases, avg(value) AS mean, stddev_samp(value) AS sd, max(value) - min(value) AS d FROM r GROUP BY ALL), s AS (SELECT *, CASE WHEN d <= p THEN 0 WHEN d <= f THEN 1 ELSE 2 END AS r FROM g)
+SELECT subject_id, measurement, cases, round_even(mean, 4) AS mean, round_even(sd, 4) AS sample_standard_deviation, round_even(abs(sd / mean) * 100, 3) AS coefficient_of_variation_percent, round_even(d, 4) AS maximum_pairwise_difference, unit, ['PASS', 'WARN', 'FAIL'][r + 1] AS status, ['PASS', 'WARN', 'FAIL'][max(r) OVER (PARTITION BY subject_id) + 1] AS overall_status FROM s""")
+def repeatability_report(spark, d):
+    b = series(spark, d).groupBy("user_id", "event_type").agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("m"))
+    enough = b.groupBy("user_id").count().where("count >= 2").select("user_id")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("measurement"), F.lit(f).alias("f")) for i, (n, (_, f, _)) in enumerate(reports.REPEATABILITY_LIMITS.items())]))
+    rows = b.join(enough, "user_id").withColumn("l", each).selectExpr("user_id AS subject_id", "event_type AS case_id", "l.measurement", "40 + (m % 29 + l.i * 3) % 29 * l.f / 17 AS value")
+    return reports.repeatability_report(rows)
+
+
+@query("""WITH r AS (SELECT conv_id AS case_id, turn || '-' || role AS stage, length(text) % 3 <> 0 AS done, length(text) / CAST(8 AS DOUBLE) AS t FROM conversations), g AS (SELECT case_id, coalesce(sum(t) FILTER (WHERE done), 0) AS runtime, list_sort(list_distinct(list(stage) FILTER (WHERE NOT done))) AS names FROM r GROUP BY 1)
+SELECT case_id, round_even(runtime, 3) AS runtime, coalesce(array_to_string(names, ','), '') AS incomplete, coalesce(len(names), 0) = 0 AS complete FROM g""")
+def stage_runtime(spark, d):
+    stages = table(spark, d, "conversations").selectExpr("conv_id AS case_id", "concat(turn, '-', role) AS stage", "CASE WHEN length(text) % 3 <> 0 THEN 'complete' ELSE 'failed' END AS status", "length(text) / 8D AS elapsed_seconds")
+    return reports.stage_runtime(stages).withColumn("incomplete", F.array_join("incomplete", ","))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS case_id, l_orderkey || '-' || l_linenumber AS landmark, l_quantity / CAST(50 AS DOUBLE) AS ratio, CASE WHEN l_partkey % 50 <> 0 THEN l_discount END AS residual, l_tax AS snap FROM lineitem)
+SELECT case_id, count(DISTINCT landmark) AS landmark_count, round_even(min(ratio), 4) AS minimum_inlier_ratio, round_even(max(coalesce(residual, 'infinity'::DOUBLE)), 3) AS maximum_median_ray_residual_mm, round_even(max(snap), 3) AS maximum_surface_snap_distance_mm, max({'a': snap, 'b': landmark}).b AS worst_surface_snap_landmark FROM r GROUP BY 1""")
+def landmark_metrics(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey AS case_id", "concat(l_orderkey, '-', l_linenumber) AS landmark", "CAST(l_quantity AS DOUBLE) AS inliers", "50D AS observations", "CASE WHEN l_partkey % 50 <> 0 THEN l_discount END AS ray_residual_mm", "l_tax AS snap_mm")
+    return reports.landmark_metrics(rows)
+
+
+@query("WITH s AS (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) * CAST(0.7001 AS DOUBLE) AS s FROM orders) SELECT o_orderkey, CASE WHEN s < 90 THEN printf('%.0fs', s) WHEN s < 5400 THEN printf('%.1fm', s / 60) ELSE printf('%.1fh', s / 3600) END AS label FROM s")
+def duration_labels(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", duration_label(F.col("o_orderkey") * 0.7001).alias("label"))
+
+
+@query("SELECT l_suppkey, coalesce(quantile_cont(l_discount, 0.5) FILTER (WHERE l_discount > 0.02), 0) AS median FROM lineitem GROUP BY 1")
+def positive_medians(spark, d):
+    return robust.positive_medians(table(spark, d, "lineitem"), ["l_suppkey"], F.col("l_discount"), 0.02)
+
+
+_T = "least(1, greatest(0, l_discount * 12))"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round({_T} * {_T} * {_T} * ({_T} * ({_T} * 6 - 15) + 10), 9) AS weight FROM lineitem")
+def smootherstep_weights(spark, d):
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.smootherstep(F.col("l_discount") * 12).alias("weight")), "weight", digits=9)
+
+
+_FRAMES = "frames AS (SELECT c_custkey AS frame_id, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) / 100 AS y, CAST(c_custkey AS DOUBLE) AS z FROM customer), index AS (SELECT o_orderkey AS image, o_custkey AS frame_id FROM orders)"
+
+
+@query(f"WITH {_FRAMES}, i AS (SELECT o_orderkey AS image, o_totalprice AS x, o_totalprice / 2 AS y, o_totalprice / 4 AS z FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT image, frame_id, i.x AS sx, i.y AS sy, i.z AS sz, f.x AS tx, f.y AS ty, f.z AS tz FROM i JOIN index USING (image) JOIN frames f USING (frame_id)) SELECT *, (SELECT count(*) FROM p) >= 30 AS enough FROM p")
+def pose_pairs(spark, d):
+    o = table(spark, d, "orders")
+    frames = table(spark, d, "customer").selectExpr("c_custkey AS frame_id", "CAST(c_nationkey AS DOUBLE) AS x", "CAST(c_acctbal AS DOUBLE) / 100 AS y", "CAST(c_custkey AS DOUBLE) AS z")
+    images = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS image", "o_totalprice AS x", "o_totalprice / 2 AS y", "o_totalprice / 4 AS z")
+    return scale.pose_pairs(images, o.selectExpr("o_orderkey AS image", "o_custkey AS frame_id"), frames)
+
+
+@query("""WITH g AS (SELECT c_custkey AS frame_id, px, py, 0.2 + (c_custkey * 7 + px * 3 + py * 5) % 17 / CAST(10 AS DOUBLE) AS depth, (c_custkey + px + py) % 4 AS confidence FROM customer, range(4) a(px), range(4) b(py)),
+o AS (SELECT l_orderkey AS image, l_orderkey * 10 + l_linenumber AS point_id, (p_size - 3) / CAST(10 AS DOUBLE) AS z, CAST(l_quantity AS DOUBLE) - 2 AS u, l_discount * 100 AS v, CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 256 END AS mask FROM lineitem JOIN part ON l_partkey = p_partkey),
+q AS (SELECT *, greatest(0, least(3, CAST(floor(u / 45 * 4) AS BIGINT))) AS px, greatest(0, least(3, CAST(floor(v / 9 * 4) AS BIGINT))) AS py FROM o WHERE z > 0 AND u >= 0 AND u < 45 AND v >= 0 AND v < 9 AND coalesce(mask, 255) >= 128)
+SELECT image, point_id, round(depth / z, 9) AS ratio FROM q JOIN orders ON o_orderkey = image JOIN g ON g.frame_id = o_custkey AND g.px = q.px AND g.py = q.py WHERE confidence >= 2 AND depth BETWEEN 0.25 AND 1.5""")
+def depth_ratios(spark, d):
+    pixels = table(spark, d, "customer").selectExpr("c_custkey AS frame_id", "explode(sequence(0L, 15L)) AS p").selectExpr("frame_id", "p DIV 4 AS px", "p % 4 AS py").selectExpr("*", "0.2D + (frame_id * 7 + px * 3 + py * 5) % 17 / 10D AS depth", "(frame_id + px + py) % 4 AS confidence")
+    seen = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey AS image", "l_orderkey * 10 + l_linenumber AS point_id", "(p_size - 3) / 10D AS z", "CAST(l_quantity AS DOUBLE) - 2 AS u", "l_discount * 100 AS v", "CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 256 END AS mask")
+    index = table(spark, d, "orders").selectExpr("o_orderkey AS image", "o_custkey AS frame_id")
+    return rounded(scale.depth_ratios(seen, index, pixels, 45.0, 9.0, 4, 4), "ratio", digits=9)
+
+
+@query("""WITH p AS (SELECT o_custkey AS case_id, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS pose_scale FROM orders GROUP BY 1), d AS (SELECT o_custkey AS case_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS depth_scale FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY 1),
+b AS (SELECT case_id, pose_scale, depth_scale, abs(depth_scale - pose_scale) / pose_scale * 100 AS off FROM p LEFT JOIN d USING (case_id)) SELECT case_id, round(pose_scale, 2) AS pose_scale, round(depth_scale, 2) AS depth_scale, round(off, 2) AS scale_disagreement_percent, off <= 2 AS scale_verified, round(pose_scale * 1000, 2) AS scale_mm_per_unit FROM b""")
+def combined_scale(spark, d):
+    o, cents = table(spark, d, "orders"), lambda c: F.sum(F.rint(F.col(c) * 100).cast("long")) / 100.0
+    pose = o.groupBy(F.col("o_custkey").alias("case_id")).agg(cents("o_totalprice").alias("pose_scale"))
+    depth = o.join(table(spark, d, "lineitem").where("l_returnflag <> 'R'"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("case_id")).agg(cents("l_extendedprice").alias("depth_scale"))
+    return rounded(scale.combined_scale(pose, depth, "case_id"), "pose_scale", "depth_scale", "scale_disagreement_percent", "scale_mm_per_unit", digits=2)
+
+
+@query("SELECT l_suppkey AS case_id, count(DISTINCT l_returnflag) = 3 AND count(DISTINCT l_partkey % 2) = 1 AS matches FROM lineitem GROUP BY 1")
+def one_identity(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey AS case_id", "l_returnflag AS part", "l_partkey % 2 AS identity")
+    return scale.one_identity(rows, "case_id", "part", "identity", ("A", "N", "R"))
+
+
+@query(f"""{_TRI}, {_SIDES},
+x AS (SELECT mesh, count(*) AS vertices, count(*) FILTER (WHERE NOT isfinite(x)) + count(*) FILTER (WHERE NOT isfinite(y)) + count(*) FILTER (WHERE NOT isfinite(z)) AS nonfinite, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM vertices GROUP BY 1),
+g AS (SELECT n.mesh, count(*) AS faces, count(*) FILTER (WHERE v0 = v1 OR v1 = v2 OR v0 = v2 OR sqrt(nx*nx+ny*ny+nz*nz) <= greatest(2.220446049250313e-16 * greatest(extent * extent, 1) * 100, 1e-30)) AS degenerate FROM n JOIN x ON n.mesh = x.mesh GROUP BY 1),
+s AS (SELECT mesh, count(*) FILTER (WHERE uses = 1) AS boundary, count(*) FILTER (WHERE uses > 2) AS nonmanifold, count(*) FILTER (WHERE uses = 1 OR uses > 2) = 0 AS watertight, count(*) FILTER (WHERE along > 1 OR uses - along > 1) = 0 AS winding_consistent FROM q GROUP BY 1),
+l AS (SELECT q.mesh, quantile_cont(sqrt(power(m.x-o.x,2)+power(m.y-o.y,2)+power(m.z-o.z,2)) * 10, 0.5) AS edge_median, quantile_cont(sqrt(power(m.x-o.x,2)+power(m.y-o.y,2)+power(m.z-o.z,2)) * 10, 0.95) AS edge_p95 FROM q JOIN vertices m ON m.mesh = q.mesh AND m.vid = q.a JOIN vertices o ON o.mesh = q.mesh AND o.vid = q.b GROUP BY 1)
+SELECT mesh, vertices, faces, nonfinite, degenerate, boundary, nonmanifold, watertight, winding_consistent, round(edge_median, 6) AS edge_median, round(edge_p95, 6) AS edge_p95 FROM x JOIN g USING (mesh) JOIN s USING (mesh) JOIN l USING (mesh)""")
+def mesh_audit(spark, d):
+    return rounded(mesh.mesh_audit(faces(spark, d), vertices(spark, d), 10.0), "edge_median", "edge_p95")
+
+
+@query("""WITH RECURSIVE v AS (SELECT vec_id AS vid FROM embeddings WHERE embedding[1] > -0.12), e AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id % 50 < 49 UNION ALL SELECT vec_id, vec_id + 50 FROM embeddings), k AS (SELECT a, b FROM e WHERE a IN (SELECT vid FROM v) AND b IN (SELECT vid FROM v)),
+u AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), s AS (SELECT min(least(a, b)) AS vid FROM k), r AS (SELECT vid FROM s UNION SELECT u.b FROM r JOIN u ON u.a = r.vid) SELECT vid FROM r""")
+def seeded_component(spark, d):
+    """The part of the sheet that holds the first vertex on an edge of the region."""
+    e = table(spark, d, "embeddings")
+    edges = e.where("vec_id % 50 < 49").selectExpr("vec_id AS a", "vec_id + 1 AS b").unionByName(e.selectExpr("vec_id AS a", "vec_id + 50 AS b"))
+    inside = e.where("embedding[0] > -0.12").selectExpr("vec_id AS vid")
+    first = edges.join(inside.withColumnRenamed("vid", "a"), "a", "left_semi").join(inside.withColumnRenamed("vid", "b"), "b", "left_semi").agg(F.min(F.least("a", "b"))).first()[0]
+    return mesh.seeded_component(edges, inside, first)
+
+
+@query("""WITH c AS (SELECT l_returnflag AS mesh, l_orderkey AS fid, l_quantity / CAST(50 AS DOUBLE) AS u, l_discount * 10 AS v FROM lineitem), p AS (SELECT r AS row, k AS "column", (r * 31 + k * 17) % 256 AS gray FROM range(64) a(r), range(32) b(k)),
+f AS (SELECT mesh, fid, avg(u) AS u, avg(v) AS v FROM c GROUP BY 1, 2), q AS (SELECT mesh, greatest(0, least(63, CAST(round_even((1 - v) * 63, 0) AS BIGINT))) AS row, greatest(0, least(31, CAST(round_even(u * 31, 0) AS BIGINT))) AS "column" FROM f)
+SELECT mesh, count(*) AS faces, round_even(avg((gray <= 5)::INT) * 100, 4) AS dark_percent, round_even(avg((gray >= 250)::INT) * 100, 4) AS bright_percent, quantile_cont(CAST(gray AS DOUBLE), 0.5) AS median FROM q JOIN p USING (row, "column") GROUP BY 1""")
+def sampled_texture(spark, d):
+    corners = table(spark, d, "lineitem").selectExpr("l_returnflag AS mesh", "l_orderkey AS fid", "l_quantity / 50D AS u", "l_discount * 10 AS v")
+    pixels = spark.range(64 * 32).selectExpr("id DIV 32 AS row", "id % 32 AS column", "(id DIV 32 * 31 + id % 32 * 17) % 256 AS gray")
+    return mesh.sampled_texture(corners, pixels, 32, 64)
+
+
+@query("""WITH r AS (SELECT l_suppkey AS k, CAST(l_quantity AS DOUBLE) AS x, l_discount * 100 AS y FROM lineitem), s AS (SELECT k, count(*) AS n, sum(x) AS a1, sum(x*x) AS a2, sum(x*x*x) AS a3, sum(x*x*x*x) AS a4, sum(y) AS b0, sum(x*y) AS b1, sum(x*x*y) AS b2 FROM r GROUP BY 1 HAVING count(DISTINCT x) >= 3),
+t AS (SELECT *, a4*(a2*n-a1*a1) - a3*(a3*n-a1*a2) + a2*(a3*a1-a2*a2) AS det FROM s) SELECT k, n, round((b2*(a2*n-a1*a1) - a3*(b1*n-a1*b0) + a2*(b1*a1-a2*b0)) / det, 6) AS a, round((a4*(b1*n-a1*b0) - b2*(a3*n-a1*a2) + a2*(a3*b0-b1*a2)) / det, 5) AS b, round((a4*(a2*b0-b1*a1) - a3*(a3*b0-b1*a2) + b2*(a3*a1-a2*a2)) / det, 4) AS c FROM t
+UNION ALL SELECT k, count(*), NULL, NULL, NULL FROM r GROUP BY 1 HAVING count(DISTINCT x) < 3""")
+def quadratic_fit(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey AS k", "CAST(l_quantity AS DOUBLE) AS x", "l_discount * 100 AS y")
+    return rounded(rounded(rounded(robust.quadratic_fit(rows, ["k"], "x", "y"), "a"), "b", digits=5), "c", digits=4)
+
+
+@query("SELECT l_suppkey, coalesce(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) FILTER (WHERE l_discount >= 0.08), 0) AS across_median, coalesce(quantile_cont(l_tax, 0.5) FILTER (WHERE l_discount >= 0.08), 0) AS height_median FROM lineitem GROUP BY 1")
+def sidewall_position(spark, d):
+    return robust.sidewall_position(table(spark, d, "lineitem"), ["l_suppkey"], F.col("l_discount") >= 0.08, "l_quantity", "l_tax")

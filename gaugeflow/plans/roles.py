@@ -35,11 +35,42 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("mesh", F.explode(F.array(*[F.lit(m) for m in "ANR"])))
 
 
-#: The same views for DuckDB. Those of the mesh have 500 vertices written in, so they agree where embeddings has 500 rows (sf0.001, sf0.01) and not elsewhere.
+def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings: a wavy surface (vid, x, y, z) over a grid 50 points wide, one point a vector."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS vid", "vec_id % 50 * 0.01D AS x", "vec_id DIV 50 * 0.01D AS y", "CAST(embedding[0] AS DOUBLE) * 0.05D AS z")
+
+
+def sheet_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two triangles in each cell of the sheet's grid: fid, a*, b*, c*."""
+    v = sheet(spark, sf_dir)
+    corner = lambda n: v.select(F.col("vid").alias(f"{n}vid"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
+    ids = v.where("vid % 50 < 49").selectExpr("vid * 2 AS fid", "vid AS i", "vid + 1 AS j", "vid + 50 AS k").unionByName(v.where("vid % 50 < 49").selectExpr("vid * 2 + 1 AS fid", "vid + 1 AS i", "vid + 51 AS j", "vid + 50 AS k"))
+    for at, n in zip("ijk", "abc"):
+        ids = ids.join(corner(n), F.col(at) == F.col(f"{n}vid"))
+    return ids.select("fid", *[f"{n}{c}" for n in "abc" for c in "xyz"])
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings: a point (point_id, x, y, z) near each vertex of the sheet."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS point_id", "vec_id % 50 * 0.01D + 0.003D AS x", "vec_id DIV 50 * 0.01D + 0.004D AS y", "CAST(embedding[1] AS DOUBLE) * 0.05D AS z")
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: a case a user, with a sum ``m`` of cents and a count ``n`` that stand for what a case was measured to be."""
+    return series(spark, sf_dir).groupBy("user_id").agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("m"), F.count(F.lit(1)).alias("n")).selectExpr("user_id AS case_id", "m", "n")
+
+
+#: The same views for DuckDB.
 SQL = {
     "series": "series AS (SELECT event_id, epoch_us(ts) AS us, value, user_id, event_type FROM events)",
     "cloud": "cloud AS (SELECT vec_id AS point_id, label AS case_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(("x", "y", "z", "qx", "qy", "qz", "qw"))) + ", vec_id * CAST(0.025 AS DOUBLE) AS ts FROM embeddings)",
-    "faces": "faces AS (SELECT *, v0 * 250000 + v1 * 500 + v2 AS fid FROM (SELECT DISTINCT l_returnflag AS mesh, l_orderkey % 500 AS v0, l_partkey % 500 AS v1, l_suppkey % 500 AS v2 FROM lineitem))",
-    "vertices": "vertices AS (SELECT mesh, point_id AS vid, x, y, z FROM cloud, (VALUES ('A'), ('N'), ('R')) AS m(mesh) WHERE point_id < 500)",
+    "faces": "faces AS (SELECT DISTINCT l_returnflag AS mesh, l_orderkey % size AS v0, l_partkey % size AS v1, l_suppkey % size AS v2 FROM lineitem, (SELECT count(*) AS size FROM embeddings))",
+    "vertices": "vertices AS (SELECT mesh, point_id AS vid, x, y, z FROM cloud, (VALUES ('A'), ('N'), ('R')) AS m(mesh))",
+    "sheet": "sheet AS (SELECT vec_id AS vid, vec_id % 50 * CAST(0.01 AS DOUBLE) AS x, vec_id // 50 * CAST(0.01 AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) * CAST(0.05 AS DOUBLE) AS z FROM embeddings)",
+    "probes": "probes AS (SELECT vec_id AS point_id, vec_id % 50 * CAST(0.01 AS DOUBLE) + CAST(0.003 AS DOUBLE) AS x, vec_id // 50 * CAST(0.01 AS DOUBLE) + CAST(0.004 AS DOUBLE) AS y, CAST(embedding[2] AS DOUBLE) * CAST(0.05 AS DOUBLE) AS z FROM embeddings)",
+    "cases": "cases AS (SELECT user_id AS case_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS m, count(*) AS n FROM events GROUP BY 1)",
 }
 SQL["mesh"] = ", ".join(SQL[k] for k in ("cloud", "faces", "vertices"))
+_CORNERS = ", ".join(f'{n}.{c} AS "{n}{c}"' for n in "abc" for c in "xyz")
+SQL["triangles"] = f"""ids AS (SELECT vid * 2 AS fid, vid AS i, vid + 1 AS j, vid + 50 AS k FROM sheet WHERE vid % 50 < 49 UNION ALL SELECT vid * 2 + 1, vid + 1, vid + 51, vid + 50 FROM sheet WHERE vid % 50 < 49),
+triangles AS (SELECT fid, {_CORNERS} FROM ids JOIN sheet a ON a.vid = i JOIN sheet b ON b.vid = j JOIN sheet c ON c.vid = k)"""

@@ -26,6 +26,42 @@ def read_odometry(spark: SparkSession, path: str, matrix: list[float]) -> DataFr
     return raw.select(F.trim("frame").cast("long").alias("frame_id"), _number("timestamp").alias("ts"), *[_number(c).alias(c) for c in ODOMETRY[2:9]], *optional)
 
 
+def checked_frames(frames: DataFrame, case: str | None = None) -> DataFrame:
+    """``frames`` (frame_id, ts and poses, of one case or by ``case``) if they can be used, else an error: ids 0 to n - 1 each once, two frames at least, times that grow with the ids.
+
+    Ids are checked by counts and bounds, times by the gap to the frame before, which joins on the id; nothing is sorted.
+    """
+    by = [case] if case else []
+    before = frames.select(*by, (F.col("frame_id") + 1).alias("frame_id"), F.col("ts").alias("_before"))
+    gaps = frames.join(before, [*by, "frame_id"], "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("frame_id").alias("_d"), F.min("frame_id").alias("_a"), F.max("frame_id").alias("_b"), F.coalesce(F.min(F.col("ts") - F.col("_before")), F.lit(1.0)).alias("_gap")
+    )
+    bad = F.when(F.col("_n") < 2, "fewer than two frames").when((F.col("_a") != 0) | (F.col("_b") != F.col("_n") - 1) | (F.col("_d") != F.col("_n")), "frame ids are not 0 to n - 1").when(F.col("_gap") <= 0, "timestamps do not grow")
+    verdict = gaps.select(*by, F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
+    joined = frames.join(verdict, by) if by else frames.crossJoin(F.broadcast(verdict))  # one row
+    return joined.where("_ok").drop("_ok")
+
+
+def read_matrix(spark: SparkSession, path: str) -> list[float]:
+    """The nine numbers of a 3x3 CSV, row by row; other shapes are an error."""
+    rows = [[float(x) for x in r.value.split(",")] for r in spark.read.text(path).where("trim(value) <> ''").limit(4).collect()]
+    if [len(r) for r in rows] != [3, 3, 3]:
+        raise ValueError(f"not a 3x3 matrix: {path}")
+    return [x for r in rows for x in r]
+
+
+def production_settings(documents: DataFrame) -> DataFrame:
+    """From rows (case_id, document, value) with JSON values: case_id, scale_mm_per_unit (an error if absent) and poisson_depth (9 if absent)."""
+    pick = lambda name, path: F.max(F.when(F.col("document") == name, F.get_json_object("value", path)))
+    out = documents.groupBy("case_id").agg(pick("scale", "$.scale_mm_per_unit").cast("double").alias("s"), pick("case", "$.stages.mvs.parameters.poisson_depth").cast("int").alias("d"))
+    lost = F.raise_error(F.concat(F.lit("no scale for case "), F.col("case_id").cast("string"))).cast("double")
+    return out.select("case_id", F.when(F.col("s").isNull(), lost).otherwise(F.col("s")).alias("scale_mm_per_unit"), F.coalesce("d", F.lit(9)).alias("poisson_depth"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_landmarks(spark: SparkSession, path: str) -> DataFrame:
     """path, landmark, x, y, z from JSON documents {"landmarks": {name: [x, y, z]}}; a document without the key is the map itself."""
     return _map_rows(spark, path, "landmarks", "map<string, array<double>>").selectExpr("path", "key AS landmark", "value[0] AS x", "value[1] AS y", "value[2] AS z")

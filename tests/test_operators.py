@@ -7,18 +7,149 @@ import pandas as pd
 import pytest
 from gaugeflow.functions import vectors as V
 from gaugeflow.functions.text import duration_label, reduction_label
-from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, registration, robust, series, solve, state
+from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, quantiles, registration, reports, robust, series, solve, state, surfaces
 from gaugeflow.operators.components import connected_components
 from gaugeflow.plans import roles
 from gaugeflow.sources import captures
 from pyspark.sql import functions as F
 
 
+LIMITS = [("s", "fps", "min", 29.0, None, 24.0, None, "fps"), ("s", "drift", "max", None, 1.0, None, 2.0, "%"), ("s", "duration", "range", 25.0, 45.0, 18.0, 60.0, "s")]
+
+
 def test_gate_edges(spark):
-    rows = [(c, v) for c, v in [("capture.fps", 29.0), ("capture.fps", 24.0), ("capture.fps", 23.9), ("capture.fps", math.nan), ("capture.fps", None), ("capture.focal_drift", 1.0), ("capture.focal_drift", 2.0), ("capture.focal_drift", 2.1), ("capture.focal_drift", math.nan), ("capture.duration", 25.0), ("capture.duration", 45.1), ("capture.duration", 61.0), ("capture.duration", math.nan)]]
+    rows = [("fps", 29.0), ("fps", 24.0), ("fps", 23.9), ("fps", math.nan), ("fps", None), ("drift", 1.0), ("drift", 2.0), ("drift", 2.1), ("drift", math.nan), ("duration", 25.0), ("duration", 45.1), ("duration", 61.0), ("duration", math.nan)]
     m = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, check_id string, value double")
-    got = [r.status for r in gates.evaluate(m, gates.thresholds(spark, gates.CAPTURE_THRESHOLDS)).orderBy("i").collect()]
+    got = [r.status for r in gates.evaluate(m, gates.thresholds(spark, LIMITS)).orderBy("i").collect()]
     assert got == ["PASS", "WARN", "FAIL", "FAIL", "WARN", "PASS", "WARN", "FAIL", "FAIL", "PASS", "WARN", "FAIL", "WARN"]
+    with pytest.raises(Exception, match="unknown check: mystery"):
+        gates.evaluate(spark.createDataFrame([("mystery", 1.0)], "check_id string, value double"), gates.thresholds(spark, LIMITS)).collect()
+    flags = spark.createDataFrame([(0, True), (1, False), (2, None)], "i int, f boolean")
+    assert [r.s for r in flags.select("i", gates.tri_state(F.col("f")).alias("s")).orderBy("i").collect()] == ["PASS", "FAIL", "WARN"]
+
+
+GOOD = {
+    "capture.frame_count": 1200, "capture.duration": 32, "capture.fps": 37.5, "capture.resolution": 1920, "capture.path": 1.5, "capture.span": 0.5, "capture.orientation_coverage": 145, "capture.tracking_jumps": 0, "capture.focal_drift": 0.5,
+    "capture.linear_speed": 0.1, "capture.angular_speed": 20, "video.sharpness_p10": 120, "video.sharpness_median": 250, "video.dark_pixels": 0.1, "video.bright_pixels": 0.1, "video.luminance_stability": 20, "capture.selected_frames": 120, "capture.depth_coverage": 1,
+    "mask.success_ratio": 1, "sfm.registered_images": 100, "sfm.registration_ratio": 0.9, "sfm.sparse_points": 20000, "mvs.fused_artifact_exists": 1, "mvs.fused_artifact_role": 1, "mvs.fused_point_count": 150000, "mvs.nonfinite_points": 0, "mvs.fused_file_size": 1,
+    "mvs.fused_bounding_box": 1, "mvs.fused_normals": 1, "scale.pose_inlier_ratio": 0.9, "scale.pose_median_residual": 5, "scale.pose_p95_residual": 10, "scale.lidar_verification": 1, "mesh.nonfinite": 0, "mesh.degenerate": 0, "mesh.largest_component": 1,
+    "mesh.component_count": 1, "mesh.edge_sampling": 0.5, "mesh.winding": 1, "mesh.watertight": 1, "landmarks.minimum_inlier_ratio": 0.9, "landmarks.maximum_ray_residual": 1, "landmarks.maximum_surface_snap": 0.5, "assets.geometry_identity": 1,
+    "assets.render_deviation": 0, "assets.texture_resolution": 4096, "assets.texture_black_faces": 1, "assets.texture_white_faces": 0, "assets.skin_material": 1, "measurements.count": 1, "measurements.definition_validation": 1, "pipeline.runtime": 3000, "pipeline.stage_completion": 1,
+}
+DOCUMENTS = ["sfm", "mvs", "scale", "mesh", "landmarks"]
+
+
+def reported(spark, metrics, documents):
+    cases = spark.createDataFrame([("a",)], "case_id string")
+    m = spark.createDataFrame([("a", k, None if v is None else float(v)) for k, v in metrics.items()], "case_id string, check_id string, value double")
+    d = spark.createDataFrame([("a", x) for x in documents], "case_id string, document string")
+    checks = reports.case_checks(cases, m, d)
+    return reports.case_report(checks).first(), {r.check_id: r.status for r in checks.collect()}
+
+
+def test_a_complete_case_never_passes_as_definitions_are_not_approved(spark):
+    r, checks = reported(spark, GOOD, DOCUMENTS)
+    assert r.overall_status == "WARN" and r.failed_sections == [] and r.warning_sections == ["Measurements"] and r.clinical_use_authorized is False
+    assert {s.id: s.status for s in r.sections} == {s: "WARN" if s == "measurements" else "PASS" for s, *_ in reports.SECTIONS} and [s.id for s in r.sections] == [s for s, *_ in reports.SECTIONS]
+    assert checks["measurements.definition_validation"] == "WARN" and checks["capture.duration"] == "PASS"
+    criteria = {c.check_id: c.criteria for s in r.sections for c in s.checks}
+    assert criteria["capture.path"] == "PASS >= 1.2; WARN >= 0.75; FAIL < 0.75" and criteria["capture.duration"] == "PASS 25-45; WARN 18-60; FAIL outside WARN range"
+
+
+def test_case_gates(spark):
+    assert reported(spark, GOOD | {"capture.duration": 20}, DOCUMENTS)[1]["capture.duration"] == "WARN"
+    r, checks = reported(spark, GOOD | {"capture.orientation_coverage": 90, "mvs.fused_artifact_exists": 0, "scale.lidar_verification": None, "mesh.watertight": 0, "pipeline.stage_completion": 0}, DOCUMENTS)
+    assert r.overall_status == "FAIL" and r.failed_sections == ["Input capture", "Raw dense stereo fusion", "Pipeline execution"] and r.warning_sections == ["Metric scale", "Authoritative mesh", "Measurements"]
+    # Nothing known: metrics warn, flags fail, absent documents say so, optional checks are left out.
+    r, checks = reported(spark, {}, [])
+    assert checks["capture.fps"] == "WARN" and checks["mesh.exists"] == "FAIL" and checks["scale.exists"] == "FAIL" and checks["landmarks.quality"] == "FAIL" and checks["sfm.metrics"] == "WARN" and checks["mvs.fusion_metrics"] == "WARN"
+    assert "capture.selected_frames" not in checks and "mesh.winding" not in checks and r.overall_status == "FAIL" and len(r.sections) == 10
+    with pytest.raises(Exception, match="unknown check: mesh.largest"):
+        reported(spark, {"mesh.largest": 1}, DOCUMENTS)
+
+
+def test_repeatability_of_three_cases(spark):
+    base = {"nasofrontal_angle_deg": 160.0, "nasolabial_angle_deg": 95.0, "goode_ratio": 0.5, "nose_length_mm": 45.0, "nose_width_mm": 30.0, "midline_deviation_mm": 1.0}
+    rows = [("s", f"case_{i}", n, v + (offset / 100 if n == "goode_ratio" else offset)) for i, offset in enumerate((0.0, 0.5, 2.5)) for n, v in base.items()]
+    schema = "subject_id string, case_id string, measurement string, value double"
+    got = {r.measurement: r for r in reports.repeatability_report(spark.createDataFrame(rows, schema)).collect()}
+    assert {r.overall_status for r in got.values()} == {"FAIL"} and got["nose_length_mm"].maximum_pairwise_difference == 2.5 and got["nose_width_mm"].sample_standard_deviation == 1.3229
+    assert {n: r.status for n, r in got.items()} == {n: "FAIL" if n.endswith("mm") else "PASS" for n in base} and got["goode_ratio"].unit == "ratio"
+    for bad, match in ((rows[:6], "fewer than two cases"), (rows[1:], "lack a measurement")):
+        with pytest.raises(Exception, match=match):
+            reports.repeatability_report(spark.createDataFrame(bad, schema)).collect()
+
+
+def test_runtime_and_worst_landmarks(spark):
+    stages = spark.createDataFrame([("a", "ingest", "complete", 10.5), ("a", "mesh", "failed", 99.0), ("a", "quality", "running", 5.0), ("b", "ingest", "complete", None)], "case_id string, stage string, status string, elapsed_seconds double")
+    assert {r.case_id: (r.runtime, r.incomplete, r.complete) for r in reports.stage_runtime(stages).collect()} == {"a": (10.5, ["mesh"], False), "b": (0.0, [], True)}
+    quality = spark.createDataFrame([("a", "nasion", 8.0, 10.0, 0.5, 0.2), ("a", "tip", 9.0, 10.0, None, 0.9)], "case_id string, landmark string, inliers double, observations double, ray_residual_mm double, snap_mm double")
+    r = reports.landmark_metrics(quality).first()
+    assert (r.landmark_count, r.minimum_inlier_ratio, r.maximum_median_ray_residual_mm, r.maximum_surface_snap_distance_mm, r.worst_surface_snap_landmark) == (2, 0.8, math.inf, 0.9, "tip")
+
+
+def test_percentiles_of_large_groups_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", 500)
+    g = np.random.default_rng(17)
+    x = {"a": g.normal(size=30_000), "b": np.where(g.random(20_000) < 0.4, 1.5, g.integers(0, 50, 20_000)), "c": g.normal(size=7), None: np.array([2.0])}
+    pdf = pd.concat([pd.DataFrame({"g": k, "v": v}) for k, v in x.items()] + [pd.DataFrame({"g": ["empty"], "v": [None]})])
+    df = spark.createDataFrame(pdf.astype({"v": float}), "g string, v double").withColumn("v", F.nanvl("v", F.lit(None)))
+    wanted = {f"q{i}": (F.col("v"), q) for i, q in enumerate((0.0, 0.04, 0.5, 0.95, 1.0))}
+    got = {r.g: r for r in quantiles.exact_percentiles(df, ["g"], wanted).collect()}
+    for k, v in x.items():
+        assert [got[k][n] for n in wanted] == pytest.approx([np.quantile(v, q) for _, q in wanted.values()], abs=1e-12), k
+    assert got["empty"].q0 is None and len(got) == 5
+    whole = quantiles.exact_percentiles(df, [], {"m": (F.col("v"), 0.5)}).first()
+    assert whole.m == pytest.approx(np.quantile(np.concatenate(list(x.values())), 0.5))
+    assert quantiles.exact_percentiles(df.limit(0), ["g"], {"m": (F.col("v"), 0.5)}).count() == 0
+
+
+def brute_closest(p, a, b, c):
+    """The least distance over the triangle's face, edges and corners."""
+    best = min(np.linalg.norm(p - q) for q in (a, b, c))
+    for s, e in ((a, b), (b, c), (c, a)):
+        t = np.clip((p - s) @ (e - s) / max((e - s) @ (e - s), 1e-300), 0, 1)
+        best = min(best, np.linalg.norm(p - s - t * (e - s)))
+    m = np.stack([b - a, c - a], axis=1)
+    v, w = np.linalg.lstsq(m, p - a, rcond=None)[0]
+    return min(best, np.linalg.norm(p - a - m @ (v, w))) if v >= 0 and w >= 0 and v + w <= 1 else best
+
+
+def test_closest_on_surface_against_brute_force(spark):
+    g = np.random.default_rng(18)
+    corners = g.uniform(0, 1, (40, 1, 3)) + g.uniform(-0.2, 0.2, (40, 3, 3))
+    points = np.concatenate([g.uniform(-0.2, 1.2, (60, 3)), [[9.0, 9.0, 9.0]]])
+    t = spark.createDataFrame([(i, *map(float, c.ravel())) for i, c in enumerate(corners)], "fid long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], "point_id long, x double, y double, z double")
+    got = {r.point_id: r for r in surfaces.closest_on_surface(p, t, 0.1).collect()}
+    for i, x in enumerate(points):
+        r = got[i]
+        assert r.distance == pytest.approx(min(brute_closest(x, *c) for c in corners)) and min(r.u, r.v, r.w) >= -1e-12 and r.u + r.v + r.w == pytest.approx(1)
+        assert np.allclose((r.u, r.v, r.w) @ corners[r.fid], (r.sx, r.sy, r.sz)) and np.linalg.norm(x - (r.sx, r.sy, r.sz)) == pytest.approx(r.distance)
+    assert surfaces.closest_on_surface(p, t.limit(0), 0.1).count() == 0 and surfaces.closest_on_surface(p.limit(0), t, 0.1).count() == 0
+
+
+def test_triangle_hits_and_samples(spark):
+    rays = spark.createDataFrame([(0, 0.2, 0.2, 5.0, 0.0, 0.0, -1.0, 1), (1, 2.0, 2.0, 5.0, 0.0, 0.0, -1.0, 1)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, k int")
+    tris = spark.createDataFrame([(i, 0.0, 0.0, z, 1.0, 0.0, z, 0.0, 1.0, z, 1) for i, z in enumerate((1.0, 3.0, 9.0))], "fid long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, k int")
+    assert [tuple(r) for r in neighbors.triangle_hits(rays, tris, ["k"]).collect()] == [(0, 1, 2.0)]
+    rows = spark.range(1000)
+    one = {r.id for r in neighbors.seeded_sample(rows, "id", 50, 3).collect()}
+    assert len(one) == 50 and one == {r.id for r in neighbors.seeded_sample(rows.repartition(7), "id", 50, 3).collect()} != {r.id for r in neighbors.seeded_sample(rows, "id", 50, 4).collect()}
+    chain = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 5, 6, 7)], "mesh string, fid long, v0 long, v1 long, v2 long")
+    assert {(r.node, r.component) for r in mesh.mesh_components(chain).collect()} == {(0, 0), (1, 0), (2, 0), (5, 5), (6, 5), (7, 5)}
+
+
+def test_views_and_frames(spark):
+    q = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0), (1, 0.0, 2.0, 0.0, 0.0), (2, 1e-9, 0.0, 0.0, 0.0)], "i int, x double, y double, z double, w double")
+    v = V.view_direction(tuple(F.col(c) for c in "xyzw"))
+    assert [tuple(r)[1:] for r in q.select("i", *[F.round(x, 9).alias(n) for x, n in zip(v, "abc")]).orderBy("i").collect()] == [(0, 0, -1), (0, 0, 1), (0, 0, -1)]
+    at = FACE
+    r = spark.createDataFrame([("a", k, *map(float, x)) for k, x in at.items()], "c string, landmark string, x double, y double, z double")
+    f = geometry.anatomical_frame(geometry.pivot_landmarks(r, "c"), "c").first()
+    up = np.array([0, -20, 20]) / math.sqrt(800)
+    assert np.allclose([f.vertical[c] for c in "xyz"], up) and np.allclose([f.lateral[c] for c in "xyz"], (-1, 0, 0)) and f.tip_longitudinal_mm == pytest.approx(np.array([0, 0, 50]) @ up)
+    assert f.alar_width_mm == 35 and f.half_width_mm == pytest.approx(9.8) and f.usable and f.anterior["z"] > 0
 
 
 def test_report_is_never_clinical_and_empty_section_warns(spark):
@@ -63,12 +194,15 @@ def test_rotated_intrinsics(spark):
     assert tuple(got) == (684.0, 685.0, 358.5, 481.5, 720.0, 960.0)
 
 
+FACE = {"glabella": (0, 10, 0), "nasion": (0, 0, 0), "pronasale": (0, 0, 50), "subnasale": (0, -20, 20), "columella": (0, -18, 24), "labiale_superius": (0, -27, 18), "left_alare": (-17.5, -14, 15), "right_alare": (17.5, -14, 15), "left_endocanthion": (-15, 10, 0), "right_endocanthion": (15, 10, 0)}
+
+
 def test_measurements_of_a_known_face(spark):
-    at = {"nasion": (0, 0, 0), "pronasale": (0, -30, 40), "subnasale": (0, -40, 20), "alare_left": (-17.5, -35, 15), "alare_right": (17.5, -35, 15), "glabella": (0, 20, 5), "labrale_superius": (0, -50, 22)}
-    r = spark.createDataFrame([("a", k, *map(float, v)) for k, v in at.items()], "c string, landmark string, x double, y double, z double")
+    r = spark.createDataFrame([("a", k, *map(float, v)) for k, v in FACE.items()], "c string, landmark string, x double, y double, z double")
     m = geometry.measurements(geometry.pivot_landmarks(r, "c"), "c").first()
-    assert (m.nose_length, m.nose_width, m.deviation) == (50.0, 35.0, 0.0)
-    assert geometry.measurements(geometry.pivot_landmarks(r.where("landmark <> 'nasion'"), "c"), "c").first().nose_length is None
+    assert (m.nose_length_mm, m.nose_width_mm, m.midline_deviation_mm, m.nasofrontal_angle_deg, m.nasolabial_angle_deg, m.goode_ratio) == (50.0, 35.0, 0.0, 90.0, 132.5, 0.754)
+    with pytest.raises(Exception, match="missing landmarks: nasion"):
+        geometry.measurements(geometry.pivot_landmarks(r.where("landmark <> 'nasion'"), "c"), "c").collect()
 
 
 def test_degenerate_tube_has_no_points(spark):
@@ -116,22 +250,64 @@ def test_similarity_and_ransac(spark):
     assert robust_fit.inliers == 77 and abs(robust_fit.scale - 0.42) < 1e-9
 
 
-def test_consensus_and_rays():
-    g = np.random.default_rng(7)
-    p = pd.DataFrame(np.vstack([g.normal(scale=0.3, size=(30, 3)), [[20, 0, 0], [-20, 0, 0]]]), columns=list("xyz"))
-    got = solve.consensus_point(p, 2.5, 8.0)
-    assert got["used"] == 30 and np.linalg.norm([got[c] for c in "xyz"]) < 0.2
-    c = g.normal(size=(12, 3)) * 5
-    r = pd.DataFrame(np.hstack([c, (1, 2, 3) - c]), columns=["cx", "cy", "cz", "dx", "dy", "dz"])
-    assert np.allclose([solve.robust_rays(r)[k] for k in "xyz"], (1, 2, 3))
-    assert math.isnan(solve.robust_rays(r.head(3))["x"])
-
-
-def test_offsets_meet_constraints_smoothly():
-    n = 21
-    e = np.array([(i, i + 1) for i in range(n - 1)])
-    u = solve.biharmonic_offsets(e, {9: 1.0, 10: 1.0, 11: 1.0}, {0, 1, 19, 20}, n)
-    assert abs(u[10] - 1) < 0.05 and u[0] == u[20] == 0 and np.abs(np.diff(u, 2)).max() < 0.2
+def brute_rays(c, d, least=6):
+    d = d / np.linalg.norm(d, axis=1, keepdims=True)
+    m = np.eye(3) - d[:, :, None] * d[:, None, :]
+    point = lambda k: np.linalg.solve(m[k].sum(axis=0), np.einsum("nij,nj->i", m[k], c[k]))
+    keep = np.ones(len(c), bool)
+    for _ in range(4):
+        if keep.sum() < least:
+            break
+        r = np.linalg.norm(np.cross(point(keep) - c, d), axis=1)
+        middle = np.median(r[keep])
+        new = r <= max(middle + 3 * np.median(np.abs(r[keep] - middle)), 2 * middle, 1e-6)
+        if (new == keep).all():
+            break
+        keep = new
+    return (point(keep) if keep.sum() >= least else None), int(keep.sum())
+
+
+def brute_consensus(p, low, high, least=6):
+    keep = np.ones(len(p), bool)
+    for _ in range(5):
+        if keep.sum() < least:
+            break
+        r = np.linalg.norm(p - np.median(p[keep], axis=0), axis=1)
+        middle = np.median(r[keep])
+        new = r <= min(high, max(low, middle + 3 * 1.4826 * np.median(np.abs(r[keep] - middle))))
+        if (new == keep).all():
+            break
+        keep = new
+    return (p[keep].mean(axis=0) if keep.sum() >= least else None), int(keep.sum())
+
+
+def test_consensus_and_rays_against_plain_loops(spark):
+    g, rows, points, want = np.random.default_rng(7), [], [], {}
+    for k in range(8):
+        n = (5, 7, 12, 12, 20, 20, 30, 30)[k]
+        c = g.normal(size=(n, 3)) * 5
+        d = (1, 2, 3) - c + g.normal(scale=0.02, size=(n, 3)) + np.where(g.random((n, 1)) < 0.3, g.normal(size=(n, 3)), 0)
+        p = g.normal(scale=0.3, size=(n, 3)) + np.where(g.random((n, 1)) < 0.2, 20, 0)
+        rows += [(k, *map(float, (*a, *b))) for a, b in zip(c, d)]
+        points += [(k, *map(float, x)) for x in p]
+        want[k] = (brute_rays(c, d), brute_consensus(p, 0.5, 2.0))
+    rays = solve.robust_rays(spark.createDataFrame(rows, "k int, cx double, cy double, cz double, dx double, dy double, dz double"), ["k"])
+    consensus = solve.consensus_point(spark.createDataFrame(points, "k int, x double, y double, z double"), ["k"], 0.5, 2.0)
+    for got, which in ((rays, 0), (consensus, 1)):
+        for r in got.collect():
+            point, used = want[r.k][which]
+            assert r.used == used and (r.x is None if point is None else np.allclose((r.x, r.y, r.z), point, atol=1e-8)), (which, r)
+    assert want[0][0][0] is None and sum(w[0][0] is not None for w in want.values()) >= 5
+
+
+def test_ransac_ties_go_to_the_lower_median_of_inliers(spark):
+    # Two groups of 20 fit alike in number; the second fits exactly, while its median over all pairs is no better.
+    g = np.random.default_rng(23)
+    s = g.normal(size=(40, 3))
+    t = np.concatenate([s[:20] + (5, 0, 0) + g.normal(scale=0.01, size=(20, 3)), s[20:] - (5, 0, 0)])
+    df = spark.createDataFrame([("a", i, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(s, t))], "c string, i long, sx double, sy double, sz double, tx double, ty double, tz double")
+    r = solve.ransac_fit(df, ["c"], "i", sample=4, threshold=0.1).first()
+    assert r.inliers == 20 and np.allclose(r.t, (-5, 0, 0), atol=1e-9) and r.accepted
 
 
 def test_percentiles_skip_nan_and_trim_is_strict(spark):
@@ -158,7 +334,9 @@ def test_readers_and_labels(spark, tmp_path):
     assert captures.read_landmarks(spark, str(tmp_path / "l.json")).first().z == 3.0
     assert captures.render_html([{"id": "<a>", "status": "PASS"}], "t").count("&lt;a&gt;") == 1
     got = spark.createDataFrame([(2.0, 89.0), (0.125, 5400.0)], "a double, b double").select(reduction_label(F.col("a")).alias("a"), duration_label(F.col("b")).alias("b")).collect()
-    assert [tuple(r) for r in got] == [("2.0", "89.0 s"), ("0.125", "1.5 h")]
+    assert [tuple(r) for r in got] == [("2.0", "89s"), ("0.125", "1.5h")]
+    got = spark.createDataFrame([(0.5,), (1.5,), (90.0,), (5399.0,), (7200.0,)], "s double").select(duration_label(F.col("s")).alias("d")).collect()
+    assert [r.d for r in got] == ["0s", "2s", "1.5m", "90.0m", "2.0h"]
 
 
 def test_closest_points_recover_a_rigid_motion(spark):
