@@ -39,13 +39,33 @@ def basis_coordinates(p: V.Vector, origin: V.Vector, axes: tuple[V.Vector, V.Vec
     return tuple(V.dot(V.minus(p, origin), a) for a in axes)
 
 
-def max_pairwise_angle(rows: DataFrame, by: list[str], row_id: str, direction: tuple[str, str, str]) -> DataFrame:
-    """The widest angle between two of a case's directions, in degrees. Pairs are joined within a case and aggregated on the fly."""
-    a = rows.select(*by, F.col(row_id).alias("_i"), *[F.col(c).alias(f"_a{k}") for k, c in enumerate(direction)])
-    b = rows.select(*by, F.col(row_id).alias("_j"), *[F.col(c).alias(f"_b{k}") for k, c in enumerate(direction)])
-    u, v = tuple(F.col(f"_a{k}") for k in range(3)), tuple(F.col(f"_b{k}") for k in range(3))
-    cosine = F.try_divide(V.dot(u, v), V.norm(u) * V.norm(v))
-    return a.join(b, by).where("_i < _j").groupBy(*by).agg(F.degrees(F.acos(V.clip(F.min(cosine), -1, 1))).alias("max_angle"))
+def max_pairwise_angle(rows: DataFrame, by: list[str], row_id: str, direction: tuple[str, str, str], cuts: int = 8) -> DataFrame:
+    """The widest angle between two of a case's directions, in degrees; cases with one direction are left out, vectors without length don't count.
+
+    Directions fall into the cells of a grid of ``cuts`` by ``cuts`` on each side of a cube around them. Of each cell, the bounds of its
+    directions say how wide the angle to another cell's can be, and one of them how wide one surely is. Only pairs of cells that can beat
+    the widest sure angle of their case are compared row by row, so rows are not paired with all others, and cells are of a fixed number.
+    """
+    v = V.unit(tuple(F.col(c) for c in direction))
+    unit = rows.select(*by, F.col(row_id).alias("_i"), *[x.alias(f"_{c}") for x, c in zip(v, "xyz")]).where("_x IS NOT NULL")
+    x, y, z = (F.col(f"_{c}") for c in "xyz")
+    longest = F.greatest(F.abs(x), F.abs(y), F.abs(z))
+    side = F.when(F.abs(x) == longest, F.when(x > 0, 0).otherwise(1)).when(F.abs(y) == longest, F.when(y > 0, 2).otherwise(3)).otherwise(F.when(z > 0, 4).otherwise(5))
+    at = lambda c: F.least(F.floor((c / longest + 1) / 2 * cuts), F.lit(cuts - 1)).cast("int")
+    unit = unit.withColumn("_cell", side * cuts * cuts + F.when(side < 2, at(y) * cuts + at(z)).when(side < 4, at(x) * cuts + at(z)).otherwise(at(x) * cuts + at(y)))
+    box = [f(f"_{c}").alias(f"_{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    cells = unit.groupBy(*by, "_cell").agg(*box, F.min(F.struct("_i", "_x", "_y", "_z")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    other = cells.select(*by, *[F.col(c).alias(f"{c}2") for c in cells.columns if c not in by])
+    pairs = cells.join(other, by).where("_cell < _cell2 OR (_cell = _cell2 AND _n > 1)")  # cells: a fixed number a case
+    least = sum((F.least(*[F.col(f"_{a}{c}") * F.col(f"_{b}{c}2") for a in "lh" for b in "lh"]) for c in "xyz"), F.lit(0.0))  # of any dot product
+    sure = F.when(F.col("_cell") < F.col("_cell2"), V.dot(tuple(F.col(f"_p._{c}") for c in "xyz"), tuple(F.col(f"_p2._{c}") for c in "xyz"))).otherwise(1.0)
+    pairs = pairs.select(*by, "_cell", "_cell2", least.alias("_least"), sure.alias("_sure"))
+    bound = pairs.groupBy(*by).agg(F.min("_sure").alias("_bound"))
+    hopeful = pairs.join(bound, by).where(F.col("_least") <= F.col("_bound") + 1e-12).select(*by, "_cell", "_cell2")
+    second = unit.select(*by, F.col("_cell").alias("_cell2"), F.col("_i").alias("_j"), *[F.col(f"_{c}").alias(f"_{c}2") for c in "xyz"])
+    met = unit.join(hopeful, [*by, "_cell"]).join(second, [*by, "_cell2"]).where("_cell < _cell2 OR _i < _j")
+    cosine = V.dot((x, y, z), tuple(F.col(f"_{c}2") for c in "xyz"))
+    return met.groupBy(*by).agg(F.degrees(F.acos(V.clip(F.min(cosine), -1, 1))).alias("max_angle"))
 
 
 def bounding_box(points: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:

@@ -693,11 +693,11 @@ def seeded_component(spark, d):
     return mesh.seeded_component(edges, inside, first)
 
 
-@query("""WITH c AS (SELECT l_returnflag AS mesh, l_orderkey AS fid, l_quantity / CAST(50 AS DOUBLE) AS u, l_discount * 10 AS v FROM lineitem), p AS (SELECT r AS row, k AS "column", (r * 31 + k * 17) % 256 AS gray FROM range(64) a(r), range(32) b(k)),
+@query("""WITH c AS (SELECT l_returnflag AS mesh, l_orderkey AS fid, l_quantity / CAST(64 AS DOUBLE) AS u, l_linenumber / CAST(8 AS DOUBLE) AS v FROM lineitem), p AS (SELECT r AS row, k AS "column", (r * 31 + k * 17) % 256 AS gray FROM range(64) a(r), range(32) b(k)),
 f AS (SELECT mesh, fid, avg(u) AS u, avg(v) AS v FROM c GROUP BY 1, 2), q AS (SELECT mesh, greatest(0, least(63, CAST(round_even((1 - v) * 63, 0) AS BIGINT))) AS row, greatest(0, least(31, CAST(round_even(u * 31, 0) AS BIGINT))) AS "column" FROM f)
 SELECT mesh, count(*) AS faces, round_even(avg((gray <= 5)::INT) * 100, 4) AS dark_percent, round_even(avg((gray >= 250)::INT) * 100, 4) AS bright_percent, quantile_cont(CAST(gray AS DOUBLE), 0.5) AS median FROM q JOIN p USING (row, "column") GROUP BY 1""")
 def sampled_texture(spark, d):
-    corners = table(spark, d, "lineitem").selectExpr("l_returnflag AS mesh", "l_orderkey AS fid", "l_quantity / 50D AS u", "l_discount * 10 AS v")
+    corners = table(spark, d, "lineitem").selectExpr("l_returnflag AS mesh", "l_orderkey AS fid", "l_quantity / 64D AS u", "l_linenumber / 8D AS v")
     pixels = spark.range(64 * 32).selectExpr("id DIV 32 AS row", "id % 32 AS column", "(id DIV 32 * 31 + id % 32 * 17) % 256 AS gray")
     return mesh.sampled_texture(corners, pixels, 32, 64)
 

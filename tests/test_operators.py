@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from gaugeflow.functions import vectors as V
 from gaugeflow.functions.text import duration_label, reduction_label
-from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, quantiles, registration, reports, robust, series, solve, state, surfaces
+from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, quantiles, registration, reports, robust, scale, series, solve, state, surfaces
 from gaugeflow.operators.components import connected_components
 from gaugeflow.plans import roles
 from gaugeflow.sources import captures
@@ -380,3 +380,87 @@ def test_closest_points_tell_whether_they_converged(spark):
     p = np.random.default_rng(5).uniform(0, 10, (40, 3))
     source, target = (spark.createDataFrame(pd.DataFrame(x, columns=list("xyz"))) for x in (p, p + (0.1, -0.05, 0.02)))
     assert [registration.closest_points(source, target, voxel=0.001, reach=2.0, rounds=k).first().converged for k in (1, 12)] == [False, True]
+
+
+def test_widest_angle_against_all_pairs(spark):
+    g, rows, want = np.random.default_rng(24), [], {}
+    for k, n in enumerate((2, 3, 40, 400)):
+        x = g.normal(size=(n, 3)) + (0, 0, (0, 4, 2, 3)[k])
+        rows += [(k, i, *map(float, v)) for i, v in enumerate(x)]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want[k] = np.degrees(np.arccos(np.clip((u @ u.T).min(), -1, 1)))
+    rows += [(9, 0, 1.0, 0.0, 0.0), (8, 0, 1.0, 1.0, 0.0), (8, 1, 1.0, 1.0, 0.0), (8, 2, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, i int, x double, y double, z double")
+    got = {r.k: r.max_angle for r in geometry.max_pairwise_angle(df, ["k"], "i", ("x", "y", "z")).collect()}
+    assert got == pytest.approx(want | {8: 0.0}, abs=1e-5)
+
+
+def test_capture_files(spark, tmp_path):
+    frames = lambda rows: spark.createDataFrame(rows, "frame_id long, ts double")
+    assert captures.checked_frames(frames([(1, 0.2), (0, 0.1), (2, 0.3)])).count() == 3
+    for rows, match in (([(0, 1.0)], "fewer than two"), ([(0, 1.0), (2, 2.0)], "0 to n - 1"), ([(0, 1.0), (0, 2.0)], "0 to n - 1"), ([(0, 1.0), (1, 1.0)], "do not grow")):
+        with pytest.raises(Exception, match=match):
+            captures.checked_frames(frames(rows)).collect()
+    (tmp_path / "m.csv").write_text("1,2,3\n4,5,6\n\n7,8,9\n")
+    assert captures.read_matrix(spark, str(tmp_path / "m.csv")) == list(map(float, range(1, 10)))
+    (tmp_path / "bad.csv").write_text("1,2\n3,4\n")
+    with pytest.raises(ValueError, match="3x3"):
+        captures.read_matrix(spark, str(tmp_path / "bad.csv"))
+    docs = spark.createDataFrame([("a", "scale", '{"scale_mm_per_unit": 12.5}'), ("a", "case", '{"stages": {"mvs": {"parameters": {"poisson_depth": 10}}}}'), ("b", "scale", '{"scale_mm_per_unit": 1}')], "case_id string, document string, value string")
+    assert {tuple(r) for r in captures.production_settings(docs).collect()} == {("a", 12.5, 10), ("b", 1.0, 9)}
+    with pytest.raises(Exception, match="no scale for case a"):
+        captures.production_settings(docs.where("document = 'case'")).collect()
+    (tmp_path / "x.json").write_text('{"measurements": {"nose_length_mm": 45.5}}')
+    assert captures.read_measurements(spark, str(tmp_path / "x.json")).first().value == 45.5
+    (tmp_path / "c.csv").write_text("case_id,measurement,true_value\na,width,\nb,width,3.5\n")
+    rows = captures.read_comparison(spark, str(tmp_path / "c.csv"))
+    assert {tuple(r) for r in rows.collect()} == {("a", "width", None), ("b", "width", 3.5)}
+    captures.write_csv(rows, str(tmp_path / "out"))
+    assert captures.read_comparison(spark, str(tmp_path / "out")).count() == 2
+    captures.write_report(rows, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).where("case_id = 'b'").first().true_value == 3.5
+
+
+def test_identities_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    r = state.artifact_records(spark, str(tmp_path / "a.bin"), "mesh").first()
+    assert (r.role, r["size"], r.sha256) == ("mesh", 3, hashlib.sha256(b"abc").hexdigest())
+    files = spark.createDataFrame([("c", "rgb", f"{i:03}.png", 100 + i) for i in range(5)], "case_id string, kind string, name string, size long")
+    tables = spark.createDataFrame([("c", "odometry.csv", "t,x"), ("d", "odometry.csv", "t,x")], "case_id string, name string, content string")
+    one = {r.case_id: r.fingerprint for r in state.capture_fingerprint(files, tables).collect()}
+    two = {r.case_id: r.fingerprint for r in state.capture_fingerprint(files.repartition(3), tables.repartition(2)).collect()}
+    less = {r.case_id: r.fingerprint for r in state.capture_fingerprint(files.where("name <> '004.png'"), tables).collect()}
+    assert one == two and one["c"] != less["c"] and one["d"] == less["d"] and len(one["c"]) == 64
+
+
+def test_parts_of_meshes(spark):
+    f = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 1, 3, 2), ("m", 2, 2, 7, 8), ("m", 3, 20, 21, 22), ("n", 0, 30, 31, 32)], "mesh string, fid long, v0 long, v1 long, v2 long")
+    assert {(r.mesh, r.fid, r.component) for r in mesh.face_components(f).collect()} == {("m", 0, 0), ("m", 1, 0), ("m", 2, 2), ("m", 3, 20), ("n", 0, 30)}
+    assert {(r.mesh, r.fid) for r in mesh.keep_largest(f).collect()} == {("m", 0), ("m", 1), ("n", 0)}
+    edges = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (2, 3)], "a long, b long")
+    inside = spark.createDataFrame([(i,) for i in (0, 1, 3, 4)], "vid long")
+    assert {r.vid for r in mesh.seeded_component(edges, inside, 4).collect()} == {3, 4}
+    with pytest.raises(ValueError, match="seed"):
+        mesh.seeded_component(edges, inside, 2)
+
+
+def test_intrinsics_of_cameras(spark):
+    cameras, images = spark.createDataFrame([(1,), (2,)], "camera_id int"), spark.createDataFrame([(1, "a"), (2, "b")], "camera_id int, name string")
+    measured = spark.createDataFrame([("a", 10.0), ("b", 20.0)], "name string, fx double")
+    assert {(r.camera_id, r.fx) for r in scale.measured_intrinsics(cameras, images, measured).collect()} == {(1, 10.0), (2, 20.0)}
+    for i, m, match in ((images.unionByName(spark.createDataFrame([(1, "c")], "camera_id int, name string")), measured, "share camera 1"), (images, measured.where("name = 'a'"), "no measured parameters for b")):
+        with pytest.raises(Exception, match=match):
+            scale.measured_intrinsics(cameras, i, m).collect()
+
+
+def test_best_of_windows_on_a_stream(spark, tmp_path):
+    from gaugeflow.streaming import best_of_windows
+
+    rows = spark.createDataFrame([(i, s, 1.0 * v) for i, (s, v) in enumerate([(0, 3), (5, 9), (9, 9), (12, 1), (40, 2)])], "id long, s long, v double").selectExpr("id", "timestamp_seconds(s) AS t", "v")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = best_of_windows(stream, "t", "v", "id", "10 seconds", "1 second").writeStream.format("memory").queryName("best").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r.id, r.v) for r in spark.table("best").select("id", "v").collect()} == {(1, 9.0), (3, 1.0)}
