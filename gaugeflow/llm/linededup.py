@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .store import written
 from .words import BLANKS, let
 
+SALTS = 16  # parts of the documents that meet a shared line apart
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,8 +22,8 @@ def dropped_lines(docs: DataFrame, min_length: int, min_docs: int) -> DataFrame:
 
     Lines are exploded as 128-bit hashes of their keys; texts stay where they are. Documents of a key are counted in two steps, first
     to distinct (key, doc_id), then by key with partial counts in each task, so a line that a third of all documents share is a few
-    rows a task. Joining the shared keys back meets such a line on one key: that join is an ordinary one, which Spark's adaptive
-    execution splits by skew.
+    rows a task. The shared keys, which are few, are joined back in ``SALTS`` copies, each met by the documents of its part, so such a line
+    is that many groups; beyond that, Spark's adaptive execution splits by skew.
     """
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
@@ -31,8 +32,8 @@ def dropped_lines(docs: DataFrame, min_length: int, min_docs: int) -> DataFrame:
     lines = written(lines, "lines")  # hashes only; read twice
     # A document without an id is one document, smaller than any other.
     holders = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("holder"))
-    shared = holders.where(F.col("n_docs") >= min_docs).select("key", "holder")
-    gone = lines.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    shared = holders.where(F.col("n_docs") >= min_docs).select("key", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(shared, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drops"))
 
 
