@@ -371,8 +371,20 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     ids = joined.groupBy("component").agg(F.min("first_id").alias("class_id"))
     found = written(classes.join(ids, "component").join(found, F.col("node") == F.col("text_key")).select(F.col("node").alias("k"), F.col("component").alias("class_key"), "class_id", "links"), "classes")
     forget(placed, linked)
-    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select(F.col("text_key").alias("k"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(every, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "class_key", "n_links", "rows")
+    every = texts.join(found, F.col("text_key") == F.col("k"), "left").select("text_key", "copies", F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return _met(members, every, "text_key", "copies", signed.count()).select("doc_id", "text_key", "class_id", "class_key", "n_links", "rows")
+
+
+def _met(rows: DataFrame, about: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``about``, which has a row a key and says how many of the ``total`` rows have it.
+
+    Keys with more than a ten-thousandth of all rows (1000 at least) are 10,000 at most; they are broadcast, so their rows stay where they
+    are, whatever share of all they have. The others meet in an ordinary join.
+    """
+    hot, about = max(1000, total // 10_000), written(about, "about")
+    few, rest = about.where(F.col(size) > hot), about.where(F.col(size) <= hot)
+    names = F.broadcast(few.select(key))
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(names, key, "left_anti").join(rest, key))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -383,9 +395,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     found = near_duplicates(docs, **how)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("m")
-    first = found.groupBy("class_key").agg(order).select(F.col("class_key").alias("c"), F.col("m.doc_id").alias("keep_id"), F.col("m.text_key").alias("keep_key"))
+    found = written(found, "found")
+    first = found.groupBy("class_key").agg(order, F.count(F.lit(1)).alias("many")).select("class_key", "many", F.col("m.doc_id").alias("keep_id"), F.col("m.text_key").alias("keep_key"))
     kept = (F.col("text_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    seen = written(found.join(first, F.col("class_key") == F.col("c")).where(~kept | (F.col("rows") > 1)).select(_mark(F.col("doc_id"), F.col("text_key")).alias("mark"), kept.alias("again")), "seen")
+    seen = written(_met(found, first, "class_key", "many", found.count()).where(~kept | (F.col("rows") > 1)).select(_mark(F.col("doc_id"), F.col("text_key")).alias("mark"), kept.alias("again")), "seen")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _mark(docs["doc_id"].cast("long"), key).alias("mark"))
     out = rows.join(seen, "mark", "left_anti").select("row.*")

@@ -698,3 +698,18 @@ def test_pipeline(spark):
         docs = out
     assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids and docs.count() > 100
     assert corpus_pipeline.run(spark, DIR).agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Nulls, empty texts, repeated rows, clashing and unknown columns, and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    many = docs.unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "concat(text, ' and more of ', doc_id) AS text", "lang", "source", "n_chars", "drops", "row", "key")).withColumns({"votes": F.lit(1), "bin": F.lit("b"), "taken": F.lit(None).cast("int")})
+    for table in (many, many.limit(0), many.where("doc_id = 1")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, DIR)
+            rows = out.collect()
+            assert name == "packing" or out.columns == table.columns, name
+            assert name != "packing" or {r.doc_id for r in rows} == {r.doc_id for r in table.collect()}
+    kept = corpus_pipeline.near_duplicates(spark, many, DIR).collect()
+    assert len({r.text for r in kept if r.text}) == len([r for r in kept if r.text])
