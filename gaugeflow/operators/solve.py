@@ -154,7 +154,7 @@ def consensus_point(points: DataFrame, by: list[str], low: float = 0.0025, high:
 
 
 def local_planes(neighbors: DataFrame) -> DataFrame:
-    """Normal of the plane through each point's neighbours (nx, ny, nz of each row) and their RMS distance from it: point_id, normal, rms, n.
+    """Normal of the plane through each point's neighbours (nx, ny, nz of each row) and their RMS distance from it: point_id, normal, mean, rms, n.
 
     Covariance sums are an aggregate; Python gets a row a point.
     """
@@ -170,7 +170,7 @@ def local_planes(neighbors: DataFrame) -> DataFrame:
                 for j, y in enumerate(c):
                     cov[:, i, j] = b[f"{min(x, y)}_{max(x, y)}"].to_numpy(float) / n - m[:, i] * m[:, j]
             w, v = np.linalg.eigh(cov)
-            yield pd.DataFrame({"point_id": b["point_id"], "normal": v[:, :, 0].tolist(), "rms": np.sqrt(np.maximum(w[:, 0], 0)), "n": b["n"]})
+            yield pd.DataFrame({"point_id": b["point_id"], "normal": v[:, :, 0].tolist(), "mean": m.tolist(), "rms": np.sqrt(np.maximum(w[:, 0], 0)), "n": b["n"]})
 
     share_package(neighbors.sparkSession)
-    return sums.mapInPandas(solve, "point_id long, normal array<double>, rms double, n long")
+    return sums.mapInPandas(solve, "point_id long, normal array<double>, mean array<double>, rms double, n long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import duration_label, reduction_label
-from ..operators import compare, gates, geometry, mesh, neighbors, registration, reports, robust, scale, solve, state, surfaces
+from ..operators import compare, gates, geometry, mesh, neighbors, profiles, registration, reports, robust, scale, solve, state, surfaces
 from ..operators import series as S
 from ..operators.components import connected_components
 from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, vertices
@@ -713,3 +713,82 @@ def quadratic_fit(spark, d):
 @query("SELECT l_suppkey, coalesce(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) FILTER (WHERE l_discount >= 0.08), 0) AS across_median, coalesce(quantile_cont(l_tax, 0.5) FILTER (WHERE l_discount >= 0.08), 0) AS height_median FROM lineitem GROUP BY 1")
 def sidewall_position(spark, d):
     return robust.sidewall_position(table(spark, d, "lineitem"), ["l_suppkey"], F.col("l_discount") >= 0.08, "l_quantity", "l_tax")
+
+
+_RIDGE = "ridge AS (SELECT event_type AS case_id, (event_id % 640) / CAST(20 AS DOUBLE) AS lon, CAST(user_id % 7 AS DOUBLE) - 3 AS lat, CAST(value AS DOUBLE) AS height FROM events), frames AS (SELECT DISTINCT event_type AS case_id, 24 + CAST(length(event_type) AS DOUBLE) / 2 AS roi_end FROM events)"
+
+
+def _ridge(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events")
+    points = e.selectExpr("event_type AS case_id", "(event_id % 640) / 20D AS longitudinal", "CAST(user_id % 7 AS DOUBLE) - 3 AS lateral", "CAST(value AS DOUBLE) AS anterior")
+    return points, e.select("event_type").distinct().selectExpr("event_type AS case_id", "24 + length(event_type) / 2D AS roi_end_mm", "6D AS half_width_mm")
+
+
+def _smoothed(bins: int, least: int, sigma: float, binned: str) -> str:
+    radius = max(2, math.ceil(3 * sigma))
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return f"""g AS (SELECT case_id, bin, quantile_cont(height, 0.9) AS level FROM ({binned}) GROUP BY 1, 2 HAVING count(*) >= {least}), s AS (SELECT DISTINCT case_id, unnest(range({bins})) AS bin FROM ({binned})), f AS (SELECT s.case_id, s.bin, level FROM s LEFT JOIN g USING (case_id, bin)),
+n AS (SELECT *, last_value(CASE WHEN level IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS pa, last_value(level IGNORE NULLS) OVER b AS va, first_value(CASE WHEN level IS NOT NULL THEN bin END IGNORE NULLS) OVER a AS pb, first_value(level IGNORE NULLS) OVER a AS vb FROM f
+WINDOW b AS (PARTITION BY case_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY case_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+h AS (SELECT case_id, bin, coalesce(level, va + (vb - va) * CAST(bin - pa AS DOUBLE) / CAST(nullif(pb - pa, 0) AS DOUBLE), va, vb) AS filled FROM n), w(k, w) AS (VALUES {", ".join(f"({k}, CAST({x / sum(raw)!r} AS DOUBLE))" for k, x in zip(range(-radius, radius + 1), raw))}),
+smooth AS (SELECT a.case_id, a.bin, sum(w * b.filled) AS level FROM h a CROSS JOIN w JOIN h b ON a.case_id = b.case_id AND b.bin = greatest(0, least({bins - 1}, a.bin + k)) GROUP BY 1, 2), known AS (SELECT case_id, count(*) AS n FROM g GROUP BY 1)"""
+
+
+@query(f"""WITH {_RIDGE}, {_smoothed(64, 2, 1.6, "SELECT case_id, CAST(floor(lon / (roi_end / 64)) AS INTEGER) AS bin, height FROM ridge JOIN frames USING (case_id) WHERE abs(lat) <= least(2.5, 6 * 0.35) AND lon / (roi_end / 64) < 64")},
+r AS (SELECT case_id, bin, (bin + 0.5) * roi_end / 64 AS center, level, coalesce(n, 0) >= 21 AS covered FROM smooth JOIN frames USING (case_id) LEFT JOIN known USING (case_id)),
+l AS (SELECT case_id, quantile_cont(center, 0.5) FILTER (WHERE bin BETWEEN 1 AND 4) AS ac, quantile_cont(level, 0.5) FILTER (WHERE bin BETWEEN 1 AND 4) AS al, quantile_cont(center, 0.5) FILTER (WHERE bin BETWEEN 60 AND 63) AS bc, quantile_cont(level, 0.5) FILTER (WHERE bin BETWEEN 60 AND 63) AS bl FROM r GROUP BY 1)
+SELECT case_id, bin, round(center, 6) AS center, round(level, 6) AS profile, round(al + (bl - al) / (bc - ac) * (center - ac), 6) AS target, covered FROM r JOIN l USING (case_id)""")
+def ridge_profile(spark, d):
+    return rounded(profiles.ridge_profile(*_ridge(spark, d), "case_id"), "center", "profile", "target")
+
+
+@query(f"""WITH {_RIDGE}, {_smoothed(49, 1, 1.0, "SELECT case_id, CAST(floor((lat + 6) / (CAST(12 AS DOUBLE) / 49)) AS INTEGER) AS bin, height FROM ridge WHERE abs(lon - 12) <= 2")}
+SELECT case_id, bin, round((bin + 0.5) * 2 / 49 * 6 - 6, 6) AS center, round(level, 6) AS height, coalesce(n, 0) >= 9 AS covered FROM smooth LEFT JOIN known USING (case_id)""")
+def cross_section(spark, d):
+    points, frames = _ridge(spark, d)
+    levels = frames.selectExpr("case_id", "12D AS level_mm", "2D AS window_mm", "half_width_mm")
+    return rounded(profiles.cross_section(points, levels, "case_id"), "center", "height")
+
+
+@query("""WITH p AS (SELECT user_id AS case_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, value / CAST(100 AS DOUBLE) AS v FROM events), q AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM p),
+r AS (SELECT case_id, position, CAST(position AS DOUBLE) / n AS t, v AS source, CAST(case_id % 3 AS DOUBLE) AS applied, CAST(case_id % 3 AS DOUBLE) * 4 * position / n * (1 - CAST(position AS DOUBLE) / n) AS requested FROM q), s AS (SELECT *, source - requested * (CAST(0.7 AS DOUBLE) + case_id % 5 / CAST(10 AS DOUBLE)) AS final, source - requested AS target FROM r),
+b AS (SELECT *, abs(requested - 2 * lag(requested, 1) OVER w + lag(requested, 2) OVER w) AS bend, source - final AS done, abs(final - target) AS off, requested >= greatest(0.05, 0.05 * applied) AS active FROM s WINDOW w AS (PARTITION BY case_id ORDER BY position)),
+g AS (SELECT case_id, max(applied) AS applied, count(*) FILTER (WHERE active) AS active, max({'r': requested, 'f': -position, 'd': done}) AS apex, quantile_cont(done / greatest(requested, 1e-9), 0.1) FILTER (WHERE active) AS p10, max(off) FILTER (WHERE active) AS off, max(bend) AS bend, coalesce(max(abs(done)) FILTER (WHERE t <= 0.03), 0) AS s, coalesce(max(abs(done)) FILTER (WHERE t >= 0.94), 0) AS e FROM b GROUP BY 1),
+k AS (SELECT *, apex.d / greatest(apex.r, 1e-9) AS ratio FROM g)
+SELECT case_id, active, round(ratio, 6) AS apex_achievement, round(p10, 6) AS p10_achievement, round(off, 6) AS maximum_target_error, round(bend, 6) AS maximum_second_difference, round(s, 6) AS maximum_at_start, round(e, 6) AS maximum_at_end,
+applied <= 0 OR coalesce(active > 0 AND ratio BETWEEN 0.85 AND 1.15 AND p10 >= 0.8 AND off <= greatest(0.3, 0.15 * applied) AND bend <= greatest(0.1, 0.08 * applied) AND s <= greatest(0.25, 0.1 * applied) AND e <= greatest(0.25, 0.1 * applied), false) AS passed FROM k""")
+def profile_acceptance(spark, d):
+    p = table(spark, d, "events").selectExpr("user_id AS case_id", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position", "count(*) OVER (PARTITION BY user_id) AS n", "value / 100D AS source")
+    p = p.selectExpr("*", "CAST(case_id % 3 AS DOUBLE) AS applied", "CAST(position AS DOUBLE) / n AS normalized", "CAST(case_id % 3 AS DOUBLE) * 4 * position / n * (1 - CAST(position AS DOUBLE) / n) AS requested")
+    p = p.selectExpr("*", "source - requested * (0.7D + case_id % 5 / 10D) AS final", "source - requested AS target")
+    got = profiles.profile_acceptance(p, "case_id")
+    return rounded(got, *[c for c in got.columns if c not in ("case_id", "active", "passed")])
+
+
+_MID = lambda a, b: {c: f"({c}{a}+{c}{b})/2" for c in "xyz"}
+_CHEEK = lambda e, l: f"""sqrt({"+".join(f"power({c}-({_MID(e, l)[c]}+12*({_MID(e, l)[c]}-{_MID(8, 9)[c]})/sqrt({'+'.join(f'power({_MID(e, l)[k]}-{_MID(8, 9)[k]},2)' for k in 'xyz')})),2)" for c in "xyz")}) <= 10"""  # noqa: E731, E741
+
+
+@query(f"""WITH {SQL["cloud"]}, {_LANDMARKS}, p AS (SELECT w.*, 0 AS point_id, x2 + 1 AS x, y2 + 2 AS y, z2 + 3 AS z FROM w UNION ALL SELECT w.*, 1, (x1 + x2) / 2 + 1, (y1 + y2) / 2 + 1, (z1 + z2) / 2 + 1 FROM w UNION ALL SELECT w.*, 2, {", ".join(f"{c}0+10*({c}0-{c}3)/{_D(0, 3)}" for c in "xyz")} FROM w UNION ALL SELECT w.*, 3, {", ".join(f"{_MID(8, 6)[c]}+9*({_MID(8, 6)[c]}-{_MID(8, 9)[c]})/sqrt({'+'.join(f'power({_MID(8, 6)[k]}-{_MID(8, 9)[k]},2)' for k in 'xyz')})" for c in "xyz")} FROM w),
+t AS (SELECT *, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)+(z-z1)*(z2-z1)) / {_D(2, 1)} / {_D(2, 1)} AS t FROM p),
+near AS (SELECT case_no, point_id, unnest([CASE WHEN sqrt({"+".join(f"power({c}-({c}0+14*({c}0-{c}3)/{_D(0, 3)}),2)" for c in "xyz")}) <= 10 THEN 'central_forehead' END, CASE WHEN {_CHEEK(8, 6)} THEN 'left_cheek' END, CASE WHEN {_CHEEK(9, 7)} THEN 'right_cheek' END, CASE WHEN sqrt({"+".join(f"power({c}-{c}2,2)" for c in "xyz")}) <= 6 THEN 'nasal_tip' END,
+CASE WHEN t BETWEEN 0.15 AND 0.75 AND sqrt({"+".join(f"power({c}-({c}1+t*({c}2-{c}1)),2)" for c in "xyz")}) <= 4 THEN 'nasal_dorsum' END]) AS region FROM t) SELECT case_no, point_id, region FROM near WHERE region IS NOT NULL""")
+def diagnostic_regions(spark, d):
+    """Four points of each case: near the tip, the middle of the dorsum, above the glabella and beside the left cheek's anchor."""
+    wide = _landmarks(spark, d)
+    at = lambda n: tuple(F.col(f"{n}.{c}") for c in "xyz")
+    middle = lambda a, b: tuple((x + y) / 2 for x, y in zip(at(a), at(b)))
+    anchor, eyes = middle("left_endocanthion", "left_alare"), middle("left_endocanthion", "right_endocanthion")
+    near = [
+        tuple(x + k for x, k in zip(at("pronasale"), (1, 2, 3))), tuple(x + 1 for x in middle("nasion", "pronasale")),
+        tuple(x + 10 * u for x, u in zip(at("glabella"), V.unit(V.minus(at("glabella"), at("subnasale"))))), tuple(x + 9 * u for x, u in zip(anchor, V.unit(V.minus(anchor, eyes)))),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("point_id"), *[x.alias(c) for x, c in zip(p, "xyz")]) for i, p in enumerate(near)])).alias("p")
+    return profiles.diagnostic_regions(wide.select("case_no", each).select("case_no", "p.*"), wide, "case_no")
+
+
+@query()
+def plane_residuals(spark, d):
+    p = cloud(spark, d)
+    near = neighbors.radius_pairs(p, 0.15).join(p.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias("n" + c) for c in "xyz"]), "neighbor_id").join(p.select("point_id", "case_id"), "point_id")
+    return profiles.plane_residuals(near, solve.local_planes(near), ["case_id"], 4)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from gaugeflow.functions import vectors as V
 from gaugeflow.functions.text import duration_label, reduction_label
-from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, quantiles, registration, reports, robust, scale, series, solve, state, surfaces
+from gaugeflow.operators import compare, gates, geometry, mesh, neighbors, profiles, quantiles, registration, reports, robust, scale, series, solve, state, surfaces
 from gaugeflow.operators.components import connected_components
 from gaugeflow.plans import roles
 from gaugeflow.sources import captures
@@ -464,3 +464,44 @@ def test_best_of_windows_on_a_stream(spark, tmp_path):
     q = best_of_windows(stream, "t", "v", "id", "10 seconds", "1 second").writeStream.format("memory").queryName("best").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.id, r.v) for r in spark.table("best").select("id", "v").collect()} == {(1, 9.0), (3, 1.0)}
+
+
+def test_ridge_profile_against_plain_loops(spark):
+    g = np.random.default_rng(25)
+    lon, lat = g.uniform(-2, 34, 4000), g.uniform(-6, 6, 4000)
+    height = 20 + np.sin(lon / 5) + g.normal(scale=0.1, size=4000)
+    keep = ~((lon > 10) & (lon < 12))  # a gap
+    lon, lat, height = lon[keep], lat[keep], height[keep]
+    df = spark.createDataFrame([("a", *map(float, r)) for r in zip(lon, lat, height)] + [("b", 1.0, 0.0, 5.0), ("b", 1.1, 0.0, 5.0)], "c string, longitudinal double, lateral double, anterior double")
+    frames = spark.createDataFrame([("a", 30.0, 8.0), ("b", 30.0, 8.0)], "c string, roi_end_mm double, half_width_mm double")
+    rows = profiles.ridge_profile(df, frames, "c").orderBy("bin").collect()
+    got = [r for r in rows if r.c == "a"]
+    edges = np.linspace(0, 30, 65)
+    level = np.full(64, np.nan)
+    for i in range(64):
+        own = (lon >= edges[i]) & (lon < edges[i + 1]) & (np.abs(lat) <= 2.5)
+        if own.sum() >= 2:
+            level[i] = np.percentile(height[own], 90)
+    at = np.flatnonzero(np.isfinite(level))
+    kernel = np.exp(-0.5 * (np.arange(-5, 6) / 1.6) ** 2)
+    want = np.convolve(np.pad(np.interp(np.arange(64), at, level[at]), 5, mode="edge"), kernel / kernel.sum(), mode="valid")
+    assert np.allclose([r.profile for r in got], want) and all(r.covered for r in got) and not any(r.covered for r in rows if r.c == "b")
+    centers = (edges[:-1] + edges[1:]) / 2
+    a, b = np.arange(1, 5), np.arange(60, 64)
+    slope = (np.median(want[b]) - np.median(want[a])) / (np.median(centers[b]) - np.median(centers[a]))
+    assert np.allclose([r.target for r in got], np.median(want[a]) + slope * (centers - np.median(centers[a])))
+
+
+def test_plane_residuals_against_numpy(spark):
+    g = np.random.default_rng(26)
+    x = g.normal(size=(3, 12, 3)) * (1, 1, 0.05) + g.normal(size=(3, 1, 3))
+    near = spark.createDataFrame([("a", k, *map(float, p)) for k in range(3) for p in x[k]] + [("a", 7, 0.0, 0.0, 0.0)] * 4, "c string, point_id long, nx double, ny double, nz double")
+    planes = solve.local_planes(near)
+    got = profiles.plane_residuals(near, planes, ["c"]).first()
+    r = []
+    for p in x:
+        q = p - p.mean(axis=0)
+        r.append(q @ np.linalg.eigh(q.T @ q)[1][:, 0])
+    assert got.neighborhoods == 3 and got.residuals == 36 and got.median_absolute == pytest.approx(np.median(np.abs(r)), abs=1e-9) and got.p95 == pytest.approx(np.percentile(np.abs(r), 95), abs=1e-9)
+    rms = {p.point_id: p.rms for p in planes.collect()}
+    assert all(rms[k] == pytest.approx(np.sqrt(np.mean(np.square(r[k]))), abs=1e-9) for k in range(3))
