@@ -39,7 +39,8 @@ def distance(a: Vector, b: Vector) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    """x held to low..high; null stays null, which ``least`` and ``greatest`` alone would pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def angle_degrees(a: Vector, b: Vector) -> Column:

@@ -26,15 +26,23 @@ def window_top1(rows: DataFrame, time: str, score: str, row_id: str, windows: in
     return placed.groupBy(*by, "window").agg(best).select(*by, "window", (-F.col("b.r")).alias(row_id), F.col("b.t").alias(time), F.col("b.s").alias(score)).where(F.col(score) >= minimum)
 
 
-def adjacent_motion(track: DataFrame, case: str, order: str, time: str, center: V.Vector, quaternion: V.Vector) -> DataFrame:
-    """Each row with interval, step, linear_speed, angle and angular_speed since the row before it in its case; null on the first."""
-    w = W.partitionBy(case).orderBy(order)
-    before = tuple(F.lag(c).over(w) for c in center)
-    turn = tuple(F.lag(c).over(w) for c in quaternion)
-    interval = F.col(time) - F.lag(time).over(w)
-    cosine = V.clip(F.abs(F.try_divide(V.dot(quaternion, turn), V.norm(quaternion) * V.norm(turn))), 0, 1)
-    out = track.withColumns({"interval": interval, "step": V.distance(center, before), "angle": F.degrees(F.acos(cosine) * 2)})
-    return out.withColumns({"linear_speed": F.try_divide("step", "interval"), "angular_speed": F.try_divide("angle", "interval")})
+def adjacent_motion(track: DataFrame, case: str, order: str, time: str, center: V.Vector, quaternion: V.Vector, span: int = 4096) -> DataFrame:
+    """Each row with interval, step, linear_speed, angle and angular_speed since the row before it in its case; null on the first.
+
+    ``order`` is a whole number. A case is cut into spans of it that are put in order apart; the first row of a span finds the one before in a
+    table of the spans' last rows, so a case of any length is many tasks.
+    """
+    state = F.struct(F.col(time).alias("t"), *[x.alias(f"c{i}") for i, x in enumerate(center)], *[x.alias(f"q{i}") for i, x in enumerate(quaternion)])
+    rows = track.withColumns({"_s": state, "_part": F.expr(f"{order} DIV {span}")})
+    lasts = rows.groupBy(case, "_part").agg(F.max(F.struct(F.col(order).alias("o"), F.col("_s").alias("s"))).alias("_l"))
+    lasts = lasts.select(case, "_part", F.lag("_l.s").over(W.partitionBy(case).orderBy("_part")).alias("_before"))
+    rows = rows.join(lasts, [case, "_part"]).withColumn("_b", F.coalesce(F.lag("_s").over(W.partitionBy(case, "_part").orderBy(order)), F.col("_before")))
+    at = lambda r, n, k: tuple(F.col(f"{r}.{n}{i}") for i in range(k))
+    here, turn = at("_s", "q", len(quaternion)), at("_b", "q", len(quaternion))
+    interval = F.col("_s.t") - F.col("_b.t")
+    cosine = V.clip(F.abs(F.try_divide(V.dot(here, turn), V.norm(here) * V.norm(turn))), 0, 1)
+    out = rows.withColumns({"interval": interval, "step": V.distance(at("_s", "c", len(center)), at("_b", "c", len(center))), "angle": F.degrees(F.acos(cosine) * 2)})
+    return out.withColumns({"linear_speed": F.try_divide("step", "interval"), "angular_speed": F.try_divide("angle", "interval")}).drop("_s", "_part", "_before", "_b")
 
 
 def motion_summary(moved: DataFrame, case: str, time: str, center: V.Vector, jump: float = 0.15) -> DataFrame:

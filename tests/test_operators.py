@@ -505,3 +505,17 @@ def test_plane_residuals_against_numpy(spark):
     assert got.neighborhoods == 3 and got.residuals == 36 and got.median_absolute == pytest.approx(np.median(np.abs(r)), abs=1e-9) and got.p95 == pytest.approx(np.percentile(np.abs(r), 95), abs=1e-9)
     rms = {p.point_id: p.rms for p in planes.collect()}
     assert all(rms[k] == pytest.approx(np.sqrt(np.mean(np.square(r[k]))), abs=1e-9) for k in range(3))
+
+
+def test_motion_across_spans(spark):
+    g = np.random.default_rng(27)
+    rows = [(c, i, i * 0.1, *map(float, g.normal(size=7))) for c in "ab" for i in sorted(g.choice(200, 60, replace=False).tolist())]
+    df = spark.createDataFrame(rows, "c string, i long, t double, x double, y double, z double, qx double, qy double, qz double, qw double")
+    q = tuple(F.col(n) for n in ("qx", "qy", "qz", "qw"))
+    one, two = ({(r.c, r.i): (r.step, r.angle, r.interval) for r in series.adjacent_motion(df, "c", "i", "t", V.columns(""), q, span).collect()} for span in (4096, 7))
+    assert one == two and len(one) == 120
+    for c in "ab":
+        own = [r for r in rows if r[0] == c]
+        assert one[c, own[0][1]] == (None, None, None)
+        for a, b in zip(own, own[1:]):
+            assert one[c, b[1]][0] == pytest.approx(np.linalg.norm(np.subtract(b[3:6], a[3:6]))) and one[c, b[1]][2] == pytest.approx(b[2] - a[2])
