@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_left: set[str] = set()  # tables that were written and not deleted yet
+_collectors: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,7 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _left.add(path)
+    for paths in _collectors:
+        paths.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[back] = path
     return back
@@ -41,18 +44,25 @@ def forget(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete all scratch tables that are left and that ``docs`` doesn't read.
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Tables that ``written`` makes inside the block are noted in ``paths``."""
+    _collectors.append(paths)
+    try:
+        yield
+    finally:
+        _collectors.pop()
 
-    For chains whose steps get their predecessor's result written and read again: at the start of a step nothing but its input is needed.
-    """
+
+def release(docs: DataFrame, paths: list[str]) -> None:
+    """Delete the tables of ``paths``, but for those that ``docs`` reads: for a step whose input was written, which needs nothing else of the steps before it."""
     read = " ".join(docs.inputFiles())
-    for path in list(_left):
+    for path in list(paths):
         if path.rpartition("/")[2] not in read:
             _delete(docs.sparkSession, path)
+            paths.remove(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _left.discard(path)
