@@ -211,6 +211,25 @@ def test_em_rejects_what_rules_agree_on_and_keeps_the_rest():
     assert quality.estimate([]).bad_share == 0.1
 
 
+def test_em_finds_the_rates_of_simulated_rules():
+    g = np.random.default_rng(28)
+    q, f, n = np.array([0.7, 0.5, 0.8, 0.6, 0.4, 0.7]), np.array([0.02, 0.1, 0.05, 0.2, 0.03, 0.08]), 40_000
+    bad, speaks = g.random(n) < 0.2, g.random((n, 6)) < 0.8
+    v = np.where(speaks, np.where(g.random((n, 6)) < np.where(bad[:, None], q, f), -1, 1), 0)
+    for part in (1, 10):  # the same at every size
+        w = quality.estimate(sorted(Counter(map(tuple, v[: n // part].tolist())).items()), prior=0.01)
+        assert abs(w.bad_share - 0.2) < 0.03 and np.allclose(w.bad_when_bad, q, atol=0.05) and np.allclose(w.bad_when_good, f, atol=0.03)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_quality_verdict_against_labels(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").withColumnRenamed("quality", "label")
+    got = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").where("NOT base_failed").toPandas()
+    good, bad = got[got.label == 1], got[got.label == 0]
+    assert good.kept.mean() >= 0.99 and bad.kept.mean() <= 0.05
+
+
 def shingle_set(t):
     w = WORD.findall(t or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
