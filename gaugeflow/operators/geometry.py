@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import written
 
 
 def in_sphere(p: V.Vector, center: V.Vector, radius: float) -> Column:
@@ -53,8 +54,10 @@ def max_pairwise_angle(rows: DataFrame, by: list[str], row_id: str, direction: t
     side = F.when(F.abs(x) == longest, F.when(x > 0, 0).otherwise(1)).when(F.abs(y) == longest, F.when(y > 0, 2).otherwise(3)).otherwise(F.when(z > 0, 4).otherwise(5))
     at = lambda c: F.least(F.floor((c / longest + 1) / 2 * cuts), F.lit(cuts - 1)).cast("int")
     unit = unit.withColumn("_cell", side * cuts * cuts + F.when(side < 2, at(y) * cuts + at(z)).when(side < 4, at(x) * cuts + at(z)).otherwise(at(x) * cuts + at(y)))
+    unit = written(unit, "directions")
     box = [f(f"_{c}").alias(f"_{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
     cells = unit.groupBy(*by, "_cell").agg(*box, F.min(F.struct("_i", "_x", "_y", "_z")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    cells = written(cells, "cells")
     other = cells.select(*by, *[F.col(c).alias(f"{c}2") for c in cells.columns if c not in by])
     pairs = cells.join(other, by).where("_cell < _cell2 OR (_cell = _cell2 AND _n > 1)")  # cells: a fixed number a case
     least = sum((F.least(*[F.col(f"_{a}{c}") * F.col(f"_{b}{c}2") for a in "lh" for b in "lh"]) for c in "xyz"), F.lit(0.0))  # of any dot product
