@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, linededup, mixing, packing, pii, quality, runs, secrets, suffixes, toxicity, wavelet
+from . import ann, jaccard, linededup, mixing, packing, pii, quality, runs, secrets, suffixes, toxicity, variants, wavelet
 from .store import scratch_dir
 from .tokens import vocabulary_path
 
@@ -75,6 +75,11 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = variants.word_counts(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, delete_one_in=199)
+    return variants.spelling_forms(counts, times=5)
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(_table(spark, sf_dir, "documents"), reword=True)
 
@@ -84,7 +89,7 @@ def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_jaccard, op5_mixing, op6_ann, op7_packing, op8_toxicity, op9_wavelet, op10_linededup, op12_runs, op13_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_jaccard, op5_mixing, op6_ann, op7_packing, op8_toxicity, op9_wavelet, op10_linededup, op11_variants, op12_runs, op13_suffixes)}
 
 ORACLES = {
     "op5_mixing": r"""
