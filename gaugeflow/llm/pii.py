@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -158,8 +159,9 @@ def real_examples(text: str, rnd: random.Random) -> list[tuple[str, int, int, st
         left, right = text[max(0, a - 60) : a], text[b : b + 60]
         span = written_otherwise(kind, bool(label), rnd)
         out.append((left + span + right, len(left), len(left) + len(span), kind, label))
+    taken = Stretches(base)
     for a, b, kind in candidates(text):
-        if not any(a < y and x < b for x, y in spans):
+        if not taken.meets(a, b):
             start = max(0, a - 60)
             out.append((text[start : b + 60], a - start, b - start, kind, 0))
     return out
@@ -182,6 +184,29 @@ def document_examples(docs: DataFrame, max_docs: int = 4000, max_examples: int =
     return [(r.text, r.start, r.stop, r.kind, r.label) for r in kept]
 
 
+class Stretches:
+    """Stretches of a text in order, overlapping ones as one: a stretch is looked up by halving."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_right(self.starts, a)
+        return (at > 0 and self.ends[at - 1] > a) or (at < len(self.starts) and self.starts[at] < b)
+
+    def add(self, a: int, b: int) -> None:
+        """One that meets none."""
+        at = bisect_right(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 @dataclass
 class PiiModel:
     """Trees and, for each kind, the calibrated score from which a candidate is taken."""
@@ -203,16 +228,15 @@ class PiiModel:
         """Base spans, and the added ones: candidates at or above their threshold, best first, that overlap nothing chosen before."""
         base = base_spans(text)
         added: list[tuple[int, int, str]] = []
-        if found := candidates(text):
+        chosen = Stretches(base)
+        if found := [c for c in candidates(text) if not chosen.meets(c[0], c[1])]:
             p = self.trees.predict(np.array([features(text, *c) for c in found], float))
-            chosen = sorted((a, b) for a, b, _ in base)
             for score, (a, b, kind) in sorted(zip(-p, found)):
-                if -score >= self.thresholds[kind] and not any(a < y and x < b for x, y in chosen):
+                if -score >= self.thresholds[kind] and not chosen.meets(a, b):
                     added.append((a, b, kind))
-                    chosen.append((a, b))
+                    chosen.add(a, b)
         return base, added
 
-
     def held_out(self, examples: list[tuple[str, int, int, str, int]]) -> dict[str, tuple[float, float, int]]:
         """Recall, precision and number of positives for each kind over examples that the model wasn't fitted on."""
         p = self.trees.predict(np.array([features(*e[:4]) for e in examples], float))

@@ -20,14 +20,15 @@ def repeated_words(words: Column) -> Column:
     """Words in windows of three words that the text holds twice or more, the first time included; each word counts once.
 
     Windows are compared by 64-bit hashes within one text. Hashes are sorted, those equal to a neighbour kept, and each window looked
-    up among them by binary search: n log n for a text of n words, however often it repeats itself.
+    up among them by binary search: n log n for a text of n words, however often it repeats itself. Steps of up to 2^29 are more than any
+    array that fits a row needs.
     """
     n = F.size(words)
     hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)]))
     zero = F.lit(0).cast("bigint")
 
     def covered(h: Column, twice: Column) -> Column:
-        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(24, -1, -1)]), lambda p: p < F.size(twice))
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(29, -1, -1)]), lambda p: p < F.size(twice))
 
         def found(x: Column, steps: Column) -> Column:
             at = F.aggregate(steps, F.lit(0), lambda a, p: F.when((a + p < F.size(twice)) & (F.get(twice, a + p) <= x), a + p).otherwise(a))
@@ -119,14 +120,18 @@ class Weights:
         return total
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.3) -> Weights:
+EVEN = 1e-9  # keeps the logarithm of a share of 0 or 1 finite
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 1000, prior: float = 0.1) -> Weights:
     """EM over vote patterns and their counts (at most 3 to the number of rules, whatever the corpus).
 
     Two classes, rules independent given the class, an abstention says nothing. It starts from "bad if any rule says so". What is found
-    is the mode under a prior: as many more votes as ``prior`` of the corpus has, in which a rule calls 6 in 10 bad documents bad and 1 in 20
-    good ones. So rates follow the votes, no single vote of a rule that is never seen to be wrong decides alone, and it is the same at
-    every size. A vote is never taken to mean its contrary, so a document that no rule calls bad can't fall into the bad class.
-    With no documents the starting values stay.
+    is the mode under a prior: of either class as many more votes as ``prior`` of its documents would cast, in which a rule calls 6 in 10 bad
+    documents bad and 1 in 20 good ones. So rates follow the votes, and it is the same at every size. The share of bad documents is
+    free: the bad class is the one that rules call bad more often, be it most of the corpus. A vote is never taken to mean its
+    contrary, so a document that no rule calls bad can't fall into the bad class unless most documents do. With no documents the
+    starting values stay.
     """
     k = len(patterns[0][0]) if patterns else 0
     bad = [0.9 if -1 in v else 0.02 for v, _ in patterns]
@@ -134,7 +139,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, pri
     total = sum(c for _, c in patterns)
     more = prior * total
     for _ in range(rounds if total else 0):
-        share = min(0.49, max(0.005, sum(p * c for p, (_, c) in zip(bad, patterns)) / total))
+        share = min(1 - EVEN, max(EVEN, sum(p * c for p, (_, c) in zip(bad, patterns)) / total))
         for j in range(k):
             nb = nbv = ng = ngv = 0.0
             for p, (v, c) in zip(bad, patterns):
@@ -142,7 +147,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, pri
                     nb, ng = nb + p * c, ng + (1 - p) * c
                     if v[j] < 0:
                         nbv, ngv = nbv + p * c, ngv + (1 - p) * c
-            g[j] = (ngv + 0.05 * more) / (ng + more)
+            g[j] = (ngv + 0.05 * more * (1 - share)) / (ng + more * (1 - share))
             q[j] = max(g[j], (nbv + 0.6 * more * share) / (nb + more * share))
         new = []
         for v, _ in patterns:
@@ -160,8 +165,8 @@ def weigh(table: DataFrame) -> Weights:
     return estimate(sorted((tuple(r["votes"]), r["count"]) for r in rows))
 
 
-def verdict(weights: Weights, threshold: float = 0.5) -> tuple[Column, Column]:
-    """(base_failed, kept) over a table with ``measures`` and ``votes``: kept is false if a fixed rule fails, else whether the posterior reaches the threshold."""
+def verdict(weights: Weights, threshold: float = 0.25) -> tuple[Column, Column]:
+    """(base_failed, kept) over a table with ``measures`` and ``votes``: kept is false if a fixed rule fails, else whether the posterior of good reaches the threshold: what goes is three times as likely bad as good."""
     condition = BASE_FAILED
     for name in ("n_words", "n_repeat_words"):
         condition = condition.replace(name, f"measures.w.{name}")

@@ -75,6 +75,33 @@ def test_pii_adds_only_beside_base(spark, docs):
     assert pii.find_pii(docs, m).count() == len(ROWS) and pii.find_pii(docs.limit(0), m).count() == 0
 
 
+def test_pii_of_long_texts_takes_time_in_proportion():
+    import time
+
+    m = pii.default_model()
+    for unit in ("+1 (555) 010-9999 ", "call (555) 010-9999, "):
+        took = []
+        for n in (1 << 19, 1 << 20):
+            start = time.process_time()
+            base, added = m.spans((unit * (n // len(unit) + 1))[:n])
+            took.append(time.process_time() - start)
+        assert len(base) + len(added) > 40_000
+        assert took[1] < 3.5 * took[0] and (took[1] < 2 or base == []), took
+
+
+def test_stretches():
+    g = np.random.default_rng(6)
+    for _ in range(200):
+        spans = [(int(a), int(a + n), "x") for a, n in zip(g.integers(0, 60, 6), g.integers(1, 9, 6))]
+        kept = pii.Stretches(spans)
+        for a in range(70):
+            b = a + int(g.integers(1, 9))
+            assert kept.meets(a, b) == any(a < y and x < b for x, y, _ in spans)
+            if not kept.meets(a, b):
+                kept.add(a, b)
+                spans.append((a, b, "x"))
+
+
 def test_pii_generators_find_what_they_are_for():
     wanted = {"email": ["joe at site dot com", "joe.doe (at) site.com", "ana arroba sitio punto es", "max bei haus punkt de", "j_d [at] a-b [dot] org", "x＠y.net"], "ip": ["fe80::1", "::1", "2001::7334", "2001:db8:85a3::", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"], "card": ["4111.1111.1111.1111", "4111/1111/1111/1111"], "phone": ["(555) 010-9999", "555-010-9999", "0049 30 123456", "030/1234567"]}
     for kind, spans in wanted.items():
@@ -221,6 +248,23 @@ def test_em_finds_the_rates_of_simulated_rules():
         assert abs(w.bad_share - 0.2) < 0.03 and np.allclose(w.bad_when_bad, q, atol=0.05) and np.allclose(w.bad_when_good, f, atol=0.03)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.2, 0.6, 0.8, 0.95])
+def test_em_finds_any_share_of_bad_documents_with_the_default_prior(share):
+    g = np.random.default_rng(29)
+    q, f, n = np.array([0.7, 0.5, 0.8, 0.6, 0.4, 0.7]), np.array([0.02, 0.1, 0.05, 0.2, 0.03, 0.08]), 40_000
+    bad, speaks = g.random(n) < share, g.random((n, 6)) < 0.8
+    v = np.where(speaks, np.where(g.random((n, 6)) < np.where(bad[:, None], q, f), -1, 1), 0)
+    w = quality.estimate(sorted(Counter(map(tuple, v.tolist())).items()))
+    if 0.2 <= share <= 0.8:
+        assert abs(w.bad_share - share) < 0.03 and np.allclose(w.bad_when_bad, q, atol=0.05) and np.allclose(w.bad_when_good, f, atol=0.05)
+    z = math.log((1 - w.bad_share) / w.bad_share) + np.where(v < 0, np.log(np.array(w.bad_when_good) / w.bad_when_bad), np.where(v > 0, np.log((1 - np.array(w.bad_when_good)) / (1 - np.array(w.bad_when_bad))), 0)).sum(axis=1)
+    # As good as the true rates allow.
+    best = math.log((1 - share + 1e-9) / (share + 1e-9)) + np.where(v < 0, np.log(f / q), np.where(v > 0, np.log((1 - f) / (1 - q)), 0)).sum(axis=1)
+    limit = math.log(1 / 3)
+    assert abs(((z >= limit) & ~bad).sum() - ((best >= limit) & ~bad).sum()) < 0.03 * n
+    assert abs(((z >= limit) & bad).sum() - ((best >= limit) & bad).sum()) < 0.03 * n
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_quality_verdict_against_labels(spark):
     d = "/root/testdata/sf0.01"
