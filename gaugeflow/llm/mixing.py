@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import forget, written
-from .words import words_of
+from .words import BLANKS, words_of
 
 SALTS = 64  # parts of a source's rows that meet its goal apart
 BIN_ROWS = 4096  # rows of a source's shuffled order that are summed apart, about
 CHUNK = 1 << 16  # slots that are counted apart
-GOLDEN = "0.6180339887498949D"
+#: The golden ratio's fraction of 2^64, odd: slot i has the point (i + 1) * GOLDEN modulo 2^64, exact for any number of slots.
+GOLDEN, WHOLE = "11400714819323198485BD", "18446744073709551616BD"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
@@ -50,17 +51,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     return inside.join(parts, F.col("part") == F.col("p")).selectExpr("place", "source", "docs", "source_size", "target", "words", "start + own AS above")
 
 
-def block_size(total: int, most: int, slots: int) -> int:
-    """Words of a block, the same for all sources: ``most``, or fewer where ``total`` words would make fewer than ``slots`` blocks."""
-    return max(1, min(most, total // slots))
-
-
 def schedule(goals: DataFrame, block: int) -> DataFrame:
     """The order in which blocks of ``block`` words of the sources follow each other: place, slot, nth (the slot's rank within its source, from 0).
 
-    There is a slot for each block of all targets. Slot i has the golden-ratio point frac((i + 1) / phi), which falls into one source's
-    part of the cumulated targets; so any stretch of slots holds the sources close to their shares, and a source gets as many slots as
-    points fall to it. A source with a target but without a point gets one slot after all others.
+    There is a slot for each block of all targets. Slot i has the golden-ratio point frac((i + 1) / phi), in steps of whole numbers modulo
+    2^64, which falls into one source's part of the cumulated targets; so any stretch of slots holds the sources close to their shares, and
+    a source gets as many slots as points fall to it. A source with a target but without a point gets one slot after all others.
 
     Points and parts meet by equal stretches of the unit interval, so neither one source nor the number of sources makes a hot key; ranks
     are counted in chunks of slots and cumulated.
@@ -68,8 +64,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     spark = goals.sparkSession
     total, sources = goals.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
     slots, stretches = -(-total // block), max(1024, 4 * sources)
-    at = f"(id + 1) * {GOLDEN} - floor((id + 1) * {GOLDEN})"
-    points = spark.range(slots).selectExpr("id AS slot", f"{at} AS point").selectExpr("slot", f"CAST(point * {stretches} AS BIGINT) AS stretch", f"point * {total} AS position")
+    points = spark.range(slots).selectExpr("id AS slot", f"CAST(id + 1 AS DECIMAL(18, 0)) * {GOLDEN} % {WHOLE} AS point").selectExpr("slot", f"point * {stretches}BD DIV {WHOLE} AS stretch", f"point * {total}BD DIV {WHOLE} AS position")
     ends = [f"CAST({x} / {max(total, 1)} * {stretches} AS BIGINT)" for x in ("above", "(above + words)")]
     parts = goals.where("words > 0").selectExpr("place", "above", "above + words AS upto", f"explode(sequence({ends[0]} - 1, {ends[1]} + 1)) AS stretch")
     drawn = written(points.join(parts, "stretch").where("position >= above AND position < upto").selectExpr("place", "slot", f"slot DIV {CHUNK} AS chunk"), "drawn")
@@ -100,25 +95,30 @@ def streams(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return inside.join(bins, (F.col("place") == F.col("p")) & (F.col("bin") == F.col("b"))).selectExpr("*", "earlier + own AS begin").drop("p", "b", "bin", "mark", "row", "earlier", "own")
 
 
-def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1024, least_slots: int = 1 << 18) -> DataFrame:
+def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 64) -> DataFrame:
     """How many words the mix takes of each row of ``docs`` (doc_id, text, source): key, copy, doc_id, source, size, source_size, target, taken, begin, slots, n_slots.
 
     A source's documents, in shuffled order and again from the front up to ``cap`` times, are a stream of words, cut into blocks of
     equal words for all sources; the n-th slot that the schedule gives a source takes its n-th block. So a source gets as many words as
     the schedule has slots for it times the block, the last one cut where the target ends: a few blocks less than its target at most. A
     document's words are taken as often as blocks cover them, so none is taken more than ``cap`` times. Blocks have ``block_words``
-    words, or fewer where the corpus would make fewer than ``least_slots`` of them. ``begin`` is the words of the source before the
-    row; ``slots`` has the first slot that takes words of it in each pass over the source (null where none does), and n_slots says how
+    words, whatever the size of the corpus. ``begin`` is the words of the source before the row; ``slots`` has the first slot that takes words of it in each pass over the source (null where none does), and n_slots says how
     many slots do.
 
     Null texts have size 0; a null source is a source of its own; rows equal in doc_id, text and source are told apart by ``copy``
     (from 0). Reruns agree. An empty table gives an empty one.
     """
+    out, slots = _plan(docs, weights, cap, block_words)
+    forget(slots)
+    return out.drop("place")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """What ``taken_words`` returns, with ``place``, and the schedule; both written."""
     sized = docs.select(row_key(docs).alias("key"), docs["doc_id"], docs["source"], F.size(words_of(docs["text"])).cast("long").alias("size"))
     grouped = sized.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
     sizes = written(grouped.selectExpr("key", "doc_id", "source", "size", "explode(sequence(CAST(0 AS BIGINT), times - 1)) AS copy"), "mix")
     goals = written(targets(sizes.select("source", "size"), weights, cap), "goals")
-    block = block_size(goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], block_words, least_slots)
     slots = written(schedule(goals, block), "slots")
     counts = slots.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
     limits = written(goals.join(counts, "place", "left").selectExpr("place", "source", "docs", "source_size", "target", f"least(coalesce(n, 0) * {block}, words) AS goal"), "limits")
@@ -129,24 +129,53 @@ def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     firsts = F.array(*[F.min(F.when(F.col("pass") == k, F.col("slot"))) for k in range(cap)])
     own = [F.any_value(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
     out = met.groupBy("key", "copy", "place").agg(*own, F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.any_value("begin").alias("begin"), firsts.alias("slots"), F.coalesce(F.sum("in_slots"), F.lit(0)).alias("n_slots"))
-    out = written(out.drop("place"), "taken")
-    forget(sizes, goals, slots, limits)
-    return out
+    out = written(out, "taken")
+    forget(sizes, goals, limits)
+    return out, slots
+
+
+def _with_plans(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """row (a struct of docs' columns) and plan for each row that has one. Rows equal in doc_id, text and source are numbered to meet their ``copy``; rows without a word have no plan and stay behind."""
+    rows = docs.select(row_key(docs).alias("key"), docs["source"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).where(F.btrim(F.coalesce("row.text", F.lit("")), F.lit(BLANKS)) != "")
+    # Texts and plans meet by windows rather than by a join, whose three keys would deal the texts out once more.
+    both = rows.unionByName(plan, allowMissingColumns=True).repartition("key")
+    both = both.selectExpr("*", "coalesce(copy, row_number() OVER (PARTITION BY key, source, row IS NULL ORDER BY key) - 1) AS nth")
+    return both.selectExpr("row", "max(plan) OVER (PARTITION BY key, source, nth) AS plan").where("row IS NOT NULL AND plan IS NOT NULL")
+
+
+def mix_blocks(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 64) -> DataFrame:
+    """The mix block by block: slot, offset (words of the block before), n_words and the columns of ``docs``, ``text`` cut to the words that lie in the block, joined by one space.
+
+    Each source's shuffled stream is cut into blocks of ``block_words`` words, and the n-th of them is joined with the source's n-th slot;
+    rows are in the order of slots and offsets. A block holds pieces of one or several documents, and a document lies in as many blocks as
+    it reaches; a source's last block may be cut. Columns of ``docs`` named like the first three give way.
+    """
+    plans, slots = _plan(docs, weights, cap, block_words)
+    each = _with_plans(docs, plans.where("taken > 0").selectExpr("key", "source", "CAST(copy AS BIGINT) AS copy", "struct(place, taken, size, begin, source_size) AS plan"))
+    other = [c for c in docs.columns if c not in ("slot", "offset", "n_words", "text")]
+    passes = each.selectExpr("*", "explode(sequence(0L, (plan.taken - 1) DIV plan.size)) AS p").selectExpr("*", "plan.begin + p * plan.source_size AS a", "least(plan.size, plan.taken - p * plan.size) AS n").withColumn("words", words_of(F.col("row.text")))
+
+    def piece(k: Column) -> Column:
+        first, upto = F.greatest(F.lit(0), k * block_words - F.col("a")), F.least(F.col("n"), (k + 1) * block_words - F.col("a"))
+        text = F.array_join(F.slice(F.col("words"), (first + 1).cast("int"), (upto - first).cast("int")), " ")
+        return F.struct(k.alias("nth"), F.greatest(F.lit(0), F.col("a") - k * block_words).cast("long").alias("offset"), (upto - first).alias("n_words"), text.alias("text"))
+
+    blocks = F.transform(F.expr(f"sequence(a DIV {block_words}, (a + n - 1) DIV {block_words})"), piece)
+    parts = passes.select(F.col("plan.place").alias("place"), F.struct(*[F.col("row")[c].alias(c) for c in other]).alias("row"), F.explode(blocks).alias("piece"))
+    met = parts.join(slots.withColumnRenamed("place", "s_place"), (F.col("place") == F.col("s_place")) & (F.col("piece.nth") == F.col("nth")))
+    columns = [F.col("piece.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("slot", "offset", "n_words")]
+    return met.orderBy("slot", "piece.offset").select("slot", "piece.offset", "piece.n_words", *columns)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each row as often as all its words are taken, and once more with its first words for the rest.
+    """The mix in whole documents, with the columns of ``docs``: each row as often as all its words are taken, and once more with its first words for the rest.
 
     Rows are in the order of the schedule: by the first slot that takes words of them in a pass over their source, then by their place in
     the source's stream. Written, the files in order of their names hold that order. What is cut off is at a source's last block only.
-    Rows of which no word is taken go. Rows equal in doc_id, text and source are numbered to meet their ``copy``.
+    Rows of which no word is taken go. ``mix_blocks`` gives the blocks instead.
     """
     plan = taken_words(docs, **how).where("taken > 0").selectExpr("key", "source", "CAST(copy AS BIGINT) AS copy", "struct(taken DIV size AS whole, taken % size AS rest, begin, source_size, slots) AS plan")
-    rows = docs.select(row_key(docs).alias("key"), docs["source"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    # Texts and plans meet by windows rather than by a join, whose three keys would deal the texts out once more.
-    both = rows.unionByName(plan, allowMissingColumns=True).repartition("key")
-    both = both.selectExpr("*", "coalesce(copy, row_number() OVER (PARTITION BY key, source, row IS NULL ORDER BY key) - 1) AS nth")
-    both = both.selectExpr("row", "max(plan) OVER (PARTITION BY key, source, nth) AS plan").where("row IS NOT NULL AND plan IS NOT NULL")
+    both = _with_plans(docs, plan)
     each = both.selectExpr("row", "plan.*", "explode(sequence(CAST(1 AS BIGINT), plan.whole + CAST(plan.rest > 0 AS BIGINT))) AS n")
     each = each.selectExpr("row", "whole", "rest", "n", "slots[CAST(n - 1 AS INT)] AS slot", "begin + (n - 1) * source_size AS at").orderBy("slot", "at")
     cut = F.when(F.col("n") <= F.col("whole"), F.col("row.text")).otherwise(F.array_join(F.slice(words_of(F.col("row.text")), F.lit(1), F.col("rest").cast("int")), " "))

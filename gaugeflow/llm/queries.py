@@ -104,10 +104,10 @@ f AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source IS NULL,
 l AS (SELECT *, CAST(total - before AS DOUBLE) / CAST(opened AS DOUBLE) AS lev FROM f),
 g AS (SELECT *, max(CASE WHEN lev <= CAST(most AS DOUBLE) / weight THEN lev END) OVER () AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN weight * final < most THEN weight * final ELSE CAST(most AS DOUBLE) END AS target, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM g),
-c AS (SELECT *, CAST(floor(target) AS BIGINT) AS words, CAST(sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY place) AS BIGINT) AS upto, CAST(sum(CAST(floor(target) AS BIGINT)) OVER () AS BIGINT) AS total, greatest(1, least(1024, CAST(sum(source_size) OVER () AS BIGINT) // 262144)) AS block FROM t),
+c AS (SELECT *, CAST(floor(target) AS BIGINT) AS words, CAST(sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY place) AS BIGINT) AS upto, CAST(sum(CAST(floor(target) AS BIGINT)) OVER () AS BIGINT) AS total, 64 AS block FROM t),
 r AS (SELECT unnest(range((max(total) + max(block) - 1) // max(block))) AS slot FROM c),
-q AS (SELECT slot, (slot + 1) * CAST('0.6180339887498949' AS DOUBLE) - floor((slot + 1) * CAST('0.6180339887498949' AS DOUBLE)) AS point FROM r),
-m AS (SELECT place, slot FROM q JOIN c ON point * total >= upto - words AND point * total < upto),
+q AS (SELECT slot, (slot + 1)::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT AS point FROM r),
+m AS (SELECT place, slot FROM q JOIN c ON point * total // 18446744073709551616::HUGEINT >= upto - words AND point * total // 18446744073709551616::HUGEINT < upto),
 e AS (SELECT place, slot FROM m UNION ALL SELECT place, (total + block - 1) // block + place FROM c WHERE words > 0 AND place NOT IN (SELECT place FROM m)),
 h AS (SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS nth FROM e),
 k AS (SELECT c.*, least(coalesce(n, 0) * block, words) AS goal FROM c LEFT JOIN (SELECT place, count(*) AS n FROM h GROUP BY 1) USING (place)),

@@ -389,8 +389,8 @@ def brute_slots(sizes, block):
         at += words[s]
         upto.append(at)
     for i in range(-(-total // block)):
-        x = (i + 1) * 0.6180339887498949
-        out[names[next(k for k, u in enumerate(upto) if (x - math.floor(x)) * total < u)]].append(i)
+        x = (i + 1) * 11400714819323198485 % 2**64
+        out[names[next(k for k, u in enumerate(upto) if x * total // 2**64 < u)]].append(i)
     return {s: out[s] or ([-(-total // block) + k] if words[s] else []) for k, s in enumerate(names)}, words
 
 
@@ -404,7 +404,7 @@ def test_mix_meets_targets_by_its_schedule(spark, docs):
         sizes[s] += len(t.split())
     want, seen = brute_targets(sizes), []
     for block in (1, 50, 700):
-        got = mixing.taken_words(df, block_words=block, least_slots=1).collect()
+        got = mixing.taken_words(df, block_words=block).collect()
         slots, words = brute_slots(sizes, block)
         taken = defaultdict(int)
         for r in got:
@@ -417,13 +417,40 @@ def test_mix_meets_targets_by_its_schedule(spark, docs):
         assert all(want[s] - 3 * block - 1 <= taken[s] <= want[s] for s in want)
         seen.append(dict(taken))
     assert seen[0] != seen[1] != seen[2]
-    mixed = mixing.mix(df, block_words=700, least_slots=1).collect()
+    mixed = mixing.mix(df, block_words=700).collect()
     assert sum(len(r.text.split()) for r in mixed) == sum(taken.values())
     assert mixing.taken_words(docs).count() == len(ROWS) and mixing.mix(docs).columns == docs.columns
     assert mixing.taken_words(docs.limit(0)).count() == 0
     assert {r.taken for r in mixing.taken_words(docs.where("doc_id IN (1, 2, 10)")).collect()} == {0}
 
 
+def test_mix_of_blocks(spark):
+    g = np.random.default_rng(9)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(g.integers(0, 90)))), ("a", "b", None)[int(g.integers(0, 3))], "z") for i in range(200)] + [(5, "same words here", "a", "z")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string")
+    for block in (1, 20, 64):
+        plans = mixing.taken_words(df, block_words=block).collect()
+        got = mixing.mix_blocks(df, block_words=block).collect()
+        assert [(r.slot, r.offset) for r in got] == sorted((r.slot, r.offset) for r in got)
+        assert sum(r.n_words for r in got) == sum(p.taken for p in plans) and all(len(r.text.split(" ")) == r.n_words for r in got)
+        blocks, sizes = defaultdict(list), defaultdict(int)
+        for _, t, s, _ in rows:
+            sizes[s] += len(t.split())
+        for r in got:
+            blocks[r.slot].append(r)
+        slots, _ = brute_slots(sizes, block)
+        place = {x: s for s, own in slots.items() for x in own}
+        whole = 0
+        for slot, parts in blocks.items():
+            assert {r.source for r in parts} == {place[slot]} and [r.offset for r in parts] == np.cumsum([0] + [r.n_words for r in parts[:-1]]).tolist()
+            whole += sum(r.n_words for r in parts) == block
+        assert len(blocks) - whole <= len(sizes)
+        for s in sizes:  # read in the order of slots, a source's blocks are its documents in shuffled order, again and again
+            words = [w for x in sorted(b for b in blocks if place[b] == s) for r in blocks[x] for w in r.text.split(" ")]
+            assert len(words) == sum(p.taken for p in plans if p.source == s) and words[sizes[s] :] == words[: max(0, len(words) - sizes[s])]
+    assert mixing.mix_blocks(df.limit(0)).columns == ["slot", "offset", "n_words", "doc_id", "text", "source"]
+
+
 def test_many_sources(spark):
     rows = [(i, "w " * (1 + i % 7), f"host{i % 700}") for i in range(3000)]
     sizes = defaultdict(int)
@@ -431,7 +458,7 @@ def test_many_sources(spark):
         sizes[s] += len(t.split())
     slots, words = brute_slots(sizes, 4)
     taken = Counter()
-    for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4, least_slots=1).collect():
+    for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4).collect():
         taken[r.source] += r.taken
     assert all(taken[s] == min(len(slots[s]) * 4, words[s]) for s in sizes)
 
@@ -439,7 +466,7 @@ def test_many_sources(spark):
 def test_mix_follows_the_schedule(spark, tmp_path):
     g = np.random.default_rng(8)
     rows = [(i, "w " * int(g.integers(1, 60)), ("a", "b", None)[int(g.integers(0, 3))]) for i in range(900)] + [(7, "w w w", "a")] * 3
-    df, how = spark.createDataFrame(rows, "doc_id long, text string, source string"), {"block_words": 105, "least_slots": 1}
+    df, how = spark.createDataFrame(rows, "doc_id long, text string, source string"), {"block_words": 105}
     pieces = [(slot, r.begin + k * r.source_size, r.doc_id, r.source, r.size) for r in mixing.taken_words(df, **how).where("taken > 0").collect() for k, slot in enumerate(r.slots) if slot is not None]
     want = sorted(pieces, key=lambda p: p[:2])
     assert max(p[0] for p in want) > 240
