@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -13,25 +12,9 @@ from ..functions.text import duration_label, reduction_label
 from ..operators import compare, gates, geometry, mesh, neighbors, profiles, registration, reports, robust, scale, solve, state, surfaces
 from ..operators import series as S
 from ..operators.components import connected_components
+from .registry import query, rounded
 from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, vertices
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
 
 @query(f"""WITH {SQL["series"]}, b AS (SELECT min(us) t0, max(us) t1, least(count(*), 120) n FROM series),
 p AS (SELECT ((us - t0) * n) // (t1 - t0 + 1) AS "window", event_id, us, value FROM series, b),

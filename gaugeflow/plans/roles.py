@@ -55,6 +55,18 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS point_id", "vec_id % 50 * 0.01D + 0.003D AS x", "vec_id DIV 50 * 0.01D + 0.004D AS y", "CAST(embedding[1] AS DOUBLE) * 0.05D AS z")
 
 
+def ridged_case(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """embeddings: a surface with a ridge, 50 points long and as wide as there are vectors (case_id, vid, x, y, z in metres), its triangles, and landmarks around it in millimetres."""
+    points = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS vid", "vec_id % 50 AS i", "vec_id DIV 50 AS j", "CAST(embedding[0] AS DOUBLE) AS e")
+    points = points.join(points.agg(F.max("j").alias("last")), F.lit(True)).selectExpr("*", "i * 1.1D - 3 AS s", "(j / last - 0.5D) * 34 AS w")
+    vertices = points.selectExpr("'one' AS case_id", "vid", "w / 1000 AS x", "s / 1000 AS y", "(0.32D * s + 2.5D * exp(-0.5D * pow((s - 20) / 6, 2)) - 0.018D * w * w + 0.1D * e) / 1000 AS z")
+    corners = F.explode(F.expr("array(struct(vid * 2 AS fid, vid AS v0, vid + 1 AS v1, vid + 50 AS v2), struct(vid * 2 + 1 AS fid, vid + 1 AS v0, vid + 51 AS v1, vid + 50 AS v2))")).alias("f")
+    faces = points.where("i < 49 AND j < last").select(F.lit("one").alias("case_id"), corners).select("case_id", "f.*")
+    at = {"glabella": (0, -10, 1), "nasion": (0, 0, 0), "pronasale": (0, 50, 19), "subnasale": (0, 56, 0), "columella": (0, 54, 8), "labiale_superius": (0, 66, 3), "left_alare": (-17, 49, 3), "right_alare": (17, 49, 3), "left_endocanthion": (-16, 2, -6), "right_endocanthion": (16, 2, -6)}
+    landmarks = spark.createDataFrame([("one", n, *map(float, p)) for n, p in at.items()], "case_id string, landmark string, x double, y double, z double")
+    return vertices, faces, landmarks
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a case a user, with a sum ``m`` of cents and a count ``n`` that stand for what a case was measured to be."""
     return series(spark, sf_dir).groupBy("user_id").agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("m"), F.count(F.lit(1)).alias("n")).selectExpr("user_id AS case_id", "m", "n")
