@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,42 +43,50 @@ def with_closest(rows: DataFrame) -> DataFrame:
     return rows.drop("_at", "_va", "_vb", "_vc", *names)
 
 
-def closest_on_surface(points: DataFrame, triangles: DataFrame, start: float) -> DataFrame:
-    """For each point (point_id, x, y, z) the nearest triangle (fid, a*, b*, c*): point_id, fid, u, v, w, sx, sy, sz, distance; ties go to the smaller fid.
+def closest_on_surface(points: DataFrame, triangles: DataFrame, start: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """For each point (point_id, x, y, z) the nearest triangle (fid, a*, b*, c*): ``on``, point_id, fid, u, v, w, sx, sy, sz, distance; ties go to the smaller fid.
 
-    Triangles lie in all cells of a grid that their box meets, and a point looks into the 27 cells around it, so it meets every triangle
-    within the cell size. Points whose best is farther go on with cells twice as large; it ends when none is left or the cells are as large
-    as everything. Each round is written.
+    ``on`` names columns that points and triangles share: each point looks at triangles with equal ones only, so many surfaces are
+    searched at once. Points and triangles whose values aren't finite are left out.
+
+    A triangle lies in the few cells that its box meets of a grid whose cells are as large as it is, ``start`` at least; a point
+    looks into the 27 cells around it of each such grid, so it meets every triangle within ``start``. Points whose best is farther go
+    on with cells twice as large; it ends when none is left or the cells are as large as everything. Each round is written.
     """
-    corners = [F.least(*[F.col(f"{t}{c}") for t in "abc"]).alias(f"l{c}") for c in "xyz"] + [F.greatest(*[F.col(f"{t}{c}") for t in "abc"]).alias(f"h{c}") for c in "xyz"]
-    boxed = written(triangles.select("fid", *[f"{t}{c}" for t in "abc" for c in "xyz"], *corners), "triangles")
-    span = points.agg(*[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
+    finite = lambda names: reduce(Column.__and__, (V.is_finite(F.col(n)) for n in names))
+    corners = {f"l{c}": F.least(*[F.col(f"{t}{c}") for t in "abc"]) for c in "xyz"} | {f"h{c}": F.greatest(*[F.col(f"{t}{c}") for t in "abc"]) for c in "xyz"}
+    at = [f"{t}{c}" for t in "abc" for c in "xyz"]
+    boxed = triangles.where(finite(at)).select(*on, "fid", *at).withColumns(corners)
+    boxed = written(boxed.withColumn("extent", F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in "xyz"])), "triangles")
+    rest = points.where(finite("xyz")).select(*on, "point_id", "x", "y", "z")
+    span = rest.agg(*[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
     box = boxed.agg(*[F.min(f"l{c}") for c in "xyz"], *[F.max(f"h{c}") for c in "xyz"]).first()
-    spark = points.sparkSession
-    empty = spark.createDataFrame([], "point_id long, fid long, u double, v double, w double, sx double, sy double, sz double, distance double")
-    if span[0] is None or box[0] is None:
-        return empty
-    widest = math.sqrt(sum((max(span[i + 3], box[i + 3]) - min(span[i], box[i])) ** 2 for i in range(3)))
-    done, rest, size = None, points.select("point_id", "x", "y", "z"), start
+    none = span[0] is None or box[0] is None
+    widest = 0.0 if none else math.sqrt(sum((max(span[i + 3], box[i + 3]) - min(span[i], box[i])) ** 2 for i in range(3)))
+    keys, done, scratch, size = [*on, "point_id"], None, [boxed], start
     while True:
-        cell = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: B023, E731
-        here, around = boxed, rest
+        level = F.greatest(F.ceil(F.log2(F.col("extent") / size)), F.lit(0)).cast("int")
+        here = boxed.withColumn("level", F.when(F.col("extent") > 0, level).otherwise(0)).drop("extent")
+        levels = sorted(r.level for r in here.select("level").distinct().collect())  # sizes by powers of two
+        cell = lambda c: F.floor(F.col(c) / (size * F.pow(F.lit(2.0), F.col("level")))).cast("long")  # noqa: B023, E731
+        around = rest.withColumn("level", F.explode(F.lit(levels or [0])))
         for c in "xyz":
             here = here.withColumn(f"g{c}", F.explode(F.sequence(cell(f"l{c}"), cell(f"h{c}"))))
             around = around.withColumn(f"g{c}", F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)))
-        met = with_closest(around.join(here.drop(*[f"{e}{c}" for e in "lh" for c in "xyz"]), ["gx", "gy", "gz"]))
-        best = met.groupBy("point_id").agg(F.min(F.struct("distance", "fid", "u", "v", "w", "sx", "sy", "sz")).alias("m"))
-        best = best.select("point_id", "m.fid", "m.u", "m.v", "m.w", "m.sx", "m.sy", "m.sz", "m.distance")
+        met = with_closest(around.join(here.drop(*[f"{e}{c}" for e in "lh" for c in "xyz"]), [*on, "level", "gx", "gy", "gz"]))
+        best = met.groupBy(*keys).agg(F.min(F.struct("distance", "fid", "u", "v", "w", "sx", "sy", "sz")).alias("m"))
+        best = best.select(*keys, "m.fid", "m.u", "m.v", "m.w", "m.sx", "m.sy", "m.sz", "m.distance")
         last = size >= widest
         found = written(best if last else best.where(F.col("distance") <= size), "closest")
         done = found if done is None else done.unionByName(found)
         if last:
             break
-        rest = written(rest.join(found.select("point_id"), "point_id", "left_anti"), "open")
+        rest = written(rest.join(found.select(*keys), keys, "left_anti"), "open")
+        scratch.append(rest)
         if rest.isEmpty():
             break
         size *= 2
-    forget(boxed)
+    forget(*scratch)
     return done
 
 

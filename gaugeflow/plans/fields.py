@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import deformation, neighbors, orientation, rays, smoothing, solve
+from ..operators import deformation, neighbors, orientation, rays, repeatability, smoothing, solve
 from ..operators.profiles import profile_acceptance
 from .registry import query, rounded
-from .roles import SQL, ridged_case, sheet, sheet_triangles, table
+from .roles import SQL, repeated_cases, ridged_case, sheet, sheet_triangles, table
 
 
 @query()
@@ -67,3 +67,10 @@ def surface_observations(spark, d):
     up = table(spark, d, "embeddings").selectExpr("vec_id AS ray_id", "vec_id % 50 * 0.01D + 0.003D AS ox", "vec_id DIV 50 * 0.01D + 0.004D AS oy", "0.3D AS oz", "CAST(embedding[2] AS DOUBLE) AS dx", "CAST(embedding[3] AS DOUBLE) AS dy", "-1D AS dz", "label AS landmark")
     middle = up.select("landmark").distinct().select("landmark", *[v.alias(f"e{c}") for v, c in zip(V.numbers(0.25, 0.05, 0.0), "xyz")])
     return rounded(rays.surface_observations(up, sheet_triangles(spark, d), middle, 0.2), "t", "x", "y", "z", digits=9)
+
+
+@query()
+def surface_repeatability(spark, d):
+    """Three captures of one surface, compared in pairs after rigid alignment."""
+    got = repeatability.surface_repeatability(*repeated_cases(spark, d), least_nasal=100)
+    return rounded(got, "landmark_scale", "icp_fitness", "icp_rmse_mm", "median_mm", "p95_mm", "p99_mm", digits=4)

@@ -13,7 +13,7 @@ from ..operators import compare, gates, geometry, mesh, neighbors, profiles, reg
 from ..operators import series as S
 from ..operators.components import connected_components
 from .registry import query, rounded
-from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, vertices
+from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, triangles_of, vertices
 
 
 @query(f"""WITH {SQL["series"]}, b AS (SELECT min(us) t0, max(us) t1, least(count(*), 120) n FROM series),
@@ -508,11 +508,21 @@ def closest_on_surface(spark, d):
     return rounded(got.select("point_id", "distance"), "distance", digits=9)
 
 
-@query(f"""WITH {_SURFACE}, j AS (SELECT min(distance) AS distance FROM h GROUP BY point_id) SELECT count(*) AS samples, round(quantile_cont(distance, 0.5), 9) AS median, round(quantile_cont(distance, 0.95), 9) AS p95, round(quantile_cont(distance, 0.99), 9) AS p99 FROM (SELECT distance FROM j UNION ALL SELECT distance FROM j)""")
+_OTHER = """other AS (SELECT vec_id AS vid, vec_id % 50 * CAST(0.01 AS DOUBLE) AS x, vec_id // 50 * CAST(0.01 AS DOUBLE) AS y, CAST(embedding[2] AS DOUBLE) * CAST(0.05 AS DOUBLE) + CAST(0.004 AS DOUBLE) AS z FROM embeddings)"""
+_OTHER_TRIANGLES = SQL["triangles"].replace("FROM sheet", "FROM other").replace("JOIN sheet", "JOIN other").replace("ids AS", "ids2 AS").replace("FROM ids ", "FROM ids2 ").replace("triangles AS", "triangles2 AS")
+_BOTH = """met AS (SELECT p.vid AS point_id, 1 AS side, x, y, z, fid, ax, ay, az, bx, "by" AS by_, bz, cx, cy, cz FROM sheet p, triangles2
+UNION ALL SELECT p.vid, 2, x, y, z, fid, ax, ay, az, bx, "by", bz, cx, cy, cz FROM other p, triangles)"""
+
+
+@query(f"""WITH {SQL["sheet"]}, {SQL["triangles"]}, {_OTHER}, {_OTHER_TRIANGLES}, {_BOTH}, {_KERNEL},
+j AS (SELECT min(distance) AS distance FROM h GROUP BY side, point_id)
+SELECT count(*) AS samples, round(quantile_cont(distance, 0.5), 9) AS median, round(quantile_cont(distance, 0.95), 9) AS p95, round(quantile_cont(distance, 0.99), 9) AS p99 FROM j""")
 def surface_distances(spark, d):
-    """Distances of the probes from the sheet, seen from both sides of a comparison of the sheet with itself."""
-    t, p = sheet_triangles(spark, d), probes(spark, d)
-    return rounded(surfaces.two_way_distances(p, t, p, t, 0.02), "median", "p95", "p99", digits=9)
+    """Each of two different surfaces' vertices from the other surface."""
+    other = table(spark, d, "embeddings").selectExpr("vec_id AS vid", "vec_id % 50 * 0.01D AS x", "vec_id DIV 50 * 0.01D AS y", "CAST(embedding[1] AS DOUBLE) * 0.05D + 0.004D AS z")
+    one, points = sheet(spark, d), lambda v: v.withColumnRenamed("vid", "point_id")
+    got = surfaces.two_way_distances(points(one), sheet_triangles(spark, d), points(other), triangles_of(other), 0.02)
+    return rounded(got, "median", "p95", "p99", digits=9)
 
 
 @query(f"""WITH {_KNN}, n AS (SELECT k.point_id, p.case_id, greatest(-1, least(1, (p.qx*o.qx+p.qy*o.qy+p.qz*o.qz) / (sqrt(p.qx*p.qx+p.qy*p.qy+p.qz*p.qz) * sqrt(o.qx*o.qx+o.qy*o.qy+o.qz*o.qz)))) AS dot FROM k JOIN cloud p USING (point_id) JOIN cloud o ON o.point_id = k.neighbor_id WHERE rank <= 6)

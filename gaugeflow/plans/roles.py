@@ -42,7 +42,11 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sheet_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two triangles in each cell of the sheet's grid: fid, a*, b*, c*."""
-    v = sheet(spark, sf_dir)
+    return triangles_of(sheet(spark, sf_dir))
+
+
+def triangles_of(v: DataFrame) -> DataFrame:
+    """The same over any points (vid, x, y, z) of that grid."""
     corner = lambda n: v.select(F.col("vid").alias(f"{n}vid"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
     ids = v.where("vid % 50 < 49").selectExpr("vid * 2 AS fid", "vid AS i", "vid + 1 AS j", "vid + 50 AS k").unionByName(v.where("vid % 50 < 49").selectExpr("vid * 2 + 1 AS fid", "vid + 1 AS i", "vid + 51 AS j", "vid + 50 AS k"))
     for at, n in zip("ijk", "abc"):
@@ -67,6 +71,20 @@ def ridged_case(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return vertices, faces, landmarks
 
 
+def repeated_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """embeddings: three captures of one surface in metres, each moved and with noise of its own (case_id, vid, x, y, z), their triangles and landmarks, and all pairs of them."""
+    vertices, faces, landmarks = ridged_case(spark, sf_dir)
+    noise = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS vid", "CAST(embedding[1] AS DOUBLE) AS e1", "CAST(embedding[2] AS DOUBLE) AS e2")
+    moves = F.explode(F.expr("array(struct('a' AS name, 0D AS turn, 0D AS step, 0D AS k1, 0D AS k2), struct('b' AS name, 0.1D AS turn, 0.02D AS step, 1D AS k1, 0D AS k2), struct('c' AS name, -0.2D AS turn, -0.05D AS step, 0D AS k1, 4D AS k2))")).alias("m")
+    turned = {"x": "cos(m.turn) * x - sin(m.turn) * y + m.step", "y": "sin(m.turn) * x + cos(m.turn) * y - m.step / 2", "z": "z + m.step"}
+    xyz = [f"{e} AS {c}" for c, e in turned.items()]
+    rough = vertices.join(noise, "vid").withColumn("m", moves).withColumn("z", F.expr("z + (m.k1 * e1 + m.k2 * e2) / 1000"))
+    marks = landmarks.selectExpr("landmark", "x / 1000 AS x", "y / 1000 AS y", "z / 1000 AS z").withColumn("m", moves)
+    names = F.explode(F.expr("array('a', 'b', 'c')")).alias("case_id")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "first string, second string")
+    return rough.selectExpr("m.name AS case_id", "vid", *xyz), faces.drop("case_id").select(names, "*"), marks.selectExpr("m.name AS case_id", "landmark", *xyz), pairs
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a case a user, with a sum ``m`` of cents and a count ``n`` that stand for what a case was measured to be."""
     return series(spark, sf_dir).groupBy("user_id").agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("m"), F.count(F.lit(1)).alias("n")).selectExpr("user_id AS case_id", "m", "n")
