@@ -84,9 +84,9 @@ def gaussian_smooth(rows: DataFrame, case: str, position: str, value: str, sigma
 def interpolate_gaps(rows: DataFrame, case: str, position: str, value: str) -> DataFrame:
     """``filled``: null values on the line between their neighbours that have one; beyond the ends the end value."""
     back = W.partitionBy(case).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(case).orderBy(position).rowsBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(case).orderBy(F.col(position).desc()).rowsBetween(W.unboundedPreceding, 0)  # a frame to the end is computed anew for each row, one from the start is not
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(position).cast("double").alias("p"), F.col(value).alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+    a, b = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
     both = rows.withColumns({"_a": a, "_b": b})
     share = F.try_divide(F.col(position) - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
     return both.withColumn("filled", F.coalesce(F.col(value), F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")

@@ -449,20 +449,29 @@ def document_fields(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.avg(F.get_json_object("props", "$.k").isNotNull().cast("int")).alias("has_k"))
 
 
-@query()
+def _elements(fit: DataFrame, digits: int, *keys: str) -> DataFrame:
+    """r and t as columns r1 to r9 and t1 to t3, rounded; 0.0 added, so that no zero is negative."""
+    names = [F.round(F.col(c)[i], digits) + 0.0 for c, n in (("r", 9), ("t", 3)) for i in range(n)]
+    return fit.select(*keys, *[v.alias(f"{c}{i + 1}") for v, (c, i) in zip(names, [("r", i) for i in range(9)] + [("t", i) for i in range(3)])])
+
+
+_MOTION = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in zip([f"r{i}" for i in range(1, 10)] + ["t1", "t2", "t3"], (0, -1, 0, 1, 0, 0, 0, 0, 1, 3, -2, 7)))
+
+
+@query(f"""WITH {SQL["cloud"]} SELECT case_id, count(*) AS n, CAST(2 AS DOUBLE) AS scale, {_MOTION} FROM cloud GROUP BY 1""")
 def umeyama_fit(spark, d):
     """Recovers a known similarity of every case's points."""
     p = cloud(spark, d)
     pairs = p.select("case_id", *[F.col(c).alias("s" + c) for c in "xyz"], (2 * -F.col("y") + 3).alias("tx"), (2 * F.col("x") - 2).alias("ty"), (2 * F.col("z") + 7).alias("tz"))
-    return solve.umeyama_fit(pairs, ["case_id"])
+    return _elements(rounded(solve.umeyama_fit(pairs, ["case_id"]), "scale", digits=9), 9, "case_id", "n", "scale")
 
 
-@query()
+@query(f"""WITH {SQL["cloud"]} SELECT case_id, count(*) FILTER (WHERE point_id % 10 <> 0) AS inliers, count(*) FILTER (WHERE point_id % 10 <> 0) AS n, count(*) FILTER (WHERE point_id % 10 <> 0) >= greatest(20, round_even(count(*) * 0.5, 0)) AS accepted, CAST(2 AS DOUBLE) AS scale, {_MOTION} FROM cloud GROUP BY 1""")
 def ransac_fit(spark, d):
-    """The same with every tenth target moved away."""
+    """The same with every tenth target moved away: these are no inliers, and the fit is that of the others."""
     p = cloud(spark, d).withColumn("off", F.when(F.col("point_id") % 10 == 0, 0.5).otherwise(0.0))
     pairs = p.select("case_id", "point_id", *[F.col(c).alias("s" + c) for c in "xyz"], (2 * -F.col("y") + 3 + F.col("off")).alias("tx"), (2 * F.col("x") - 2).alias("ty"), (2 * F.col("z") + 7).alias("tz"))
-    return solve.ransac_fit(pairs, ["case_id"], "point_id")
+    return _elements(rounded(solve.ransac_fit(pairs, ["case_id"], "point_id"), "scale", digits=9), 9, "case_id", "inliers", "n", "accepted", "scale")
 
 
 @query()
@@ -484,12 +493,15 @@ def local_plane(spark, d):
     return solve.local_planes(near)
 
 
-@query()
+_TURN = {"r1": "cos(0.02)", "r2": "sin(0.02)", "r3": "0", "r4": "-sin(0.02)", "r5": "cos(0.02)", "r6": "0", "r7": "0", "r8": "0", "r9": "1", "t1": "-0.01 * cos(0.02)", "t2": "0.01 * sin(0.02)", "t3": "0.005"}
+
+
+@query(f"""WITH {SQL["cloud"]} SELECT count(*) AS n, true AS converged, {", ".join(f"round(CAST({v} AS DOUBLE), 6) + 0.0 AS {n}" for n, v in _TURN.items())} FROM cloud""")
 def surface_registration(spark, d):
-    """Takes the cloud, slightly turned and shifted, back to itself."""
+    """Takes the cloud, slightly turned and shifted, back to itself: every point to its own, by the inverse motion."""
     p, a = cloud(spark, d), 0.02
     turned = p.withColumns({"x": math.cos(a) * F.col("x") - math.sin(a) * F.col("y") + 0.01, "y": math.sin(a) * F.col("x") + math.cos(a) * F.col("y"), "z": F.col("z") - 0.005})
-    return registration.closest_points(turned, p, voxel=0.001, reach=0.1)
+    return _elements(registration.closest_points(turned, p, voxel=0.0001, reach=0.1), 6, "n", "converged")
 
 
 _KERNEL = """d AS (SELECT *, (bx-ax)*(x-ax)+(by_-ay)*(y-ay)+(bz-az)*(z-az) AS d1, (cx-ax)*(x-ax)+(cy-ay)*(y-ay)+(cz-az)*(z-az) AS d2, (bx-ax)*(x-bx)+(by_-ay)*(y-by_)+(bz-az)*(z-bz) AS d3, (cx-ax)*(x-bx)+(cy-ay)*(y-by_)+(cz-az)*(z-bz) AS d4,
