@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import duration_label, reduction_label
-from ..operators import compare, gates, geometry, mesh, neighbors, profiles, registration, reports, robust, scale, solve, state, surfaces
+from ..operators import compare, gates, geometry, mesh, neighbors, profiles, registration, reports, robust, scale, sections, solve, state, surfaces
 from ..operators import series as S
 from ..operators.components import connected_components
 from .registry import query, rounded
@@ -755,6 +755,32 @@ def cross_section(spark, d):
     return rounded(profiles.cross_section(points, levels, "case_id"), "center", "height")
 
 
+_SECTIONS = f"""{_RIDGE.replace("SELECT event_type AS case_id, (event_id", "SELECT event_type AS case_id, event_id AS vid, (event_id", 1)}, l(level, level_mm, window_mm) AS (VALUES ('low', CAST(6 AS DOUBLE), CAST(2 AS DOUBLE)), ('high', CAST(17 AS DOUBLE), CAST(1 AS DOUBLE))),
+p AS (SELECT case_id, vid, 'source' AS surface, lon, lat, height FROM ridge UNION ALL SELECT case_id, vid, 'target', lon, lat * CAST(0.9 AS DOUBLE), height - 1 FROM ridge UNION ALL SELECT case_id, vid, 'simulated', lon, lat * CAST(0.95 AS DOUBLE), height * CAST(0.99 AS DOUBLE) FROM ridge),
+q AS (SELECT case_id || ':' || level || ':' || surface AS case_id, vid, lon, lat, height, level_mm, window_mm FROM p JOIN l ON abs(lon - level_mm) <= window_mm)"""
+
+
+@query(f"""WITH {_SECTIONS}, {_smoothed(49, 1, 1.0, "SELECT case_id, CAST(floor((lat + 6) / (CAST(12 AS DOUBLE) / 49)) AS INTEGER) AS bin, height FROM q")},
+c AS (SELECT case_id, bin, (bin + 0.5) * 2 / 49 * 6 - 6 AS center, level AS height FROM smooth),
+e AS (SELECT case_id, max(height) FILTER (WHERE bin = 24) AS central_height, max(height) FILTER (WHERE abs(center) > 1 AND abs(center) <= 4) AS shoulder, max(height) AS top FROM c GROUP BY 1),
+v AS (SELECT c.case_id, max(center) FILTER (WHERE height >= top - 1.5) - min(center) FILTER (WHERE height >= top - 1.5) AS envelope_width FROM c JOIN e USING (case_id) GROUP BY 1),
+t AS (SELECT case_id, level, quantile_cont(height, 0.98) AS top FROM ridge JOIN l ON abs(lon - level_mm) <= window_mm GROUP BY 1, 2),
+fo AS (SELECT r.case_id, l.level, vid, lat AS before, height >= top - 1.5 AS bridge, CASE WHEN height >= top - 5 AND abs(lat) BETWEEN 1.6 AND 4.6 THEN CASE WHEN lat < 0 THEN 'left' ELSE 'right' END END AS side FROM ridge r JOIN l ON abs(lon - level_mm) <= window_mm JOIN t ON t.case_id = r.case_id AND t.level = l.level),
+m AS (SELECT fo.case_id || ':' || level || ':' || surface AS case_id, lat, height, bridge, side, CASE WHEN before < 0 THEN lat - before ELSE before - lat END AS inwards FROM fo JOIN p ON fo.case_id = p.case_id AND fo.vid = p.vid),
+s2 AS (SELECT case_id, count(*) FILTER (WHERE bridge) AS n, max(lat) FILTER (WHERE bridge) - min(lat) FILTER (WHERE bridge) AS width, {", ".join(f"count(*) FILTER (WHERE side = '{n}') AS {n}_vertices, coalesce(quantile_cont(lat, 0.5) FILTER (WHERE side = '{n}'), 0) AS {n}_lateral, coalesce(quantile_cont(height, 0.5) FILTER (WHERE side = '{n}'), 0) AS {n}_anterior, coalesce(quantile_cont(inwards, 0.5) FILTER (WHERE side = '{n}' AND inwards > 1e-6), 0) AS {n}_medial" for n in ("left", "right"))} FROM m GROUP BY 1)
+SELECT split_part(e.case_id, ':', 1) AS case_id, split_part(e.case_id, ':', 2) AS level, split_part(e.case_id, ':', 3) AS surface, round(CASE WHEN s2.n >= 2 THEN width ELSE envelope_width END, 6) AS width, round(envelope_width, 6) AS envelope_width, round(central_height, 6) AS central_height, round(central_height - shoulder, 6) AS prominence,
+coalesce(known.n, 0) >= 9 AS covered, left_vertices, right_vertices, {", ".join(f"round({n}_{c}, 6) AS {n}_{c}" for n in ("left", "right") for c in ("lateral", "anterior", "medial"))} FROM e JOIN v USING (case_id) LEFT JOIN known USING (case_id) LEFT JOIN s2 USING (case_id)""")
+def section_report(spark, d):
+    """Two levels and three surfaces of every case: as they are, narrowed and lowered by 1 mm, and something between."""
+    e = table(spark, d, "events").selectExpr("event_type AS case_id", "event_id AS vid", "(event_id % 640) / 20D AS longitudinal", "CAST(user_id % 7 AS DOUBLE) - 3 AS lateral", "CAST(value AS DOUBLE) AS anterior")
+    surfaces_of = F.explode(F.expr("array(struct('source' AS surface, 1D AS a, 1D AS b, 0D AS c), struct('target' AS surface, 0.9D AS a, 1D AS b, 1D AS c), struct('simulated' AS surface, 0.95D AS a, 0.99D AS b, 0D AS c))"))
+    points = e.withColumn("s", surfaces_of).selectExpr("case_id", "vid", "s.surface", "longitudinal", "lateral * s.a AS lateral", "anterior * s.b - s.c AS anterior")
+    levels = F.explode(F.expr("array(struct('low' AS level, 6D AS level_mm, 2D AS window_mm), struct('high' AS level, 17D AS level_mm, 1D AS window_mm))"))
+    at = e.select("case_id").distinct().withColumn("l", levels).selectExpr("case_id", "l.*", "6D AS half_width_mm", "1D AS core_mm", "4D AS bridge_mm")
+    got = sections.section_report(points, at).drop("ridge_lateral", "curvature", "dent")
+    return rounded(got, "width", "envelope_width", "central_height", "prominence", *[f"{n}_{c}" for n in ("left", "right") for c in ("lateral", "anterior", "medial")])
+
+
 @query("""WITH p AS (SELECT user_id AS case_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, value / CAST(100 AS DOUBLE) AS v FROM events), q AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM p),
 r AS (SELECT case_id, position, CAST(position AS DOUBLE) / n AS t, v AS source, CAST(case_id % 3 AS DOUBLE) AS applied, CAST(case_id % 3 AS DOUBLE) * 4 * position / n * (1 - CAST(position AS DOUBLE) / n) AS requested FROM q), s AS (SELECT *, source - requested * (CAST(0.7 AS DOUBLE) + case_id % 5 / CAST(10 AS DOUBLE)) AS final, source - requested AS target FROM r),
 b AS (SELECT *, abs(requested - 2 * lag(requested, 1) OVER w + lag(requested, 2) OVER w) AS bend, source - final AS done, abs(final - target) AS off, requested >= greatest(0.05, 0.05 * applied) AS active FROM s WINDOW w AS (PARTITION BY case_id ORDER BY position)),
