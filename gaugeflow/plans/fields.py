@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import deformation, neighbors, orientation, rays, repeatability, smoothing, solve
+from ..operators import captures, deformation, exports, neighbors, orientation, rays, repeatability, smoothing, solve
 from ..operators.profiles import profile_acceptance
 from .registry import query, rounded
-from .roles import SQL, repeated_cases, ridged_case, sheet, sheet_triangles, table
+from .roles import SQL, cloud, faces, repeated_cases, ridged_case, sheet, sheet_triangles, table, vertices
 
 
 @query()
@@ -74,3 +74,39 @@ def surface_repeatability(spark, d):
     """Three captures of one surface, compared in pairs after rigid alignment."""
     got = repeatability.surface_repeatability(*repeated_cases(spark, d), least_nasal=100)
     return rounded(got, "landmark_scale", "icp_fitness", "icp_rmse_mm", "median_mm", "p95_mm", "p99_mm", digits=4)
+
+
+@query(f"""WITH {SQL["mesh"]}, f AS (SELECT *, mesh || '|' || v0 || '|' || v1 || '|' || v2 AS fid, (v0 * 31 + v1 * 17 + v2) % 97 AS k FROM faces),
+c AS (SELECT mesh, fid, k, unnest([0, 1, 2]) AS corner, unnest([v0, v1, v2]) AS a, unnest(CASE WHEN k = 2 THEN [v1, v0, v2] ELSE [v0, v1, v2] END) AS b FROM f),
+j AS (SELECT c.mesh, fid, k, a, b, sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2 + (pa.z - CASE WHEN k = 1 THEN pb.z + CAST(0.25 AS DOUBLE) ELSE pb.z END) ** 2) AS d FROM c JOIN vertices pa ON pa.mesh = c.mesh AND pa.vid = a JOIN vertices pb ON pb.mesh = c.mesh AND pb.vid = b WHERE k <> 3),
+e AS (SELECT mesh, fid, any_value(k) AS k, max(d) AS d, count(*) FILTER (WHERE d > 1e-6) AS bad FROM j GROUP BY 1, 2)
+SELECT f.mesh, count(*) AS faces, count(*) FILTER (WHERE f.k <> 3) AS rendered_faces, count(*) FILTER (WHERE f.k = 3) AS missing, round(max(d), 9) AS maximum_deviation, count(*) FILTER (WHERE bad > 0 AND f.k = 2) AS swapped, count(*) FILTER (WHERE bad > 0 AND f.k <> 2) AS moved
+FROM f LEFT JOIN e ON f.mesh = e.mesh AND f.fid = e.fid GROUP BY f.mesh""")
+def export_verification(spark, d):
+    """The meshes of lineitem, rendered with vertices of each face's own; some faces are off, some turned, some lost."""
+    f = faces(spark, d).withColumn("fid", F.concat_ws("|", "mesh", "v0", "v1", "v2"))
+    marked = f.withColumn("k", (F.col("v0") * 31 + F.col("v1") * 17 + F.col("v2")) % 97)
+    own = marked.where("k <> 3").select("mesh", "fid", "k", F.posexplode(F.expr("IF(k = 2, array(v1, v0, v2), array(v0, v1, v2))")).alias("corner", "at"))
+    at = own.join(vertices(spark, d).withColumnRenamed("vid", "at"), ["mesh", "at"]).withColumn("vid", F.concat_ws("#", "fid", "corner"))
+    points = at.selectExpr("mesh", "vid", "x", "y", "IF(k = 1, z + 0.25D, z) AS z")
+    rendered = marked.where("k <> 3").select("mesh", "fid", *[F.concat_ws("#", "fid", F.lit(str(i))).alias(f"v{i}") for i in range(3)])
+    got = exports.export_verification(vertices(spark, d), f, points, rendered)
+    return rounded(got.select("mesh", "faces", "rendered_faces", "missing", "maximum_deviation", "swapped", "moved"), "maximum_deviation", digits=9)
+
+
+_TURN = "least(1, abs((qx*pqx + qy*pqy + qz*pqz + qw*pqw) / (sqrt(qx*qx+qy*qy+qz*qz+qw*qw) * sqrt(pqx*pqx+pqy*pqy+pqz*pqz+pqw*pqw))))"
+
+
+@query(f"""WITH {SQL["cloud"]}, l AS (SELECT *, {", ".join(f"lag({c}) OVER w AS p{c}" for c in ("x", "y", "z", "qx", "qy", "qz", "qw", "ts"))} FROM cloud WINDOW w AS (PARTITION BY case_id ORDER BY point_id)),
+m AS (SELECT *, ts - pts AS interval, sqrt((x-px)*(x-px) + (y-py)*(y-py) + (z-pz)*(z-pz)) AS step, degrees(2 * acos({_TURN})) AS angle FROM l),
+d AS (SELECT case_id, point_id, -2 * (qx * qz + qy * qw) / n AS vx, -2 * (qy * qz - qx * qw) / n AS vy, -(1 - 2 * (qx * qx + qy * qy) / n) AS vz FROM (SELECT *, qx*qx + qy*qy + qz*qz + qw*qw AS n FROM cloud)),
+u AS (SELECT case_id, point_id, vx / s AS vx, vy / s AS vy, vz / s AS vz FROM (SELECT *, sqrt(vx*vx + vy*vy + vz*vz) AS s FROM d)),
+o AS (SELECT a.case_id, degrees(acos(greatest(-1, min(a.vx*b.vx + a.vy*b.vy + a.vz*b.vz)))) AS coverage FROM u a JOIN u b ON a.case_id = b.case_id AND a.point_id < b.point_id GROUP BY 1)
+SELECT case_id, count(*) AS frame_count, CAST(1920 AS INTEGER) AS longest_side, round(any_value(coverage), 2) AS orientation_coverage_degrees, count(*) FILTER (WHERE step > 0.15) AS tracking_jump_count, round(quantile_cont(step / interval, 0.95), 3) AS linear_speed_p95_m_per_s, round(quantile_cont(angle / interval, 0.95), 2) AS angular_speed_p95_deg_per_s,
+round((max(1500 + abs(x)) - min(1500 + abs(x))) / avg(1500 + abs(x)) * 100, 3) AS focal_length_drift_percent, count(*) FILTER (WHERE point_id % 5 <> 0) AS depth_frame_count, round_even(count(*) FILTER (WHERE point_id % 5 <> 0) / count(*), 4) AS depth_frame_coverage FROM m JOIN o USING (case_id) GROUP BY case_id""")
+def capture_validation(spark, d):
+    """Cases of embeddings as captures: four frames in five have depth."""
+    frames = cloud(spark, d).selectExpr("*", "point_id AS frame_id", "1500 + abs(x) AS fx", "point_id % 5 <> 0 AS has_depth", "false AS has_confidence")
+    sizes = frames.select("case_id").distinct().selectExpr("case_id", "1920 AS width", "1440 AS height")
+    got = captures.capture_validation(frames, sizes)
+    return got.select("case_id", "frame_count", "longest_side", "orientation_coverage_degrees", "tracking_jump_count", "linear_speed_p95_m_per_s", "angular_speed_p95_deg_per_s", "focal_length_drift_percent", "depth_frame_count", "depth_frame_coverage")
