@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import forget, written
 
 
 def _cell(c: str, size: float) -> Column:
@@ -28,32 +29,82 @@ def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = N
     return met.withColumn("distance", V.distance(V.columns(""), V.columns("n"))).where(F.col("distance") <= radius).select("point_id", "neighbor_id", "distance")
 
 
+def _positions(points: DataFrame, most: int) -> DataFrame:
+    """x, y, z and ids: each place once, with the ``most`` smallest ids there; more can't be among the nearest of any point."""
+    same = [(F.col(c) + 0.0).alias(c) for c in "xyz"]  # -0.0 is the same place as 0.0
+    first = points.select("point_id", *same).selectExpr("*", "row_number() OVER (PARTITION BY x, y, z ORDER BY point_id) AS n").where(F.col("n") <= most)
+    return first.groupBy("x", "y", "z").agg(F.array_sort(F.collect_list("point_id")).alias("ids"))
+
+
+def _refined(places: DataFrame, radius: float, most: int, deepest: int = 40) -> DataFrame:
+    """``places`` with ``level``: how often cells as large as the radius have to be halved around each for its own cell to hold no more than ``most`` places."""
+    left, done, scratch = places.withColumn("level", F.lit(0)), None, []
+    for level in range(deepest):
+        keys = [_cell(c, radius / 2**level).alias("g" + c) for c in "xyz"]
+        placed = left.select("*", *keys)
+        crowded = placed.groupBy("gx", "gy", "gz").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        if level == 0:
+            crowded = written(crowded, "crowded")
+            scratch.append(crowded)
+            if crowded.isEmpty():
+                break
+        split = written(placed.join(crowded.select("gx", "gy", "gz", F.lit(True).alias("crowded")), ["gx", "gy", "gz"], "left").drop("gx", "gy", "gz"), "refined")
+        scratch.append(split)
+        own = split.where("crowded IS NULL").drop("crowded")
+        done = own if done is None else done.unionByName(own)
+        left = split.where("crowded").drop("crowded").withColumn("level", F.lit(level + 1))
+        if left.isEmpty():
+            break
+    out = written(left if done is None else done.unionByName(left), "levels")
+    forget(*scratch)
+    return out
+
+
 def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
     """The k nearest other points of each point: point_id, rank, neighbor_id, distance; ties go to the smaller id.
 
-    Points that find fewer than k within the radius search again with twice the radius, so the result is exact; each round is written, and
-    only the unfinished go on. It ends when none is left, or when the radius is that of the box around all points: then every other point
-    has been found, be it fewer than k.
+    Places that several points share are searched once, and at most k + 1 ids of each can matter. Cells are as large as ``start_radius``, and
+    are halved where they are crowded, until they hold about 2 k places; a place looks into the 27 cells around it of its own size, so
+    pairs grow with the points, however dense some regions are, and only the k + 1 best of a place are written. Places that find fewer
+    within their cell's size go on with cells twice as large, so the result is exact. It ends when none is left, or when cells
+    are as large as the box around all points: then every other point has been found, be it fewer than k.
     """
-    from ..sources.scratch import forget, written
-
     box = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     widest = math.sqrt(sum((x or 0.0) ** 2 for x in box))
-    done, open_points, radius = None, points, start_radius
+    places = written(_positions(points, k + 1), "places")
+    open_places = _refined(places, start_radius, max(8, 2 * k))
+    found, scratch = [], [places]
     while True:
-        pairs = written(radius_pairs(points, radius, open_points), "knn")
-        last = radius >= widest
-        enough = pairs.groupBy("point_id").agg(F.count("neighbor_id").alias("n")).where(F.col("n") >= k)
-        found = pairs if last else pairs.join(enough, "point_id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            break
-        before, open_points = open_points, written(open_points.join(enough, "point_id", "left_anti"), "open")
-        forget(before)
-        if open_points.isEmpty():
+        levels = sorted(r.level for r in open_places.select("level").distinct().collect())  # halvings and doublings: a few
+        if not levels:
             break
-        radius *= 2
-    return done.selectExpr("point_id", "row_number() OVER (PARTITION BY point_id ORDER BY distance, neighbor_id) AS rank", "neighbor_id", "distance").where(F.col("rank") <= k)
+        size = F.lit(start_radius) / F.pow(F.lit(2.0), F.col("level"))
+        at = lambda c: F.floor(F.col(c) / size).cast("long")
+        cells = places.withColumn("level", F.explode(F.lit(levels))).select("level", *[at(c).alias("g" + c) for c in "xyz"], *[F.col(c).alias("n" + c) for c in "xyz"], "ids")
+        around = open_places.select("x", "y", "z", "level")
+        for c in "xyz":
+            around = around.withColumn("g" + c, F.explode(F.array(at(c) - 1, at(c), at(c) + 1)))
+        met = around.join(cells, ["level", "gx", "gy", "gz"]).withColumn("distance", V.distance(V.columns(""), V.columns("n")))
+        near = met.select("x", "y", "z", "level", "distance", F.explode("ids").alias("neighbor_id"))
+        best = near.selectExpr("*", "row_number() OVER (PARTITION BY x, y, z ORDER BY distance, neighbor_id) AS n").where(F.col("n") <= k + 1).drop("n")
+        best = written(best, "knn")
+        last = F.pow(F.lit(2.0), F.col("level")) * widest <= start_radius
+        inside = best.groupBy("x", "y", "z", "level").agg(F.count_if(F.col("distance") <= size).alias("n"))
+        enough = inside.where((F.col("n") > k) | last).select("x", "y", "z")
+        found.append(best.join(enough, ["x", "y", "z"], "left_semi").select("x", "y", "z", "distance", "neighbor_id"))
+        rest = written(open_places.join(enough, ["x", "y", "z"], "left_anti").withColumn("level", F.col("level") - 1), "open")
+        scratch.append(open_places)
+        open_places = rest
+    if not found:
+        return points.select("point_id", F.lit(1).alias("rank"), F.col("point_id").alias("neighbor_id"), F.lit(0.0).alias("distance")).limit(0)
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.unionByName(more)
+    of_place = written(all_found.groupBy("x", "y", "z").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near")), "nearest")  # k + 1 a place
+    forget(*scratch, open_places)
+    mine = points.select("point_id", *[(F.col(c) + 0.0).alias(c) for c in "xyz"]).join(of_place, ["x", "y", "z"])
+    others = F.slice(F.filter("near", lambda n: n["neighbor_id"] != F.col("point_id")), 1, k)
+    return mine.select("point_id", F.posexplode(others).alias("rank", "n")).select("point_id", (F.col("rank") + 1).alias("rank"), "n.neighbor_id", "n.distance")
 
 
 def outliers(neighbors: DataFrame, ratio: float) -> DataFrame:
