@@ -64,7 +64,7 @@ def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
     """The k nearest other points of each point: point_id, rank, neighbor_id, distance; ties go to the smaller id.
 
     Places that several points share are searched once, and at most k + 1 ids of each can matter. Cells are as large as ``start_radius``, and
-    are halved where they are crowded, until they hold about 2 k places; a place looks into the 27 cells around it of its own size, so
+    are halved where they are crowded, until they hold 16 k places (128 at least) or fewer; a place looks into the 27 cells around it of its own size, so
     pairs grow with the points, however dense some regions are, and only the k + 1 best of a place are written. Places that find fewer
     within their cell's size go on with cells twice as large, so the result is exact. It ends when none is left, or when cells
     are as large as the box around all points: then every other point has been found, be it fewer than k.
@@ -72,7 +72,7 @@ def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
     box = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     widest = math.sqrt(sum((x or 0.0) ** 2 for x in box))
     places = written(_positions(points, k + 1), "places")
-    open_places = _refined(places, start_radius, max(8, 2 * k))
+    open_places = _refined(places, start_radius, max(128, 16 * k))
     found, scratch = [], [places]
     while True:
         levels = sorted(r.level for r in open_places.select("level").distinct().collect())  # halvings and doublings: a few
@@ -85,23 +85,22 @@ def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
         for c in "xyz":
             around = around.withColumn("g" + c, F.explode(F.array(at(c) - 1, at(c), at(c) + 1)))
         met = around.join(cells, ["level", "gx", "gy", "gz"]).withColumn("distance", V.distance(V.columns(""), V.columns("n")))
-        near = met.select("x", "y", "z", "level", "distance", F.explode("ids").alias("neighbor_id"))
+        last = F.pow(F.lit(2.0), F.col("level")) * widest <= start_radius
+        near = met.where((F.col("distance") <= size) | last).select("x", "y", "z", "level", "distance", F.explode("ids").alias("neighbor_id"))
         best = near.selectExpr("*", "row_number() OVER (PARTITION BY x, y, z ORDER BY distance, neighbor_id) AS n").where(F.col("n") <= k + 1).drop("n")
         best = written(best, "knn")
-        last = F.pow(F.lit(2.0), F.col("level")) * widest <= start_radius
-        inside = best.groupBy("x", "y", "z", "level").agg(F.count_if(F.col("distance") <= size).alias("n"))
-        enough = inside.where((F.col("n") > k) | last).select("x", "y", "z")
-        found.append(best.join(enough, ["x", "y", "z"], "left_semi").select("x", "y", "z", "distance", "neighbor_id"))
-        rest = written(open_places.join(enough, ["x", "y", "z"], "left_anti").withColumn("level", F.col("level") - 1), "open")
-        scratch.append(open_places)
-        open_places = rest
+        # A place is in one of its own cells, so each open place has rows here.
+        inside = best.groupBy("x", "y", "z", "level").agg(F.count("neighbor_id").alias("n")).withColumn("done", (F.col("n") > k) | last)
+        found.append(best.join(inside.where("done").select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z", "distance", "neighbor_id"))
+        scratch += [open_places, best]
+        open_places = inside.where("NOT done").select("x", "y", "z", (F.col("level") - 1).alias("level"))
     if not found:
         return points.select("point_id", F.lit(1).alias("rank"), F.col("point_id").alias("neighbor_id"), F.lit(0.0).alias("distance")).limit(0)
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
     of_place = written(all_found.groupBy("x", "y", "z").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near")), "nearest")  # k + 1 a place
-    forget(*scratch, open_places)
+    forget(*scratch)
     mine = points.select("point_id", *[(F.col(c) + 0.0).alias(c) for c in "xyz"]).join(of_place, ["x", "y", "z"])
     others = F.slice(F.filter("near", lambda n: n["neighbor_id"] != F.col("point_id")), 1, k)
     return mine.select("point_id", F.posexplode(others).alias("rank", "n")).select("point_id", (F.col("rank") + 1).alias("rank"), "n.neighbor_id", "n.distance")

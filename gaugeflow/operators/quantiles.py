@@ -15,11 +15,13 @@ SMALL = 20_000  # up to so many values a group is looked at whole
 def exact_percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """A row a group: ``by`` and a column for each of ``wanted``, its value (nulls left out; null if there are none) at a share 0..1 of the way from the least to the most, linear between neighbours.
 
-    A sketch with partial results in each task bounds where the ranks can be. A second pass counts the values below the bounds, again
+    Where no group has more than ``SMALL`` rows, which a count tells first, groups are looked at whole. Else a sketch with partial results in each task bounds where the ranks can be. A second pass counts the values below the bounds, again
     with partial results, and keeps the few between them, equal ones as one with their number; only those are put in order. So a
     group of any size, or a value that a third of all rows have, is spread over all tasks.
     """
     names = list(wanted)
+    if by and (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL:
+        return rows.groupBy(*by).agg(*[F.percentile(wanted[n][0].cast("double"), F.lit(float(wanted[n][1]))).alias(n) for n in names])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), wanted[n][0].cast("double").alias("v")) for i, n in enumerate(names)])).alias("_e")
     long = rows.select(*by, each).select(*by, F.col("_e.k").alias("_k"), F.col("_e.v").alias("_v"))
     shares = [wanted[n][1] for n in names]
