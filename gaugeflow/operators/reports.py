@@ -132,6 +132,10 @@ CHECKS = (
 )
 
 
+#: What a report says of a metric that is missing, and of one that was compared with its limits.
+NO_METRIC, COMPARED = "Metric was not available.", "Threshold evaluated."
+
+
 def case_checks(cases: DataFrame, metrics: DataFrame, documents: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     """Every check of every case (case_id): case_id, section, position, check_id, label, status, value, unit, criteria, message.
 
@@ -159,7 +163,7 @@ def case_checks(cases: DataFrame, metrics: DataFrame, documents: DataFrame, chec
         .when(F.col("kind") == "tri", F.when(flag, "PASS").when(~flag, "FAIL").otherwise("WARN"))
         .otherwise(limits)
     )
-    message = F.when(F.col("kind") == "gone", "The document is missing.").when(F.col("value").isNull() & F.col("kind").isin("min", "max", "range"), "Metric was not available.").otherwise("Threshold evaluated.")
+    message = F.when(F.col("kind") == "gone", "The document is missing.").when(F.col("value").isNull() & F.col("kind").isin("min", "max", "range"), NO_METRIC).otherwise(COMPARED)
     return every.select("case_id", "section", "position", "check_id", "label", verdict.alias("status"), "value", "unit", "criteria", message.alias("message"))
 
 

@@ -324,14 +324,12 @@ def roi_reindex(spark, d):
     return mesh.reindexed(mesh.roi_faces(faces(spark, d), vertices(spark, d).where("x > -0.1")))
 
 
-_CHAINS = "SELECT vec_id AS a, vec_id // 2 AS b FROM embeddings WHERE vec_id % 7 <> 0"
-
-
 def _chains(spark, d) -> DataFrame:
-    return connected_components(table(spark, d, "embeddings").where("vec_id % 7 <> 0").selectExpr("vec_id AS a", "vec_id DIV 2 AS b"))
+    """Every vector hangs on the one at half its number, but for the first seven, which hang on themselves; the first three have nothing on them."""
+    return connected_components(table(spark, d, "embeddings").selectExpr("vec_id AS a", "IF(vec_id < 7, vec_id, vec_id DIV 2) AS b"))
 
 
-_ROOTS = f"WITH RECURSIVE e AS ({_CHAINS}), w AS (SELECT a AS node, b AS up FROM e UNION ALL SELECT node, up // 2 FROM w WHERE up % 7 <> 0), c AS (SELECT node, min(up) AS component FROM w GROUP BY 1 UNION SELECT b, b FROM e WHERE b % 7 = 0)"
+_ROOTS = "WITH RECURSIVE w AS (SELECT vec_id AS node, vec_id AS up FROM embeddings UNION ALL SELECT node, up // 2 FROM w WHERE up >= 7), c AS (SELECT node, up AS component FROM w WHERE up BETWEEN 3 AND 6)"
 
 
 @query(f"{_ROOTS} SELECT node, component FROM c")
@@ -643,11 +641,11 @@ def smootherstep_weights(spark, d):
 _FRAMES = "frames AS (SELECT c_custkey AS frame_id, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) / 100 AS y, CAST(c_custkey AS DOUBLE) AS z FROM customer), index AS (SELECT o_orderkey AS image, o_custkey AS frame_id FROM orders)"
 
 
-@query(f"WITH {_FRAMES}, i AS (SELECT o_orderkey AS image, o_totalprice AS x, o_totalprice / 2 AS y, o_totalprice / 4 AS z FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT image, frame_id, i.x AS sx, i.y AS sy, i.z AS sz, f.x AS tx, f.y AS ty, f.z AS tz FROM i JOIN index USING (image) JOIN frames f USING (frame_id)) SELECT *, (SELECT count(*) FROM p) >= 30 AS enough FROM p")
+@query(f"WITH {_FRAMES}, i AS (SELECT o_orderkey AS image, o_totalprice AS x, o_totalprice / 2 AS y, o_totalprice / 4 AS z FROM orders), p AS (SELECT image, frame_id, i.x AS sx, i.y AS sy, i.z AS sz, f.x AS tx, f.y AS ty, f.z AS tz FROM i JOIN index USING (image) JOIN frames f USING (frame_id)) SELECT *, (SELECT count(*) FROM p) >= 30 AS enough FROM p")
 def pose_pairs(spark, d):
     o = table(spark, d, "orders")
     frames = table(spark, d, "customer").selectExpr("c_custkey AS frame_id", "CAST(c_nationkey AS DOUBLE) AS x", "CAST(c_acctbal AS DOUBLE) / 100 AS y", "CAST(c_custkey AS DOUBLE) AS z")
-    images = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS image", "o_totalprice AS x", "o_totalprice / 2 AS y", "o_totalprice / 4 AS z")
+    images = o.selectExpr("o_orderkey AS image", "o_totalprice AS x", "o_totalprice / 2 AS y", "o_totalprice / 4 AS z")
     return scale.pose_pairs(images, o.selectExpr("o_orderkey AS image", "o_custkey AS frame_id"), frames)
 
 
@@ -662,12 +660,12 @@ def depth_ratios(spark, d):
     return rounded(scale.depth_ratios(seen, index, pixels, 45.0, 9.0, 4, 4), "ratio", digits=9)
 
 
-@query("""WITH p AS (SELECT o_custkey AS case_id, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS pose_scale FROM orders GROUP BY 1), d AS (SELECT o_custkey AS case_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS depth_scale FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY 1),
+@query("""WITH p AS (SELECT o_custkey AS case_id, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS pose_scale FROM orders GROUP BY 1), d AS (SELECT o_custkey AS case_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS depth_scale FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
 b AS (SELECT case_id, pose_scale, depth_scale, abs(depth_scale - pose_scale) / pose_scale * 100 AS off FROM p LEFT JOIN d USING (case_id)) SELECT case_id, round(pose_scale, 2) AS pose_scale, round(depth_scale, 2) AS depth_scale, round_even(off, 3) AS scale_disagreement_percent, off <= 2 AS scale_verified, round(pose_scale * 1000, 2) AS scale_mm_per_unit FROM b""")
 def combined_scale(spark, d):
     o, cents = table(spark, d, "orders"), lambda c: F.sum(F.rint(F.col(c) * 100).cast("long")) / 100.0
     pose = o.groupBy(F.col("o_custkey").alias("case_id")).agg(cents("o_totalprice").alias("pose_scale"))
-    depth = o.join(table(spark, d, "lineitem").where("l_returnflag <> 'R'"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("case_id")).agg(cents("l_extendedprice").alias("depth_scale"))
+    depth = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("case_id")).agg(cents("l_extendedprice").alias("depth_scale"))
     return rounded(scale.combined_scale(pose, depth, "case_id"), "pose_scale", "depth_scale", "scale_mm_per_unit", digits=2)
 
 
