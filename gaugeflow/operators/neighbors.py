@@ -43,11 +43,8 @@ def _refined(places: DataFrame, radius: float, most: int, deepest: int = 40) ->
         keys = [_cell(c, radius / 2**level).alias("g" + c) for c in "xyz"]
         placed = left.select("*", *keys)
         crowded = placed.groupBy("gx", "gy", "gz").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-        if level == 0:
-            crowded = written(crowded, "crowded")
-            scratch.append(crowded)
-            if crowded.isEmpty():
-                break
+        if level == 0 and crowded.isEmpty():
+            return left
         split = written(placed.join(crowded.select("gx", "gy", "gz", F.lit(True).alias("crowded")), ["gx", "gy", "gz"], "left").drop("gx", "gy", "gz"), "refined")
         scratch.append(split)
         own = split.where("crowded IS NULL").drop("crowded")
@@ -55,7 +52,7 @@ def _refined(places: DataFrame, radius: float, most: int, deepest: int = 40) ->
         left = split.where("crowded").drop("crowded").withColumn("level", F.lit(level + 1))
         if left.isEmpty():
             break
-    out = written(left if done is None else done.unionByName(left), "levels")
+    out = written(done.unionByName(left), "levels")
     forget(*scratch)
     return out
 
