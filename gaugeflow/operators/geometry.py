@@ -23,10 +23,13 @@ def in_segment_tube(p: V.Vector, a: V.Vector, b: V.Vector, radius: float, low: f
     return F.coalesce((length2 > 1e-24) & share.between(low, high) & (V.distance(p, near) <= radius), F.lit(False))
 
 
-def near_any(points: DataFrame, p: tuple[str, str, str], anchors: list[tuple[float, float, float]], radius: float) -> DataFrame:
-    """Points whose nearest of a few anchors is within the radius, with that distance. Anchors are constants, so this is an expression."""
+def near_any(points: DataFrame, p: tuple[str, str, str], anchors: list[tuple[float, float, float]], radius: float, least: int = 0) -> DataFrame:
+    """Points whose nearest of a few anchors is within the radius, with that distance; fewer than ``least`` of them are an error. Anchors are constants, so this is an expression."""
     d = F.least(*[V.distance(tuple(F.col(c) for c in p), V.numbers(*a)) for a in anchors], F.lit(float("inf")))
-    return points.withColumn("anchor_distance", d).where(F.col("anchor_distance") <= radius)
+    near = points.withColumn("anchor_distance", d).where(F.col("anchor_distance") <= radius)
+    if least and (found := near.count()) < least:
+        raise ValueError(f"{found} points are near an anchor, fewer than {least}")
+    return near
 
 
 def central_or_all(points: DataFrame, by: str, p: tuple[str, str, str], center: tuple[float, float, float], radius: float, least: int) -> DataFrame:

@@ -110,6 +110,20 @@ def outliers(neighbors: DataFrame, ratio: float) -> DataFrame:
     return each.withColumn("outlier", F.col("mean_distance") > limit.scalar())
 
 
+def without_outliers(points: DataFrame, neighbors: DataFrame, ratio: float, most_share: float = 0.05) -> DataFrame:
+    """``points`` without the outliers; points without neighbours stay. More than ``most_share`` of the points are an error: the cloud isn't one of a surface then, or the ratio is wrong."""
+    marked = written(outliers(neighbors, ratio), "outliers")
+    gone, n = marked.agg(F.count_if("outlier")).first()[0], points.count()
+    if gone > most_share * n:
+        raise ValueError(f"{gone} of {n} points are outliers, more than a share of {most_share:g}")
+    return points.join(marked.where("outlier").select("point_id"), "point_id", "left_anti")
+
+
+def nearest_of_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """Of the neighbours of each point (point_id, neighbor_id, distance) the ``most`` nearest; ties go to the smaller id. Each task keeps its nearest first."""
+    return pairs.selectExpr("*", "row_number() OVER (PARTITION BY point_id ORDER BY distance, neighbor_id) AS _n").where(F.col("_n") <= most).drop("_n")
+
+
 def voxel_means(points: DataFrame, by: list[str], size: float) -> DataFrame:
     """The mean point of each occupied cell of a grid."""
     return points.groupBy(*by, *[_cell(c, size).alias("v" + c) for c in "xyz"]).agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("points"))

@@ -1,7 +1,8 @@
 """Nearest neighbours against brute force, where points are dense, far apart, or many at one place."""
 
 import numpy as np
-from gaugeflow.operators import neighbors
+import pytest
+from gaugeflow.operators import geometry, neighbors
 
 
 def brute(points, k):
@@ -56,3 +57,25 @@ def test_rows_written_grow_with_points_in_a_dense_cloud(spark, monkeypatch):
         assert neighbors.knn(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 4, 0.1).count() == 4 * n
         per_point.append(sum(made) / n)
     assert per_point[1] < 1.5 * per_point[0] and per_point[1] < 15
+
+
+def test_limits_on_what_is_taken_or_goes(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, *map(float, p)) for i, p in enumerate(np.concatenate([g.random((98, 3)), [[9.0, 9, 9], [-7.0, 0, 0]]]))]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    near = neighbors.knn(df, 4, 0.3)
+    kept = {r.point_id for r in neighbors.without_outliers(df, near, 3.0).collect()}
+    assert kept == set(range(98))
+    with pytest.raises(ValueError, match="outliers"):
+        neighbors.without_outliers(df, near, 3.0, most_share=0.01)
+    pairs = neighbors.radius_pairs(df, 0.5)
+    capped = neighbors.nearest_of_pairs(pairs, 3).toPandas()
+    want = {i: [n for n, d in near if d <= 0.5][:3] for i, near in brute(rows, 3).items()}
+    for i, own in capped.groupby("point_id"):
+        assert own.sort_values(["distance", "neighbor_id"]).neighbor_id.tolist() == want[i]
+    assert len(capped) == sum(map(len, want.values()))
+    anchors = [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0)]
+    n = geometry.near_any(df, ("x", "y", "z"), anchors, 0.6).count()
+    assert geometry.near_any(df, ("x", "y", "z"), anchors, 0.6, least=n).count() == n > 5
+    with pytest.raises(ValueError, match="fewer than"):
+        geometry.near_any(df, ("x", "y", "z"), anchors, 0.6, least=n + 1)
