@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, written
-from .profiles import _binned
+from .deformation import END_ANCHOR, MOST_MEDIAL
+from .profiles import _binned, profile_acceptance
 from .quantiles import exact_percentiles
 from .robust import quadratic_fit, section_width
 
@@ -82,3 +83,36 @@ def section_report(points: DataFrame, levels: DataFrame) -> DataFrame:
     result = written(out.select(*KEY, *names), "section-report")
     forget(levels)
     return result
+
+
+def reduction_acceptance(profiles: DataFrame, sections: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Whether a reduction met its aims along the ridge and across it: a row a case with passed, profile_passed, frontal_passed and what the latter rests on.
+
+    profiles: as ``profile_acceptance`` takes them; sections: as ``section_report`` returns them, with surfaces 'source' and 'simulated'; coverage: case_id,
+    strip (only a strip in the middle moved). Sections count where the middle went back by 0.1 mm and 5 % of the reduction; there must be
+    one at least, and none of them may have a dent, be wider by more than 0.05 mm or narrower by more than twice the medial limit and 0.05 mm, or have a side that
+    went outwards by more than 0.02 mm. Where nothing was asked for, the case passes.
+    """
+    along = profile_acceptance(profiles, "case_id", END_ANCHOR).select("case_id", F.col("passed").alias("profile_passed"))
+    asked = profiles.groupBy("case_id").agg(F.max("applied").alias("applied"))
+    columns = ("central_height", "width", "left_lateral", "right_lateral")
+    side = lambda surface, p: sections.where(F.col("surface") == surface).select("case_id", "level", *[F.col(c).alias(p + c) for c in columns], F.col("dent").alias(p + "dent"))
+    both = side("source", "a_").join(side("simulated", "b_"), ["case_id", "level"]).join(asked, "case_id")
+    corrected = both.where(F.col("a_central_height") - F.col("b_central_height") >= F.greatest(F.lit(0.1), 0.05 * F.col("applied")))
+    narrower = F.col("a_width") - F.col("b_width")
+    found = corrected.groupBy("case_id").agg(
+        F.count("level").alias("corrected_sections"), F.every(~F.col("b_dent")).alias("no_central_dent"), F.every(narrower >= -0.05).alias("no_width_expansion"),
+        F.every((F.col("b_left_lateral") >= F.col("a_left_lateral") - 0.02) & (F.col("b_right_lateral") <= F.col("a_right_lateral") + 0.02)).alias("sidewalls_not_outward"),
+        F.every(narrower.between(0.0, 2 * MOST_MEDIAL + 0.05)).alias("mild_narrowing"),
+    )
+    flags = ["no_central_dent", "no_width_expansion", "sidewalls_not_outward", "mild_narrowing", "no_center_strip"]
+    rows = asked.join(along, "case_id").join(found, "case_id", "left").join(coverage.select("case_id", (~F.col("strip")).alias("no_center_strip")), "case_id", "left")
+    rows = rows.withColumn("corrected_sections", F.coalesce("corrected_sections", F.lit(0)))
+    nothing = F.col("applied") <= 0
+    for c in flags:
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(False)) | nothing)
+    frontal = F.col(flags[0])
+    for c in flags[1:]:
+        frontal = frontal & F.col(c)
+    rows = rows.withColumn("frontal_passed", frontal)
+    return rows.select("case_id", (F.col("profile_passed") & F.col("frontal_passed")).alias("passed"), "profile_passed", "frontal_passed", "corrected_sections", *flags)

@@ -56,3 +56,34 @@ def test_report_of_each_section(spark):
         for name, value in w.items():
             assert got[k][name] == pytest.approx(value, abs=1e-7), (k, name)
     assert any(r["dent"] for r in got.values()) and not all(r["dent"] for r in got.values())
+
+
+def test_acceptance_along_and_across(spark):
+    n = 64
+    shape = np.exp(-(((np.arange(n) + 0.5) / n - 0.4) ** 2) / 0.02) * 2.0
+    profile, rows, strips = [], [], []
+    # What each case has beside a good result: (share of the request met, change of its sections, strip, levels, asked for)
+    cases = {
+        "good": (1.0, {}, False, True), "short": (0.5, {}, False, True), "dent": (1.0, {"dent": True}, False, True), "wide": (1.0, {"width": 10.2}, False, True), "narrow": (1.0, {"width": 8.0}, False, True),
+        "outward": (1.0, {"right_lateral": 5.1}, False, True), "strip": (1.0, {}, True, True), "still": (1.0, {"central_height": 20.0}, False, True), "none": (0.0, {"dent": True}, True, False),
+    }
+    for case, (share, change, strip, asks) in cases.items():
+        profile += [(case, i, (i + 0.5) / n, 20.0, 20.0 - float(r) * share * asks, 20.0 - float(r) * asks, float(r) * asks, 2.0 * asks) for i, r in enumerate(shape)]
+        strips.append((case, strip))
+        for level in ("upper_dorsum", "mid_dorsum"):
+            source = {"central_height": 20.0, "width": 10.0, "left_lateral": -5.0, "right_lateral": 5.0, "dent": False}
+            after = source | {"central_height": 18.5, "width": 9.6, "left_lateral": -4.9, "right_lateral": 4.9} | (change if level == "mid_dorsum" or case == "still" else {})
+            rows += [(case, level, surface, *[float(x[c]) for c in ("central_height", "width", "left_lateral", "right_lateral")], x["dent"]) for surface, x in (("source", source), ("simulated", after))]
+    got = {
+        r.case_id: r
+        for r in sections.reduction_acceptance(
+            spark.createDataFrame(profile, "case_id string, position int, normalized double, source double, final double, target double, requested double, applied double"),
+            spark.createDataFrame(rows, "case_id string, level string, surface string, central_height double, width double, left_lateral double, right_lateral double, dent boolean"),
+            spark.createDataFrame(strips, "case_id string, strip boolean"),
+        ).collect()
+    }
+    assert {c for c, r in got.items() if r.passed} == {"good", "none"}
+    assert got["good"].corrected_sections == 2 and not got["short"].profile_passed and got["short"].frontal_passed
+    assert [c for c in got if not got[c].no_central_dent] == ["dent"] or {c for c, r in got.items() if not r.no_central_dent} == {"dent", "still"}
+    assert not got["wide"].no_width_expansion and not got["narrow"].mild_narrowing and not got["outward"].sidewalls_not_outward and not got["strip"].no_center_strip
+    assert got["still"].corrected_sections == 0 and not got["still"].frontal_passed
