@@ -50,7 +50,7 @@ def cross_section(points: DataFrame, levels: DataFrame, case: str, bins: int = 4
     return rows.join(levels.select(case, "half_width_mm"), case).select(case, "bin", ((F.col("bin") + 0.5) * 2 / bins * F.col("half_width_mm") - F.col("half_width_mm")).alias("center"), F.col("level").alias("height"), "covered")
 
 
-def profile_acceptance(profile: DataFrame, case: str, anchor: float = 0.94) -> DataFrame:
+def profile_acceptance(profile: DataFrame, case: str, anchor: float = 0.88) -> DataFrame:
     """Whether a change of a ridge met what was asked: a row a case with its figures and ``passed``.
 
     profile: case, position (0..), normalized (0 to 1 along the region), source, final, target, requested, applied (the reduction asked for

@@ -782,7 +782,7 @@ def section_report(spark, d):
 @query("""WITH p AS (SELECT user_id AS case_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, value / CAST(100 AS DOUBLE) AS v FROM events), q AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM p),
 r AS (SELECT case_id, position, CAST(position AS DOUBLE) / n AS t, v AS source, CAST(case_id % 3 AS DOUBLE) AS applied, CAST(case_id % 3 AS DOUBLE) * 4 * position / n * (1 - CAST(position AS DOUBLE) / n) AS requested FROM q), s AS (SELECT *, source - requested * (CAST(0.7 AS DOUBLE) + case_id % 5 / CAST(10 AS DOUBLE)) AS final, source - requested AS target FROM r),
 b AS (SELECT *, abs(requested - 2 * lag(requested, 1) OVER w + lag(requested, 2) OVER w) AS bend, source - final AS done, abs(final - target) AS off, requested >= greatest(0.05, 0.05 * applied) AS active FROM s WINDOW w AS (PARTITION BY case_id ORDER BY position)),
-g AS (SELECT case_id, max(applied) AS applied, count(*) FILTER (WHERE active) AS active, max({'r': requested, 'f': -position, 'd': done}) AS apex, quantile_cont(done / greatest(requested, 1e-9), 0.1) FILTER (WHERE active) AS p10, max(off) FILTER (WHERE active) AS off, max(bend) AS bend, coalesce(max(abs(done)) FILTER (WHERE t <= 0.03), 0) AS s, coalesce(max(abs(done)) FILTER (WHERE t >= 0.94), 0) AS e FROM b GROUP BY 1),
+g AS (SELECT case_id, max(applied) AS applied, count(*) FILTER (WHERE active) AS active, max({'r': requested, 'f': -position, 'd': done}) AS apex, quantile_cont(done / greatest(requested, 1e-9), 0.1) FILTER (WHERE active) AS p10, max(off) FILTER (WHERE active) AS off, max(bend) AS bend, coalesce(max(abs(done)) FILTER (WHERE t <= 0.03), 0) AS s, coalesce(max(abs(done)) FILTER (WHERE t >= 0.88), 0) AS e FROM b GROUP BY 1),
 k AS (SELECT *, apex.d / greatest(apex.r, 1e-9) AS ratio FROM g)
 SELECT case_id, active, round(ratio, 6) AS apex_achievement, round(p10, 6) AS p10_achievement, round(off, 6) AS maximum_target_error, round(bend, 6) AS maximum_second_difference, round(s, 6) AS maximum_at_start, round(e, 6) AS maximum_at_end,
 applied <= 0 OR coalesce(active > 0 AND ratio BETWEEN 0.85 AND 1.15 AND p10 >= 0.8 AND off <= greatest(0.3, 0.15 * applied) AND bend <= greatest(0.1, 0.08 * applied) AND s <= greatest(0.25, 0.1 * applied) AND e <= greatest(0.25, 0.1 * applied), false) AS passed FROM k""")
