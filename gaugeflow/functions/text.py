@@ -12,8 +12,19 @@ def reduction_label(mm: Column) -> Column:
     return F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
 
 
+def _one_decimal(x: Column, unit: str) -> Column:
+    """``x`` (finite, 1 to 2^53) to one decimal of its exact binary value, as printf and Python do: its fraction is a whole number of 2^-52, so the digit is found in whole numbers."""
+    whole = F.floor(x)
+    tenths = ((x - whole) * 2.0**52).cast("long") * 10
+    digit = F.shiftright(tenths, 52)
+    rest, half = tenths - F.shiftleft(digit, 52), F.lit(1 << 51)
+    total = whole * 10 + digit
+    total = total + ((rest > half) | ((rest == half) & (total % 2 == 1))).cast("long")
+    return F.concat((total / 10).cast("long").cast("string"), F.lit("."), (total % 10).cast("string"), F.lit(unit))
+
+
 def duration_label(seconds: Column) -> Column:
-    """Whole seconds below 90, minutes below 5400 and hours from there on with a decimal: 89s, 1.5m, 2.0h. Halves go to the even digit."""
+    """Whole seconds below 90, minutes below 5400 and hours from there on with a decimal: 89s, 1.5m, 2.0h. The exact value is rounded, not its shortest decimal form; halves go to the even digit."""
     s = seconds.cast("double")
-    short = lambda x, digits, unit: F.format_string(f"%.{digits}f{unit}", F.bround(x, digits))
-    return F.when(s < 90, short(s, 0, "s")).when(s < 5400, short(s / 60, 1, "m")).otherwise(short(s / 3600, 1, "h"))
+    hours = F.when(s < 2.0**50, _one_decimal(s / 3600, "h")).otherwise(F.format_string("%.1fh", s / 3600))
+    return F.when(s < 90, F.format_string("%.0fs", F.bround(s, 0))).when(s < 5400, _one_decimal(s / 60, "m")).otherwise(hours)
