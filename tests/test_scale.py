@@ -4,9 +4,24 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import duration_label
+from gaugeflow.operators import quantiles
 
 
 def test_durations_are_rounded_by_their_exact_value(spark):
     s = [8820.0, 9000.0, 6660.0, 5399.999999999999, 5397.0, 93.0, 99.0, 1e12, 2.0**52] + (np.arange(150, 90_000, 7) * 0.7001).tolist()
     got = [r.d for r in spark.createDataFrame([(i, x) for i, x in enumerate(s)], "i long, s double").withColumn("d", duration_label(F.col("s"))).orderBy("i").collect()]
     assert got == [f"{x:.0f}s" if x < 90 else f"{x / 60:.1f}m" if x < 5400 else f"{x / 3600:.1f}h" for x in s]
+
+
+def test_percentiles_of_large_and_small_groups_broadcast_their_bounds_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", 2000)
+    g = np.random.default_rng(1)
+    values = {"a": g.normal(size=9000), "b": np.repeat([1.0, 2.0, 5.0], 2000), "c": np.array([3.0, 4.0]), None: g.uniform(size=4000)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("d", None)]
+    spark.createDataFrame(rows, "k string, v double").write.parquet(str(tmp_path / "v"))
+    out = quantiles.exact_percentiles(spark.read.parquet(str(tmp_path / "v")), ["k"], {"m": (F.col("v"), 0.5), "h": (F.col("v"), 0.95)})
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.m, r.h) for r in out.collect()}
+    assert got.pop("d") == (None, None) and set(got) == set(values)
+    for k, v in values.items():
+        np.testing.assert_allclose(got[k], np.quantile(v, [0.5, 0.95]), rtol=1e-12)
