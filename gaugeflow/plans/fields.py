@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import captures, deformation, exports, neighbors, orientation, rays, repeatability, smoothing, solve
+from ..operators import captures, deformation, exports, mesh, neighbors, orientation, rays, repeatability, smoothing, solve
 from ..operators.profiles import profile_acceptance
+from ..sources.scratch import written
 from .registry import query, rounded
 from .roles import SQL, cloud, faces, repeated_cases, ridged_case, sheet, sheet_triangles, table, vertices
 
@@ -84,12 +85,17 @@ SELECT f.mesh, count(*) AS faces, count(*) FILTER (WHERE f.k <> 3) AS rendered_f
 FROM f LEFT JOIN e ON f.mesh = e.mesh AND f.fid = e.fid GROUP BY f.mesh""")
 def export_verification(spark, d):
     """The meshes of lineitem, rendered with vertices of each face's own; some faces are off, some turned, some lost."""
-    f = faces(spark, d).withColumn("fid", F.concat_ws("|", "mesh", "v0", "v1", "v2"))
+    f = faces(spark, d)
+    few = table(spark, d, "embeddings").count() <= 1 << 20
+    # Short ids, as corners below 2^20 fit one number; larger ones are spelt out.
+    fid = F.expr("shiftleft(v0, 40) | shiftleft(v1, 20) | v2") if few else F.concat_ws("|", "v0", "v1", "v2")
+    own_vid = (lambda corner: F.col("fid") * 4 + corner) if few else (lambda corner: F.concat_ws("#", "fid", corner))
+    f = written(f.select("mesh", fid.alias("fid"), "v0", "v1", "v2"), "faces")
     marked = f.withColumn("k", (F.col("v0") * 31 + F.col("v1") * 17 + F.col("v2")) % 97)
     own = marked.where("k <> 3").select("mesh", "fid", "k", F.posexplode(F.expr("IF(k = 2, array(v1, v0, v2), array(v0, v1, v2))")).alias("corner", "at"))
-    at = own.join(vertices(spark, d).withColumnRenamed("vid", "at"), ["mesh", "at"]).withColumn("vid", F.concat_ws("#", "fid", "corner"))
-    points = at.selectExpr("mesh", "vid", "x", "y", "IF(k = 1, z + 0.25D, z) AS z")
-    rendered = marked.where("k <> 3").select("mesh", "fid", *[F.concat_ws("#", "fid", F.lit(str(i))).alias(f"v{i}") for i in range(3)])
+    at = mesh.placed(own, vertices(spark, d), {"at": "p"}).withColumn("vid", own_vid(F.col("corner")))
+    points = at.selectExpr("mesh", "vid", "p.x", "p.y", "IF(k = 1, p.z + 0.25D, p.z) AS z")
+    rendered = marked.where("k <> 3").select("mesh", "fid", *[own_vid(F.lit(i)).alias(f"v{i}") for i in range(3)])
     got = exports.export_verification(vertices(spark, d), f, points, rendered)
     return rounded(got.select("mesh", "faces", "rendered_faces", "missing", "maximum_deviation", "swapped", "moved"), "maximum_deviation", digits=9)
 

@@ -6,8 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD_BYTES = 4 << 20  # of a given table for each partition of a shuffle
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    _spread(spark, path)
+    return spark.read.parquet(path)
+
+
+def _spread(spark: SparkSession, path: str) -> None:
+    """Shuffles start with as many partitions as the largest table needs, so what one task has to hold doesn't grow with the input; adaptive execution joins them again where they are small."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = files.getContentSummary(hadoop).getLength() // SPREAD_BYTES if files.exists(hadoop) else 0
+    if wanted > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(name, str(wanted))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

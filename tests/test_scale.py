@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import duration_label
-from gaugeflow.operators import quantiles
+from gaugeflow.operators import mesh, quantiles
+from gaugeflow.plans import roles
 
 
 def test_durations_are_rounded_by_their_exact_value(spark):
@@ -25,3 +26,19 @@ def test_percentiles_of_large_and_small_groups_broadcast_their_bounds_only(spark
     assert got.pop("d") == (None, None) and set(got) == set(values)
     for k, v in values.items():
         np.testing.assert_allclose(got[k], np.quantile(v, [0.5, 0.95]), rtol=1e-12)
+
+
+def test_faces_arent_shuffled_to_meet_few_vertices_and_shuffles_start_with_partitions_for_the_input(spark, tmp_path, monkeypatch):
+    v = spark.range(20_000).selectExpr("'m' AS mesh", "id AS vid", "CAST(id AS DOUBLE) AS x", "0D AS y", "1D AS z")
+    f = spark.createDataFrame([("m", 0, 1, 2, 5), ("m", 1, 1, 2, 99_999)], "mesh string, fid long, v0 long, v1 long, v2 long")
+    got = mesh.with_points(f, v)
+    assert [(r.fid, r.p0.x, r.p2.x) for r in got.collect()] == [(0, 1.0, 5.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    name, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    monkeypatch.setattr(roles, "SPREAD_BYTES", 10)
+    spark.range(1000).write.parquet(str(tmp_path / "t.parquet"))
+    assert roles.table(spark, str(tmp_path), "t").count() == 1000 and int(spark.conf.get(name)) > 100
+    spark.conf.unset(name)
+    spark.conf.set(size, before)
