@@ -11,22 +11,71 @@ from ..functions import vectors as V
 from ..sources.scratch import forget, written
 
 
+POINTS_A_PART = 4096
+FEW_A_CELL = 4  # points on average
+PLACES_A_TASK = 1024
+
+
 def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size).cast("long")
 
 
-def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
+def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = None, keep: tuple[str, ...] = (), places: bool = False) -> DataFrame:
     """(point_id, neighbor_id, distance) of all other points within the radius of each query point (all points by default).
 
-    Cells are as large as the radius, so a neighbour is in one of 27 cells: queries are exploded to those and joined on equal cells.
+    ``keep`` names columns of the queries to carry along, ``places`` adds the neighbour's nx, ny, nz, so pairs need not be joined again.
+    Cells are as large as the radius, so a neighbour is in one of 27 cells: queries are exploded to those and joined on equal cells. Where
+    there are many points, each cell is cut into parts, so no task gets a crowded cell whole; queries meet the parts one by one.
     """
     queries = points if queries is None else queries
+    parts = math.ceil(points.count() / POINTS_A_PART)
     cells = points.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias("n" + c) for c in "xyz"], *[_cell(c, radius).alias("c" + c) for c in "xyz"])
-    around = queries.select("point_id", "x", "y", "z", *[_cell(c, radius).alias("q" + c) for c in "xyz"])
+    around = queries.select("point_id", "x", "y", "z", *keep, *[_cell(c, radius).alias("q" + c) for c in "xyz"])
     for c in "xyz":
         around = around.withColumn("c" + c, F.explode(F.array(F.col("q" + c) - 1, F.col("q" + c), F.col("q" + c) + 1)))
-    met = around.join(cells, ["cx", "cy", "cz"]).where("point_id <> neighbor_id")
-    return met.withColumn("distance", V.distance(V.columns(""), V.columns("n"))).where(F.col("distance") <= radius).select("point_id", "neighbor_id", "distance")
+    on = ["cx", "cy", "cz"]
+    if parts > 1:
+        # Queries are dealt to parts, and each part has all points of its cells.
+        on = [*on, "part"]
+        cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        around = around.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(parts)).cast("int")).repartition(8 * parts, *on)
+    met = around.join(cells, on).where("point_id <> neighbor_id")
+    found = met.withColumn("distance", V.distance(V.columns(""), V.columns("n"))).where(F.col("distance") <= radius)
+    return found.select("point_id", "neighbor_id", "distance", *keep, *(["nx", "ny", "nz"] if places else []))
+
+
+def fine_size(points: DataFrame, reach: float) -> float:
+    """``reach``, halved until cells of that size hold few points on average."""
+    n, size = points.count(), reach
+    for _ in range(20):
+        if points.select(*[_cell(c, size).alias(c) for c in "xyz"]).distinct().count() * FEW_A_CELL >= n:
+            break
+        size /= 2
+    return size
+
+
+def nearest_within(points: DataFrame, queries: DataFrame, reach: float, size: float) -> DataFrame:
+    """(point_id, distance, neighbor_id) of the nearest point within ``reach`` of each query point that has one; ties go to the smaller id.
+
+    Cells are ``size`` large at first (see ``fine_size``); queries whose nearest is farther than that go on with cells
+    twice as large, up to ``reach``, so pairs follow the points, not all that lie within ``reach``.
+    """
+    rest, done, scratch = queries.select("point_id", "x", "y", "z"), None, []
+    while True:
+        near = radius_pairs(points, size, rest).groupBy("point_id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("point_id", "m.*")
+        if size >= reach and done is None:
+            return near
+        near = written(near, "near")
+        done = near if done is None else done.unionByName(near)
+        if size >= reach:
+            break
+        rest = written(rest.join(near.select("point_id"), "point_id", "left_anti"), "rest")
+        scratch.append(rest)
+        if rest.isEmpty():
+            break
+        size = min(reach, size * 2)
+    forget(*scratch)
+    return done
 
 
 def _positions(points: DataFrame, most: int) -> DataFrame:
@@ -69,6 +118,7 @@ def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
     box = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     widest = math.sqrt(sum((x or 0.0) ** 2 for x in box))
     places = written(_positions(points, k + 1), "places")
+    tasks = places.count() // PLACES_A_TASK
     open_places = _refined(places, start_radius, max(128, 16 * k))
     found, scratch = [], [places]
     while True:
@@ -81,6 +131,8 @@ def knn(points: DataFrame, k: int, start_radius: float) -> DataFrame:
         around = open_places.select("x", "y", "z", "level")
         for c in "xyz":
             around = around.withColumn("g" + c, F.explode(F.array(at(c) - 1, at(c), at(c) + 1)))
+        if tasks > 8:  # a task has as many pairs as its places have, however many places there are
+            around = around.repartition(tasks, "level", "gx", "gy", "gz")
         met = around.join(cells, ["level", "gx", "gy", "gz"]).withColumn("distance", V.distance(V.columns(""), V.columns("n")))
         last = F.pow(F.lit(2.0), F.col("level")) * widest <= start_radius
         near = met.where((F.col("distance") <= size) | last).select("x", "y", "z", "level", "distance", F.explode("ids").alias("neighbor_id"))

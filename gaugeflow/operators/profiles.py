@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import written
 from .geometry import LANDMARKS
 from .quantiles import exact_percentiles
 from .series import gaussian_smooth, interpolate_gaps
@@ -102,11 +103,13 @@ def diagnostic_regions(points: DataFrame, wide: DataFrame, case: str) -> DataFra
     return points.join(known, case).select(case, "point_id", named)
 
 
-def plane_residuals(neighbors: DataFrame, planes: DataFrame, by: list[str], least: int = 6) -> DataFrame:
-    """How far neighbours (point_id, n*) are from the plane through all neighbours of their point (planes: point_id, normal, mean, n): by, neighborhoods, residuals, median_absolute, mad (about the signed median), p90, p95, p99. Neighbourhoods of fewer than ``least`` don't count."""
+def plane_residuals(neighbors: DataFrame, planes: DataFrame | None, by: list[str], least: int = 6) -> DataFrame:
+    """How far neighbours (point_id, n*) are from the plane through all neighbours of their point (planes: point_id, normal, mean, n): by, neighborhoods, residuals, median_absolute, mad (about the signed median), p90, p95, p99. Neighbourhoods of fewer than ``least`` don't count. ``planes`` may be None where ``neighbors`` carry normal, mean and n already: pairs are made anew in each pass then, and neither shuffled nor written."""
     offsets = [F.col("normal")[i] * (F.col(f"n{c}") - F.col("mean")[i]) for i, c in enumerate("xyz")]
-    rows = neighbors.join(planes.where(F.col("n") >= least), "point_id").withColumn("r", offsets[0] + offsets[1] + offsets[2])
+    met = neighbors.where(F.col("n") >= least) if planes is None else neighbors.join(planes.where(F.col("n") >= least), "point_id")
+    rows = met.withColumn("r", offsets[0] + offsets[1] + offsets[2]).select("point_id", *by, "r")
     counts = rows.groupBy(*by).agg(F.count_distinct("point_id").alias("neighborhoods"), F.count("r").alias("residuals"))
     high = exact_percentiles(rows, by, {"median_absolute": (F.abs("r"), 0.5), "p90": (F.abs("r"), 0.9), "p95": (F.abs("r"), 0.95), "p99": (F.abs("r"), 0.99), "_m": (F.col("r"), 0.5)})
-    mad = exact_percentiles(rows.join(high.select(*by, "_m"), by), by, {"mad": (F.abs(F.col("r") - F.col("_m")), 0.5)})
+    high = written(high, "residuals")
+    mad = exact_percentiles(rows.join(F.broadcast(high.select(*by, "_m")), by), by, {"mad": (F.abs(F.col("r") - F.col("_m")), 0.5)})
     return counts.join(high.drop("_m"), by).join(mad, by)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .neighbors import radius_pairs, voxel_means
+from .neighbors import fine_size, nearest_within, voxel_means
 from .solve import moment_sums, similarity_from_sums
 
 
@@ -32,11 +32,12 @@ def closest_points(source: DataFrame, target: DataFrame, *, voxel: float, reach:
     spark = source.sparkSession
     source, target = _thinned(source, voxel, "s"), _thinned(target, voxel, "t")
     goal = target.selectExpr("point_id AS neighbor_id", "x AS tx", "y AS ty", "z AS tz")
+    size = fine_size(target, reach)
     r, t, rmse, n, done, converged = np.eye(3), np.zeros(3), None, 0, 0, False
     while done < rounds:
         done += 1
         now = moved(source, r, t)
-        nearest = radius_pairs(target, reach, now).groupBy("point_id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("point_id", "m.*")
+        nearest = nearest_within(target, now, reach, size)
         pairs = written(nearest.join(now.selectExpr("point_id", "x AS sx", "y AS sy", "z AS sz"), "point_id").join(goal, "neighbor_id"), "pairs")
         before, error = rmse, F.sqrt(F.avg(F.col("distance") * F.col("distance")))
         n, rmse = pairs.agg(F.count(F.lit(1)), error).first()

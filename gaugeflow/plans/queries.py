@@ -12,6 +12,7 @@ from ..functions.text import duration_label, reduction_label
 from ..operators import compare, gates, geometry, mesh, neighbors, profiles, registration, reports, robust, scale, sections, solve, state, surfaces
 from ..operators import series as S
 from ..operators.components import connected_components
+from ..sources.scratch import written
 from .registry import query, rounded
 from .roles import SQL, cases, cloud, faces, probes, series, sheet, sheet_triangles, table, triangles_of, vertices
 
@@ -487,8 +488,7 @@ def triangulated_rays(spark, d):
 @query()
 def local_plane(spark, d):
     p = cloud(spark, d)
-    near = neighbors.radius_pairs(p, 0.15).join(p.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias("n" + c) for c in "xyz"]), "neighbor_id")
-    return solve.local_planes(near)
+    return solve.local_planes(neighbors.radius_pairs(p, 0.15, places=True))
 
 
 _TURN = {"r1": "cos(0.02)", "r2": "sin(0.02)", "r3": "0", "r4": "-sin(0.02)", "r5": "cos(0.02)", "r6": "0", "r7": "0", "r8": "0", "r9": "1", "t1": "-0.01 * cos(0.02)", "t2": "0.01 * sin(0.02)", "t3": "0.005"}
@@ -819,5 +819,6 @@ def diagnostic_regions(spark, d):
 @query()
 def plane_residuals(spark, d):
     p = cloud(spark, d)
-    near = neighbors.radius_pairs(p, 0.15).join(p.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias("n" + c) for c in "xyz"]), "neighbor_id").join(p.select("point_id", "case_id"), "point_id")
-    return profiles.plane_residuals(near, solve.local_planes(near), ["case_id"], 4)
+    planes = written(solve.local_planes(neighbors.radius_pairs(p, 0.15, places=True)), "planes")
+    near = neighbors.radius_pairs(p, 0.15, p.join(planes, "point_id"), keep=("case_id", "normal", "mean", "n"), places=True)
+    return profiles.plane_residuals(near, None, ["case_id"], 4)

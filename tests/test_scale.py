@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import duration_label
-from gaugeflow.operators import mesh, quantiles
+from gaugeflow.operators import mesh, neighbors, quantiles
 from gaugeflow.plans import roles
 
 
@@ -42,3 +42,23 @@ def test_faces_arent_shuffled_to_meet_few_vertices_and_shuffles_start_with_parti
     assert roles.table(spark, str(tmp_path), "t").count() == 1000 and int(spark.conf.get(name)) > 100
     spark.conf.unset(name)
     spark.conf.set(size, before)
+
+
+def test_nearest_within_and_parted_pairs_are_those_of_brute_force(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    p = np.concatenate([g.normal(scale=0.02, size=(150, 3)), g.uniform(-1, 1, (5, 3))])
+    q = np.concatenate([g.normal(scale=0.02, size=(60, 3)), g.uniform(-1, 1, (30, 3))])
+    table = lambda a, start: spark.createDataFrame([(start + i, *map(float, x)) for i, x in enumerate(a)], "point_id long, x double, y double, z double")
+    far = np.linalg.norm(q[:, None] - p[None], axis=2)
+    points, queries = table(p, 0), table(q, 1000)
+    size = neighbors.fine_size(points, 0.4)
+    assert size < 0.4
+    got = {r.point_id: (r.neighbor_id, r.distance) for r in neighbors.nearest_within(points, queries, 0.4, size).collect()}
+    assert set(got) == {1000 + i for i in range(len(q)) if far[i].min() <= 0.4}
+    for k, (i, d) in got.items():
+        assert i == far[k - 1000].argmin() and abs(d - far[k - 1000].min()) < 1e-12
+    whole = {(r.point_id, r.neighbor_id) for r in neighbors.radius_pairs(points, 0.1, queries).collect()}
+    monkeypatch.setattr(neighbors, "POINTS_A_PART", 30)
+    rows = neighbors.radius_pairs(points, 0.1, queries.withColumn("own", F.col("z")), keep=("own",), places=True).collect()
+    assert len(rows) == len(whole) and {(r.point_id, r.neighbor_id) for r in rows} == whole == {(1000 + i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far <= 0.1)))}
+    assert all(r.nx == p[r.neighbor_id][0] and r.own == q[r.point_id - 1000][2] for r in rows)
