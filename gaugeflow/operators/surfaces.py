@@ -73,7 +73,8 @@ def closest_on_surface(points: DataFrame, triangles: DataFrame, start: float, on
         for c in "xyz":
             here = here.withColumn(f"g{c}", F.explode(F.sequence(cell(f"l{c}"), cell(f"h{c}"))))
             around = around.withColumn(f"g{c}", F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)))
-        met = with_closest(around.join(here.drop(*[f"{e}{c}" for e in "lh" for c in "xyz"]), [*on, "level", "gx", "gy", "gz"]))
+        # Spark guesses the size of both sides as before their rows were exploded to cells, so it isn't to send either to the driver for a broadcast.
+        met = with_closest(around.join(here.drop(*[f"{e}{c}" for e in "lh" for c in "xyz"]).hint("merge"), [*on, "level", "gx", "gy", "gz"]))
         best = met.groupBy(*keys).agg(F.min(F.struct("distance", "fid", "u", "v", "w", "sx", "sy", "sz")).alias("m"))
         best = best.select(*keys, "m.fid", "m.u", "m.v", "m.w", "m.sx", "m.sy", "m.sz", "m.distance")
         last = size >= widest
