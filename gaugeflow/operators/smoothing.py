@@ -20,7 +20,7 @@ def conjugate_gradients(system: DataFrame, apply: Callable[[DataFrame], DataFram
 
     system: by, key, diagonal (of A, positive) and b0, b1, ..; ``apply`` takes rows (by, key, p0, ..) and returns A p as (by, key, q0, ..). A
     is symmetric and positive definite. A round is one product, written to the shared folder, and one aggregate of dot products with
-    partial results; the vectors stay tables. Each side of each group takes its own steps, and stands still once its residual is
+    partial results; the vectors stay tables, and no round sends them to the driver to be broadcast. Each side of each group takes its own steps, and stands still once its residual is
     ``tolerance`` times the norm of b. The residuals that are returned, relative to that norm, are computed anew from x at the end.
     """
     n = range(sides)
@@ -30,7 +30,7 @@ def conjugate_gradients(system: DataFrame, apply: Callable[[DataFrame], DataFram
     scaled = lambda i, a, b: F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("diagonal"))
     for _ in range(rounds):
         kept = written(state, "cg")
-        now = written(kept.join(apply(kept.select(*by, key, *[f"p{i}" for i in n])), [*by, key]), "cg")
+        now = written(kept.join(apply(kept.select(*by, key, *[f"p{i}" for i in n])).hint("merge"), [*by, key]), "cg")
         forget(kept, *scratch)
         scratch = [now]
         sums = now.groupBy(*by).agg(*[f.alias(f"{name}{i}") for i in n for name, f in (("pq", product(i, "p", "q")), ("rz", scaled(i, "r", "r")), ("sz", scaled(i, "r", "q")), ("tz", scaled(i, "q", "q")), ("rr", product(i, "r", "r")), ("rq", product(i, "r", "q")), ("qq", product(i, "q", "q")), ("bb", product(i, "b", "b")))])
@@ -47,7 +47,7 @@ def conjugate_gradients(system: DataFrame, apply: Callable[[DataFrame], DataFram
             break
     found = written(state.select(*by, key, *[f"b{i}" for i in n], *[f"x{i}" for i in n]), "solved")
     forget(*scratch)
-    rest = found.join(apply(found.select(*by, key, *[F.col(f"x{i}").alias(f"p{i}") for i in n])), [*by, key])
+    rest = found.join(apply(found.select(*by, key, *[F.col(f"x{i}").alias(f"p{i}") for i in n])).hint("merge"), [*by, key])
     norms = rest.groupBy(*by).agg(*[F.coalesce(F.try_divide(F.sqrt(F.sum((F.col(f"b{i}") - F.col(f"q{i}")) ** 2)), F.sqrt(F.sum(F.col(f"b{i}") ** 2))), F.lit(0.0)).alias(f"residual{i}") for i in n])
     out = written(found.join(norms, by).select(*by, key, *[f"x{i}" for i in n], *[f"residual{i}" for i in n]), "solved")
     forget(found)
@@ -90,12 +90,12 @@ def smooth_offsets(faces: DataFrame, nodes: DataFrame, *, tolerance: float = 1e-
 
     def times(p: DataFrame) -> DataFrame:
         """The Laplacian times (mesh, vid, p0, p1)."""
-        met = entries.join(p.withColumnRenamed("vid", "v"), ["mesh", "v"]).select("mesh", F.col("u").alias("vid"), *[(F.col("w") * F.col(f"p{i}")).alias(f"p{i}") for i in (0, 1)])
+        met = entries.join(p.withColumnRenamed("vid", "v").hint("merge"), ["mesh", "v"]).select("mesh", F.col("u").alias("vid"), *[(F.col("w") * F.col(f"p{i}")).alias(f"p{i}") for i in (0, 1)])
         return p.unionByName(met).groupBy("mesh", "vid").agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1"))
 
     def apply(p: DataFrame) -> DataFrame:
         twice = times(times(p)).withColumnsRenamed({"p0": "t0", "p1": "t1"})
-        return p.join(twice, ["mesh", "vid"]).join(held.select("mesh", "vid", "weight"), ["mesh", "vid"]).select("mesh", "vid", *[(F.col(f"t{i}") + (F.col("weight") + REGULAR) * F.col(f"p{i}")).alias(f"q{i}") for i in (0, 1)])
+        return p.join(twice.hint("merge"), ["mesh", "vid"]).join(held.select("mesh", "vid", "weight").hint("merge"), ["mesh", "vid"]).select("mesh", "vid", *[(F.col(f"t{i}") + (F.col("weight") + REGULAR) * F.col(f"p{i}")).alias(f"q{i}") for i in (0, 1)])
 
     solved = conjugate_gradients(held, apply, ["mesh"], "vid", 2, tolerance=tolerance)
     both = solved.join(nodes, ["mesh", "vid"])

@@ -25,3 +25,12 @@ def test_points_of_cells_meet_triangles_by_a_shuffle(spark, plans):
     got = {r.point_id: r.distance for r in surfaces.closest_on_surface(points, triangles, 1.0).collect()}
     assert got[1] == 0.5 and abs(got[2] - 40.5**0.5) < 1e-12
     assert len(plans["closest"]) > 1 and not any("Broadcast" in p for p in plans["closest"])
+
+
+def test_no_round_of_a_solution_is_broadcast(spark, plans):
+    role = lambda i: "boundary" if i % 6 in (0, 5) or i < 6 or i >= 30 else "free" if i % 2 else "constraint"
+    nodes = spark.createDataFrame([("m", i, role(i), 0.1, 0.0, 0.5, 0.2) for i in range(36)], "mesh string, vid long, role string, target0 double, target1 double, limit0 double, limit1 double")
+    faces = spark.createDataFrame([("m", 2 * i + h, *((i, i + 1, i + 6), (i + 1, i + 7, i + 6))[h]) for i in range(30) if i % 6 < 5 for h in (0, 1)], "mesh string, fid long, v0 long, v1 long, v2 long")
+    assert smoothing.smooth_offsets(faces, nodes).count() == 36
+    products = plans["cg"][1::2]  # each round writes the state, then the product
+    assert products and not any("Broadcast" in p for p in products)
