@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 1024  # rows of a group that meet those of another block in one go
+MOST_TASKS = 4096
+
 
 def outer_compare(truth: DataFrame, predicted: DataFrame, keys: list[str], true_value: str, value: str) -> DataFrame:
     """Full outer join on keys, null keys alike; error and absolute_error are null where a side is. Repeated keys multiply."""
@@ -30,10 +35,23 @@ def repeatability(rows: DataFrame, by: list[str], value: str, per_unit: int) ->
 
 
 def pairs_within(rows: DataFrame, by: list[str], row_id: str, value: str) -> DataFrame:
-    """Every pair of a group's rows (smaller id first) with the difference of their values. For groups of a bounded number of cases, whose pairs are the result."""
+    """Every pair of a group's rows (smaller id first) with the difference of their values. The pairs are the result, so they grow with the square of a group.
+
+    Groups are cut into blocks of about ``BLOCK`` rows; each pair of a group's blocks is joined by itself, and there are tasks for the number of pairs, so what one task makes doesn't grow.
+    """
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    tasks = math.ceil((sizes.agg(F.sum(F.col("_n").cast("double") ** 2)).first()[0] or 0) / BLOCK**2)
     a = rows.select(*by, F.col(row_id).alias("a"), F.col(value).alias("_va"))
     b = rows.select(*by, F.col(row_id).alias("b"), F.col(value).alias("_vb"))
-    return a.join(b, by).where("a < b").select(*by, "a", "b", F.abs(F.col("_va") - F.col("_vb")).alias("difference"))
+    on = [*by]
+    if tasks > 1:
+        on = [*by, "_i", "_j"]
+        blocks = sizes.select(*by, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_n"))
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("_n")).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+        a = a.join(blocks, by).withColumns({"_i": block("a"), "_j": each}).repartition(min(tasks, MOST_TASKS), *on)
+        b = b.join(blocks, by).withColumns({"_i": each, "_j": block("b")}).drop("_n").hint("merge")
+    return a.join(b, on).where("a < b").select(*by, "a", "b", F.abs(F.col("_va") - F.col("_vb")).alias("difference"))
 
 
 def missing_keys(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """What grows with a mesh or a cloud isn't sent to the driver to be broadcast."""
 
 import pytest
-from gaugeflow.operators import smoothing, surfaces
+from gaugeflow.operators import compare, smoothing, surfaces
 from gaugeflow.sources.scratch import written
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -34,3 +35,13 @@ def test_no_round_of_a_solution_is_broadcast(spark, plans):
     assert smoothing.smooth_offsets(faces, nodes).count() == 36
     products = plans["cg"][1::2]  # each round writes the state, then the product
     assert products and not any("Broadcast" in p for p in products)
+
+
+def test_pairs_of_a_large_group_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK", 16)
+    ids = [("g", i, float(i % 7)) for i in range(100)] + [("h", i, 1.0) for i in range(3)] + [(None, i, 1.0) for i in range(2)]
+    pairs = compare.pairs_within(written(spark.createDataFrame(ids, "k string, id long, v double"), "rows"), ["k"], "id", "v")
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == sorted((g, i, j, abs(v - w)) for g, i, v in ids for h, j, w in ids if g and g == h and i < j)
+    made = pairs.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(made) > 8 and max(r["count"] for r in made) < 1200  # of 4,953
