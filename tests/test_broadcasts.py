@@ -1,7 +1,7 @@
 """What grows with a mesh or a cloud isn't sent to the driver to be broadcast."""
 
 import pytest
-from gaugeflow.operators import compare, smoothing, surfaces
+from gaugeflow.operators import compare, scale, smoothing, surfaces
 from gaugeflow.sources.scratch import written
 from pyspark.sql import functions as F
 
@@ -45,3 +45,13 @@ def test_pairs_of_a_large_group_are_spread(spark, monkeypatch):
     assert got == sorted((g, i, j, abs(v - w)) for g, i, v in ids for h, j, w in ids if g and g == h and i < j)
     made = pairs.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert len(made) > 8 and max(r["count"] for r in made) < 1200  # of 4,953
+
+
+def test_pixels_are_not_broadcast(spark):
+    frames = written(spark.createDataFrame([(1,), (2,)], "frame_id long"), "frames")
+    pixels = frames.selectExpr("frame_id", "explode(sequence(0L, 3L)) AS p").selectExpr("frame_id", "p DIV 2 AS px", "p % 2 AS py", "1D AS depth", "2L AS confidence")
+    seen = spark.createDataFrame([("i", 5, 2.0, 0.0, 1.0, None), ("j", 6, 4.0, 1.0, 1.0, 200), ("j", 7, 4.0, 1.0, 1.0, 9)], "image string, point_id long, z double, u double, v double, mask int")
+    index = spark.createDataFrame([("i", 1), ("j", 2)], "image string, frame_id long")
+    got = scale.depth_ratios(seen, index, pixels, 2.0, 2.0, 2, 2)
+    assert sorted(map(tuple, got.collect())) == [("i", 5, 0.5), ("j", 6, 0.25)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
