@@ -23,7 +23,8 @@ def mad_filtered(rows: DataFrame, group: str, value: str, least: int = 15, sprea
     are large enough for the result to count.
     """
     big = rows.groupBy(group).agg(F.count(value).alias("_c")).where(F.col("_c") >= least).select(F.col(group).alias("_g"))
-    own = written(rows.join(big, F.col(group) == F.col("_g")).select(group, F.col(value).alias("_v")), "ratios")
+    # Groups grow with the rows, so they aren't broadcast; a broadcast found late would have each task read all that another task shuffled.
+    own = written(rows.join(big.hint("shuffle_hash"), F.col(group) == F.col("_g")).select(group, F.col(value).alias("_v")), "ratios")
     center = exact_percentiles(own, [], {"_m": (F.col("_v"), 0.5)}).first()
     middle = F.lit(center["_m"] if center else None).cast("double")
     off = F.abs(F.col("_v") - middle)

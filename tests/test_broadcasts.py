@@ -1,7 +1,7 @@
 """What grows with a mesh or a cloud isn't sent to the driver to be broadcast."""
 
 import pytest
-from gaugeflow.operators import compare, scale, smoothing, surfaces
+from gaugeflow.operators import compare, quantiles, robust, scale, smoothing, surfaces
 from gaugeflow.sources.scratch import written
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ def plans(monkeypatch):
         seen.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
         return written(df, name)
 
-    for module in (surfaces, smoothing):
+    for module in (surfaces, smoothing, robust):
         monkeypatch.setattr(module, "written", noted)
     return seen
 
@@ -55,3 +55,24 @@ def test_pixels_are_not_broadcast(spark):
     got = scale.depth_ratios(seen, index, pixels, 2.0, 2.0, 2, 2)
     assert sorted(map(tuple, got.collect())) == [("i", 5, 0.5), ("j", 6, 0.25)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_of_filtered_groups_meet_their_counts_by_a_shuffle(spark, plans):
+    rows = [(g, float(v)) for g in range(15) for v in [10, 11, 12, 13, 90][: 5 if g else 3]] + [(None, 10.0)] * 9
+    found = robust.mad_filtered(written(spark.createDataFrame(rows, "g long, v double"), "rows"), "g", "v", least=5)
+    assert tuple(found.first()) == (14, 70, 56, 11.5, pytest.approx(100 / 11.5), False)
+    assert plans["ratios"] and not any("Broadcast" in p for p in plans["ratios"])
+
+
+def test_values_are_not_shuffled_to_the_bounds_of_their_percentile(spark, tmp_path):
+    spark.range(30_000).selectExpr("id % 29989 * 1D AS v").write.parquet(str(tmp_path / "v"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where a table is too large for Spark to see that its bounds are one row
+    try:
+        out = quantiles.exact_percentiles(spark.read.parquet(str(tmp_path / "v")), [], {"m": (F.col("v"), 0.5)})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        values = sorted(i % 29989 for i in range(30_000))
+        assert out.first()["m"] == (values[14999] + values[15000]) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
