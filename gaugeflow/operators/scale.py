@@ -31,8 +31,8 @@ def depth_ratios(observations: DataFrame, index: DataFrame, depth: DataFrame, wi
     pixel = lambda c, size, n: F.least(F.greatest(F.floor(F.col(c) / size * n), F.lit(0)), F.lit(n - 1)).cast("long")
     placed = inside.select("image", "point_id", "z", pixel("u", width, columns).alias("px"), pixel("v", height, rows).alias("py"))
     good = depth.where((F.col("confidence") >= confidence) & F.col("depth").between(near, far)).select("frame_id", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "depth")
-    # Pixels are by far the most rows, however small the table they were made of, so they aren't broadcast.
-    return placed.join(index.select("image", "frame_id"), "image").join(good.hint("merge"), ["frame_id", "px", "py"]).select("image", "point_id", (F.col("depth") / F.col("z")).alias("ratio"))
+    # Pixels are by far the most rows, however small the table they were made of, so they aren't broadcast; nor is the index, which grows with the images.
+    return placed.join(index.select("image", "frame_id").hint("merge"), "image").join(good.hint("merge"), ["frame_id", "px", "py"]).select("image", "point_id", (F.col("depth") / F.col("z")).alias("ratio"))
 
 
 def combined_scale(pose: DataFrame, depth: DataFrame, by: str, most: float = 2.0) -> DataFrame:
