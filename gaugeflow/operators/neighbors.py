@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.scratch import forget, written
+from . import tiles
 
 
 POINTS_A_PART = 4096
 FEW_A_CELL = 4  # points on average
 PLACES_A_TASK = 1024
+POINTS_A_TILE = 8192
 
 
 def _cell(c: str, size: float) -> Column:
@@ -44,6 +48,43 @@ def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = N
     return found.select("point_id", "neighbor_id", "distance", *keep, *(["nx", "ny", "nz"] if places else []))
 
 
+def whole(points: DataFrame) -> DataFrame:
+    """``points`` without those that have no id or a place that isn't finite; none of them is near any other."""
+    for c in "xyz":
+        points = points.where(V.is_finite(F.col(c)))
+    return points.where("point_id IS NOT NULL")
+
+
+def radius_sums(points: DataFrame, radius: float) -> DataFrame:
+    """Over all other points (of unequal id) within the radius of each point: point_id, their number n, sums nx, ny, nz, and sums of products nx_nx, nx_ny, ... Points without any are left out. Ids are whole numbers.
+
+    The pairs are those of ``radius_pairs``, but they are made and summed block by block within a task (see ``tiles.deal``).
+    """
+    points = whole(points).select(F.col("point_id").cast("long").alias("point_id"), "x", "y", "z")
+    limit, products = tiles.square_limit(radius), [(i, j) for i in range(3) for j in range(i, 3)]
+    names = ["point_id", "n", "nx", "ny", "nz", *[f"n{'xyz'[i]}_n{'xyz'[j]}" for i, j in products]]
+
+    def sums(batches):
+        for mine, others in tiles.tiles(batches):
+            ids, *q = tiles.numbers(mine, "point_id", "x", "y", "z")
+            out = np.zeros((len(ids), 10))
+            for rows, p, inside in tiles.near_blocks(q, ids, np.arange(0, len(ids), 64), others, limit):
+                values = np.stack([np.ones(len(p[0])), *p, *[p[i] * p[j] for i, j in products]], axis=1)
+                out[rows] += values.sum(axis=0) if inside is None else inside.astype(float) @ values
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out[:, 0].astype(np.int64)), *[pa.array(v) for v in out[:, 1:].T]], names=names)
+
+    rows = dealt_within(points, points, radius)
+    parts = rows.mapInArrow(sums, "point_id long, n long, " + ", ".join(f"{n} double" for n in names[2:]))
+    return parts.groupBy("point_id").agg(*[F.sum(n).alias(n) for n in names[1:]]).where("n > 0")
+
+
+def dealt_within(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Rows for tasks that look at all points within the radius of each query point: see ``tiles.deal``."""
+    most = min(POINTS_A_TILE, max(256, points.count() // 64))
+    place = V.columns("")
+    return tiles.deal(queries, points.select("point_id", "x", "y", "z"), place, place, radius, most)
+
+
 def fine_size(points: DataFrame, reach: float) -> float:
     """``reach``, halved until cells of that size hold few points on average."""
     n, size = points.count(), reach

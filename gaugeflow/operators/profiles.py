@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.scratch import written
+from ..sources.scratch import forget, written
+from . import tiles
 from .geometry import LANDMARKS
+from .neighbors import dealt_within, radius_sums, whole
 from .quantiles import exact_percentiles
 from .series import gaussian_smooth, interpolate_gaps
+from .solve import planes_of_sums
+
+BINS = 1 << 14  # of residuals on either side of a plane
+#: What ``plane_residuals`` tells: what is put in order and which share of it lies below.
+RESIDUALS = {"median_absolute": ("abs", 0.5), "p90": ("abs", 0.9), "p95": ("abs", 0.95), "p99": ("abs", 0.99), "_m": ("signed", 0.5), "mad": ("mad", 0.5)}
 
 
 def _binned(points: DataFrame, case: str, bins: int, least: int, enough: int, sigma: float) -> DataFrame:
@@ -113,3 +125,141 @@ def plane_residuals(neighbors: DataFrame, planes: DataFrame | None, by: list[str
     high = written(high, "residuals")
     mad = exact_percentiles(rows.join(F.broadcast(high.select(*by, "_m")), by), by, {"mad": (F.abs(F.col("r") - F.col("_m")), 0.5)})
     return counts.join(high.drop("_m"), by).join(mad, by)
+
+
+def _bounds(bins: np.ndarray, counts: np.ndarray, scale: float) -> list[tuple]:
+    """For each of ``RESIDUALS`` of a group, from the numbers of residuals in its bins: name, ranks that it lies between and part of the way, residuals surely below, bins (from, to) that may hold it."""
+    total, out, middle = int(counts.sum()), [], (0.0, 0.0)
+    low, high = (bins - 1e-6) / scale, (bins + 1 + 1e-6) / scale  # a bin and a little more, as bins are rounded
+    low[bins <= -BINS], high[bins >= BINS - 1] = -np.inf, np.inf
+    for name, (kind, share) in RESIDUALS.items():
+        if kind == "signed":
+            least, most = low, high
+        else:  # distances from the middle, which lies within a bin
+            center = middle if kind == "mad" else (0.0, 0.0)
+            least = np.maximum(0, np.maximum(low - center[1], center[0] - high))
+            most = np.maximum(high - center[0], center[1] - low)
+        at = share * (total - 1)
+        ranks = int(np.floor(at)), int(np.ceil(at))
+        ordered = lambda v, rank: v[o := np.argsort(v, kind="stable")][np.searchsorted(np.cumsum(counts[o]), rank, side="right")]
+        a, b = ordered(least, ranks[0]), ordered(most, ranks[1])
+        if kind == "signed":
+            middle = a, b
+        kept = np.sort(bins[(most >= a) & (least <= b)])
+        cuts = np.flatnonzero(np.diff(kept) > 1) + 1
+        spans = [{"a": int(s[0]), "b": int(s[-1])} for s in np.split(kept, cuts)]
+        out.append((name, ranks[0], ranks[1], at - ranks[0], int(counts[most < a].sum()), spans))
+    return out
+
+
+def plane_residuals_within(points: DataFrame, radius: float, by: list[str], least: int = 6) -> DataFrame:
+    """``plane_residuals`` of all neighbours within the radius of each point (point_id, ``by``, x, y, z), of all pairs, which are neither shuffled nor written.
+
+    Pairs are made three times, block by block within a task (see ``tiles.deal``): for the planes, to count residuals by fine bins, and to
+    keep those of the few bins that can hold a percentile; only these are put in order. So time grows with the pairs, memory and disk don't.
+    """
+    points = whole(points)
+    planes = planes_of_sums(radius_sums(points, radius)).where(F.col("n") >= least)
+    groups = written((points.select(*by).where(" AND ".join(f"{c} IS NOT NULL" for c in by)).distinct() if by else points.sparkSession.range(1).select()).withColumn("g", F.monotonically_increasing_id()), "groups")
+    fit = [F.col(n)[i].alias(f"{n[0]}{c}") for n in ("normal", "mean") for i, c in enumerate("xyz")]
+    queries = points.join(groups, by) if by else points.crossJoin(groups)
+    queries = written(queries.join(planes, "point_id").select(F.col("point_id").cast("long").alias("point_id"), "g", "x", "y", "z", *fit), "planes")
+    limit, scale = tiles.square_limit(radius), BINS / (2 * radius)  # a neighbour and the mean lie within the radius of a point
+
+    def residuals(batches, extra: tuple[str, ...] = ()):
+        """(group, row of its first query in this tile, the tile's queries, residuals of a block of its pairs)"""
+        for mine, others in tiles.tiles(batches):
+            ids, g, *q = tiles.numbers(mine, "point_id", "g", "x", "y", "z", "nx", "ny", "nz", "mx", "my", "mz")
+            order = np.argsort(g, kind="stable")
+            mine, ids, g, q = mine.take(pa.array(order)), ids[order], g[order], [v[order] for v in q]
+            firsts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+            starts = np.concatenate([np.arange(a, b, 64) for a, b in zip(firsts[:-1], firsts[1:])])
+            for rows, p, inside in tiles.near_blocks(q[:3], ids, starts, others, limit):
+                r = 0.0
+                for x, normal, mean in zip(p, q[3:6], q[6:9]):
+                    d = x - mean[rows, None]
+                    d *= normal[rows, None]
+                    r = r + d
+                yield int(g[rows.start]), mine, rows.start, r.ravel() if inside is None else r[inside]
+
+    def bin_of(r: np.ndarray) -> np.ndarray:
+        return np.clip(r * scale + BINS, 0, 2 * BINS - 1).astype(np.int32)
+
+    def count(batches):
+        held, counts = {}, {}
+
+        def tell(groups):
+            for k in groups:
+                flush(k)
+                at = np.flatnonzero(counts[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at - BINS), pa.array(counts.pop(k)[at])], names=["g", "bin", "n"])
+
+        def flush(k):
+            values = held.pop(k, [])
+            if values:
+                counts[k] = counts.get(k, 0) + np.bincount(bin_of(np.concatenate(values)), minlength=2 * BINS)
+
+        sizes = {}
+        for k, _, _, r in residuals(batches):
+            held.setdefault(k, []).append(r)
+            sizes[k] = sizes.get(k, 0) + len(r)
+            if sizes.pop(k) if sizes[k] > 1 << 18 else 0:
+                flush(k)
+            if len(held.keys() | counts.keys()) > 64:
+                for j in list(held):
+                    flush(j)
+                yield from tell(list(counts))
+                sizes = {}
+        for j in list(held):
+            flush(j)
+        yield from tell(list(counts))
+
+    def keep(batches):
+        tables, held, size = {}, [], 0
+        for k, mine, row, r in residuals(batches):
+            if k not in tables:
+                if len(tables) > 1024:
+                    tables.clear()
+                table = tables[k] = np.zeros(2 * BINS, bool)
+                for s in mine.field("spans")[row].as_py():
+                    table[s["a"] + BINS : s["b"] + BINS + 1] = True
+            at = bin_of(r)
+            chosen = np.flatnonzero(tables[k][at])
+            if len(chosen):
+                held.append((np.full(len(chosen), k), at[chosen].astype(np.int64) - BINS, r[chosen]))
+                size += len(chosen)
+            if size > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*held)], names=["g", "bin", "r"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*held)], names=["g", "bin", "r"])
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _bounds(pdf["bin"].to_numpy(), pdf["n"].to_numpy(), scale)
+        return pd.DataFrame([(pdf["g"].iloc[0], *r) for r in rows], columns=["g", "name", "lo", "hi", "part", "below", "spans"])
+
+    counted = written(dealt_within(queries, points, radius).mapInArrow(count, "g long, bin long, n long").groupBy("g", "bin").agg(F.sum("n").alias("n")), "bins")
+    # No more than 2 * BINS rows a group.
+    wanted = written(counted.groupBy("g").applyInPandas(bound, "g long, name string, lo long, hi long, part double, below long, spans array<struct<a: long, b: long>>"), "bounds")
+    spans = wanted.groupBy("g").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a few a group
+    kept = written(dealt_within(queries.join(spans, "g"), points, radius).mapInArrow(keep, "g long, bin long, r double"), "residuals")
+
+    def found(names: list[str], rows: DataFrame, value: Column) -> DataFrame:
+        """g, and the values of ``names``, from the residuals kept for them."""
+        own = rows.join(wanted.where(F.col("name").isin(names)), "g").where(F.exists("spans", lambda s: F.col("bin").between(s["a"], s["b"])))
+        equal = own.select("g", "name", "lo", "hi", "part", "below", value.alias("v")).groupBy("g", "name", "lo", "hi", "part", "below", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = equal.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("g", "name").orderBy("v")))
+        at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("v")))
+        ends = upto.groupBy("g", "name").agg(at("lo").alias("a"), at("hi").alias("b"), F.first("part").alias("part"))
+        each = lambda n: F.max(F.when(F.col("name") == n, F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))).alias(n)
+        return ends.groupBy("g").agg(*[each(n) for n in names])
+
+    value = F.when(F.col("name") == "_m", F.col("r")).otherwise(F.abs("r"))
+    high = written(found([n for n in RESIDUALS if n != "mad"], kept, value), "percentiles")
+    mad = found(["mad"], kept.join(high.select("g", "_m"), "g"), F.abs(F.col("r") - F.col("_m")))
+    residual_counts = counted.groupBy("g").agg(F.sum("n").alias("residuals"))
+    neighborhoods = queries.groupBy("g").agg(F.count_distinct("point_id").alias("neighborhoods"))
+    out = reduce(lambda a, b: a.join(b, "g"), [neighborhoods, residual_counts, high.drop("_m"), mad])
+    out = written(out.join(groups, "g").select(*by, "neighborhoods", "residuals", "median_absolute", "p90", "p95", "p99", "mad"), "residuals")
+    forget(groups, queries, counted, wanted, kept, high)
+    return out

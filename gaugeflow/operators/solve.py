@@ -159,7 +159,13 @@ def local_planes(neighbors: DataFrame) -> DataFrame:
     Covariance sums are an aggregate; Python gets a row a point.
     """
     c = [f"n{a}" for a in "xyz"]
-    sums = neighbors.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in c], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(c) for b in c[i:]]).where("n >= 3")
+    return planes_of_sums(neighbors.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in c], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(c) for b in c[i:]]))
+
+
+def planes_of_sums(sums: DataFrame) -> DataFrame:
+    """``local_planes`` of each point's neighbours from their number n, sums nx, ny, nz and sums of products nx_nx, nx_ny, ..."""
+    c = [f"n{a}" for a in "xyz"]
+    sums = sums.where("n >= 3")
 
     def solve(batches):
         for b in batches:
@@ -172,5 +178,5 @@ def local_planes(neighbors: DataFrame) -> DataFrame:
             w, v = np.linalg.eigh(cov)
             yield pd.DataFrame({"point_id": b["point_id"], "normal": v[:, :, 0].tolist(), "mean": m.tolist(), "rms": np.sqrt(np.maximum(w[:, 0], 0)), "n": b["n"]})
 
-    share_package(neighbors.sparkSession)
+    share_package(sums.sparkSession)
     return sums.mapInPandas(solve, "point_id long, normal array<double>, mean array<double>, rms double, n long")

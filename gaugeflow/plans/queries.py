@@ -818,7 +818,4 @@ def diagnostic_regions(spark, d):
 
 @query()
 def plane_residuals(spark, d):
-    p = cloud(spark, d)
-    planes = written(solve.local_planes(neighbors.radius_pairs(p, 0.15, places=True)), "planes")
-    near = neighbors.radius_pairs(p, 0.15, p.join(planes, "point_id"), keep=("case_id", "normal", "mean", "n"), places=True)
-    return profiles.plane_residuals(near, None, ["case_id"], 4)
+    return profiles.plane_residuals_within(cloud(spark, d), 0.15, ["case_id"], 4)
