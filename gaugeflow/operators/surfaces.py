@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.scratch import forget, written
+from . import tiles
 from .quantiles import exact_percentiles
 
+POINTS_A_TILE = 2048
+
 
 def with_closest(rows: DataFrame) -> DataFrame:
     """``rows`` with points x, y, z and triangles a*, b*, c* get the triangle's closest point: u, v, w (its weights of the corners, which sum to 1), sx, sy, sz and distance."""
@@ -43,46 +47,59 @@ def with_closest(rows: DataFrame) -> DataFrame:
     return rows.drop("_at", "_va", "_vb", "_vc", *names)
 
 
+def triangle_distances(p: list[np.ndarray], corners: list[list[np.ndarray]]) -> np.ndarray:
+    """Distances of points from triangles, pair by pair: what ``with_closest`` gives, in the same steps, to tell which pairs matter."""
+    a, b, c = corners
+    minus = lambda s, t: [x - y for x, y in zip(s, t)]
+    dot = lambda s, t: s[0] * t[0] + s[1] * t[1] + s[2] * t[2]
+    ab, ac = minus(b, a), minus(c, a)
+    d1, d2, d3, d4, d5, d6 = (dot(side, minus(p, corner)) for side, corner in ((ab, a), (ac, a), (ab, b), (ac, b), (ab, c), (ac, c)))
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    share = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y != 0)
+    zero, one, along_bc, whole = np.zeros_like(d1), np.ones_like(d1), share(d4 - d3, (d4 - d3) + (d5 - d6)), va + vb + vc
+    cases = [
+        ((d1 <= 0) & (d2 <= 0), zero, zero), ((d3 >= 0) & (d4 <= d3), one, zero), ((vc <= 0) & (d1 >= 0) & (d3 <= 0), share(d1, d1 - d3), zero),
+        ((d6 >= 0) & (d5 <= d6), zero, one), ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, share(d2, d2 - d6)), ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), one - along_bc, along_bc),
+    ]
+    v, w = (np.select([case[0] for case in cases], [case[k] for case in cases], share(x, whole)) for k, x in ((1, vb), (2, vc)))
+    u = one - v - w
+    d = minus(p, [u * x + v * y + w * z for x, y, z in zip(a, b, c)])
+    return np.sqrt(dot(d, d))
+
+
 def closest_on_surface(points: DataFrame, triangles: DataFrame, start: float, on: tuple[str, ...] = ()) -> DataFrame:
     """For each point (point_id, x, y, z) the nearest triangle (fid, a*, b*, c*): ``on``, point_id, fid, u, v, w, sx, sy, sz, distance; ties go to the smaller fid.
 
     ``on`` names columns that points and triangles share: each point looks at triangles with equal ones only, so many surfaces are
     searched at once. Points and triangles whose values aren't finite are left out.
 
-    A triangle lies in the few cells that its box meets of a grid whose cells are as large as it is, ``start`` at least; a point
-    looks into the 27 cells around it of each such grid, so it meets every triangle within ``start``. Points whose best is farther go
-    on with cells twice as large; it ends when none is left or the cells are as large as everything. Each round is written.
+    Points are dealt to tiles with the triangles whose boxes lie within ``start`` (see ``tiles.deal``), and a task looks at those only that may
+    be nearer than what a point has already, so pairs of points and triangles are neither shuffled nor sorted. Points whose best is farther go
+    on with twice the reach; it ends when none is left or it is as large as everything. Each round is written.
     """
     finite = lambda names: reduce(Column.__and__, (V.is_finite(F.col(n)) for n in names))
-    corners = {f"l{c}": F.least(*[F.col(f"{t}{c}") for t in "abc"]) for c in "xyz"} | {f"h{c}": F.greatest(*[F.col(f"{t}{c}") for t in "abc"]) for c in "xyz"}
     at = [f"{t}{c}" for t in "abc" for c in "xyz"]
-    boxed = triangles.where(finite(at)).select(*on, "fid", *at).withColumns(corners)
-    boxed = written(boxed.withColumn("extent", F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in "xyz"])), "triangles")
-    rest = points.where(finite("xyz")).select(*on, "point_id", "x", "y", "z")
+    low, high = (tuple(f(*[F.col(f"{t}{c}") for t in "abc"]) for c in "xyz") for f in (F.least, F.greatest))
+    surface = written(triangles.where(finite(at)).select(*on, "fid", *at), "triangles")
+    rest = written(points.where(finite("xyz")).select(*on, "point_id", "x", "y", "z"), "open")
     span = rest.agg(*[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
-    box = boxed.agg(*[F.min(f"l{c}") for c in "xyz"], *[F.max(f"h{c}") for c in "xyz"]).first()
+    box = surface.agg(*[F.min(c) for c in low], *[F.max(c) for c in high]).first()
     none = span[0] is None or box[0] is None
     widest = 0.0 if none else math.sqrt(sum((max(span[i + 3], box[i + 3]) - min(span[i], box[i])) ** 2 for i in range(3)))
-    keys, done, scratch, size = [*on, "point_id"], None, [boxed], start
+    keys, done, scratch, size = [*on, "point_id"], None, [surface, rest], start
     while True:
-        level = F.greatest(F.ceil(F.log2(F.col("extent") / size)), F.lit(0)).cast("int")
-        here = boxed.withColumn("level", F.when(F.col("extent") > 0, level).otherwise(0)).drop("extent")
-        levels = sorted(r.level for r in here.select("level").distinct().collect())  # sizes by powers of two
-        cell = lambda c: F.floor(F.col(c) / (size * F.pow(F.lit(2.0), F.col("level")))).cast("long")  # noqa: B023, E731
-        around = rest.withColumn("level", F.explode(F.lit(levels or [0])))
-        for c in "xyz":
-            here = here.withColumn(f"g{c}", F.explode(F.sequence(cell(f"l{c}"), cell(f"h{c}"))))
-            around = around.withColumn(f"g{c}", F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)))
-        # Spark guesses the size of both sides as before their rows were exploded to cells, so it isn't to send either to the driver for a broadcast.
-        met = with_closest(around.join(here.drop(*[f"{e}{c}" for e in "lh" for c in "xyz"]).hint("merge"), [*on, "level", "gx", "gy", "gz"]))
+        last = size >= widest
+        dealt = tiles.deal(rest, surface, low, high, size, POINTS_A_TILE, on)
+        near = tiles.closest_candidates(dealt, [tuple(f"{t}{c}" for c in "xyz") for t in "abc"], triangle_distances, math.inf if last else size)
+        met = with_closest(near.select(*[f"q.{c}" for c in (*keys, "x", "y", "z")], *[f"o.{c}" for c in ("fid", *at)]))
         best = met.groupBy(*keys).agg(F.min(F.struct("distance", "fid", "u", "v", "w", "sx", "sy", "sz")).alias("m"))
         best = best.select(*keys, "m.fid", "m.u", "m.v", "m.w", "m.sx", "m.sy", "m.sz", "m.distance")
-        last = size >= widest
         found = written(best if last else best.where(F.col("distance") <= size), "closest")
         done = found if done is None else done.unionByName(found)
         if last:
             break
-        rest = written(rest.join(found.select(*keys), keys, "left_anti"), "open")
+        # Spark guesses the size of what was found from its files, so it isn't to send it to the driver for a broadcast.
+        rest = written(rest.join(found.select(*keys).hint("merge"), keys, "left_anti"), "open")
         scratch.append(rest)
         if rest.isEmpty():
             break

@@ -22,10 +22,10 @@ BATCH = 8192  # rows that are compared at once
 FINER = 8  # sub-cells along a block's side, by which rows of a tile are ordered
 
 
-def block_size(points: DataFrame, start: float, most: int) -> float:
-    """``start`` times a power of two: the largest cells that hold ``most`` points or fewer on average, counted roughly."""
-    sizes = [start * 2.0**k for k in range(-10, 11)]
-    cell = lambda size: F.struct(*[F.floor(F.col(c) / size).cast("long") for c in "xyz"])
+def block_size(points: DataFrame, reach: float, most: int, on: tuple[str, ...] = ()) -> float:
+    """``reach`` times a power of two, a quarter at least: the largest cells that hold ``most`` points of equal ``on`` or fewer on average, counted roughly."""
+    sizes = [reach * 2.0**k for k in range(-2, 11)]
+    cell = lambda size: F.struct(*on, *[F.floor(F.col(c) / size).cast("long") for c in "xyz"])
     n, *cells = points.agg(F.count(F.lit(1)), *[F.approx_count_distinct(cell(s)) for s in sizes]).first()
     return max((s for s, k in zip(sizes, cells) if n <= most * k), default=sizes[0])
 
@@ -52,7 +52,7 @@ def deal(queries: DataFrame, others: DataFrame, low: tuple[Column, ...], high: t
     """
     spark = queries.sparkSession
     share_package(spark)
-    size = size or block_size(queries, reach, most)
+    size = size or block_size(queries, reach, most, on)
     extent = F.greatest(*[h - l for l, h in zip(low, high)])  # noqa: E741
     others = others.select(F.struct(*others.columns).alias("o"), *on, *[c.alias(f"l{n}") for c, n in zip(low, "xyz")], *[c.alias(f"h{n}") for c, n in zip(high, "xyz")], F.when(extent > 2 * size, F.ceil(F.log2(extent / (2 * size)))).otherwise(0).cast("int").alias("level"))
     levels = sorted(r.level for r in others.select("level").distinct().collect())  # sizes by powers of two
@@ -67,8 +67,9 @@ def deal(queries: DataFrame, others: DataFrame, low: tuple[Column, ...], high: t
     near = others
     for c in "xyz":
         near = near.withColumn(f"g{c}", F.explode(F.sequence(F.floor((F.col(f"l{c}") - reach) / side()).cast("long"), F.floor((F.col(f"h{c}") + reach) / side()).cast("long"))))
-    near = near.join(blocks, key).select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), _code(tuple((F.col(f"l{c}") + F.col(f"h{c}")) / 2 for c in "xyz"), size).alias("code"), "o")
-    own = own.join(blocks, key).select("block", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), _code(tuple(F.col(c) for c in "xyz"), size).alias("code"), "q")
+    # A table of blocks grows with the points, so it isn't sent to the driver for a broadcast.
+    near = near.join(blocks.hint("merge"), key).select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), _code(tuple((F.col(f"l{c}") + F.col(f"h{c}")) / 2 for c in "xyz"), size).alias("code"), "o")
+    own = own.join(blocks.hint("merge"), key).select("block", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), _code(tuple(F.col(c) for c in "xyz"), size).alias("code"), "q")
     tasks = max(1, min(4 * tiles, max(8 * spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK)))
     return own.unionByName(near, allowMissingColumns=True).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind", "code").select("block", "part", "kind", "q", "o")
 
@@ -192,7 +193,8 @@ def closest_candidates(rows: DataFrame, corners: list[tuple[str, str, str]], exa
                 at = [numbers(batch, *c) for c in corners]
                 low, high = ([f.reduce([c[k] for c in at]) for k in range(3)] for f in (np.minimum, np.maximum))
                 cuts = np.arange(0, len(batch), 128)
-                least = np.sqrt(box_distances(own, boxes(low, high, cuts))[0]) * (1 - 1e-9)
+                slack = 1e-13 * max(np.abs(v).max() for v in (*own, *low, *high))  # of rounding
+                least = np.sqrt(box_distances(own, boxes(low, high, cuts))[0]) - slack
                 seen = []
                 for i, s in enumerate(starts):
                     here, mine_at = slice(s, s + 32), [v[s : s + 32] for v in q]
@@ -204,21 +206,21 @@ def closest_candidates(rows: DataFrame, corners: list[tuple[str, str, str]], exa
                         for x, lo, hi in zip(mine_at, low, high):
                             d = np.maximum(np.maximum(lo[part] - x[:, None], x[:, None] - hi[part]), 0)
                             gap = gap + d * d
-                        a, b = np.nonzero(np.sqrt(gap) * (1 - 1e-9) <= best[here, None])
+                        a, b = np.nonzero(np.sqrt(gap) - slack <= best[here, None])
                         if not len(a):
                             continue
                         a, b = a + s, b + cuts[j]
                         distance = exact([v[a] for v in q], [[v[b] for v in c] for c in at])
                         np.fmin.at(best, a, distance)
-                        near = distance <= best[a] * (1 + 1e-9)
+                        near = distance <= best[a] * (1 + 1e-9) + slack
                         seen.append((a[near], distance[near], b[near]))
                 if seen:
                     a, distance, b = (np.concatenate(v) for v in zip(*seen))
-                    near = distance <= best[a] * (1 + 1e-9)
+                    near = distance <= best[a] * (1 + 1e-9) + slack
                     found.append((a[near], distance[near], batch.take(pa.array(b[near]))))
             if found:
                 a, distance = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                near = np.flatnonzero(distance <= best[a] * (1 + 1e-9))
+                near = np.flatnonzero(distance <= best[a] * (1 + 1e-9) + slack)
                 closest = pa.concat_arrays([f[2] for f in found]).take(pa.array(near))
                 yield pa.RecordBatch.from_arrays([mine.take(pa.array(a[near])), closest], names=["q", "o"])
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from gaugeflow.operators import neighbors, profiles, solve, tiles
+from gaugeflow.operators import neighbors, profiles, solve, surfaces, tiles
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,21 @@ def test_a_tile_holds_a_bounded_number_of_queries(spark, points):
     near = neighbors.whole(points)
     rows = tiles.deal(near, near, place, place, 0.05, 16).groupBy("block", "part").agg(F.count("q").alias("q")).collect()
     assert sum(r.q for r in rows) == near.count() and max(r.q for r in rows) < 48
+
+
+def test_only_what_may_be_closest_leaves_a_task(spark, monkeypatch):
+    g = np.random.default_rng(8)
+    monkeypatch.setattr(surfaces, "POINTS_A_TILE", 64)
+    p, a = g.normal(size=(300, 3)), g.normal(size=(500, 1, 3)) + g.normal(size=(500, 3, 3)) * 0.05
+    a[0], a[7] = [[-9, -9, -1], [9, -9, -1], [0, 9, -1]], a[8]  # one far larger than a block, two in the same place
+    names = [f"{t}{c}" for t in "abc" for c in "xyz"]
+    points = spark.createDataFrame([("k", i, *map(float, x)) for i, x in enumerate(p)] + [("other", 0, 0.0, 0.0, 0.0), ("k", 999, float("nan"), 0.0, 0.0)], "s string, point_id long, x double, y double, z double")
+    triangles = spark.createDataFrame([("k", i, *map(float, x.ravel())) for i, x in enumerate(a)], "s string, fid long, " + ", ".join(f"{n} double" for n in names))
+    seen, search = [], tiles.closest_candidates
+    monkeypatch.setattr(tiles, "closest_candidates", lambda *r: seen.append(search(*r)) or seen[-1])
+    monkeypatch.setattr(surfaces, "forget", lambda *_: None)
+    got = surfaces.closest_on_surface(points, triangles, 0.1, on=("s",)).toPandas().set_index("point_id").sort_index()
+    i, j = (v.ravel() for v in np.meshgrid(range(300), range(500), indexing="ij"))
+    d = surfaces.triangle_distances(list(p[i].T), [list(a[j, k].T) for k in range(3)]).reshape(300, 500)
+    assert list(got.index) == list(range(300)) and list(got["fid"]) == list(d.argmin(axis=1)) and np.array_equal(got["distance"], d.min(axis=1))
+    assert 300 <= sum(s.count() for s in seen) < 3000  # of 150,000 pairs
