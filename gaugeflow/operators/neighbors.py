@@ -18,6 +18,7 @@ POINTS_A_PART = 4096
 FEW_A_CELL = 4  # points on average
 PLACES_A_TASK = 1024
 POINTS_A_TILE = 8192
+POINTS_A_SEARCH = 2048
 
 
 def _cell(c: str, size: float) -> Column:
@@ -95,28 +96,31 @@ def fine_size(points: DataFrame, reach: float) -> float:
     return size
 
 
-def nearest_within(points: DataFrame, queries: DataFrame, reach: float, size: float) -> DataFrame:
-    """(point_id, distance, neighbor_id) of the nearest point within ``reach`` of each query point that has one; ties go to the smaller id.
+def nearest_within(points: DataFrame, queries: DataFrame, reach: float, size: float, places: bool = False) -> DataFrame:
+    """(point_id, distance, neighbor_id) of the nearest point within ``reach`` of each query point that has one; ties go to the smaller id. ``places`` adds the point's x, y, z and the neighbour's nx, ny, nz.
 
-    Cells are ``size`` large at first (see ``fine_size``); queries whose nearest is farther than that go on with cells
-    twice as large, up to ``reach``, so pairs follow the points, not all that lie within ``reach``.
+    Points within ``size`` are looked at first (see ``fine_size``); queries whose nearest is farther than that go on with eight times as much,
+    up to ``reach``, so what is sent follows the points, not all that lie within ``reach``. Pairs are made and compared within a task (see ``tiles.deal``).
     """
-    rest, done, scratch = queries.select("point_id", "x", "y", "z"), None, []
+    rest, done, scratch = whole(queries).select("point_id", "x", "y", "z"), None, []
+    goal, place = whole(points).select("point_id", "x", "y", "z"), V.columns("")
     while True:
-        near = radius_pairs(points, size, rest).groupBy("point_id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("point_id", "m.*")
-        if size >= reach and done is None:
-            return near
-        near = written(near, "near")
+        dealt = tiles.deal(rest, goal, place, place, size, POINTS_A_SEARCH)
+        close = tiles.closest_candidates(dealt, [("x", "y", "z")], lambda p, corners: np.sqrt(sum((a - b) * (a - b) for a, b in zip(p, corners[0]))), size)
+        met = close.select("q.*", F.col("o.point_id").alias("neighbor_id"), *[F.col(f"o.{c}").alias("n" + c) for c in "xyz"])
+        met = met.withColumn("distance", V.distance(place, V.columns("n"))).where(F.col("distance") <= size)
+        first = F.min(F.struct("distance", "neighbor_id", "x", "y", "z", "nx", "ny", "nz")).alias("m")
+        near = written(met.groupBy("point_id").agg(first).select("point_id", "m.*"), "near")
         done = near if done is None else done.unionByName(near)
         if size >= reach:
             break
-        rest = written(rest.join(near.select("point_id"), "point_id", "left_anti"), "rest")
+        rest = written(rest.join(near.select("point_id").hint("merge"), "point_id", "left_anti"), "rest")
         scratch.append(rest)
         if rest.isEmpty():
             break
-        size = min(reach, size * 2)
+        size = min(reach, size * 8)
     forget(*scratch)
-    return done
+    return done if places else done.select("point_id", "distance", "neighbor_id")
 
 
 def _positions(points: DataFrame, most: int) -> DataFrame:

@@ -53,9 +53,9 @@ def deal(queries: DataFrame, others: DataFrame, low: tuple[Column, ...], high: t
     spark = queries.sparkSession
     share_package(spark)
     size = size or block_size(queries, reach, most, on)
-    extent = F.greatest(*[h - l for l, h in zip(low, high)])  # noqa: E741
+    extent = F.lit(0.0) if low is high else F.greatest(*[h - l for l, h in zip(low, high)])  # noqa: E741
     others = others.select(F.struct(*others.columns).alias("o"), *on, *[c.alias(f"l{n}") for c, n in zip(low, "xyz")], *[c.alias(f"h{n}") for c, n in zip(high, "xyz")], F.when(extent > 2 * size, F.ceil(F.log2(extent / (2 * size)))).otherwise(0).cast("int").alias("level"))
-    levels = sorted(r.level for r in others.select("level").distinct().collect())  # sizes by powers of two
+    levels = [0] if low is high else sorted(r.level for r in others.select("level").distinct().collect())  # sizes by powers of two
     side = lambda: size * F.pow(F.lit(2.0), F.col("level"))
     grid = [f"g{c}" for c in "xyz"]
     own = queries.select(F.struct(*queries.columns).alias("q"), *on, "x", "y", "z", F.explode(F.lit(levels or [0])).alias("level"))
@@ -183,30 +183,38 @@ def closest_candidates(rows: DataFrame, corners: list[tuple[str, str, str]], exa
     closer than what a query has already are looked at, nearest boxes first.
     """
 
+    points = len(corners) == 1
+    few, many = (64, 256) if points else (32, 128)  # rows of queries and of others that are compared at once
+
     def search(batches):
         for mine, others in tiles(batches):
             q = numbers(mine, "x", "y", "z")
-            starts = np.arange(0, len(mine), 32)
+            starts = np.arange(0, len(mine), few)
             own, best = boxes(q, q, starts), np.full(len(mine), most)
             found = []  # (queries, distances, others)
             for batch in others:
                 at = [numbers(batch, *c) for c in corners]
                 low, high = ([f.reduce([c[k] for c in at]) for k in range(3)] for f in (np.minimum, np.maximum))
-                cuts = np.arange(0, len(batch), 128)
+                cuts = np.arange(0, len(batch), many)
                 slack = 1e-13 * max(np.abs(v).max() for v in (*own, *low, *high))  # of rounding
                 least = np.sqrt(box_distances(own, boxes(low, high, cuts))[0]) - slack
                 seen = []
                 for i, s in enumerate(starts):
-                    here, mine_at = slice(s, s + 32), [v[s : s + 32] for v in q]
+                    here, mine_at, bound = slice(s, s + few), [v[s : s + few] for v in q], best[s : s + few].max()
                     for j in np.argsort(least[i], kind="stable"):
-                        if least[i, j] > best[here].max():
+                        if least[i, j] > bound:
                             break
-                        part = slice(cuts[j], cuts[j] + 128)
-                        gap = 0.0
-                        for x, lo, hi in zip(mine_at, low, high):
-                            d = np.maximum(np.maximum(lo[part] - x[:, None], x[:, None] - hi[part]), 0)
-                            gap = gap + d * d
-                        a, b = np.nonzero(np.sqrt(gap) - slack <= best[here, None])
+                        part = slice(cuts[j], cuts[j] + many)
+                        if points:
+                            gap = np.sqrt(squares(mine_at, [v[part] for v in low]))
+                            np.minimum(best[here], gap.min(axis=1), out=best[here])
+                        else:
+                            gap = 0.0
+                            for x, lo, hi in zip(mine_at, low, high):
+                                d = np.maximum(np.maximum(lo[part] - x[:, None], x[:, None] - hi[part]), 0)
+                                gap = gap + d * d
+                            gap = np.sqrt(gap)
+                        a, b = np.nonzero(gap <= best[here, None] + slack)
                         if not len(a):
                             continue
                         a, b = a + s, b + cuts[j]
@@ -214,6 +222,7 @@ def closest_candidates(rows: DataFrame, corners: list[tuple[str, str, str]], exa
                         np.fmin.at(best, a, distance)
                         near = distance <= best[a] * (1 + 1e-9) + slack
                         seen.append((a[near], distance[near], b[near]))
+                        bound = best[here].max()
                 if seen:
                     a, distance, b = (np.concatenate(v) for v in zip(*seen))
                     near = distance <= best[a] * (1 + 1e-9) + slack

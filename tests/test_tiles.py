@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from gaugeflow.operators import neighbors, profiles, solve, surfaces, tiles
+from gaugeflow.operators import neighbors, profiles, registration, solve, surfaces, tiles
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,11 @@ def test_only_what_may_be_closest_leaves_a_task(spark, monkeypatch):
     d = surfaces.triangle_distances(list(p[i].T), [list(a[j, k].T) for k in range(3)]).reshape(300, 500)
     assert list(got.index) == list(range(300)) and list(got["fid"]) == list(d.argmin(axis=1)) and np.array_equal(got["distance"], d.min(axis=1))
     assert 300 <= sum(s.count() for s in seen) < 3000  # of 150,000 pairs
+
+
+def test_dense_clouds_far_off_meet_in_few_rounds(spark):
+    x, a = np.random.default_rng(12).normal(size=(1500, 3)) * 0.3, 0.05
+    turn = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    cloud = lambda v: spark.createDataFrame([tuple(map(float, p)) for p in v], "x double, y double, z double")
+    got = registration.closest_points(cloud(x @ turn.T + (0.1, -0.08, 0.06)), cloud(x), voxel=1e-6, reach=2.0, rounds=10).first()
+    assert got.converged and got.n == 1500 and got.rmse < 1e-12 and np.allclose(np.reshape(got.r, (3, 3)), turn.T)
