@@ -93,7 +93,7 @@ def export_verification(spark, d):
     f = written(f.select("mesh", fid.alias("fid"), "v0", "v1", "v2"), "faces")
     marked = f.withColumn("k", (F.col("v0") * 31 + F.col("v1") * 17 + F.col("v2")) % 97)
     own = marked.where("k <> 3").select("mesh", "fid", "k", F.posexplode(F.expr("IF(k = 2, array(v1, v0, v2), array(v0, v1, v2))")).alias("corner", "at"))
-    at = mesh.placed(own, vertices(spark, d), {"at": "p"}).withColumn("vid", own_vid(F.col("corner")))
+    at = mesh.placed(own, vertices(spark, d), {"at": "p"}, most=exports.MOST_PLACES).withColumn("vid", own_vid(F.col("corner")))
     points = at.selectExpr("mesh", "vid", "p.x", "p.y", "IF(k = 1, p.z + 0.25D, p.z) AS z")
     rendered = marked.where("k <> 3").select("mesh", "fid", *[own_vid(F.lit(i)).alias(f"v{i}") for i in range(3)])
     got = exports.export_verification(vertices(spark, d), f, points, rendered)
